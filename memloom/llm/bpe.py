@@ -74,6 +74,10 @@ class PieceModel:
         stop = f"(?![{re.escape(''.join(sorted(marks)))}])" if marks else ""
         return re.compile(f"(?=[^\n]){SPACE}*{other}*(?:[{letter}]+{stop}{other}+)*[{letter}]*|\n")
 
+    def sync(self, left: str, right: str) -> bool:
+        """Whether a border always lies between these two characters."""
+        return (left + right) not in self.inside
+
     def starts_unit(self, left: str, char: str) -> bool:
         """Whether the pattern starts a unit between these neighbours."""
         return len(self.units.findall(left + char)) == 2

@@ -167,15 +167,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], id_col: str
     """(id, score, columns of keep) of each row's whole text. Null and empty texts pool to zeros and are
     scored as such; without a network every score is 0.5. Repeated rows and null ids give a row each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
+    rows = docs.select(F.col(id_col), *(c for c in keep if c != text_col), F.col(text_col))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema][: None if text_col in keep else -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             s = np.full(len(texts), 0.5) if net is None or not texts else net.score(np.stack([pooled(t, vectors) for t in texts]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.array(s)], [*b.schema.names[: len(fields)], "score"])
 
     return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
 

@@ -3,11 +3,12 @@
 from memloom.llm.embedding_dups import op7_embedding_dups
 from memloom.llm.line_rules import op4_line_rules
 from memloom.llm.mixing import op9_mixing
+from memloom.llm.piece_codec import op1_piece_codec
 from memloom.llm.quality import op3_quality
 from memloom.llm.secrets import op10_secrets
 from memloom.llm.simhash import op6_simhash
 from memloom.llm.token_count import op2_token_counts
 from memloom.llm.url_rules import op8_url_rules
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality, op4_line_rules, op6_simhash, op7_embedding_dups, op8_url_rules, op9_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_piece_codec, op2_token_counts, op3_quality, op4_line_rules, op6_simhash, op7_embedding_dups, op8_url_rules, op9_mixing, op10_secrets)}
 ORACLES: dict[str, str] = {}
