@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators, with their SQL where SQL can express them."""
 
 from memloom.llm.embedding_dups import op7_embedding_dups
+from memloom.llm.katz import op5_katz
 from memloom.llm.line_rules import op4_line_rules
 from memloom.llm.mixing import op9_mixing
 from memloom.llm.piece_codec import op1_piece_codec
@@ -10,5 +11,5 @@ from memloom.llm.simhash import op6_simhash
 from memloom.llm.token_count import op2_token_counts
 from memloom.llm.url_rules import op8_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_piece_codec, op2_token_counts, op3_quality, op4_line_rules, op6_simhash, op7_embedding_dups, op8_url_rules, op9_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_piece_codec, op2_token_counts, op3_quality, op4_line_rules, op5_katz, op6_simhash, op7_embedding_dups, op8_url_rules, op9_mixing, op10_secrets)}
 ORACLES: dict[str, str] = {}
