@@ -1,4 +1,475 @@
-"""Registered queries of the library's own operators, with their SQL."""
+"""Registered queries of the library's own operators over the driver's tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from memloom.functions import ids, text
+from memloom.operators import atoms, chunk, community, graph, ingest, maintain, merge, resolve, retrieve, vector
+from memloom.plans import views as v
+from memloom.sources.tables import read
+
+#: SQL equals of views.
+SQL_VIEWS = {
+    "docs": "SELECT doc_id, source || '/' || (doc_id % 140) AS file_path, text AS content, text, doc_id AS seq FROM documents",
+    "edges": "SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2",
+    "extractions": "SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS tgt, 1.0::DOUBLE AS weight, l_returnflag AS keyword, l_orderkey::VARCHAR AS source_id, (l_orderkey * 10 + l_linenumber)::BIGINT AS seq, l_returnflag || l_linestatus AS description FROM lineitem",
+    "atoms": "SELECT event_id AS atom_id, user_id AS owner_id, event_type || ':' || floor(value / 10)::BIGINT AS content, ts AS valid_at, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS invalid_at, ts + INTERVAL 1 HOUR AS created_at, CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 2 HOUR END AS expired_at, event_id AS seq, event_id // 100 AS episode_id FROM events",
+    "evidence": "SELECT event_id AS atom_id, (event_id + k) % 50 AS episode_id, event_id * 10 + k AS evidence_id FROM events, LATERAL (SELECT unnest(range(0, event_id % 3 + 1)) AS k)",
+    "evolution": "SELECT event_id AS source_atom_id, event_id - 1 AS target_atom_id, CASE WHEN event_id % 2 = 0 THEN 'CONTRADICTION' ELSE 'REFINEMENT' END AS relation_type, event_id % 4 = 0 AS resolved FROM events WHERE event_id % 11 = 0 AND event_id > 0",
+    "vectors": "SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, 'src' || (vec_id % 7) AS file_path, vec_id % 50 + 1 AS tokens FROM embeddings",
+    "queries": "SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0",
+    "names": "SELECT 'part-' || p_partkey AS entity_id, p_name AS alias FROM part UNION ALL SELECT 'sup-' || s_suppkey, s_name FROM supplier",
+    "pools": "SELECT c.query_id, c.owner, c.place, row_number() OVER (PARTITION BY c.query_id, c.owner ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS chunk_id FROM (SELECT c_nationkey::BIGINT AS query_id, c_custkey AS owner, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer) c JOIN orders ON o_custkey = c.owner",
+    "deg": "SELECT node, count(*) AS degree FROM (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1",
+    "ways": "SELECT a AS node, b AS other, weight FROM edges UNION ALL SELECT b, a, weight FROM edges",
+    "hits": "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, list_dot_product(qv, v) / sqrt(list_dot_product(qv, qv) * list_dot_product(v, v)) AS score FROM queries, vectors) WHERE score >= 0.2",
+    "status": "SELECT *, CASE WHEN expired_at IS NOT NULL THEN 'expired' WHEN TIMESTAMP '2024-01-15' < valid_at THEN 'pending' WHEN TIMESTAMP '2024-01-15' >= invalid_at THEN 'invalid' ELSE 'active' END AS status FROM atoms",
+}
+#: What views read from others.
+NEEDS = {"deg": ("edges",), "ways": ("edges",), "hits": ("queries", "vectors"), "status": ("atoms",)}
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def at() -> F.Column:
+    return F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")).cast("timestamp")
+
+
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):  # noqa: ANN201
+    """Register a query; its SQL gets the views that it uses as common table expressions."""
+
+    def put(f):  # noqa: ANN001, ANN202
+        QUERIES[name] = f
+        if sql:
+            order: list[str] = []
+            for u in uses:
+                order += [x for x in (*NEEDS.get(u, ()), u) if x not in order]
+            ORACLE_SQL[name] = ("WITH " + ", ".join(f"{x} AS ({SQL_VIEWS[x]})" for x in order) + " " if order else "") + sql
+        return f
+
+    return put
+
+
+
+
+@query("q01_naive", "SELECT h.query_id, h.id, round(h.score, 6) AS score, h.rank, v.file_path, r.reference FROM hits h JOIN vectors v USING (id) JOIN (SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank), file_path) AS reference FROM (SELECT * FROM hits WHERE rank <= 10) JOIN vectors USING (id) GROUP BY 1, 2) r ON r.query_id = h.query_id AND r.file_path = v.file_path WHERE h.rank <= 10", ("hits",))
+def q01(spark: SparkSession, sf: str) -> DataFrame:
+    got = retrieve.retrieve_naive(v.queries(spark, sf), v.vectors(spark, sf), 10)
+    refs = retrieve.reference_list(got).select("query_id", "file_path", "reference")
+    return got.join(refs, ["query_id", "file_path"]).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "file_path", "reference")
+
+
+@query("s01_admit", "SELECT doc_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'given-' || (doc_id // 2) WHEN doc_id % 3 = 1 THEN 'doc-' || md5(file_path) ELSE 'doc-' || md5(content) END AS doc_id, seq FROM docs)) WHERE n = 1", ("docs",))
+def s01(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.docs(spark, sf)
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("given-"), F.floor(F.col("doc_id") / 2).cast("string")))
+    return ingest.admit_documents(d.select(given.alias("given_id"), F.when(F.col("doc_id") % 3 == 1, F.col("file_path")).otherwise("").alias("file_path"), "content", "seq")).select("doc_id", "seq")
+
+
+_SPLIT = "a AS (SELECT *, first_value(doc_id) OVER w AS f, row_number() OVER w AS n FROM (SELECT *, split_part(file_path, '/', 2) AS nm FROM docs) WINDOW w AS (PARTITION BY nm ORDER BY seq)), b AS (SELECT *, first_value(doc_id) OVER w AS f2, row_number() OVER w AS n2 FROM a WHERE n = 1 WINDOW w AS (PARTITION BY md5(content) ORDER BY seq))"
+
+
+@query("s02_duplicates", "SELECT doc_id, 'filename' AS kind, f AS original_id FROM (WITH " + _SPLIT + " SELECT * FROM a) WHERE n > 1 UNION ALL SELECT doc_id, 'content_hash', f2 FROM (WITH " + _SPLIT + " SELECT * FROM b) WHERE n2 > 1", ("docs",))
+def s02(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.split_duplicates(v.docs(spark, sf).drop("text"))[1].select("doc_id", "kind", "original_id")
+
+
+@query("s03_existing", "SELECT doc_id, existing_id FROM (SELECT d.doc_id, s.doc_id AS existing_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY s.doc_id) AS n FROM documents d JOIN documents s ON md5(d.text) = md5(s.text) AND s.doc_id <> d.doc_id WHERE NOT (s.doc_id % 5 = 0 AND s.doc_id // 5 = d.doc_id)) WHERE n = 1")
+def s03(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.docs(spark, sf).select("doc_id", F.md5("content").alias("content_hash"))
+    return ingest.find_existing_by_hash(d, d.withColumn("created_at", F.lit(0)).withColumn("original_id", F.when(F.col("doc_id") % 5 == 0, F.floor(F.col("doc_id") / 5))))
+
+
+@query("s04_missing_keys", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def s04(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.missing_keys(read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")), read(spark, sf, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+
+
+@query("s05_upsert", "SELECT owner_id, episode_id, max(seq) AS seq, max_by(content, seq) AS content FROM atoms GROUP BY 1, 2", ("atoms",))
+def s05(spark: SparkSession, sf: str) -> DataFrame:
+    a = v.atoms(spark, sf).select("owner_id", "episode_id", "seq", "content")
+    return ingest.upsert(a.filter("seq % 2 = 0"), a.filter("seq % 2 = 1"), ["owner_id", "episode_id"], "seq")
+
+
+@query("s06_import_graph", "SELECT name, count(*) AS n FROM (SELECT src AS name FROM extractions UNION SELECT tgt FROM extractions) GROUP BY 1", ("extractions",))
+def s06(spark: SparkSession, sf: str) -> DataFrame:
+    x = v.extractions(spark, sf)
+    ents = x.select(F.col("src").alias("name"), F.lit("part").alias("type"), "description", "source_id", "seq")
+    chunks = x.select("source_id", F.concat(F.lit("chunk-"), "source_id").alias("chunk_id")).distinct()
+    return ingest.import_custom_kg(chunks, ents, x.select("src", "tgt", "description", "weight", "source_id", "seq"))[0].groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("s10_chunk_rows", "SELECT doc_id, chunk_order_index, CASE WHEN n > 1 THEN 'chunk-' || md5(key || chr(31) || chunk_order_index || chr(31) || content) ELSE key END AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY chunk_order_index) AS n FROM (SELECT conv_id::VARCHAR AS doc_id, turn AS chunk_order_index, text AS content, CASE WHEN turn % 2 = 1 THEN conv_id || '-' || role ELSE conv_id || '-chunk-' || lpad(turn::VARCHAR, 3, '0') END AS key FROM conversations WHERE trim(text) <> ''))")
+def s10(spark: SparkSession, sf: str) -> DataFrame:
+    c = read(spark, sf, "conversations")
+    return ingest.build_chunk_rows(c.select(F.col("conv_id").cast("string").alias("doc_id"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("given_id"), F.col("turn").alias("chunk_order_index"), F.col("text").alias("content"))).select("doc_id", "chunk_order_index", "chunk_id")
+
+
+_TOK = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+
+
+@query("c01_chunk_fixed", f"SELECT doc_id, i::INTEGER AS chunk_order_index, md5(array_to_string(t[i * 180 + 1:i * 180 + 200], ' ')) AS content_hash, least(len(t) - i * 180, 200)::BIGINT AS tokens FROM (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // 180 + 1)) AS i FROM (SELECT doc_id, {_TOK} AS t FROM documents) WHERE len(t) > 0)")
+def c01(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk.chunk_fixed(v.docs(spark, sf), 200, 20).select("doc_id", "chunk_order_index", F.md5("content").alias("content_hash"), "tokens")
+
+
+@query("c02_chunk_delimiter", f"SELECT doc_id, count(*) AS chunks, sum(least(len(t) - i * 40, 50))::BIGINT AS tokens FROM (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // 40 + 1)) AS i FROM (SELECT doc_id, {_TOK} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)) WHERE len(t) > 0) GROUP BY 1")
+def c02(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk.chunk_by_delimiter(v.docs(spark, sf), "\n", 50, 10)[0].groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+
+
+@query("c03_chunk_recursive")
+def c03(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk.chunk_recursive(v.docs(spark, sf))
+
+
+@query("c04_chunk_semantic")
+def c04(spark: SparkSession, sf: str) -> DataFrame:
+    s = chunk.sentences(v.docs(spark, sf))
+    nxt = F.lead(F.length("sentence")).over(W.partitionBy("doc_id").orderBy("pos"))
+    return chunk.chunk_semantic(s.withColumn("distance", F.abs(F.length("sentence") - nxt).cast("double")))
+
+
+@query("c07_token_limit")
+def c07(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("chunk_order_index"), "content")
+    return chunk.enforce_token_limit(d, 120)
+
+
+@query("c09_heading_paths")
+def c09(spark: SparkSession, sf: str) -> DataFrame:
+    marks = F.regexp_replace(F.regexp_replace("html", r"(?i)<h([1-6])[^>]*>", "\n######$1 "), r"<[^>]+>", "\n")
+    d = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(marks, r"\n######([1-6]) ", "\n## ").alias("text"))
+    return chunk.heading_paths(chunk.to_blocks(d))
+
+
+@query("g01_degrees", "SELECT node, degree FROM deg", ("deg",))
+def g01(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degrees(v.edges(spark, sf))
+
+
+@query("g02_edge_degrees", "SELECT e.a, e.b, x.degree + y.degree AS rank FROM edges e JOIN deg x ON x.node = e.a JOIN deg y ON y.node = e.b", ("deg",))
+def g02(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.edge_degrees(v.edges(spark, sf))
+
+
+@query("g03_lookup_edges", "SELECT w.src, w.tgt, e.a IS NOT NULL AS found, e.weight FROM (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || ((l_partkey + l_linenumber) % 100) AS tgt FROM lineitem) w LEFT JOIN edges e ON e.a = w.tgt AND e.b = w.src", ("edges",))
+def g03(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    wanted = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), ((F.col("l_partkey") + F.col("l_linenumber")) % 100).cast("string")).alias("tgt")).distinct()
+    return graph.lookup_edges(v.edges(spark, sf), wanted).select("src", "tgt", "found", "weight")
+
+
+@query("g04_incident_edges", "SELECT node, other, weight FROM ways WHERE node IN (SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey < 12)", ("edges", "ways"))
+def g04(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = read(spark, sf, "supplier").filter("s_nationkey < 12").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return graph.incident_edges(v.edges(spark, sf), wanted).select("node", "other", "weight")
+
+
+@query("g05_popular_labels", "SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 300", ("deg",))
+def g05(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.popular_labels(v.edges(spark, sf))
+
+
+@query("g06_search_labels", "SELECT query_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM (SELECT q.query_id, l.label, CASE WHEN lower(label) = lower(q) THEN 1000 WHEN starts_with(lower(label), lower(q)) THEN 500 ELSE 100 - length(label) + CASE WHEN contains(lower(label), ' ' || lower(q)) OR contains(lower(label), '_' || lower(q)) THEN 50 ELSE 0 END END AS score FROM (SELECT DISTINCT alias AS label FROM names) l JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS q, split_part(p_name, ' ', 1) AS query_id FROM part) q ON contains(lower(label), lower(q)))) WHERE rank <= 50", ("names",))
+def g06(spark: SparkSession, sf: str) -> DataFrame:
+    q = read(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("q")).distinct().withColumn("query_id", F.col("q"))
+    return graph.search_labels(q, v.names(spark, sf).select(F.col("alias").alias("label")).distinct())
+
+
+@query("g08_subgraph", "SELECT node, min(d)::INTEGER AS level FROM (SELECT 's0' AS node, 0 AS d UNION ALL SELECT other, 1 FROM ways WHERE node = 's0' UNION ALL SELECT y.other, 2 FROM ways x JOIN ways y ON y.node = x.other WHERE x.node = 's0') GROUP BY 1", ("edges", "ways"))
+def g08(spark: SparkSession, sf: str) -> DataFrame:
+    starts = spark.createDataFrame([(0, "s0")], "query_id long, node string")
+    return graph.subgraph(v.edges(spark, sf), starts, 2, 1 << 30)[0].select("node", "level")
+
+
+@query("g09_whole_view", "SELECT e.a, e.b, e.weight FROM edges e WHERE a IN (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 400) AND b IN (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 400)", ("deg",))
+def g09(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.whole_view(v.edges(spark, sf), 400)
+
+
+@query("x10_merge_entities", "SELECT n.name, t.type, n.descriptions, least(n.sources, 300)::BIGINT AS sources FROM (SELECT tgt AS name, count(DISTINCT description) AS descriptions, count(DISTINCT source_id) AS sources FROM extractions GROUP BY 1) n JOIN (SELECT name, type FROM (SELECT tgt AS name, keyword AS type, row_number() OVER (PARTITION BY tgt ORDER BY count(*) DESC, min(seq)) AS r FROM extractions GROUP BY 1, 2) WHERE r = 1) t USING (name)", ("extractions",))
+def x10(spark: SparkSession, sf: str) -> DataFrame:
+    x = v.extractions(spark, sf).select(F.col("tgt").alias("name"), F.col("keyword").alias("type"), "description", "source_id", F.col("seq").alias("ts"), "seq")
+    return merge.merge_entities(x).select("name", "type", F.size("descriptions").cast("long").alias("descriptions"), F.size("source_ids").cast("long").alias("sources"))
+
+
+@query("x11_merge_relations", "SELECT src AS a, tgt AS b, count(DISTINCT source_id)::DOUBLE AS weight, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM extractions GROUP BY 1, 2", ("extractions",))
+def x11(spark: SparkSession, sf: str) -> DataFrame:
+    x = v.extractions(spark, sf)
+    empty = spark.createDataFrame([], "a string, b string, weight double, keywords array<string>, source_ids array<string>")
+    first = merge.merge_relations(empty, x.filter("seq % 2 = 0"))
+    return merge.merge_relations(first, x).select("a", "b", "weight", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("x16_plan_summaries", 'SELECT owner, CASE WHEN n < 8 THEN \'join\' ELSE \'summarize\' END AS mode, count(*) AS parts FROM (SELECT tgt AS owner, count(*) OVER (PARTITION BY tgt) AS n FROM extractions) GROUP BY 1, 2', ("extractions",))
+def x16(spark: SparkSession, sf: str) -> DataFrame:
+    x = v.extractions(spark, sf).select(F.col("tgt").alias("owner"), F.col("seq").alias("pos"), "description")
+    return merge.plan_summaries(x, 8, 1200, 4000).groupBy("owner", "mode").agg(F.sum(F.size("descriptions")).alias("parts"))
+
+
+@query("a01_status", "SELECT owner_id, status, count(*) AS n FROM status GROUP BY 1, 2", ("status",))
+def a01(spark: SparkSession, sf: str) -> DataFrame:
+    return atoms.with_status(v.atoms(spark, sf), at()).groupBy("owner_id", "status").agg(F.count("*").alias("n"))
+
+
+@query("a02_as_of", "SELECT atom_id, owner_id, content FROM atoms WHERE valid_at <= TIMESTAMP '2024-01-15' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-15') AND created_at <= TIMESTAMP '2024-01-15' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-15')", ("atoms",))
+def a02(spark: SparkSession, sf: str) -> DataFrame:
+    return atoms.as_of(v.atoms(spark, sf), at(), at()).select("atom_id", "owner_id", "content")
+
+
+@query("a03_time_range", "SELECT atom_id FROM atoms WHERE valid_at BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-16' OR invalid_at BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-16'", ("atoms",))
+def a03(spark: SparkSession, sf: str) -> DataFrame:
+    return atoms.filter_time_range(v.atoms(spark, sf), at(), at() + F.expr("interval 1 day")).select("atom_id")
+
+
+@query("a04_fold", "SELECT atom_id, first_value(atom_id) OVER (PARTITION BY episode_id, owner_id, content, invalid_at ORDER BY seq) AS kept_id FROM (SELECT atom_id, episode_id, owner_id, content, CASE WHEN seq % 2 = 0 THEN invalid_at END AS invalid_at, seq FROM atoms)", ("atoms",))
+def a04(spark: SparkSession, sf: str) -> DataFrame:
+    a = v.atoms(spark, sf).withColumn("invalid_at", F.when(F.col("seq") % 2 == 0, F.col("invalid_at")))
+    return atoms.fold_exact(a)[1]
+
+
+@query("a06_history_match", "SELECT n.atom_id, min(s.atom_id) AS duplicate_of FROM (SELECT atom_id, owner_id, content FROM atoms WHERE atom_id % 3 = 0) n JOIN (SELECT * FROM status WHERE status = 'active' AND invalid_at IS NULL) s ON s.owner_id = n.owner_id AND s.content = n.content GROUP BY 1", ("status",))
+def a06(spark: SparkSession, sf: str) -> DataFrame:
+    a = v.atoms(spark, sf)
+    new = a.filter("atom_id % 3 = 0").withColumn("invalid_at", F.lit(None).cast("timestamp"))
+    return atoms.match_history_exact(new, a, at())
+
+
+@query("a10_evolution", "SELECT a.atom_id, a.expired_at IS NOT NULL OR e.target_atom_id IS NOT NULL AS expired FROM atoms a LEFT JOIN (SELECT DISTINCT target_atom_id FROM evolution WHERE relation_type = 'REFINEMENT') e ON e.target_atom_id = a.atom_id", ("atoms", "evolution"))
+def a10(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.evolution(spark, sf).select(F.col("source_atom_id").alias("atom_id"), F.col("relation_type").alias("decision"), F.col("target_atom_id").alias("target_id"), F.lit(None).cast("timestamp").alias("target_invalid_at"), F.lit(False).alias("supersedes"))
+    return atoms.apply_evolution(v.atoms(spark, sf), d, at())[0].select("atom_id", F.col("expired_at").isNotNull().alias("expired"))
+
+
+@query("a11_evidence", "SELECT a.atom_id, count(DISTINCT e.episode_id) AS support_count FROM atoms a LEFT JOIN evidence e USING (atom_id) GROUP BY 1", ("atoms", "evidence"))
+def a11(spark: SparkSession, sf: str) -> DataFrame:
+    ev = v.evidence(spark, sf)
+    return atoms.add_evidence(v.atoms(spark, sf), ev.unionByName(ev)).select("atom_id", "support_count")
+
+
+@query("a18_evolution_view", "SELECT e.source_atom_id AS atom_id, 'outgoing' AS direction, e.target_atom_id AS related_id, s.status AS related_status FROM evolution e JOIN status s ON s.atom_id = e.target_atom_id UNION ALL SELECT e.target_atom_id, 'incoming', e.source_atom_id, s.status FROM evolution e JOIN status s ON s.atom_id = e.source_atom_id", ("evolution", "status"))
+def a18(spark: SparkSession, sf: str) -> DataFrame:
+    return atoms.evolution_view(v.atoms(spark, sf), v.evolution(spark, sf), at()).drop("relation_type")
+
+
+@query("a19_counts", "SELECT a.atom_id, coalesce(x.n, 0) AS n_evidence, coalesce(y.n, 0) AS n_evolution, coalesce(y.u, 0)::BIGINT AS n_unresolved FROM atoms a LEFT JOIN (SELECT atom_id, count(*) AS n FROM evidence GROUP BY 1) x USING (atom_id) LEFT JOIN (SELECT atom_id, count(*) AS n, sum((relation_type = 'CONTRADICTION' AND NOT resolved)::INT) AS u FROM (SELECT source_atom_id AS atom_id, * FROM evolution UNION ALL SELECT target_atom_id, * FROM evolution) GROUP BY 1) y USING (atom_id)", ("atoms", "evidence", "evolution"))
+def a19(spark: SparkSession, sf: str) -> DataFrame:
+    return atoms.atom_counts(v.atoms(spark, sf), v.evidence(spark, sf), v.evolution(spark, sf))
+
+
+@query("v01_topk", "SELECT query_id, id, round(score, 6) AS score, rank FROM hits WHERE rank <= 15", ("hits",))
+def v01(spark: SparkSession, sf: str) -> DataFrame:
+    return vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 15).withColumn("score", F.round("score", 6))
+
+
+@query("v02_topk_ann")
+def v02(spark: SparkSession, sf: str) -> DataFrame:
+    return vector.vector_topk_ann(v.queries(spark, sf), v.vectors(spark, sf), 15)
+
+
+@query("v06_pick_by_weight")
+def v06(spark: SparkSession, sf: str) -> DataFrame:
+    return vector.pick_by_weight(v.pools(spark, sf), 5)
+
+
+@query("q03_related_edges", "SELECT query_id, a, b, rank, weight, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, weight DESC, a, b) AS pos FROM (SELECT DISTINCT h.query_id, e.a, e.b, x.degree + y.degree AS rank, e.weight FROM (SELECT query_id, 's' || (id % 100) AS node FROM hits WHERE rank <= 3) h JOIN edges e ON e.b = h.node JOIN deg x ON x.node = e.a JOIN deg y ON y.node = e.b)", ("hits", "deg"))
+def q03(spark: SparkSession, sf: str) -> DataFrame:
+    hits = vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 3).select("query_id", F.concat(F.lit("s"), (F.col("id") % 100).cast("string")).alias("node"))
+    return retrieve.related_edges(hits, v.edges(spark, sf))
+
+
+@query("q05_related_entities", "SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY r, side, node) AS pos FROM (SELECT query_id, node, min(r) AS r, arg_min(side, r * 2 + side) AS side FROM (SELECT l_orderkey AS query_id, l_linenumber AS r, 0 AS side, 'p' || l_partkey AS node FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 1, 's' || l_suppkey FROM lineitem) GROUP BY 1, 2)")
+def q05(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"), F.col("l_linenumber").alias("rank"))
+    return retrieve.related_entities(li)
+
+
+@query("q06_interleave", "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k, id) AS pos FROM (SELECT query_id, id, min(pos * 2 + list) AS k FROM (SELECT query_id, id, rank AS pos, 0 AS list FROM hits WHERE rank <= 10 UNION ALL SELECT query_id, (id * 7) % 500, rank, 1 FROM hits WHERE rank <= 10) GROUP BY 1, 2)", ("hits",))
+def q06(spark: SparkSession, sf: str) -> DataFrame:
+    hits = vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 10).select("query_id", "id", F.col("rank").alias("pos"))
+    return retrieve.interleave([hits, hits.withColumn("id", F.col("id") * 7 % 500)], "id")
+
+
+@query("q08_owner_chunks", "SELECT query_id, owner, chunk_id, frequency, row_number() OVER (PARTITION BY query_id, owner ORDER BY frequency DESC, place) - 1 AS pos FROM (SELECT *, count(*) OVER (PARTITION BY query_id, chunk_id) AS frequency, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY owner, place) AS n FROM (SELECT l_suppkey % 10 AS query_id, l_suppkey AS owner, l_orderkey AS chunk_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem)) WHERE n = 1")
+def q08(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    owners = li.groupBy((F.col("l_suppkey") % 10).alias("query_id"), F.col("l_suppkey").alias("owner")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"]).alias("source_ids")).withColumn("place", F.col("owner"))
+    return retrieve.owner_chunks(owners).select("query_id", "owner", "chunk_id", "frequency", "pos")
+
+
+@query("q10_token_budget", "SELECT query_id, id, rank FROM (SELECT h.*, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM hits h JOIN vectors USING (id) WHERE rank <= 30) WHERE t <= 200", ("hits",))
+def q10(spark: SparkSession, sf: str) -> DataFrame:
+    got = retrieve.retrieve_naive(v.queries(spark, sf), v.vectors(spark, sf), 30)
+    return retrieve.truncate_by_tokens(got, 200).select("query_id", "id", "rank")
+
+
+@query("q13_references", "SELECT l_orderkey AS query_id, 'f' || l_suppkey % 9 AS file_path, count(*) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, min(l_linenumber), 'f' || l_suppkey % 9) AS reference FROM lineitem GROUP BY 1, 2")
+def q13(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    return retrieve.reference_list(li.select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 9).cast("string")).alias("file_path"), F.col("l_linenumber").alias("rank")))
+
+
+@query("q18_rerank", "SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM (SELECT l_suppkey AS query_id, l_partkey AS doc, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2)")
+def q18(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("doc"), F.col("l_linenumber").alias("window"), F.col("l_extendedprice").alias("score"))
+    return retrieve.rerank_aggregate(li).withColumn("score", F.round("score", 6))
+
+
+@query("q19_distinct_queries", "SELECT event_id AS query_id, min(event_id) OVER (PARTITION BY event_type, user_id) AS computed_by FROM events")
+def q19(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events").select(F.col("event_id").alias("query_id"), "event_type", "user_id")
+    return retrieve.distinct_queries(e, "event_type", "user_id").select("query_id", "computed_by")
+
+
+@query("r02_exact", "SELECT DISTINCT p_name AS name, entity_id FROM part JOIN names ON lower(trim(regexp_replace(alias, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))", ("names",))
+def r02(spark: SparkSession, sf: str) -> DataFrame:
+    al = v.names(spark, sf).select("entity_id", ids.normalize_name(F.col("alias")).alias("normalized_alias"))
+    return resolve.candidates_exact(read(spark, sf, "part").select(F.col("p_name").alias("name")).distinct(), al).select("name", "entity_id")
+
+
+@query("r03_lexical", "SELECT DISTINCT q.name, n.entity_id, CASE WHEN lower(alias) = lower(name) THEN 1.0 ELSE 0.8 END::DOUBLE AS score FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) q JOIN names n ON contains(lower(alias), lower(name)) OR contains(lower(name), lower(alias))", ("names",))
+def r03(spark: SparkSession, sf: str) -> DataFrame:
+    al = v.names(spark, sf).select("entity_id", ids.normalize_name(F.col("alias")).alias("normalized_alias"))
+    q = read(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
+    return resolve.candidates_lexical(q, al).select("name", "entity_id", "score")
+
+
+@query("r10_ambiguous", "SELECT lower(alias) AS normalized_alias, count(DISTINCT entity_id) AS n_entities FROM names GROUP BY 1 HAVING count(DISTINCT entity_id) > 1", ("names",))
+def r10(spark: SparkSession, sf: str) -> DataFrame:
+    al = v.names(spark, sf).select("entity_id", ids.normalize_name(F.col("alias")).alias("normalized_alias"), F.lit(False).alias("expired"))
+    return resolve.ambiguous_aliases(al)[0]
+
+
+@query("d01_communities")
+def d01(spark: SparkSession, sf: str) -> DataFrame:
+    c = read(spark, sf, "customer").select((F.col("c_custkey") * 1000).cast("long").alias("a"), F.col("c_nationkey").cast("long").alias("b"))
+    n = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (-1 - F.col("n_regionkey")).cast("long").alias("b"))
+    return community.communities(c.unionByName(n))
+
+
+@query("d03_canonical", "SELECT 'community-' || left(sha256(string_agg(c, chr(31) ORDER BY c)), 16) AS community_id, count(*) AS members FROM (SELECT c_nationkey, c_custkey::VARCHAR AS c FROM customer) GROUP BY c_nationkey HAVING count(*) > 1")
+def d03(spark: SparkSession, sf: str) -> DataFrame:
+    part = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_nationkey").alias("community"))
+    return community.canonicalize(part).select("community_id", F.size("members").cast("long").alias("members"))
+
+
+@query("d04_context", "SELECT community_id, count(DISTINCT node) AS n_members, max(m) AS n_relations FROM (SELECT node, right(node, 1) AS community_id FROM deg) n JOIN (SELECT c, sum(x)::BIGINT AS m FROM (SELECT right(a, 1) AS c, CASE WHEN right(a, 1) = right(b, 1) THEN 1 ELSE 0 END AS x FROM edges) GROUP BY 1) e ON e.c = n.community_id GROUP BY 1", ("deg",))
+def d04(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.edges(spark, sf)
+    members = graph.degrees(e).select("node", F.right("node", F.lit(1)).alias("community_id"))
+    return community.community_context(members, e).select("community_id", "n_members", "n_relations")
+
+
+@query("d07_provisional")
+def d07(spark: SparkSession, sf: str) -> DataFrame:
+    s = read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("b"))
+    n = read(spark, sf, "nation")
+    members = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_regionkey").cast("string").alias("community_id"))
+    return community.assign_provisional(s.select(F.col("a").alias("node")), s, members)
+
+
+@query("d08_list", "SELECT c_nationkey::VARCHAR AS community_id, count(*) AS n_members FROM customer GROUP BY 1")
+def d08(spark: SparkSession, sf: str) -> DataFrame:
+    return community.list_communities(read(spark, sf, "customer").select(F.col("c_name").alias("node"), F.col("c_nationkey").cast("string").alias("community_id")))
+
+
+@query("m01_purge", "SELECT 'p' || l_partkey AS owner, CASE WHEN sum((l_orderkey % 10 <> 0)::INT) = 0 THEN 'delete' WHEN sum((l_orderkey % 10 = 0)::INT) > 0 THEN 'rebuild' ELSE 'untouched' END AS action, sum((l_orderkey % 10 <> 0)::INT)::BIGINT AS remaining FROM lineitem GROUP BY 1")
+def m01(spark: SparkSession, sf: str) -> DataFrame:
+    x = v.extractions(spark, sf)
+    owners = x.groupBy(F.col("src").alias("owner")).agg(F.collect_list("source_id").alias("source_ids"))
+    gone = x.select("source_id").filter(F.col("source_id").cast("long") % 10 == 0).distinct()
+    return maintain.plan_purge(owners, gone).withColumn("remaining", F.size("remaining").cast("long"))
+
+
+@query("m03_delete_episodes", "SELECT atom_id, count(DISTINCT episode_id) AS support_count FROM evidence WHERE episode_id % 4 <> 0 GROUP BY 1", ("evidence",))
+def m03(spark: SparkSession, sf: str) -> DataFrame:
+    ev = v.evidence(spark, sf)
+    e = v.edges(spark, sf).withColumn("relation_id", F.concat("a", "b"))
+    a = v.atoms(spark, sf).withColumn("owner_id", F.col("owner_id").cast("string"))
+    ents = a.select(F.col("owner_id").alias("entity_id")).distinct()
+    return maintain.delete_episodes(a, ev, e, ents, ev.filter("episode_id % 4 = 0").select("episode_id").distinct())["atoms"].select("atom_id", "support_count")
+
+
+@query("m06_outbox", "SELECT user_id AS owner_id, count(*) AS target_revision, 'pending' AS status, max_by(event_type, event_id + CASE WHEN event_id % 3 = 0 THEN 100000000 ELSE 0 END) FILTER (event_id % 3 = 0) AS owner_snapshot FROM events GROUP BY 1")
+def m06(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events").select(F.col("user_id").alias("owner_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("owner_snapshot"))
+    return maintain.coalesce_outbox(e)
+
+
+@query("m08_anchors", "SELECT DISTINCT 'o' || (l_orderkey % 50) AS doc_id, 'p' || l_partkey AS owner FROM lineitem WHERE l_partkey % 5 = 0")
+def m08(spark: SparkSession, sf: str) -> DataFrame:
+    x = v.extractions(spark, sf)
+    rows = x.select(F.col("src").alias("owner"), "source_id").distinct()
+    chunks = x.select(F.col("source_id").alias("chunk_id"), F.concat(F.lit("o"), (F.col("source_id").cast("long") % 50).cast("string")).alias("doc_id")).distinct()
+    anchors = rows.join(chunks, rows["source_id"] == chunks["chunk_id"]).filter(F.substring("owner", 2, 20).cast("long") % 5 != 0).select("doc_id", "owner").distinct()
+    return maintain.audit_anchors(rows, anchors, chunks)[0]
+
+
+@query("m11_source_conflicts", "SELECT file_path, count(*) AS n, min(doc_id) AS sample, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS fingerprint FROM docs WHERE doc_id % 6 <> 0 GROUP BY 1 HAVING count(*) > 1", ("docs",))
+def m11(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.source_conflicts(v.docs(spark, sf).select("doc_id", "file_path", (F.col("doc_id") % 6 == 0).alias("is_duplicate")))
+
+
+@query("m13_cache_stats", "SELECT event_type AS mode, 'k' || user_id % 3 AS cache_type, count(*) AS n FROM events GROUP BY 1, 2")
+def m13(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events")
+    return maintain.cache_stats(e.select(F.concat_ws(":", "event_type", F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")), F.md5("props")).alias("key")))
+
+
+@query("w01_overview", "SELECT coalesce(status, 'all') AS status, count(*) AS n FROM status GROUP BY ROLLUP (status)", ("status",))
+def w01(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.overview(atoms.with_status(v.atoms(spark, sf), at())).select("status", "n")
+
+
+@query("w02_episodes", "SELECT c.episode_id, coalesce(a, 0) AS n_atoms, coalesce(n, 0) AS n_evidence FROM (SELECT DISTINCT conv_id AS episode_id FROM conversations) c LEFT JOIN (SELECT episode_id, count(DISTINCT atom_id) AS a, count(*) AS n FROM evidence GROUP BY 1) e USING (episode_id)", ("evidence",))
+def w02(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.list_episodes(read(spark, sf, "conversations").select(F.col("conv_id").alias("episode_id")).distinct(), v.evidence(spark, sf))
+
+
+@query("w06_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def w06(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.page(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3, 50)
+
+
+@query("w08_keyset", "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus IN ('F', 'O') AND (o_custkey > 20 OR (o_custkey = 20 AND o_orderkey > 100)) ORDER BY o_custkey, o_orderkey LIMIT 80")
+def w08(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    return maintain.keyset_page(o, ["F", "O"], (20, 100), 80).select("doc_id")
+
+
+@query("w09_status_counts", "SELECT coalesce(o_orderstatus, 'all') AS status, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
+def w09(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.status_counts(read(spark, sf, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+@query("w11_recent", "SELECT ws, episode_id, rank FROM (SELECT o_custkey AS ws, o_orderkey AS episode_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 4")
+def w11(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("ws"), F.col("o_orderkey").alias("episode_id"), F.col("o_orderdate").alias("reference_at"))
+    return maintain.recent_episodes(o).select("ws", "episode_id", "rank")
+
+
+_WORDS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_EVAL = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_WORDS}))"
+
+
+@query("e02_idf", f"SELECT token, count(*) AS df, round(ln((max(n) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM (SELECT unnest(list_distinct({_EVAL})) AS token, (SELECT count(*) FROM documents) AS n FROM documents) GROUP BY 1")
+def e02(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.idf(v.docs(spark, sf).select(F.col("doc_id").alias("name"), text.eval_tokens(F.col("text")).alias("tokens"))).withColumn("idf", F.round("idf", 6))
+
+
+@query("e03_tfidf", f"WITH tf AS (SELECT name, token, count(*) AS tf FROM (SELECT doc_id AS name, unnest({_EVAL}) AS token FROM documents) GROUP BY 1, 2), d AS (SELECT token, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY 1), q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_EVAL}) AS token FROM benchmark) GROUP BY 1, 2), s AS (SELECT query_id, name, sum(times * (1 + ln(tf)) * idf) AS score FROM q JOIN tf USING (token) JOIN d USING (token) GROUP BY 1, 2) SELECT query_id, name, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, name) AS rank FROM s) WHERE rank <= 10")
+def e03(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.docs(spark, sf).select(F.col("doc_id").alias("name"), "text")
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return maintain.tfidf_rank(d, q).withColumn("score", F.round("score", 6))
+
+
+@query("e05_summary", "SELECT metric, count(*) AS n, round(avg(val), 6) AS mean, round(min(val), 6) AS low, round(max(val), 6) AS high FROM (SELECT 'quality' AS metric, quality::DOUBLE AS val FROM labels UNION ALL SELECT 'toxic', toxic::DOUBLE FROM labels) GROUP BY 1")
+def e05(spark: SparkSession, sf: str) -> DataFrame:
+    out = maintain.score_summary(read(spark, sf, "labels"), ["quality", "toxic"])
+    return out.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
