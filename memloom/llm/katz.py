@@ -35,6 +35,8 @@ HOT, DENSE, SAMPLE = 65_536, 1024, 4000
 END, BEGIN = HOT, HOT + 1
 #: Codes from here on are hashes of rare words.
 RARE = 1 << 62
+#: In the low bits of a pair's code: its first word is rare, and stands beside it.
+MARK = (1 << 17) - 1
 #: Counts up to K get Good-Turing's discount; DELTA is taken from larger ones.
 K, DELTA = 5, 0.01
 HELD_OUT_MOD, HELD_OUT = 7, 2
@@ -69,24 +71,41 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def pairs(texts: list, rows: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (h, w, row) with their numbers, sorted by row."""
+def stream(texts: list, rows: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, w, row) of every token."""
     h, w, r = [], [], []
     for text, row in zip(texts, rows.tolist(), strict=True):
         own = [*map(codes.__getitem__, words(text)), END]
         w.append(np.array(own, dtype=np.int64))
         h.append(np.array([BEGIN, *own[:-1]], dtype=np.int64))
         r.append(np.full(len(own), row, dtype=np.int64))
-    if not h:
-        return (np.zeros(0, dtype=np.int64),) * 4
-    h, w, r = map(np.concatenate, (h, w, r))
-    order = np.lexsort((w, h, r))
+    return (np.concatenate(h), np.concatenate(w), np.concatenate(r)) if h else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def distinct(h: np.ndarray, w: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (h, w, row) with their numbers, grouped by row."""
+    if not len(h):
+        return h, w, r, h
+    with np.errstate(over="ignore"):
+        mixed = (h * np.int64(-7046029254386353131)) ^ (w * np.int64(-4417276706812531889))
+    order = np.lexsort((mixed, r))
     h, w, r = h[order], w[order], r[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (r[1:] != r[:-1])])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (r[1:] != r[:-1])]))
     return h[at], w[at], r[at], np.diff([*at, len(h)])
 
 
+def packed(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, h beside it): two dictionary words in one number; a rare word as itself."""
+    low = np.where(h < RARE, h, MARK)
+    code = np.where(w >= RARE, w, (np.where(w >= RARE, 0, w) << 17) | low)
+    return code, np.where((w >= RARE) | (h >= RARE), h, 0)
+
+
+def unpacked(code: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = code & MARK
+    return np.where(code >= RARE, h, np.where(low == MARK, h, low)), np.where(code >= RARE, code, code >> 17)
+
+
 def frame(kind: int, key: np.ndarray, other: np.ndarray | int = 0, cw: np.ndarray | int = 0, **sums: np.ndarray) -> pd.DataFrame:
     n = len(key)
     full = lambda v, t: np.broadcast_to(np.asarray(v, dtype=t), n)
@@ -110,12 +129,13 @@ def log10(x: np.ndarray) -> np.ndarray:
 
 def doc_rows(row: np.ndarray, tf: np.ndarray, pair_count: np.ndarray, word_count: np.ndarray, own_words: bool) -> pd.DataFrame:
     """DOC rows: x: log counts of seen pairs above K; r: seen pairs by count; with own_words also y: log(c + 1) of
-    words, z: log c of known words, s1: known tokens."""
+    words, x less log c of known words (as contexts), s1: known tokens."""
     seen, big = pair_count > 0, pair_count > K
     values = {"x": tf * big * log10(np.where(big, pair_count - DELTA, 1)), **by_count(_R[:K], pair_count, tf * seen)}
     if own_words:
         known = word_count > 0
-        values |= {"y": tf * np.log10(word_count + 1.0), "z": tf * known * log10(np.where(known, word_count, 1)), "s1": tf * known}
+        values["x"] = values["x"] - tf * known * log10(np.where(known, word_count, 1))
+        values |= {"y": tf * np.log10(word_count + 1.0), "s1": tf * known}
     uniq, v = summed(row, **values)
     return frame(DOC, uniq, **v)
 
@@ -174,12 +194,11 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         single, double = np.zeros(HOT + 2, dtype=np.int64), np.zeros((DENSE, DENSE), dtype=np.int64)
         for b in frames:
             texts = b.column(0).to_pylist()
-            h, w, _, tf = pairs(texts, np.zeros(len(texts), dtype=np.int64), codes())
-            hot_w = w < RARE
-            np.add.at(single, w[hot_w], tf[hot_w])
+            h, w, _ = stream(texts, np.zeros(len(texts), dtype=np.int64), codes())
+            single += np.bincount(w[w < RARE], minlength=HOT + 2)
             single[BEGIN] += len(texts)
             both = (h < DENSE) & (w < DENSE)
-            np.add.at(double, (h[both], w[both]), tf[both])
+            np.add.at(double.ravel(), h[both] * DENSE + w[both], 1)
         for h in range(0, DENSE):
             at = np.flatnonzero(double[h])
             yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([double[h][at].tolist()], pa.list_(pa.int64()))], ["h", "w", "n"])
@@ -199,36 +218,38 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     known = spark.sparkContext.broadcast((single, double))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(part key, h, w, row, tf) of pairs that are not dense; tf is negative for held-out rows."""
+        """(code, h, row, tf) of pairs that are not dense; tf is negative for held-out rows."""
         for b in batches:
             own, train = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             sign = dict(zip(own.tolist(), np.where(train, 1, -1).tolist(), strict=True))
-            h, w, r, tf = pairs(b.column(2).to_pylist(), own, codes())
+            h, w, r = stream(b.column(2).to_pylist(), own, codes())
             use = (h >= DENSE) | (w >= DENSE)
-            h, w, r, tf = h[use], w[use], r[use], tf[use]
+            h, w, r, tf = distinct(h[use], w[use], r[use])
             tf = tf * np.array([sign[x] for x in r.tolist()], dtype=np.int64) if len(r) else tf
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(h), pa.array(r), pa.array(tf.astype(np.int32), pa.int32())], ["w", "h", "row", "tf"])
+            code, beside = packed(h, w)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(beside), pa.array(r), pa.array(tf.astype(np.int32), pa.int32())], ["code", "h", "row", "tf"])
 
     def dense_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         """What dictionary words and dense pairs give to each document; cw holds its number of tokens."""
         single, double = known.value
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False)
-            h, w, r, tf = pairs(b.column(2).to_pylist(), own, codes())
+            h, w, r = stream(b.column(2).to_pylist(), own, codes())
             if not len(h):
                 continue
-            uniq, v = summed(r, n=tf)
-            yield frame(DOC, uniq, y=np.zeros(len(uniq)), s6=v["n"])
+            uniq, v = summed(r, n=np.ones(len(r)))
+            yield frame(DOC, uniq, s6=v["n"])
             at = w < RARE
             c = single[w[at]]
             inner = w[at] != END  # the end is no context
-            u, v = summed(r[at], y=tf[at] * np.log10(c + 1.0), z=tf[at] * inner * (c > 0) * log10(np.where(c > 0, c, 1)), s1=tf[at] * (c > 0))
+            u, v = summed(r[at], y=np.log10(c + 1.0), x=-1.0 * inner * (c > 0) * log10(np.where(c > 0, c, 1)), s1=(c > 0) * 1.0)
             yield frame(DOC, u, **v)
             at = (h < DENSE) & (w < DENSE)
-            c = double[h[at], w[at]]
-            yield doc_rows(r[at], tf[at], c, c, False)
+            h, w, r, tf = distinct(h[at], w[at], r[at])
+            c = double[h, w]
+            yield doc_rows(r, tf, c, c, False)
             none = c == 0
-            yield frame(UNSEEN, r[at][none], h[at][none], single[w[at]][none], x=tf[at][none])
+            yield frame(UNSEEN, r[none], h[none], single[w[none]], x=tf[none])
 
     def as_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         for pdf in frames:
@@ -256,7 +277,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         first = np.flatnonzero(new)
         first = first[pair > 0]
         pc, wc, hh = c[first], c_w[first], h[first]
-        u, v = summed(hh, x=pc * (pc > K), y=wc * (wc > K), z=(wc > K) * 1.0, **by_count(_R[:K], pc, np.ones(len(pc))), **by_count(_S[:K], wc, np.ones(len(wc))), r6=(pc > K) * 1.0)
+        u, v = summed(hh, y=wc * (wc > K), z=(wc > K) * 1.0, **by_count(_R[:K], pc, np.ones(len(pc))), **by_count(_S[:K], wc, np.ones(len(wc))), r6=(pc > K) * 1.0)
         yield frame(CONTEXT, u, **v)
         ones = lambda names, values: {c: np.array([v.sum()]) for c, v in by_count(names, values, np.ones(len(values))).items()}
         words_here = per_word[rare[np.flatnonzero(word_new)]]
@@ -272,7 +293,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             size += b.num_rows
             if size < 200_000:
                 continue
-            w, h, row, tf = (np.concatenate([k, *c]) for k, c in zip(kept, zip(*held, strict=True), strict=True))
+            code, h, row, tf = (np.concatenate(c) for c in zip(*held, strict=True))
+            h, w = unpacked(code, h)
+            w, h, row, tf = (np.concatenate([k, c]) for k, c in zip(kept, (w, h, row, tf), strict=True))
             held, size = [], 0
             # the last group may go on in the next batch: a rare word's, or a pair's
             last = np.searchsorted(w, w[-1]) if w[-1] >= RARE else np.flatnonzero((w == w[-1]) & (h == h[-1]))[0]
@@ -280,12 +303,14 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 yield from block(w[:last], h[:last], row[:last], tf[:last], single)
             kept = [w[last:], h[last:], row[last:], tf[last:]]
         if held:
-            kept = [np.concatenate([k, *c]) for k, c in zip(kept, zip(*held, strict=True), strict=True)]
+            code, h, row, tf = (np.concatenate(c) for c in zip(*held, strict=True))
+            h, w = unpacked(code, h)
+            kept = [np.concatenate([k, c]) for k, c in zip(kept, (w, h, row, tf), strict=True)]
         if len(kept[0]):
             yield from block(*kept, single)
 
-    deal = F.when(F.col("w") >= RARE, F.xxhash64("w")).otherwise(F.xxhash64("w", "h"))
-    dealt = rows.mapInArrow(sparse, "w long, h long, row long, tf int").repartition(deal).sortWithinPartitions("w", "h")
+    deal = F.when((F.col("code") < RARE) & (F.col("code").bitwiseAND(MARK) == MARK), F.xxhash64("h")).otherwise(F.xxhash64("code"))
+    dealt = rows.mapInArrow(sparse, "code long, h long, row long, tf int").repartition(deal).sortWithinPartitions("code", "h")
     parts = dealt.mapInArrow(lambda it: as_batches(grouped(it)), SHAPE).unionByName(rows.mapInArrow(lambda it: as_batches(dense_docs(it)), SHAPE))
     model = cut(parts.groupBy("kind", "key", "other", "cw").agg(*(F.sum(c).alias(c) for c in SUMS)), "katz-sums")
 
@@ -307,7 +332,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         at = np.flatnonzero(double[h])
         if len(at):
             pc, wc = double[h][at], single[at]
-            one = frame(CONTEXT, np.array([h]), x=np.array([(pc * (pc > K)).sum()]), y=np.array([(wc * (wc > K)).sum()]), z=np.array([(wc > K).sum()]), r6=np.array([(pc > K).sum()]), **{c: np.array([(pc == i).sum()]) for i, c in enumerate(_R[:K], 1)}, **{c: np.array([(wc == i).sum()]) for i, c in enumerate(_S[:K], 1)})
+            one = frame(CONTEXT, np.array([h]), y=np.array([(wc * (wc > K)).sum()]), z=np.array([(wc > K).sum()]), r6=np.array([(pc > K).sum()]), **{c: np.array([(pc == i).sum()]) for i, c in enumerate(_R[:K], 1)}, **{c: np.array([(wc == i).sum()]) for i, c in enumerate(_S[:K], 1)})
             side.append(one)
     contexts = model.filter(F.col("kind") == CONTEXT)
     if side:
@@ -324,7 +349,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     added_up = backed.groupBy("row").agg(F.sum(F.col("n") * (F.coalesce("back", F.lit(0.0)) + F.log10(own))).alias("unseen"))
 
     logs = np.log10(pair_disc.values)
-    seen = F.col("x") + sum(float(v) * F.col(c) for v, c in zip(logs, _R[:K], strict=True)) - F.col("z")
+    seen = F.col("x") + sum(float(v) * F.col(c) for v, c in zip(logs, _R[:K], strict=True))
     begin = float(np.log10(single[BEGIN])) if single[BEGIN] else 0.0
     per = model.filter(F.col("kind") == DOC).select(F.col("key").alias("row"), (seen - begin).alias("seen"), "y", "s1", "s6")
     sums = per.join(added_up, "row", "left").withColumnRenamed("row", "its")
