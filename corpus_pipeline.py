@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group of near duplicates."""
     small_batches(spark)
-    groups = simhash.near_duplicates(docs, shingle=5)
+    groups = simhash.similar_documents(docs)
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, docs["doc_id"] == stay["_id"]).select(*docs.columns)
 
