@@ -152,6 +152,27 @@ def test_golay_keys_lose_no_link(spark, monkeypatch):
         assert brute.golden_components(prints, edges) == want
 
 
+def test_similar_documents(spark, monkeypatch):
+    """Near copies of some texts, with words changed here and there; whatever the size from which a key is crowded."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for base in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(25):
+            own = list(words)
+            for at in rng.integers(0, 120, rng.integers(0, 4)):
+                own[at] = f"x{rng.integers(0, 1000)}"
+            rows.append((len(rows), " ".join(own)))
+    grams = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    near = [(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    want = brute.golden_components(list(grams), near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (4, 16):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+    assert simhash.similar_documents(odd(spark)).count() == len(ODD) and simhash.similar_documents(odd(spark).limit(0)).count() == 0
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dups, "LEAF", 60)
     monkeypatch.setattr(embedding_dups, "BLOCK", 50)

@@ -25,9 +25,9 @@ def test_stages(spark):
     scores = quality.score(kept[""], quality.learn(kept[""], table(spark, SF, "labels"))).collect()
     assert {r.doc_id for r in rows["quality"]} == {r.doc_id for r in scores if r.score >= quality.THRESHOLD}
 
-    prints = {r.doc_id: simhash.fingerprint(r.text, 5) for r in rows["quality"]}
-    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
-    groups = brute.golden_components(list(prints), near)
+    grams = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in rows["quality"]}
+    near = [(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    groups = brute.golden_components(list(grams), near)
     assert {r.doc_id for r in rows["near_duplicates"]} == set(groups.values())
 
     before = {r.doc_id: r.text for r in rows["near_duplicates"]}
