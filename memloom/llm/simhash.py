@@ -38,6 +38,8 @@ CROWD = 16
 SEED = 42
 #: Similarity of sets of shingles from which texts are near duplicates; min-wise keys of so many values each.
 SIMILAR, KEYS, VALUES = 0.8, 12, 3
+#: Nodes under one key that are all paired; larger groups are compared with two of their members under each key.
+PAIRED = 64
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code.
 GENERATOR = 0b110001110101
 
@@ -195,9 +197,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     at = nodes.select("node", F.explode(F.array_append("ks", F.xxhash64("fp", F.lit("fp")))).alias("k"))
     mixed = F.struct(F.xxhash64("node", "k").alias("h"), "node")
     sizes = cut(at.groupBy("k").agg(F.count("*").alias("n"), F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).filter("n > 1"), "crowds")
-    few = at.join(sizes.filter(F.col("n") <= CROWD).select("k"), "k").groupBy("k").agg(F.collect_list("node").alias("f"))
+    few = at.join(sizes.filter(F.col("n") <= PAIRED).select("k"), "k").groupBy("k").agg(F.collect_list("node").alias("f"))
     near = few.select("f", F.explode("f").alias("a")).select("a", F.explode("f").alias("b"))
-    heads = sizes.filter(F.col("n") > CROWD).select(F.col("k").alias("big"), F.array("lo.node", "hi.node").alias("f"))
+    heads = sizes.filter(F.col("n") > PAIRED).select(F.col("k").alias("big"), F.array("lo.node", "hi.node").alias("f"))
     crowd = salted_join(at, heads, "k", "big", F.col("node"), "inner").select(F.col("node").alias("a"), F.explode("f").alias("b"))
     first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     named = lambda c: first.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
@@ -210,7 +212,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts of similarity `least` or more (shared shingles in all shingles of both) reach.
 
     Every link is verified on the whole sets. Candidates come from the Golay keys and from min-wise keys, which
-    miss a pair of similarity 0.8 with a chance of 0.0003; a key's crowd is compared with two of its members.
+    miss a pair of similarity 0.8 with a chance of 0.0003; under a key of more than PAIRED different sets each is compared
+    with two of them only, so a link that all of a pair's keys hold in such crowds can be missed.
     Null and wordless texts are equal to each other; repeated rows and ids give a row each.
     """
     rows = sketches(docs, id_col, text_col, shingle)
