@@ -473,3 +473,45 @@ def e03(spark: SparkSession, sf: str) -> DataFrame:
 def e05(spark: SparkSession, sf: str) -> DataFrame:
     out = maintain.score_summary(read(spark, sf, "labels"), ["quality", "toxic"])
     return out.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+@query("m04_restore", "SELECT atom_id, content FROM atoms WHERE atom_id % 3 <> 0 OR atom_id % 2 = 0", ("atoms",))
+def m04(spark: SparkSession, sf: str) -> DataFrame:
+    a = v.atoms(spark, sf).select("atom_id", "content")
+    return maintain.restore_rows(a.filter("atom_id % 3 <> 0"), a.filter("atom_id % 2 = 0"), "atom_id")
+
+
+@query("m05_prune_orphans", "SELECT c_custkey AS owner_id FROM customer WHERE c_custkey IN (SELECT user_id FROM events) OR c_custkey IN (SELECT s_suppkey FROM supplier) OR c_custkey IN (SELECT s_nationkey FROM supplier)")
+def m05(spark: SparkSession, sf: str) -> DataFrame:
+    owners = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("owner_id"))
+    relations = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("a"), F.col("s_nationkey").cast("long").alias("b"))
+    return maintain.prune_orphans(owners, v.atoms(spark, sf), relations)
+
+
+@query("m09_audit_vectors", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def m09(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.audit_vectors(read(spark, sf, "documents").select("doc_id"), v.vectors(spark, sf), ["doc_id"])
+
+
+@query("w10_docs_by", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def w10(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.docs_by(read(spark, sf, "documents").select("doc_id", "source"), read(spark, sf, "labels").filter("toxic = 1"), "doc_id")
+
+
+@query("a09_collapse_duplicates", "SELECT event_id AS atom_id, event_id - event_id % 10 AS root_id FROM events WHERE event_id % 10 <> 0")
+def a09(spark: SparkSession, sf: str) -> DataFrame:
+    links = read(spark, sf, "events").filter("event_id % 10 <> 0").select(F.col("event_id").alias("atom_id"), (F.col("event_id") - 1).alias("duplicate_of"))
+    return atoms.collapse_duplicates(links, 4)
+
+
+@query("a13_presentation", "SELECT atom_id, content || ' [' || coalesce(strftime(valid_at, '%Y-%m-%d'), '...') || ' - ' || coalesce(strftime(invalid_at, '%Y-%m-%d'), '...') || ']' AS body FROM atoms", ("atoms",))
+def a13(spark: SparkSession, sf: str) -> DataFrame:
+    return v.atoms(spark, sf).select("atom_id", atoms.presentation(F.col("content"), F.col("valid_at"), F.col("invalid_at")).alias("body"))
+
+
+@query("a17_resolve_conflicts", "SELECT atom_id, expired_at IS NOT NULL OR atom_id IN (SELECT source_atom_id FROM evolution WHERE relation_type = 'CONTRADICTION') AS expired FROM atoms", ("atoms", "evolution"))
+def a17(spark: SparkSession, sf: str) -> DataFrame:
+    evo = v.evolution(spark, sf)
+    winners = evo.select(F.col("source_atom_id").alias("a"), F.col("target_atom_id").alias("b"), F.col("target_atom_id").alias("winner"))
+    out = atoms.resolve_conflicts(v.atoms(spark, sf), evo, winners, at())
+    return out.select("atom_id", F.col("expired_at").isNotNull().alias("expired"))
