@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.common import cut, salted_join, small_batches, table
@@ -38,7 +38,7 @@ CROWD = 16
 SEED = 42
 #: Similarity of sets of shingles from which texts are near duplicates; min-wise keys of so many values each.
 SIMILAR, KEYS, VALUES = 0.8, 12, 3
-#: Nodes under one key that are all paired; larger groups are compared with two of their members under each key.
+#: Nodes under one key that are all paired; larger groups are compared with two of their members, and joined exactly where components remain.
 PAIRED = 64
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code.
 GENERATOR = 0b110001110101
@@ -191,12 +191,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return cut(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"key {kind}, node long, fp long, ks array<long>, grams array<int>"), "sketches")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes under a common key: all of a small group; of a crowd each with two of it, others under each key.
-    Under Golay keys the pairs that links() has, by the least node of each fingerprint."""
-    at = nodes.select("node", F.explode(F.array_append("ks", F.xxhash64("fp", F.lit("fp")))).alias("k"))
-    mixed = F.struct(F.xxhash64("node", "k").alias("h"), "node")
-    sizes = cut(at.groupBy("k").agg(F.count("*").alias("n"), F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).filter("n > 1"), "crowds")
+def keyed_nodes(nodes: DataFrame) -> DataFrame:
+    """(node, k): the min-wise keys of each node, and its fingerprint as one more."""
+    return nodes.select("node", F.explode(F.array_append("ks", F.xxhash64("fp", F.lit("fp")))).alias("k"))
+
+
+def candidates(nodes: DataFrame, at: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes under a common key: all of a small group; of a crowd each with two of it, others under each key
+    (`strays` finds what these leave). Under Golay keys the pairs that links() has, by the least node of each fingerprint."""
     few = at.join(sizes.filter(F.col("n") <= PAIRED).select("k"), "k").groupBy("k").agg(F.collect_list("node").alias("f"))
     near = few.select("f", F.explode("f").alias("a")).select("a", F.explode("f").alias("b"))
     heads = sizes.filter(F.col("n") > PAIRED).select(F.col("k").alias("big"), F.array("lo.node", "hi.node").alias("f"))
@@ -207,22 +209,62 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return near.union(crowd).union(coded).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a similarity of `least` or more."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("a_grams", "b_grams")))
+    return met.filter(F.col("shared") >= least * (F.size("a_grams") + F.size("b_grams") - F.col("shared"))).select("a", "b")
+
+
+def strays(nodes: DataFrame, at: DataFrame, sizes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components, that may be similar, among the nodes of crowds that are not one component yet.
+
+    A crowd inside one component has nothing left to find. For the others this is an exact similarity join by rarest
+    shingles: two sets similar by `least` share one of the (1 - least) share of their shingles that is rarest in a common
+    order, they differ little in size, and what follows their first common one must be long enough for the overlap.
+    Texts that only share a template differ in just these shingles, so they do not meet.
+    """
+    label = nodes.select("node", F.size("grams").alias("size")).join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "size", F.coalesce("component", "node").alias("part"))
+    label = cut(label, "crowd-labels")
+    big = sizes.filter(F.col("n") > PAIRED).select(F.col("k").alias("big"))
+    crowded = salted_join(at, big, "k", "big", F.col("node"), "inner").join(label, "node")
+    mixed = crowded.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select(F.col("k").alias("big"))
+    rest = cut(salted_join(crowded, mixed, "k", "big", F.col("node"), "inner").select("node", "size", "part").distinct(), "crowd-rest")
+    grams = nodes.join(rest, "node").select("node", "size", "part", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    ranked = salted_join(grams, often.withColumnRenamed("gram", "of"), "gram", "of", F.col("node"), "inner")
+    ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("often", "gram")))
+    heads = cut(ranked.filter(F.col("pos") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).select("node", "size", "part", "gram", "pos"), "crowd-prefixes")
+    split = heads.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select(F.col("gram").alias("of"))
+    heads = salted_join(heads, split, "gram", "of", F.col("node"), "inner")
+    one = lambda c: heads.select("gram", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "part", "pos")))
+    overlap = 1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
+    close = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part"))
+    close &= F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-9
+    close &= overlap >= least / (1 + least) * (F.col("a_size") + F.col("b_size")) - 1e-9
+    return one("a").join(one("b"), "gram").filter(close).select("a", "b").distinct()
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR) -> DataFrame:
     """(id, component_id) of each row: component_id is the smallest id among the documents that links between
     texts of similarity `least` or more (shared shingles in all shingles of both) reach.
 
     Every link is verified on the whole sets. Candidates come from the Golay keys and from min-wise keys, which
-    miss a pair of similarity 0.8 with a chance of 0.0003; under a key of more than PAIRED different sets each is compared
-    with two of them only, so a link that all of a pair's keys hold in such crowds can be missed.
+    miss a pair of similarity 0.8 with a chance of 0.0003. Under a key of more than PAIRED different sets each is compared
+    with two of them; where that does not make the crowd one component, `strays` joins its components exactly.
     Null and wordless texts are equal to each other; repeated rows and ids give a row each.
     """
     rows = sketches(docs, id_col, text_col, shingle)
     nodes = cut(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("ks").alias("ks"), F.first("grams").alias("grams")), "nodes")
-    pairs = cut(candidates(nodes.select("node", "fp", "ks")), "candidates")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("a_grams", "b_grams")))
-    alike = met.filter(F.col("shared") >= least * (F.size("a_grams") + F.size("b_grams") - F.col("shared"))).select("a", "b")
+    at = keyed_nodes(nodes)
+    mixed = F.struct(F.xxhash64("node", "k").alias("h"), "node")
+    sizes = cut(at.groupBy("k").agg(F.count("*").alias("n"), F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).filter("n > 1"), "crowds")
+    pairs = cut(candidates(nodes.select("node", "fp", "ks"), at, sizes), "candidates")
+    alike = cut(verified(pairs, nodes, least), "alike")
     parts = components(alike)
+    late = cut(verified(cut(strays(nodes, at, sizes, parts, least), "strays"), nodes, least), "alike-late")
+    if not late.isEmpty():
+        parts = components(alike.union(late))
     whole = nodes.select("node", "least").join(parts.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     smallest = whole.groupBy("part").agg(F.min("least").alias("component_id"))
     named = salted_join(whole.select("node", "part"), smallest.withColumnRenamed("part", "of"), "part", "of", F.col("node")).select(F.col("node").alias("its"), "component_id")

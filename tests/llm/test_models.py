@@ -168,10 +168,8 @@ def test_similar_documents(spark, monkeypatch):
     want = brute.golden_components(list(grams), near)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
-    monkeypatch.setattr(simhash, "PAIRED", 4)  # crowds may miss links, but never make one
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    print("in another component than by brute force:", sum(got[i] != want[i] for i in want), "of", len(want))
-    assert all(want[i] == want[c] for i, c in got.items())
+    monkeypatch.setattr(simhash, "PAIRED", 4)  # nearly every key is crowded
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
     assert simhash.similar_documents(odd(spark)).count() == len(ODD) and simhash.similar_documents(odd(spark).limit(0)).count() == 0
 
 
