@@ -40,6 +40,8 @@ SEED = 42
 SIMILAR, KEYS, VALUES = 0.8, 12, 3
 #: Nodes under one key that are all paired; larger groups are compared with two of their members, and joined exactly where components remain.
 PAIRED = 64
+#: Sets of up to so many shingles carry the list of their rarest ones through the join of crowds (it only saves work).
+LISTED = 2000
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code.
 GENERATOR = 0b110001110101
 
@@ -236,12 +238,18 @@ def strays(nodes: DataFrame, at: DataFrame, sizes: DataFrame, parts: DataFrame,
     ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("often", "gram")))
     heads = cut(ranked.filter(F.col("pos") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).select("node", "size", "part", "gram", "pos"), "crowd-prefixes")
     split = heads.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select(F.col("gram").alias("of"))
+    lists = heads.filter(F.col("size") <= LISTED).groupBy(F.col("node").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("l"))
     heads = salted_join(heads, split, "gram", "of", F.col("node"), "inner")
-    one = lambda c: heads.select("gram", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "part", "pos")))
-    overlap = 1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
+    heads = heads.join(lists, F.col("node") == F.col("_n"), "left").withColumn("list", F.col("l.gram"))
+    one = lambda c: heads.select("gram", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "part", "pos", "list")))
+    need = least / (1 + least) * (F.col("a_size") + F.col("b_size")) - 1e-9
     close = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part"))
     close &= F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-9
-    close &= overlap >= least / (1 + least) * (F.col("a_size") + F.col("b_size")) - 1e-9
+    close &= 1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= need
+    # with both lists at hand a pair is made once, at its first common shingle, and its overlap is bounded by what the lists share
+    both = F.array_intersect("a_list", "b_list")
+    rest = F.greatest(F.col("a_size") - F.size("a_list"), F.col("b_size") - F.size("b_list"))
+    close &= F.coalesce((F.get(both, F.lit(0)) == F.col("gram")) & (F.size(both) + rest >= need), F.lit(True))
     return one("a").join(one("b"), "gram").filter(close).select("a", "b").distinct()
 
 
