@@ -25,7 +25,7 @@ TRAIN_DOCS = 20_000
 BUCKETS, DIM, NONZERO, NEAR = 1 << 15, 64, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 32, 30, 3e-3, 1e-4, 11
 HELD_OUT_MOD, THRESHOLD = 5, 0.3
-WORD_LIMIT = 300_000
+WORD_LIMIT = 100_000
 
 _LETTERS, _SMALL, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"a+"), re.compile(r"\d+")
 
