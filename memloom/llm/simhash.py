@@ -48,16 +48,27 @@ GENERATOR = 0b110001110101
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """Unsigned hashes of a text's word shingles, repeats included; of the whole sequence if it is shorter."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    raw = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
+    solid = (raw != 32) & ((raw < 9) | (raw > 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
+    if not len(edge):
         return np.zeros(0, dtype="<u8")
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = ends - [len(w) for w in words]
-    width = min(shingle, len(words))
+    # the words with one space between them, and where each begins and ends in that; no list of all words is made
+    sizes = edge[1::2] - edge[::2]
+    if solid[-1]:
+        solid, raw = np.append(solid, False), np.append(raw, np.uint8(32))
+    keep = solid.copy()
+    keep[edge[1::2]] = True
+    joined = np.where(solid, raw, np.uint8(32))[keep].tobytes()
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    width = min(shingle, len(sizes))
     one = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.array([one(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    starts, ends = starts[: len(sizes) - width + 1], ends[width - 1 :]
+    out = np.empty(len(starts), dtype="<u8")
+    for k in range(0, len(out), 65_536):
+        out[k : k + 65_536] = [one(joined[i:j], SEED) for i, j in zip(starts[k : k + 65_536].tolist(), ends[k : k + 65_536].tolist(), strict=True)]
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
