@@ -4,8 +4,9 @@ Each source gets a target number of words. Within a source, documents stand in a
 hashed order; whole passes and one partial pass over that order take the target.
 A source's demand over training time t in [0, 1] follows its weight schedule
 rate(t) = target * (1 + tilt * (2t - 1)), whose integral is
-D(t) = target * (t + tilt * (t^2 - t)). A document that begins at the source's
-cumulative word c stands at t = D^-1(c); sorting by t gives the training order.
+D(t) = target * (t + tilt * (t^2 - t)). A copy of a document that begins at the source's
+cumulative word c, words of earlier passes included, stands at t = D^-1(c); sorting the
+copies by t gives the training order.
 
 Prefix sums are taken in two levels (hash buckets, then rows inside a bucket), so a
 source with a third of all rows is spread over all tasks.
@@ -57,7 +58,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document, in training order: id, size, source_size, target, taken, position
-    (of its first word, 0 to 1; null if nothing is taken).
+    (of its first word, 0 to 1; null if nothing is taken), positions (one of each copy, by pass;
+    empty if nothing is taken).
 
     A document is taken whole, `passes` times: the source's whole passes, and once more
     if the partial pass reaches its middle, so a source's taken words are within half a
@@ -86,20 +88,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.col("target") - whole * F.col("source_size")
     passes = F.when(F.col("size") == 0, 0).otherwise(whole + (start + F.col("size") / 2 <= part).cast("long"))
     placed = placed.withColumn("passes", passes).withColumn("taken", (F.col("passes") * F.col("size")).cast("long"))
-    # the share of demand that lies before this document's first word, and its inverse in time
-    u, a = F.least(start / F.col("target"), F.lit(1.0)), F.col("tilt")
-    root = F.sqrt((1 - a) * (1 - a) + 4 * a * u)
-    position = F.when(F.col("taken") > 0, F.when(a == 0, u).otherwise(F.abs((a - 1 + root) / (2 * a))))
-    out = placed.select(F.col("key").alias(id_col), "size", "source_size", "target", "taken", position.alias("position"))
+
+    def at(no: Column) -> Column:
+        """The share of demand that lies before the first word in pass `no`, and its inverse in time."""
+        u, a = F.least((no * F.col("source_size") + start) / F.col("target"), F.lit(1.0)), F.col("tilt")
+        root = F.sqrt((1 - a) * (1 - a) + 4 * a * u)
+        return F.when(a == 0, u).otherwise(F.abs((a - 1 + root) / (2 * a)))
+
+    positions = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), at)).otherwise(F.array().cast("array<double>"))
+    placed = placed.withColumn("positions", positions)
+    out = placed.select(F.col("key").alias(id_col), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), id_col)
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: rows of docs with each document as often as it is taken, in training
-    order by its first position. ids must be unique; docs keeps its columns."""
-    plan = mixed.filter("taken > 0").select(F.col(id_col).alias("_key"), (F.col("taken") / F.col("size")).cast("int").alias("_n"), F.col("position").alias("_at"))
-    out = docs.join(plan, docs[id_col] == plan["_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return out.repartitionByRange("_at", "_key", "_copy").sortWithinPartitions("_at", "_key", "_copy").select(*docs.columns)
+    """The mix itself: rows of docs with each document as often as it is taken, every copy at its
+    own position of the training order. ids must be unique; docs keeps its columns."""
+    plan = mixed.filter("taken > 0").select(F.col(id_col).alias("_key"), F.explode("positions").alias("_at"))
+    out = docs.join(plan, docs[id_col] == plan["_key"])
+    return out.repartitionByRange("_at", "_key").sortWithinPartitions("_at", "_key").select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

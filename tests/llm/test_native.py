@@ -118,6 +118,31 @@ def test_mix_odd(spark):
     assert mixing.repeated(docs, mixing.mix(docs)).columns == docs.columns
 
 
+def test_mix_follows_schedules(spark):
+    """Words of each source over training time, all passes, against D(t); the copies of a document apart."""
+    rows = [(100 * k + i, "w " * (5 + i % 7), s) for k, (s, n) in enumerate((("a", 90), ("b", 90), ("c", 40), ("d", 60))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs).collect()
+    source = {r[0]: r[2] for r in rows}
+    tilt = dict(zip("abcd", (mixing.TILTS * 2)[:4], strict=True))
+    again = 0
+    for s in "abcd":
+        own = [r for r in mixed if source[r.doc_id] == s]
+        copies = sorted((t, r["size"]) for r in own for t in r.positions)
+        target, a, seen = own[0].target, tilt[s], 0
+        assert sum(n for _, n in copies) == sum(r.taken for r in own) and all(r.position == (r.positions or [None])[0] for r in own)
+        for t, n in copies:
+            assert 0 <= t <= 1 and abs(target * (t + a * (t * t - t)) - seen) <= 11
+            seen += n
+        for r in own:
+            gaps = [target * (t + a * (t * t - t)) for t in r.positions]
+            assert all(y - x == pytest.approx(r.source_size) for x, y in zip(gaps, gaps[1:], strict=False))
+            again += len(r.positions) > 1
+    assert again > 50
+    order = [r.doc_id for r in mixing.repeated(docs, mixing.mix(docs)).collect()]
+    assert order == [i for _, i in sorted((t, r.doc_id) for r in mixed for t in r.positions)]
+
+
 def test_secrets(spark, docs):
     got = {r.doc_id: r for r in QUERIES["op10_secrets"](spark, SF).collect()}
     assert len(got) == len(docs)
