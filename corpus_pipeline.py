@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and
 returns a DataFrame; all but the last return the columns of documents. Stages are
-written as Parquet and read again between each other.
+written as Parquet and read again between each other. Within a stage rows are joined
+by a key of their own: ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import mixing, piece_codec, quality, secrets, simhash
-from memloom.llm.common import cut, small_batches, table, tokenizer_file
+from memloom.llm.common import cut, keyed, small_batches, table, tokenizer_file
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +24,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group of near duplicates."""
+    """One row, the one of smallest id (null ids last), of each group of near duplicates."""
     small_batches(spark)
-    groups = simhash.similar_documents(docs)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_id"]).select(*docs.columns)
+    rows = keyed(docs)
+    return rows.join(simhash.one_of_similar(rows, "_row"), "_row").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced."""
-    return secrets.redact(docs, secrets.scan(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = keyed(docs)
+    return secrets.redact(rows, secrets.scan(rows, id_col="_row"), id_col="_row").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, in training order."""
-    return mixing.repeated(docs, mixing.mix(docs))
+    rows = keyed(docs)
+    return mixing.repeated(rows, mixing.mix(rows, row_col="_row"), row_col="_row").select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

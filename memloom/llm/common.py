@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,20 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of each row: a hash of its columns, then its place. Only equal rows are ordered by
+    place, so what is chosen by _row does not depend on the files. Tables that are read straight from Parquet have
+    places already; anything else is written once."""
+    columns = F.xxhash64(*docs.columns).alias("c")
+    if hasattr(docs, "_jdf") and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            place = (F.xxhash64(F.col("_metadata.file_path")).alias("f"), F.col("_metadata.row_index").alias("i"))
+            return docs.withColumn("_row", F.struct(columns, *place))
+        except AnalysisException:  # files of a kind that do not number their rows
+            pass
+    return cut(docs.withColumn("_row", F.struct(columns, F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "keyed")
+
+
 def remainder(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo mod. A null key gives null."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(mod)

@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"), "tilt")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per document, in training order: id, size, source_size, target, taken, position
     (of its first word, 0 to 1; null if nothing is taken), positions (one of each copy, by pass;
     empty if nothing is taken).
@@ -66,9 +66,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document of its target. taken <= 2 * size. A null source is a source of its own, the
     last; a null or wordless text has size 0 and takes nothing; equal ids are ordered by
     a hash of the text and share their rank only if they are equal rows. An empty table
-    gives an empty result. Other columns are ignored. Reruns agree.
+    gives an empty result. Other columns are ignored. Reruns agree. With row_col, a key of
+    each row, the result has it too, and it orders rows of equal id and text.
     """
-    rows = docs.select(F.col(id_col).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.lit("order")).alias("h"), F.xxhash64(F.col(text_col)).alias("tie"))
+    row = F.col(row_col) if row_col else F.lit(0)
+    h = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit("order"))).otherwise(F.xxhash64(F.col(id_col), F.lit("order")))
+    rows = docs.select(F.col(id_col).alias("key"), row.alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("tie"))
     rows = cut(rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - (BUCKETS.bit_length() - 1)).cast("int")), "mix-sizes")
     targets = source_targets(rows)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -81,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lows = sums.select("source", "bucket", high.alias("top"), zero(F.sum("n").over(upto(W.partitionBy("source", high).orderBy("bucket")))).alias("base2"))
     offsets = lows.join(tops, F.col("source").eqNullSafe(F.col("s1")) & (F.col("top") == F.col("t1"))).join(targets.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")))
     offsets = offsets.select(F.col("source").alias("s3"), F.col("bucket").alias("b3"), (F.col("base1") + F.col("base2")).alias("base"), "source_size", "target", "tilt")
-    inside = zero(F.sum("size").over(upto(W.partitionBy("source", "bucket").orderBy("h", "key", "tie"))))
+    inside = zero(F.sum("size").over(upto(W.partitionBy("source", "bucket").orderBy("h", "key", "tie", "row"))))
     placed = rows.withColumn("inside", inside).join(offsets, F.col("source").eqNullSafe(F.col("s3")) & (F.col("bucket") == F.col("b3")))
     start = F.col("base") + F.col("inside")
     whole = F.floor(F.col("target") / F.col("source_size"))
@@ -97,16 +100,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     positions = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), at)).otherwise(F.array().cast("array<double>"))
     placed = placed.withColumn("positions", positions)
-    out = placed.select(F.col("key").alias(id_col), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
+    out = placed.select(F.col("key").alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), id_col)
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
     """The mix itself: rows of docs with each document as often as it is taken, every copy at its
-    own position of the training order. ids must be unique; docs keeps its columns."""
-    plan = mixed.filter("taken > 0").select(F.col(id_col).alias("_key"), F.explode("positions").alias("_at"))
-    out = docs.join(plan, docs[id_col] == plan["_key"])
-    return out.repartitionByRange("_at", "_key").sortWithinPartitions("_at", "_key").select(*docs.columns)
+    own position of the training order. Rows are joined by row_col where both have it, else by ids,
+    which must then be unique and not null; docs keeps its columns."""
+    on = row_col or id_col
+    plan = mixed.filter("taken > 0").select(F.col(on).alias("_key"), F.explode("positions").alias("_at"))
+    out = docs.join(plan, docs[on] == plan["_key"])
+    return out.repartitionByRange("_at", id_col, "_key").sortWithinPartitions("_at", id_col, "_key").select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every span of scanned replaced in the text; ids must be unique. Overlapping spans are
-    replaced as one. Rows and columns stay as they are otherwise."""
+    """docs with every span of scanned replaced in the text; ids must be unique and not null (id_col may be
+    a key of rows that both were given). Overlapping spans are replaced as one. Rows and columns stay as they are otherwise."""
     marked = scanned.filter(F.size("all_spans") > 0).select(F.col(id_col).alias("_key"), "all_spans")
     text = F.col(text_col)
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

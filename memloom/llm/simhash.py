@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.common import cut, salted_join, small_batches, table
@@ -177,9 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return salted_join(rows, named, "fp", "its", F.col("key")).select(F.col("key").alias(id_col), "fp", "component_id")
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """A table of (key, node, fp, ks, grams): node names the set of shingles, grams holds it as 32-bit hashes, ks are min-wise keys."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def sketches(docs: DataFrame, key: Column, text_col: str, shingle: int) -> DataFrame:
+    """A table of (key, node, fp, ks, grams): key as given, node names the set of shingles, grams holds it as 32-bit hashes, ks are min-wise keys."""
+    rows = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
     draw = np.random.default_rng(SEED)
     times = draw.integers(0, 1 << 63, (KEYS, VALUES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plus = draw.integers(0, 1 << 63, (KEYS, VALUES), dtype=np.uint64)
@@ -201,7 +202,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             node, fp = signed([r[0] for r in rows]), signed([r[1] for r in rows])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(fp), pa.array([signed(r[2]) for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["key", "node", "fp", "ks", "grams"])
 
-    return cut(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"key {kind}, node long, fp long, ks array<long>, grams array<int>"), "sketches")
+    return cut(rows.mapInArrow(run, f"key {kind}, node long, fp long, ks array<long>, grams array<int>"), "sketches")
 
 
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
@@ -264,16 +265,16 @@ def strays(nodes: DataFrame, at: DataFrame, sizes: DataFrame, parts: DataFrame,
     return one("a").join(one("b"), "gram").filter(close).select("a", "b").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR) -> DataFrame:
-    """(id, component_id) of each row: component_id is the smallest id among the documents that links between
+def similar_sets(docs: DataFrame, key: Column, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(key, node, ...) of each row and (node, least key, part) of each different set: one part holds what links between
     texts of similarity `least` or more (shared shingles in all shingles of both) reach.
 
     Every link is verified on the whole sets. Candidates come from the Golay keys and from min-wise keys, which
     miss a pair of similarity 0.8 with a chance of 0.0003. Under a key of more than PAIRED different sets each is compared
     with two of them; where that does not make the crowd one component, `strays` joins its components exactly.
-    Null and wordless texts are equal to each other; repeated rows and ids give a row each.
+    Null and wordless texts are equal to each other.
     """
-    rows = sketches(docs, id_col, text_col, shingle)
+    rows = sketches(docs, key, text_col, shingle)
     nodes = cut(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("ks").alias("ks"), F.first("grams").alias("grams")), "nodes")
     at = keyed_nodes(nodes)
     mixed = F.struct(F.xxhash64("node", "k").alias("h"), "node")
@@ -285,11 +286,27 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not late.isEmpty():
         parts = components(alike.union(late))
     whole = nodes.select("node", "least").join(parts.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
+    return rows, whole
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR) -> DataFrame:
+    """(id, component_id) of each row: component_id is the smallest id among the documents of its part in
+    `similar_sets`. Repeated rows and ids give a row each; a component of null ids only has a null component_id.
+    """
+    rows, whole = similar_sets(docs, F.col(id_col), text_col, shingle, least)
     smallest = whole.groupBy("part").agg(F.min("least").alias("component_id"))
     named = salted_join(whole.select("node", "part"), smallest.withColumnRenamed("part", "of"), "part", "of", F.col("node")).select(F.col("node").alias("its"), "component_id")
     return salted_join(rows.select("key", "node"), named, "node", "its", F.col("key")).select(F.col("key").alias(id_col), "component_id")
 
 
+def one_of_similar(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR) -> DataFrame:
+    """(row_col) of one row of each part in `similar_sets`: the one of smallest id, null ids last, then of smallest row_col,
+    which is a key of the rows. Ids may be null or repeated."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row_col).alias("row"))
+    _, whole = similar_sets(docs, key, text_col, shingle, least)
+    return whole.groupBy("part").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row_col))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     out = near_duplicates(table(spark, sf_dir, "documents"))

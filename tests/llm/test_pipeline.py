@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import sentencepiece
-from memloom.llm import quality, simhash
+from memloom.llm import mixing, quality, simhash
 from memloom.llm.common import cut, table, tokenizer_file
 
 from . import brute
@@ -50,3 +50,27 @@ def test_stages(spark):
     texts = {r.doc_id: r.text for r in rows["mix"]}
     assert len(rows["pieces"]) == len(rows["mix"])
     assert all(r.ids == lib.encode(texts[r.doc_id]) and r.round_trip for r in rows["pieces"])
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Null ids, one id of different texts, and equal rows, from memory and from files."""
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    near = " ".join([*words(1).split()[:-1], "other"])
+    texts = [(None, words(0)), (None, words(1)), (1, near), (2, words(2)), (2, words(3)), (3, words(4)), (3, words(4)), (None, words(5)), (None, words(5)), (5, words(2)), (4, words(6) + " password=hunter2hunter2"), (4, "password=letmein12345 " + words(7)), (None, words(8) + " token=abcdefgh12345678")]
+    given = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t)) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    given.repartition(3).write.parquet(str(tmp_path / "docs"))
+    want = sorted([(None, words(0)), (1, near), (2, words(2)), (2, words(3)), (3, words(4)), (None, words(5)), *texts[10:]], key=str)
+    for docs in (given, spark.read.parquet(str(tmp_path / "docs"))):
+        unique = cut(corpus_pipeline.drop_near_duplicates(spark, docs, SF), "test-null-near")
+        assert sorted(((r.doc_id, r.text) for r in unique.collect()), key=str) == want
+
+        clean = cut(corpus_pipeline.redact_secrets(spark, docs, SF), "test-null-secrets")
+        hidden = [t.replace("password=hunter2hunter2", "[secret]").replace("password=letmein12345", "[secret]").replace("token=abcdefgh12345678", "[secret]") for _, t in texts]
+        assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(((i, t) for (i, _), t in zip(texts, hidden, strict=True)), key=str)
+
+        plan = mixing.mix(docs).collect()
+        taken = Counter()
+        for r in plan:
+            taken[r.doc_id] += len(r.positions)
+        mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+        assert Counter(r.doc_id for r in mixed) == taken and max(Counter((r.doc_id, r.text) for r in mixed).values()) <= 4
