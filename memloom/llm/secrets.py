@@ -8,6 +8,8 @@ spans ("live") only if they are owner-specific.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,16 +17,35 @@ from pyspark.sql import functions as F
 from memloom.llm.common import cut, salted_join, table
 
 #: Kind, pattern, group of the secret, least characters of that group. Fixed values of the query's contract,
-#: and last the method's own kind: a long run with letters of both cases and digits.
+#: and last the method's own kind: a long run of letters of both cases that looks random (`looks_random`).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (
     ("assign", ASSIGN, 2, 8),
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
-    ("live", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,23}[0-9])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])", 0, 24),
+    ("live", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])", 0, 24),
 )
-#: What is held by at most so many owners, in at most so many repositories, is owner-specific.
+#: What is held by at most so many owners, in at most so many repositories (where these are known), is owner-specific.
 MAX_OWNERS, MAX_REPOS = 2, 8
+ALPHABET = string.ascii_letters + string.digits + "+/_-"
+#: Least runs of one class (small, capital, digit) per letter or digit, greatest share of characters in words and numbers, and
+#: least entropy of characters (1: all as different as they can be) of a run with fewer than ENOUGH_DIGITS digits.
+ENOUGH_DIGITS, LEAST_RUNS, MOST_WORDY, LEAST_ENTROPY = 4, 0.35, 0.7, 0.75
+
+
+def looks_random(value: Column) -> Column:
+    """Whether the whole of a run is like a key rather than names or paths, whatever its length: letters of both
+    cases, and either some digits or many changes of class, few words and a high entropy. Of random letters and
+    digits 24 long about 1 in 100 is missed if it has few digits, of 40 long 1 in 1000."""
+    plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    n, most = F.length(value), F.length(plain)
+    runs = F.regexp_count(plain, F.lit("[a-z]+|[A-Z]+|[0-9]+")) >= LEAST_RUNS * most
+    wordy = n - F.length(F.regexp_replace(value, "[A-Z]?[a-z]{3,}|[A-Z]{4,}|[0-9]{4,}", "")) <= MOST_WORDY * most
+    counts = F.transform(F.array(*map(F.lit, ALPHABET)), lambda c: n - F.length(F.replace(value, c, F.lit(""))))
+    bits = F.aggregate(F.filter(counts, lambda k: k > 0), F.lit(0.0), lambda acc, k: acc - k / n * F.log2(k / n))
+    varied = F.when(runs & wordy, bits >= LEAST_ENTROPY * F.log2(F.least(n, F.lit(len(ALPHABET))))).otherwise(False)
+    cased = value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return F.when(cased, F.when(F.regexp_count(value, F.lit("[0-9]")) >= ENOUGH_DIGITS, True).otherwise(varied)).otherwise(False)
 
 
 def _of_kind(text: Column, no: int) -> Column:
@@ -37,8 +58,7 @@ def _of_kind(text: Column, no: int) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
     def good(value: Column) -> Column:
-        mixed = value.rlike("[0-9].*[0-9].*[0-9].*[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
-        return (F.length(value) >= least) & (mixed if no == 3 else F.lit(True))
+        return (F.length(value) >= least) & (looks_random(value) if no == 3 else F.lit(True))
 
     def row(m: Column, at: Column) -> Column:
         return F.struct(F.lit(no).alias("kind"), at.alias("at"), m["gap"].alias("gap"), m["width"].alias("width"), m["value"].alias("value"), good(m["value"]).alias("good"))
@@ -47,10 +67,12 @@ def _of_kind(text: Column, no: int) -> Column:
     return F.when(text.rlike(pattern), F.transform(zipped, row)).otherwise(F.array().cast("array<struct<kind:int,at:int,gap:int,width:int,value:string,good:boolean>>"))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """A table of (row, key, owner, repo, kind, start, end, hash, good), one row per match and one with
-    null kind for each row without any. row numbers the input rows."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    null kind for each row without any. row numbers the input rows. Without repo_col an owner has one repository:
+    documents are no repositories, since copies of one owner's text are still that owner's."""
+    repo = F.col(repo_col) if repo_col else F.lit(None)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.col(owner_col).cast("string").alias("owner"), repo.cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.select("row", "key", "owner", "repo", F.explode_outer(F.concat(*(_of_kind(F.col("text"), no) for no in range(len(KINDS))))).alias("m"))
     found = found.select("row", "key", "owner", "repo", "m.*").withColumn("hash", F.sha2("value", 256)).drop("value")
     seen = W.partitionBy("row", "kind").orderBy("at")
@@ -68,7 +90,7 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = M
     return per.withColumn("specific", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).withColumnRenamed("hash", "known")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """(id, all_spans, n_copied, n_specific) of each row. all_spans: array of (start, kind_no, end, kind, specific)
     by start, then kind; base kinds all, "live" only where owner-specific and clear of base spans. Positions are code
     points, end exclusive. A null or empty text has none; repeated rows and ids give a row each."""

@@ -164,3 +164,20 @@ def test_secret_ownership(spark):
     texts = {r.doc_id: r.text for r in secrets.redact(docs, scanned).collect()}
     assert texts[50] == "ä [secret] end" and texts[0] == rows[0][1] and texts[52] is None and "hunter2" not in texts[51]
     assert secrets.scan(odd(spark)).count() == len(ODD) and secrets.scan(odd(spark).limit(0)).count() == 0
+
+
+def test_secrets_of_few_digits_and_of_copies(spark):
+    """Keys with few digits or late ones, a key in many copies of one owner's text; names and paths are none."""
+    few, none, late = "qXbRvTzLmKwYhGdSfNpJcQe7", "hQzXvRbTkLmWyGdSfNpJcQeU", "kXvQzRbTmLwYhGdSfNpJcQeUxZaB4k2Wd8"
+    base64 = "wJalrXUtnFEMI/KzMDENGbPxRfiCYzQvTqLmBkeY"
+    keys = [few, none, late, base64]
+    names = ["ThisIsALongCamelCaseName", "getElementsByClassNameAndTagName2", "https-Example-Com-Report_Final", "Users/JohnSmith/Documents/Work"]
+    single, copied = "Zx9Qk2Lm8Vt4Rw6Yp1Bn3Cd7", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
+    rows = [(i, f"é {v} end", f"o{i}") for i, v in enumerate(keys + names)]
+    rows += [(100 + i, f"{'x' * (i % 4)} key {single}", "one") for i in range(30)] + [(200 + i, f"key {copied}", f"o{i % 3}") for i in range(6)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.all_spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == [("live", 2, 2 + len(v))] for i, v in enumerate(keys))
+    assert all(got[len(keys) + i] == [] for i in range(len(names)))
+    assert all(len(got[100 + i]) == 1 for i in range(30)) and all(got[200 + i] == [] for i in range(6))
+    known = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), repo_col="doc_id")
+    assert all(not r.all_spans for r in known.filter("doc_id between 100 and 129").collect())
