@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from memloom.llm.common import remainder, small_batches, table
 #: Labelled documents that are learned from, at most: the bound of what the driver and each task hold.
 TRAIN_DOCS = 20_000
 BUCKETS, DIM, NONZERO, NEAR = 1 << 15, 64, 4, 2
+#: Buckets whose sums are added up in one group.
+RANGE = 1 << 11
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 32, 30, 3e-3, 1e-4, 11
 HELD_OUT_MOD, THRESHOLD = 5, 0.3
 WORD_LIMIT = 100_000
@@ -92,8 +95,8 @@ class Network:
         rng = np.random.default_rng(SEED)
         order = rng.permutation(len(x))
         held, own = order[: len(x) // 5], order[len(x) // 5 :]
-        self.mean, self.scale = x[own].mean(axis=0), x[own].std(axis=0) + 1e-3
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        self.mean, self.scale = x[own].mean(axis=0, dtype=np.float64), x[own].std(axis=0, dtype=np.float64) + 1e-3
+        z = np.clip((x - self.mean.astype(np.float32)) / self.scale.astype(np.float32), -8, 8)
         m, v, t = [np.zeros_like(q) for q in self.p], [np.zeros_like(q) for q in self.p], 0
         for _ in range(EPOCHS):
             for part in np.array_split(rng.permutation(own), max(1, len(own) // 128)):
@@ -136,30 +139,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         np.add.at(total, x, own[y])
                         np.add.at(total, y, own[x])
                     seen[at[:, side]] = True
-        rows = np.nonzero(seen)[0]
-        for part in np.array_split(rows, max(1, len(rows) // 4096)):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(total[part]), pa.list_(pa.float32()))], ["bucket", "v"])
-
-    sums = texts.select("text").mapInArrow(around, "bucket long, v array<float>").groupBy("bucket").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(DIM))).alias("v"))
-    found = sums.toPandas()  # BUCKETS rows at most
+        rows = np.flatnonzero(seen)
+        for k in np.unique(rows // RANGE):
+            part = rows[rows // RANGE == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.astype(np.int32).tobytes()]), pa.array([total[part].tobytes()])], ["range", "at", "v"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The sum of what the tasks have of one range of buckets; whole numbers, so the order of tasks does not matter."""
+        total = np.zeros((RANGE, DIM), dtype=np.float32)
+        for at, v in zip(pdf["at"], pdf["v"], strict=True):
+            total[np.frombuffer(at, dtype=np.int32) % RANGE] += np.frombuffer(v, dtype=np.float32).reshape(-1, DIM)
+        return pd.DataFrame({"range": pdf["range"].iloc[:1], "v": [total.tobytes()]})
+
+    sums = texts.select("text").mapInArrow(around, "range long, at binary, v binary").groupBy("range").applyInPandas(added, "range long, v binary")
     vectors = index.copy()
-    if len(found):
-        v = np.stack(found["v"].to_numpy()).astype(np.float32)
-        vectors[found["bucket"].to_numpy()] += v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6) * np.sqrt(NONZERO)
+    for k, v in zip(*sums.toArrow().to_pydict().values(), strict=True):  # BUCKETS / RANGE rows at most
+        v = np.frombuffer(v, dtype=np.float32).reshape(-1, DIM)
+        vectors[k * RANGE : (k + 1) * RANGE] += v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6) * np.sqrt(NONZERO)
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [pooled(t, shared.value) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), b.column(1)], ["x", "y"])
+            x = [pooled(t, shared.value).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1)], ["x", "y"])
 
-    rows = texts.mapInArrow(features, "x array<float>, y double").toPandas()  # TRAIN_DOCS rows at most
-    if rows["y"].nunique() < 2:
+    x, y = texts.mapInArrow(features, "x binary, y double").toArrow().to_pydict().values()  # TRAIN_DOCS rows at most
+    rows = sorted(zip(x, y, strict=True))  # the tasks' order must not matter
+    if len({v for _, v in rows}) < 2:
         return vectors, None
-    x, y = np.stack(rows["x"].to_numpy()).astype(np.float64), rows["y"].to_numpy()
-    order = np.lexsort(np.column_stack([x, y]).T)  # the tasks' order must not matter
+    x, y = np.frombuffer(b"".join(v for v, _ in rows), dtype=np.float32).reshape(len(rows), -1), np.array([v for _, v in rows])
     net = Network(x.shape[1])
-    net.fit(x[order], y[order])
+    net.fit(x, y)
     return vectors, net
 
 
