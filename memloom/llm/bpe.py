@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable, Iterable
 
 import sentencepiece
 
@@ -23,6 +24,8 @@ SPACE = "▁"
 START, RAW = -1, -2
 #: Bounds of the per-process memo tables (entries); a full table is emptied, results stay the same.
 UNIT_LIMIT, PAIR_LIMIT = 300_000, 600_000
+#: Longer units and words are not kept in a memo.
+LONG = 64
 NEVER = float("-inf")
 
 
@@ -205,6 +208,23 @@ class PieceModel:
                 counts.append(counts[-1] + len(char.encode()))
         return lasts, counts
 
+    def segmented(self, unit: str) -> list[int]:
+        """The ids of a whole unit."""
+        at, moves, ends = 0, self.moves, self.ends
+        lasts = [START]
+        put = lasts.append
+        for char in unit:
+            to = moves[at].get(char)
+            at = self.move(at, char) if to is None else to
+            for length, piece, known in ends[at]:
+                ok = known.get(lasts[-length])
+                if ok or ok is None and self.compatible(lasts[-length], piece):
+                    put(piece)
+                    break
+            else:
+                put(RAW)
+        return self.backward(unit, lasts)
+
     def backward(self, unit: str, lasts: list[int]) -> list[int]:
         """The ids of a unit, from its last pieces."""
         out, i = [], len(unit)
@@ -233,3 +253,48 @@ def model(path: str) -> PieceModel:
 def escaped(text: str) -> str:
     """The model's normal form of a whole text (empty stays empty)."""
     return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+class Memo(dict):
+    """Values by text, bounded: what is not asked for while UNIT_LIMIT others come is forgotten."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):  # noqa: ANN204
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= UNIT_LIMIT:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Words:
+    """What a text's units add up to: `value` of each unit, added by `join` (numbers, or bytes). Words between single
+    spaces are looked up whole, since most come again; a word that is not known is cut into its units."""
+
+    def __init__(self, m: PieceModel, value: Callable, join: Callable[[Iterable], object]):
+        self.model, self.join, self.units = m, join, Memo(value)
+        self.words = Memo(lambda word: self.of_units(SPACE + word))
+        self.starts = Memo(self.of_units)
+
+    def of_units(self, normal: str):  # noqa: ANN201
+        """The value of a text in normal form that starts and ends at borders."""
+        return self.join(map(self.units.__getitem__, self.model.units.findall(normal)))
+
+    def of(self, text: str):  # noqa: ANN201
+        """The value of a whole text."""
+        if not text or text[0] == " " or "  " in text or SPACE in text:
+            return self.of_units(escaped(text))
+        first, *lines = text.split("\n")
+        parts = [*map(self.words.__getitem__, first.split(" "))]
+        for line in lines:
+            own = line.split(" ")
+            parts += (self.units["\n"], self.starts[own[0]])
+            parts += map(self.words.__getitem__, own[1:])
+        return self.join(parts)

@@ -6,8 +6,9 @@ segmentation is the one path of finite weight. Giant texts are cut into chunks a
 any character. A boundary state (piece, pending) says that `piece` was the last to
 end before the border, `pending` characters before it, and the next piece spans it.
 A chunk yields the max-plus transfer matrix between the states of its two borders;
-matrices combine associatively; then each chunk is traced back on its own between
-the states that the whole path takes.
+matrices combine associatively, in blocks of chunks and then over blocks; the states
+between blocks give those inside each block, and each chunk is traced back on its own
+between its two.
 """
 
 from __future__ import annotations
@@ -26,34 +27,19 @@ from memloom.llm.common import cut, small_batches, table, tokenizer_file
 
 #: Characters from which a text is cut, of a chunk, and of what a chunk sees to its left.
 GIANT_CHARS, CHUNK_CHARS, CONTEXT = 65_536, 16_384, 48
+#: Chunks whose matrices are combined in one group.
+BLOCK_CHUNKS = 64
 #: In place of a state's piece: whatever came before (a border that always holds).
 ANY = -3
 State = tuple[int, int]
 Matrix = dict[State, dict[State, int]]
 
 
-class Units(dict):
-    """Memo of the ids of whole units, as bytes."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.model = bpe.model(path)
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.model.backward(unit, self.model.forward(unit)[0]), dtype=np.int32).tobytes()
-        if len(unit) <= 64:
-            if len(self) >= bpe.UNIT_LIMIT:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-    def encode(self, normal: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.model.units.findall(normal)))
-
-
 @functools.lru_cache(maxsize=2)
-def units(path: str) -> Units:
-    return Units(path)
+def words(path: str) -> bpe.Words:
+    """The ids of whole texts, as bytes."""
+    m = bpe.model(path)
+    return bpe.Words(m, lambda unit: np.array(m.segmented(unit), dtype=np.int32).tobytes(), b"".join)
 
 
 def walk(m: bpe.PieceModel, text: str, before: int, skip: int) -> tuple[list[int | None], list[int]]:
@@ -180,17 +166,19 @@ def trace(m: bpe.PieceModel, context: str, text: str, entry: State, leave: State
     return m.backward(body, lasts)
 
 
-def path_of(matrices: list[Matrix]) -> list[tuple[State, State]]:
-    """(entry, exit) of each chunk on the whole path: prefix products forward, then back."""
-    reach: list[Matrix] = [{(bpe.START, 0): {(bpe.START, 0): 0}}]
+def path_of(matrices: list[Matrix], start: State = (bpe.START, 0), leave: State | None = None) -> list[tuple[State, State]]:
+    """(entry, exit) of each matrix on the best path from start to leave (None: the best end of a text): prefix
+    products forward, then back."""
+    reach: list[Matrix] = [{start: {start: 0}}]
     for x in matrices:
         reach.append(product(reach[-1], x))
-    ends = {s: w for s, w in reach[-1][(bpe.START, 0)].items() if s[1] == 0}
-    leave = max(ends, key=lambda s: ends[s])
+    if leave is None:
+        ends = {s: w for s, w in reach[-1][start].items() if s[1] == 0}
+        leave = max(ends, key=lambda s: ends[s])
     out = []
     for k in range(len(matrices) - 1, -1, -1):
-        goal = reach[k + 1][(bpe.START, 0)][leave]
-        for state, w in reach[k][(bpe.START, 0)].items():
+        goal = reach[k + 1][start][leave]
+        for state, w in reach[k][start].items():
             entry = state if state in matrices[k] or state[1] else (ANY, 0)
             if matrices[k].get(entry, {}).get(leave, 1 << 60) + w == goal:
                 out.append((entry, leave))
@@ -199,70 +187,87 @@ def path_of(matrices: list[Matrix]) -> list[tuple[State, State]]:
     return out[::-1]
 
 
+def rows_of(found: list[tuple], x: Matrix) -> list[tuple]:
+    """found before each entry of a matrix: (..., piece and pending characters of entry and exit, weight)."""
+    return [(*found, p, d, q, e, w) for (p, d), row in x.items() for (q, e), w in row.items()]
+
+
+def matrices_of(pdf: pd.DataFrame) -> tuple[list[int], list[Matrix]]:
+    """Places and matrices of rows_of's rows, in order."""
+    order: dict[int, Matrix] = {}
+    for at, p, d, q, e, w in pdf[["at", "p", "d", "q", "e", "w"]].sort_values("at", kind="stable").itertuples(index=False):
+        order.setdefault(at, {}).setdefault((p, d), {})[(q, e)] = w
+    return list(order), list(order.values())
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, columns of keep, ids array<int>) of each row's whole text: what the library gives, without special ids.
 
-    Null and empty texts have no ids (an empty array); repeated rows and null ids give a row each.
-    Texts below GIANT_CHARS are encoded where they are read; chunks of longer ones are dealt over
-    the cluster.
+    Null and empty texts have no ids (an empty array); repeated rows and null ids give a row each; an empty table gives
+    an empty result. Columns that are not named are ignored, whatever their names; keep must not name `ids`.
+    Texts below GIANT_CHARS are encoded where they are read; chunks of longer ones are dealt over the cluster, and their
+    matrices are combined in blocks, then over blocks.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-    names = [f.name for f in rows.schema if f.name != "_text"]
+    rows = docs.select(F.struct(F.col(id_col).alias(id_col), *keep).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["own"].dataType.simpleString()
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = units(model_path)
+        memo = words(model_path)
         for b in batches:
-            parts = [memo.encode(bpe.escaped(t)) for t in b.column(len(names)).to_pylist()]
+            parts = [memo.of(t) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], ids], [*names, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["own", "ids"])
 
-    small = rows.filter(F.length("_text") < GIANT_CHARS).mapInArrow(plain, ", ".join([*kinds, "ids array<int>"]))
+    small = rows.filter(F.length("text") < GIANT_CHARS).mapInArrow(plain, f"own {kind}, ids array<int>")
 
     # in normal form a giant text has one more character, the dummy prefix, so chunk borders are those of the normal form
-    giants = rows.filter(F.length("_text") >= GIANT_CHARS).withColumn("_row", F.monotonically_increasing_id())
-    normal = giants.withColumn("_text", F.translate(F.concat(F.lit(" "), "_text"), " ", bpe.SPACE))
-    offset = F.explode(F.sequence(F.lit(0), F.length("_text") - 1, F.lit(CHUNK_CHARS))).alias("at")
-    cuts = normal.select("_row", "_text", offset)
-    left = F.greatest(F.col("at") - CONTEXT, F.lit(0))
-    chunks = cuts.select("_row", "at", F.expr(f"substring(_text, greatest(at - {CONTEXT}, 0) + 1, least(at, {CONTEXT}))").alias("context"), F.expr(f"substring(_text, at + 1, {CHUNK_CHARS})").alias("chunk"), (left == 0).alias("begins"))
-    chunks = cut(chunks.repartition("_row", "at"), "piece-chunks")
+    normal = rows.filter(F.length("text") >= GIANT_CHARS).select(F.monotonically_increasing_id().alias("row"), "own", F.translate(F.concat(F.lit(" "), "text"), " ", bpe.SPACE).alias("text"))
+    offset = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(CHUNK_CHARS))).alias("at")
+    cuts = normal.select("row", "own", "text", offset)
+    shape = ["row", "at", F.floor(F.col("at") / (CHUNK_CHARS * BLOCK_CHUNKS)).alias("block"), F.when(F.col("at") == 0, F.col("own")).alias("own")]
+    shape += [F.expr(f"substring(text, greatest(at - {CONTEXT}, 0) + 1, least(at, {CONTEXT}))").alias("context"), F.expr(f"substring(text, at + 1, {CHUNK_CHARS})").alias("chunk"), (F.col("at") <= CONTEXT).alias("begins")]
+    chunks = cut(cuts.select(*shape).repartition("row", "at"), "piece-chunks")
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = bpe.model(model_path)
         for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                for (p, d), row in transfer(m, r.context, r.chunk, r.begins).items():
-                    out += [(r[1], r.at, p, d, q, e, w) for (q, e), w in row.items()]
-            yield pd.DataFrame(out, columns=["_row", "at", "p", "d", "q", "e", "w"])
-
-    found = chunks.mapInPandas(matrices, "_row long, at int, p int, d int, q int, e int, w long")
-
-    def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps, order = [], []
-        for at, part in pdf.groupby("at", sort=True):
-            x: Matrix = {}
-            for r in part.itertuples():
-                x.setdefault((r.p, r.d), {})[(r.q, r.e)] = r.w
-            steps.append(x)
-            order.append(at)
-        taken = path_of(steps)
-        return pd.DataFrame([(pdf["_row"].iloc[0], at, *s, *e) for at, (s, e) in zip(order, taken, strict=True)], columns=["_row", "at", "p", "d", "q", "e"])
-
-    states = found.groupBy("_row").applyInPandas(paths, "_row long, at int, p int, d int, q int, e int")
+            out = [x for r in pdf.itertuples() for x in rows_of((r.row, r.block, r.at), transfer(m, r.context, r.chunk, r.begins))]
+            yield pd.DataFrame(out, columns=["row", "block", "at", "p", "d", "q", "e", "w"])
+
+    entry = "row long, block long, at int, p int, d int, q int, e int, w long"
+    found = chunks.select("row", "block", "at", "context", "chunk", "begins").mapInPandas(matrices, entry)
+
+    def combined(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, steps = matrices_of(pdf)
+        return pd.DataFrame(rows_of((pdf["row"].iloc[0], pdf["block"].iloc[0], at[0]), functools.reduce(product, steps)), columns=pdf.columns)
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The states between a text's blocks."""
+        at, steps = matrices_of(pdf)
+        block = dict(zip(pdf["at"], pdf["block"], strict=True))
+        return pd.DataFrame([(pdf["row"].iloc[0], block[a], *s, *e) for a, (s, e) in zip(at, path_of(steps), strict=True)], columns=["row", "block", "p", "d", "q", "e"])
+
+    def inside(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        """The states between a block's chunks."""
+        at, steps = matrices_of(pdf)
+        first, last = tuple(ends[["p", "d"]].iloc[0]), tuple(ends[["q", "e"]].iloc[0])
+        return pd.DataFrame([(pdf["row"].iloc[0], a, *s, *e) for a, (s, e) in zip(at, path_of(steps, first, last), strict=True)], columns=["row", "at", "p", "d", "q", "e"])
+
+    found = cut(found, "piece-matrices")
+    between = found.groupBy("row", "block").applyInPandas(combined, entry).groupBy("row").applyInPandas(across, "row long, block long, p int, d int, q int, e int")
+    states = found.groupBy("row", "block").cogroup(between.groupBy("row", "block")).applyInPandas(inside, "row long, at int, p int, d int, q int, e int")
 
     def traced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = bpe.model(model_path)
         for pdf in frames:
             ids = [trace(m, r.context, r.chunk, (r.p, r.d), (r.q, r.e)) for r in pdf.itertuples()]
-            yield pd.DataFrame({"_row": pdf["_row"], "at": pdf["at"], "part": pd.Series(ids, dtype=object)})
+            yield pd.DataFrame({"row": pdf["row"], "at": pdf["at"], "part": pd.Series(ids, dtype=object)})
 
-    parts = chunks.join(states, ["_row", "at"]).select("_row", "at", "context", "chunk", "p", "d", "q", "e").mapInPandas(traced, "_row long, at int, part array<int>")
-    wholes = parts.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))
-    large = giants.drop("_text").join(wholes, "_row").select(*names, "ids")
-    return small.unionByName(large)
+    parts = chunks.join(states, ["row", "at"]).select("row", "at", "context", "chunk", "p", "d", "q", "e").mapInPandas(traced, "row long, at int, part array<int>")
+    wholes = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))
+    large = chunks.filter("at = 0").select("row", "own").join(wholes, "row").select("own", "ids")
+    return small.unionByName(large).select("own.*", "ids")
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -273,7 +278,9 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bpe.model(model_path)
         for b in batches:
-            texts = [None if x is None else m.decode(x) for x in b.column(at).to_pylist()]
+            ids = b.column(at)
+            flat, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist()
+            texts = [m.decode(flat[i:j]) if ok else None for i, j, ok in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
 
     return encoded.mapInArrow(run, shape)

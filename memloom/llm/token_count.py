@@ -31,33 +31,16 @@ BLOCK_CHUNKS = 64
 
 
 class Transducer:
-    """Counts of one model, with a bounded memo of whole units."""
+    """Counts of one model, with bounded memos of units and words."""
 
     def __init__(self, path: str):
         self.model = bpe.model(path)
-        self.words: dict[str, int] = _Words(self)
+        self.words = bpe.Words(self.model, self.count, sum)
 
     def count(self, unit: str) -> int:
         """Ids of a text that starts and ends at a synchronising position."""
         return self.model.forward(unit)[1][-1]
 
-    def count_text(self, normal: str) -> int:
-        return sum(map(self.words.__getitem__, self.model.units.findall(normal)))
-
-
-class _Words(dict):
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, unit: str) -> int:
-        n = self.transducer.count(unit)
-        if len(unit) <= 64:
-            if len(self) >= bpe.UNIT_LIMIT:
-                self.clear()
-            self[unit] = n
-        return n
-
 
 @functools.lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
@@ -75,7 +58,7 @@ def chunk_map(machine: Transducer, text: str, left: str) -> tuple[str, int, str,
     starts = _starts(machine.model, text, left)
     if not starts:
         return text, 0, "", False
-    return text[: starts[0]], machine.count_text(text[starts[0] : starts[-1]]), text[starts[-1] :], True
+    return text[: starts[0]], machine.words.of_units(text[starts[0] : starts[-1]]), text[starts[-1] :], True
 
 
 def compose(machine: Transducer, maps: list[tuple[str, int, str, bool]]) -> tuple[str, int, str, bool]:
@@ -105,7 +88,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_path)
         for b in batches:
-            counts = [machine.count_text(bpe.escaped(t)) for t in b.column(2).to_pylist()]
+            counts = [machine.words.of(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
