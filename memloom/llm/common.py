@@ -40,18 +40,35 @@ def cut(df: DataFrame, label: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a key of each row: a hash of its columns, then its place. Only equal rows are ordered by
-    place, so what is chosen by _row does not depend on the files. Tables that are read straight from Parquet have
-    places already; anything else is written once."""
-    columns = F.xxhash64(*docs.columns).alias("c")
-    if hasattr(docs, "_jdf") and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        try:
-            place = (F.xxhash64(F.col("_metadata.file_path")).alias("f"), F.col("_metadata.row_index").alias("i"))
-            return docs.withColumn("_row", F.struct(columns, *place))
-        except AnalysisException:  # files of a kind that do not number their rows
-            pass
-    return cut(docs.withColumn("_row", F.struct(columns, F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "keyed")
+def places(docs: DataFrame) -> tuple[Column, Column, Column] | None:
+    """(hash of the file, number of the part, place in it) of each row of a table read straight from Parquet; None of others."""
+    if "_metadata" in docs.columns or not hasattr(docs, "_jdf") or docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).try_cast("long")
+    out = F.xxhash64(F.col("_metadata.file_path")), F.coalesce(part, F.lit(0)).cast("long"), F.col("_metadata.row_index")
+    try:
+        docs.select(*out)
+    except AnalysisException:  # files of a kind that do not number their rows
+        return None
+    return out
+
+
+def ordinal(docs: DataFrame) -> Column:
+    """A number that rises with the rows of a sorted table, by its parts and the places in them."""
+    found = places(docs)
+    return F.shiftleft(found[1], 40) + found[2] if found else F.monotonically_increasing_id()
+
+
+def keyed(docs: DataFrame, *names: str) -> DataFrame:
+    """(own, row, columns by `names`): own holds all columns of a row, so that no other name can clash with theirs; row is
+    a key of each row, a hash of its columns, then its place. Only equal rows are ordered by place, so what is chosen by row
+    does not depend on the files. Tables that are read straight from Parquet have places already; anything else is written once."""
+    own, columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("c")
+    found = places(docs)
+    if found:
+        return docs.select(own, F.struct(columns, found[0].alias("f"), found[2].alias("i")).alias("row"), *names)
+    place = F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i")
+    return cut(docs.select(own, F.struct(columns, *place).alias("row")), "keyed").select("own", "row", *(F.col(f"own.{n}").alias(n) for n in names))
 
 
 def remainder(key: Column, mod: int) -> Column:

@@ -91,10 +91,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def clean(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept, without their frequent lines; ids must be unique."""
-    plan = judged.filter("kept").select(F.col(id_col).alias("_key"), "removed_lines")
+    plan = judged.filter("kept").select(F.col(id_col).alias("key"), "removed_lines")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(id_col).alias("its"), F.col(text_col).alias("text"))
     stays = lambda x: ~F.coalesce(F.array_contains("removed_lines", F.xxhash64(normal_line(x))), F.lit(False)) | ~x.rlike(WORD)
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), stays), "\n")
-    return docs.join(plan, docs[id_col] == plan["_key"]).withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    text = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
+    met = rows.join(plan, F.col("its") == F.col("key"))
+    return met.select(F.when(F.col("removed_lines").isNull(), F.col("own")).otherwise(F.col("own").withField(f"`{text_col}`", text)).alias("own")).select("own.*")
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,15 +104,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), id_col)
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", row_col: str | None = None, position_col: str | None = None) -> DataFrame:
     """The mix itself: rows of docs with each document as often as it is taken, every copy at its
     own position of the training order. Rows are joined by row_col where both have it, else by ids,
-    which must then be unique and not null; docs keeps its columns."""
+    which must then be unique and not null; docs keeps its columns, whatever their names, and gets position_col if one is given."""
     on = row_col or id_col
-    plan = mixed.filter("taken > 0").select(F.col(on).alias("_key"), F.explode("positions").alias("_at"))
-    out = docs.join(plan, docs[on] == plan["_key"])
-    return out.repartitionByRange("_at", id_col, "_key").sortWithinPartitions("_at", id_col, "_key").select(*docs.columns)
+    plan = mixed.filter("taken > 0").select(F.col(on).alias("key"), F.explode("positions").alias("at"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(on).alias("its"), F.col(id_col).alias("id"))
+    out = rows.join(plan, F.col("its") == F.col("key"))
+    if position_col:
+        out = out.withColumn("own", F.col("own").withField(f"`{position_col}`", F.col("at")))
+    return out.repartitionByRange("at", "id", "key").sortWithinPartitions("at", "id", "key").select("own.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and where each copy stands."""
     return mix(table(spark, sf_dir, "documents"))

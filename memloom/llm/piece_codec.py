@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.llm import bpe
 from memloom.llm.common import cut, small_batches, table, tokenizer_file
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     matrices are combined in blocks, then over blocks.
     """
     rows = docs.select(F.struct(F.col(id_col).alias(id_col), *keep).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["own"].dataType.simpleString()
+    shape = T.StructType([rows.schema["own"]]).add("ids", T.ArrayType(T.IntegerType()))
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = words(model_path)
@@ -219,15 +220,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["own", "ids"])
 
-    small = rows.filter(F.length("text") < GIANT_CHARS).mapInArrow(plain, f"own {kind}, ids array<int>")
+    small = rows.filter(F.length("text") < GIANT_CHARS).mapInArrow(plain, shape)
 
     # in normal form a giant text has one more character, the dummy prefix, so chunk borders are those of the normal form
     normal = rows.filter(F.length("text") >= GIANT_CHARS).select(F.monotonically_increasing_id().alias("row"), "own", F.translate(F.concat(F.lit(" "), "text"), " ", bpe.SPACE).alias("text"))
     offset = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(CHUNK_CHARS))).alias("at")
     cuts = normal.select("row", "own", "text", offset)
-    shape = ["row", "at", F.floor(F.col("at") / (CHUNK_CHARS * BLOCK_CHUNKS)).alias("block"), F.when(F.col("at") == 0, F.col("own")).alias("own")]
-    shape += [F.expr(f"substring(text, greatest(at - {CONTEXT}, 0) + 1, least(at, {CONTEXT}))").alias("context"), F.expr(f"substring(text, at + 1, {CHUNK_CHARS})").alias("chunk"), (F.col("at") <= CONTEXT).alias("begins")]
-    chunks = cut(cuts.select(*shape).repartition("row", "at"), "piece-chunks")
+    columns = ["row", "at", F.floor(F.col("at") / (CHUNK_CHARS * BLOCK_CHUNKS)).alias("block"), F.when(F.col("at") == 0, F.col("own")).alias("own")]
+    columns += [F.expr(f"substring(text, greatest(at - {CONTEXT}, 0) + 1, least(at, {CONTEXT}))").alias("context"), F.expr(f"substring(text, at + 1, {CHUNK_CHARS})").alias("chunk"), (F.col("at") <= CONTEXT).alias("begins")]
+    chunks = cut(cuts.select(*columns).repartition("row", "at"), "piece-chunks")
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = bpe.model(model_path)
@@ -272,7 +273,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with the texts of its ids; null ids give null. Invalid byte runs read U+FFFD."""
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), f"`{out_col}` string"])
+    shape = T.StructType(list(encoded.schema)).add(out_col, "string")
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.llm.common import remainder, small_batches, table
 
@@ -125,7 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Word vectors and the network. Without labels of both kinds there is no network."""
     spark = docs.sparkSession
     chosen = F.broadcast(training_ids(docs, labels))  # TRAIN_DOCS rows at most
-    texts = docs.join(chosen, docs[id_col] == chosen["id"]).select(F.col(text_col).alias("text"), F.col("quality").cast("double").alias("quality"))
+    rows = docs.select(F.col(id_col).alias("its"), F.col(text_col).alias("text"))
+    texts = rows.join(chosen, F.col("its") == F.col("id")).select("text", F.col("quality").cast("double").alias("quality"))
     index = index_vectors()
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +179,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], id_col: str
     """(id, score, columns of keep) of each row's whole text. Null and empty texts pool to zeros and are
     scored as such; without a network every score is 0.5. Repeated rows and null ids give a row each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), *(c for c in keep if c != text_col), F.col(text_col))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema][: None if text_col in keep else -1]
+    rows = docs.select(F.struct(F.col(id_col), *(F.col(f"`{c}`") for c in keep)).alias("own"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(1).to_pylist()
             s = np.full(len(texts), 0.5) if net is None or not texts else net.score(np.stack([pooled(t, vectors) for t in texts]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.array(s)], [*b.schema.names[: len(fields)], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["own", "score"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["own"]]).add("score", "double")).select("own.*", "score")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

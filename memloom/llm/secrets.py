@@ -109,8 +109,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span of scanned replaced in the text; ids must be unique and not null (id_col may be
     a key of rows that both were given). Overlapping spans are replaced as one. Rows and columns stay as they are otherwise."""
-    marked = scanned.filter(F.size("all_spans") > 0).select(F.col(id_col).alias("_key"), "all_spans")
-    text = F.col(text_col)
+    marked = scanned.filter(F.size("all_spans") > 0).select(F.col(id_col).alias("key"), "all_spans")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(id_col).alias("its"), F.col(text_col).alias("text"))
+    text = F.col("text")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -119,8 +120,8 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
         return F.struct(F.greatest(acc["at"], s["end"]).cast("long").alias("at"), F.concat(acc["out"], F.when(fresh, piece).otherwise("")).alias("out"))
 
     clean = F.aggregate("all_spans", state, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    joined = docs.join(marked, docs[id_col] == marked["_key"], "left")
-    return joined.withColumn(text_col, F.when(F.col("all_spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    joined = rows.join(marked, F.col("its") == F.col("key"), "left")
+    return joined.select(F.when(F.col("all_spans").isNotNull(), F.col("own").withField(f"`{text_col}`", clean)).otherwise(F.col("own")).alias("own")).select("own.*")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

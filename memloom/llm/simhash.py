@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketches(docs: DataFrame, key: Column, text_col: str, shingle: int) -> DataFrame:
-    """A table of (key, node, fp, ks, grams): key as given, node names the set of shingles, grams holds it as 32-bit hashes, ks are min-wise keys."""
+    """A table of (key, node, fp, ks, size, grams): key as given, node names the set of shingles, grams holds it as 32-bit hashes
+    (two of 20,000 shingles fall together in 1 of 20 texts), size is their number, ks are min-wise keys."""
     rows = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     draw = np.random.default_rng(SEED)
@@ -200,9 +201,9 @@ def sketches(docs: DataFrame, key: Column, text_col: str, shingle: int) -> DataF
         for b in batches:
             rows = [one(t) for t in b.column(1).to_pylist()]
             node, fp = signed([r[0] for r in rows]), signed([r[1] for r in rows])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(fp), pa.array([signed(r[2]) for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["key", "node", "fp", "ks", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(fp), pa.array([signed(r[2]) for r in rows], pa.list_(pa.int64())), pa.array([len(r[3]) for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["key", "node", "fp", "ks", "size", "grams"])
 
-    return cut(rows.mapInArrow(run, f"key {kind}, node long, fp long, ks array<long>, grams array<int>"), "sketches")
+    return cut(rows.mapInArrow(run, f"key {kind}, node long, fp long, ks array<long>, size int, grams array<int>"), "sketches")
 
 
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
@@ -223,14 +224,20 @@ def candidates(nodes: DataFrame, at: DataFrame, sizes: DataFrame) -> DataFrame:
     return near.union(crowd).union(coded).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, grams) of the nodes that are wanted, from rows of which several may have one node."""
+    return rows.select("node", "grams").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose whole sets have a similarity of `least` or more."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
+    sets = sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("a_grams", "b_grams")))
     return met.filter(F.col("shared") >= least * (F.size("a_grams") + F.size("b_grams") - F.col("shared"))).select("a", "b")
 
 
-def strays(nodes: DataFrame, at: DataFrame, sizes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+def strays(rows: DataFrame, nodes: DataFrame, at: DataFrame, sizes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of different components, that may be similar, among the nodes of crowds that are not one component yet.
 
     A crowd inside one component has nothing left to find. For the others this is an exact similarity join by rarest
@@ -238,13 +245,13 @@ def strays(nodes: DataFrame, at: DataFrame, sizes: DataFrame, parts: DataFrame,
     order, they differ little in size, and what follows their first common one must be long enough for the overlap.
     Texts that only share a template differ in just these shingles, so they do not meet.
     """
-    label = nodes.select("node", F.size("grams").alias("size")).join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "size", F.coalesce("component", "node").alias("part"))
+    label = nodes.select("node", "size").join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "size", F.coalesce("component", "node").alias("part"))
     label = cut(label, "crowd-labels")
     big = sizes.filter(F.col("n") > PAIRED).select(F.col("k").alias("big"))
     crowded = salted_join(at, big, "k", "big", F.col("node"), "inner").join(label, "node")
     mixed = crowded.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select(F.col("k").alias("big"))
     rest = cut(salted_join(crowded, mixed, "k", "big", F.col("node"), "inner").select("node", "size", "part").distinct(), "crowd-rest")
-    grams = nodes.join(rest, "node").select("node", "size", "part", F.explode("grams").alias("gram"))
+    grams = sets_of(rows, rest).join(rest, "node").select("node", "size", "part", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     ranked = salted_join(grams, often.withColumnRenamed("gram", "of"), "gram", "of", F.col("node"), "inner")
     ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("often", "gram")))
@@ -275,15 +282,16 @@ def similar_sets(docs: DataFrame, key: Column, text_col: str, shingle: int, leas
     Null and wordless texts are equal to each other.
     """
     rows = sketches(docs, key, text_col, shingle)
-    nodes = cut(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("ks").alias("ks"), F.first("grams").alias("grams")), "nodes")
+    nodes = cut(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("ks").alias("ks"), F.first("size").alias("size")), "nodes")
     at = keyed_nodes(nodes)
     mixed = F.struct(F.xxhash64("node", "k").alias("h"), "node")
     sizes = cut(at.groupBy("k").agg(F.count("*").alias("n"), F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).filter("n > 1"), "crowds")
     pairs = cut(candidates(nodes.select("node", "fp", "ks"), at, sizes), "candidates")
-    alike = cut(verified(pairs, nodes, least), "alike")
+    alike = cut(verified(pairs, rows, least), "alike")
     parts = components(alike)
-    late = cut(verified(cut(strays(nodes, at, sizes, parts, least), "strays"), nodes, least), "alike-late")
-    if not late.isEmpty():
+    found = cut(strays(rows, nodes, at, sizes, parts, least), "strays")
+    late = None if found.isEmpty() else cut(verified(found, rows, least), "alike-late")
+    if late is not None and not late.isEmpty():
         parts = components(alike.union(late))
     whole = nodes.select("node", "least").join(parts.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     return rows, whole

@@ -6,6 +6,7 @@ import corpus_pipeline
 import sentencepiece
 from memloom.llm import mixing, quality, simhash
 from memloom.llm.common import cut, table, tokenizer_file
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -50,6 +51,13 @@ def test_stages(spark):
     texts = {r.doc_id: r.text for r in rows["mix"]}
     assert len(rows["pieces"]) == len(rows["mix"])
     assert all(r.ids == lib.encode(texts[r.doc_id]) and r.round_trip for r in rows["pieces"])
+    plan = {r.doc_id: list(r.positions) for r in mixing.mix(kept["secrets"]).collect()}
+    turns = Counter()
+    order = []
+    for r in sorted(rows["pieces"], key=lambda r: r.position):
+        order.append(plan[r.doc_id][turns[r.doc_id]])
+        turns[r.doc_id] += 1
+    assert order == sorted(order) and len({r.position for r in rows["pieces"]}) == len(order)
 
 
 def test_null_and_repeated_ids(spark, tmp_path):
@@ -74,3 +82,21 @@ def test_null_and_repeated_ids(spark, tmp_path):
             taken[r.doc_id] += len(r.positions)
         mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
         assert Counter(r.doc_id for r in mixed) == taken and max(Counter((r.doc_id, r.text) for r in mixed).values()) <= 4
+
+
+def test_clashing_names_and_empty_tables(spark):
+    """Columns that stages use themselves, and tables without rows, pass through every stage."""
+    clash = ["score", "own", "row", "key", "at", "id", "its", "all_spans", "quality", "_row", "_key", "_n", "node", "a.b", "_metadata"]
+    docs = table(spark, SF, "documents").limit(40)
+    for name in clash:
+        docs = docs.withColumn(name, F.col("doc_id") + 1)
+    docs = cut(docs.unionByName(docs.filter("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long"))), "test-clash")
+    columns = docs.columns
+    for given in (docs, docs.limit(0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            now = cut(stage(spark, now, SF), f"test-clash-{name}")
+            if name != "pieces":
+                assert now.columns == columns
+                assert now.filter("`a.b` <> score or own <> node").count() == 0
+        assert (now.count() > 0) == (given is docs)
