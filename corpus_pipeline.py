@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and
 returns a DataFrame; all but the last return the columns of documents. Stages are
 written as Parquet and read again between each other. Within a stage rows are joined
-by a key of their own: ids may be null or repeated.
+by a key of their own: ids may be null or repeated. A row's columns travel in one struct,
+so columns that documents have besides their own may have any name.
 """
 
 from __future__ import annotations
@@ -12,42 +13,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import mixing, piece_codec, quality, secrets, simhash
-from memloom.llm.common import cut, keyed, small_batches, table, tokenizer_file
+from memloom.llm.common import cut, keyed, ordinal, small_batches, table, tokenizer_file
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """(own, columns by `names`): own holds all columns of a row."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), *names)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones among docs, does not reject."""
+    """Documents that the classifier, learned from the labelled ones among docs, does not reject.
+
+    Null and empty texts are scored like any other (mostly rejected); null ids teach nothing and are scored; repeated rows
+    stay repeated; without labels of both kinds nothing is rejected. An empty table gives an empty one."""
     small_batches(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score(packed(docs, "doc_id", "text"), model, keep=("own",))
+    return scored.filter(F.col("score") >= quality.THRESHOLD).select("own.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, the one of smallest id (null ids last), of each group of near duplicates."""
+    """One row, the one of smallest id (null ids last), of each group of near duplicates.
+
+    Null and wordless texts are one group; ids may be null or repeated; of equal rows one stays."""
     small_batches(spark)
-    rows = keyed(docs)
-    return rows.join(simhash.one_of_similar(rows, "_row"), "_row").select(*docs.columns)
+    rows = keyed(docs, "doc_id", "text")
+    kept = simhash.one_of_similar(rows.select("row", "doc_id", "text"), "row")
+    return rows.select("own", "row").join(kept, "row").select("own.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced."""
-    rows = keyed(docs)
-    return secrets.redact(rows, secrets.scan(rows, id_col="_row"), id_col="_row").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, with the secrets in their texts replaced; n_chars follows.
+
+    Null texts stay null; ids may be null or repeated, every row keeps its own text."""
+    rows = keyed(docs, "doc_id", "text", "source")
+    found = secrets.scan(rows.select("row", "text", "source"), id_col="row")
+    clean = secrets.redact(rows.select("own", "row", "text"), found, id_col="row")
+    out = F.col("own").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("long"))
+    return clean.select(out.alias("own")).select("own.*").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken, in training order."""
-    rows = keyed(docs)
-    return mixing.repeated(rows, mixing.mix(rows, row_col="_row"), row_col="_row").select(*docs.columns)
+    """The mix: each document as often as it is taken, in training order.
+
+    Null and wordless texts take nothing and go; a null source is a source of its own; ids may be null or repeated."""
+    rows = keyed(docs, "doc_id", "text", "source")
+    plan = mixing.mix(rows.select("row", "doc_id", "text", "source"), row_col="row")
+    return mixing.repeated(rows.select("own", "row", "doc_id"), plan, row_col="row").select("own.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to it."""
+    """Ids of every text, whether they decode to it, and the text's place: rows by position are in training order.
+
+    Null and empty texts have no ids; repeated rows, as the mix has them, give a row each."""
     small_batches(spark)
-    rows = docs.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was"))
-    out = piece_codec.decode(piece_codec.encode(rows, tokenizer_file(), keep=("source", "was")), tokenizer_file())
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("was")).alias("round_trip"))
+    rows = docs.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was"), ordinal(docs).alias("position"))
+    out = piece_codec.decode(piece_codec.encode(rows, tokenizer_file(), keep=("source", "was", "position")), tokenizer_file())
+    return out.select("doc_id", "source", "position", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("was")).alias("round_trip"))
 
 
 STAGES = [
