@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning for retrieval. Fixed values.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "to", "what", "which", "with")
+#: Words that carry no meaning for retrieval. Scores must equal those of the evaluation that they come from.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "their", "to", "what", "with",
+)
+
+#: Damaged field separators in the order in which they are mended; # stands for the separator's core. Fixed values.
+DAMAGED = (
+    r"<\|#\|*?#\|>",
+    r"<\|\\#\|>",
+    r"(?<=\S)<\|+>(?=\S)",
+    r"<.?\|#\|.?>",
+    r"<\|?#\|?>",
+    r"<[^|]#\|>|<\|#[^|]>",
+    r"<\|#\|+(?!>)",
+    r"<\|#:(?!>)",
+    r"<\|+#>",
+    r"(?<=\S)<\|\|(?!>)",
+    r"(?<!<)\|#\|>",
+    r"<\|#\|>\|",
+    r"\|\|#\|\|",
+)
+#: Characters that names are written with in full width or typographic form, and what they become. Fixed values.
+WIDE, NARROW = "－＋／＊（）—　", "-+/*()- "
+#: Tags that go, spaces that go beside Chinese characters, quotes that go around them. Fixed values.
+TAGS = r"(?i)</?p\s*>|<p/>|</?br\s*>|<br/>"
+HAN, LATIN = "[\\u4e00-\\u9fa5]", r"[a-zA-Z0-9()\[\]@#$%!&*\-=+_]"
+OUTER_QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("《", "》"))
 
 
 def token_count(text: Column) -> Column:
@@ -15,23 +42,41 @@ def token_count(text: Column) -> Column:
 
 
 def sanitize(text: Column) -> Column:
-    """Without control characters (tab, line feed and carriage return stay) and lone surrogates."""
-    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F￾￿]", "")
+    """Trimmed, with the common character entities read, without control characters (tab, line feed and carriage return
+    stay), lone surrogates and non-characters."""
+    out = text
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("#x27", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return stripped(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFE\uFFFF]", ""))
 
 
-def half_width(text: Column) -> Column:
-    """Full-width ASCII and the ideographic space as their half-width forms."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    narrow = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-    return F.translate(text, wide, narrow)
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def normalize_extracted(text: Column) -> Column:
-    """Half width, without <p> and <br> tags, outer quotes and outer spaces; short bare numbers become null."""
-    out = F.regexp_replace(half_width(text), r"(?i)</?p\s*/?>|<br\s*/?>", "")
-    out = F.regexp_replace(out, r"(?<=[一-鿿])\s+(?=[一-鿿])", "")
-    out = F.trim(F.regexp_replace(F.trim(out), r"""^(["'“‘])(.*)(["'”’])$""", "$2"))
-    return F.when(out.rlike(r"^[0-9.]{1,2}$"), None).otherwise(out)
+def half_width(text: Column) -> Column:
+    """Full-width letters, digits and the marks of WIDE in half width."""
+    pairs = [(chr(0xFEE0 + ord(c)), c) for c in string.ascii_letters + string.digits]
+    return F.translate(text, "".join(w for w, _ in pairs) + WIDE, "".join(n for _, n in pairs) + NARROW)
+
+
+def normalize_extracted(text: Column, inner_quotes: bool = False) -> Column:
+    """Names and descriptions: half width, without paragraph tags, spaces beside Chinese characters, and outer quotes that no
+    inner one matches; with inner_quotes without the typographic ones inside, too. Bare numbers of fewer than three
+    digits, and runs of digits and dots shorter than six, become null."""
+    out = half_width(F.regexp_replace(text, TAGS, ""))
+    for left, right in ((HAN, HAN), (HAN, LATIN), (LATIN, HAN)):
+        out = F.regexp_replace(out, rf"(?<={left})\s+(?={right})", "")
+    for a, b in OUTER_QUOTES:
+        out = F.regexp_replace(out, rf"(?s)^{a}([^{a}{b}]*){b}$", "$1")
+    if inner_quotes:
+        out = F.regexp_replace(F.translate(out, "\u00a0", " "), "[“”‘’]", "")
+        out = F.regexp_replace(out, rf"['\"]+(?={HAN})|(?<={HAN})['\"]+", "")
+        out = F.regexp_replace(out, "(?<=[^0-9])\u202f", " ")
+    out = stripped(out)
+    bare = out.rlike("^[0-9]{1,2}$") | (out.rlike("^[0-9.]{1,5}$") & F.contains(out, F.lit(".")))
+    return F.when(bare, None).otherwise(out)
 
 
 def clean_type(text: Column) -> Column:
@@ -47,9 +92,11 @@ def truncate_identifier(text: Column, chars: int = 256, octets: int = 512) -> Co
     return F.when(F.octet_length(cut) <= octets, cut).otherwise(fit)
 
 
-def repair_delimiters(text: Column, mark: str = "#") -> Column:
-    """Damaged field separators such as <|#>, <#|> or <||#||> as <|#|>."""
-    return F.regexp_replace(text, rf"<\|*\s*{mark}\s*\|*>", f"<|{mark}|>")
+def repair_delimiters(text: Column, core: str = "#") -> Column:
+    """Damaged field separators as whole ones; what stands between spaces in prose stays."""
+    for damaged in DAMAGED:
+        text = F.regexp_replace(text, damaged.replace("#", f"\\Q{core}\\E"), f"<|{core}|>")
+    return text
 
 
 def strip_markup(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.ids import normalize_atom_text
 from memloom.operators.ingest import first_by
+from memloom.sources.tables import write_through
 
 #: Owners with at most ALL atoms are compared whole; else the TOP nearest and the LAST latest.
 ALL, TOP, LAST, NEAR = 16, 8, 4, 0.45
@@ -52,9 +53,9 @@ def in_batch_candidates(atoms: DataFrame, similarity: DataFrame) -> DataFrame:
     return _bounded(met, similarity)
 
 
-def history_candidates(new: DataFrame, atoms: DataFrame, similarity: DataFrame) -> DataFrame:
-    """A7. As A5 against active atoms of the owner's history."""
-    old = atoms.select("owner_id", F.col("atom_id").alias("candidate_id"), F.col("seq").alias("old_seq"))
+def history_candidates(new: DataFrame, atoms: DataFrame, similarity: DataFrame, at: Column) -> DataFrame:
+    """A7. As A5 against the atoms of the owner's history that are active at `at`."""
+    old = with_status(atoms, at).filter("status = 'active'").select("owner_id", F.col("atom_id").alias("candidate_id"), F.col("seq").alias("old_seq"))
     return _bounded(new.select("owner_id", "atom_id").join(old, "owner_id"), similarity)
 
 
@@ -84,13 +85,16 @@ def validate_decisions(decisions: DataFrame, candidates: DataFrame) -> DataFrame
     return out.select("atom_id", "decision", F.when(F.col("decision") != "INDEPENDENT", F.col("target_id")).alias("target_id"), F.when(F.col("decision").isin("TEMPORAL_SUCCESSOR", "CONTRADICTION"), F.col("target_invalid_at")).alias("target_invalid_at"), ((F.col("decision") == "CONTRADICTION") & F.coalesce("supersedes", F.lit(False))).alias("supersedes"))
 
 
-def collapse_duplicates(links: DataFrame, rounds: int = 8) -> DataFrame:
-    """A9. (atom_id, root_id) of (atom_id, duplicate_of); a chain of 2^rounds is followed to its root."""
-    root = links.select("atom_id", F.col("duplicate_of").alias("root_id"))
-    for _ in range(rounds):
+def collapse_duplicates(links: DataFrame) -> DataFrame:
+    """A9. (atom_id, root_id) of (atom_id, duplicate_of): pointers jump, each round twice as far, until none moves."""
+    root = write_through(links.select("atom_id", F.col("duplicate_of").alias("root_id")), "roots")
+    while True:
         step = root.select(F.col("atom_id").alias("root_id"), F.col("root_id").alias("_next"))
-        root = root.join(step, "root_id", "left").select("atom_id", F.coalesce("_next", "root_id").alias("root_id"))
-    return root
+        met = root.join(step, "root_id", "left")
+        new = write_through(met.select("atom_id", F.coalesce("_next", "root_id").alias("root_id"), F.col("_next").isNotNull().alias("moved")), "roots")
+        root = new.select("atom_id", "root_id")
+        if not new.filter("moved").limit(1).count():
+            return root
 
 
 def apply_evolution(atoms: DataFrame, decisions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

@@ -75,20 +75,26 @@ def check_partition(nodes: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def canonicalize(part: DataFrame) -> DataFrame:
-    """D3. (community_id, members): singletons go; the id depends on the members only."""
-    per = part.groupBy("community").agg(F.array_sort(F.collect_set("node")).alias("members")).filter(F.size("members") > 1)
+    """D3. (community_id, members): singletons go; the id depends on the members only. A community's row is as long as
+    the community: its id is a hash of them all."""
+    per = part.distinct().groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("members")).filter(F.size("members") > 1)
     return per.select(community_id(F.col("members")).alias("community_id"), "members")
 
 
 def community_context(members: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """D4. (community_id, n_members, n_relations, members, relations): sorted, at most `most` of each. members: (node, community_id)."""
-    named = W.partitionBy("community_id").orderBy("node")
-    top = members.withColumn("_n", F.row_number().over(named))
-    people = top.groupBy("community_id").agg(F.count("*").alias("n_members"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col("node")))).alias("members"))
-    inner = edges.join(members.withColumnsRenamed({"node": "a", "community_id": "community_id"}), "a").join(members.withColumnsRenamed({"node": "b", "community_id": "cb"}), "b").filter("community_id = cb")
-    inner = inner.withColumn("_n", F.row_number().over(W.partitionBy("community_id").orderBy("a", "b")))
-    rels = inner.groupBy("community_id").agg(F.count("*").alias("n_relations"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.concat_ws("|", "a", "b")))).alias("relations"))
-    return people.join(rels, "community_id", "left").na.fill(0, ["n_relations"])
+    """D4. (community_id, n_members, n_relations, members, relations): counts, and the first `most` of each in order: ranked
+    inside parts by hash first, so that no task sorts a whole community. members: (node, community_id)."""
+
+    def top(df: DataFrame, item: str, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("item"), F.lit(32)).cast("int")
+        rows = df.select("community_id", F.expr(item).alias("item")).withColumn("part", part)
+        first = rows.withColumn("n", F.row_number().over(W.partitionBy("community_id", "part").orderBy("item"))).filter(F.col("n") <= most)
+        first = first.withColumn("n", F.row_number().over(W.partitionBy("community_id").orderBy("item"))).filter(F.col("n") <= most)
+        return df.groupBy("community_id").agg(F.count("*").alias(f"n_{name}")).join(first.groupBy("community_id").agg(F.array_sort(F.collect_list("item")).alias(name)), "community_id")
+
+    inner = edges.join(members.withColumnRenamed("node", "a"), "a").join(members.withColumnsRenamed({"node": "b", "community_id": "cb"}), "b").filter("community_id = cb")
+    out = top(members, "node", "members").join(top(inner, "concat_ws('|', a, b)", "relations"), "community_id", "left")
+    return out.na.fill(0, ["n_relations"]).withColumn("relations", F.coalesce("relations", F.array().cast("array<string>")))
 
 
 def report_usage(reports: DataFrame) -> DataFrame:
@@ -114,14 +120,19 @@ def published(spark, path: str) -> DataFrame:  # noqa: ANN001
 
 
 def assign_provisional(nodes: DataFrame, edges: DataFrame, members: DataFrame, hops: int = 3) -> DataFrame:
-    """D7. (node, community_id, distance, paths) of new nodes: nearest community, then most paths, then id."""
-    ways = both_ways(edges.select("a", "b"))
-    front = nodes.select("node", F.col("node").alias("at"), F.array("node").alias("seen"))
+    """D7. (node, community_id, distance, paths) of new nodes: nearest community, then most shortest paths, then id. Only the
+    number of ways to each node reached is carried: up to the nearest community no way turns back, so ways are paths; a node that
+    has met one goes no further."""
+    ways = write_through(both_ways(edges.select("a", "b")).distinct(), "provisional-ways")
+    front = nodes.select("node", F.col("node").alias("at"), F.lit(1).cast("long").alias("ways")).distinct()
     found = None
     for d in range(1, hops + 1):
-        front = front.join(ways.withColumnsRenamed({"node": "at", "other": "next"}), "at").filter(~F.array_contains("seen", F.col("next"))).select("node", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"))
-        hit = front.join(members.withColumnRenamed("node", "at"), "at").groupBy("node", "community_id").agg(F.count("*").alias("paths")).withColumn("distance", F.lit(d))
+        step = front.join(ways.withColumnsRenamed({"node": "at", "other": "next"}), "at").groupBy("node", F.col("next").alias("at")).agg(F.sum("ways").alias("ways"))
+        front = write_through(step, "provisional-front")
+        hit = front.join(members.withColumnRenamed("node", "at"), "at").groupBy("node", "community_id").agg(F.sum("ways").alias("paths")).withColumn("distance", F.lit(d))
+        hit = write_through(hit, "provisional-hits")
         found = hit if found is None else found.unionByName(hit)
+        front = front.join(hit.select("node").distinct(), "node", "left_anti")
     w = W.partitionBy("node").orderBy("distance", F.desc("paths"), "community_id")
     return found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("node", "community_id", "distance", "paths")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import eval_tokens, subtract_ids
 from memloom.operators.ingest import first_by
+from memloom.sources.tables import write_through
 
 
 def plan_purge(owners: DataFrame, gone: DataFrame) -> DataFrame:
@@ -168,12 +169,18 @@ def idf(docs: DataFrame) -> DataFrame:
 
 
 def tfidf_rank(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """E1-E3. (query_id, name, score, rank): sum over the query's tokens, repeated ones too, of (1 + ln tf) idf. docs: (name, text); queries: (query_id, text)."""
-    toks = docs.select("name", eval_tokens(F.col("text")).alias("tokens"))
-    tf = toks.select("name", F.explode("tokens").alias("token")).groupBy("name", "token").agg(F.count("*").alias("tf"))
+    """E1-E3. (query_id, name, score, rank): sum over the query's tokens, repeated ones too, of (1 + ln tf) idf. docs: (name, text);
+    queries: (query_id, text). Texts are read once: the table of (token, name, tf) gives the frequencies too; only tokens that
+    are asked for go on, and a token of most documents is dealt by document."""
+    tf = docs.select("name", F.explode(eval_tokens(F.col("text"))).alias("token")).groupBy("name", "token").agg(F.count("*").alias("tf"))
     asked = queries.select("query_id", F.explode(eval_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    met = asked.join(tf, "token").join(idf(toks), "token")
-    per = met.groupBy("query_id", "name").agg(F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("score")).filter("score > 0")
+    tf = write_through(tf.join(asked.select("token").distinct(), "token", "left_semi"), "term-frequencies")
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    known = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    known = asked.join(known, "token").select("query_id", "token", (F.col("times") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    salt = F.pmod(F.xxhash64("name"), F.lit(8)).cast("int")
+    met = tf.withColumn("salt", salt).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7)))), ["token", "salt"])
+    per = met.groupBy("query_id", "name").agg(F.sum(F.col("w") * (1 + F.log("tf"))).alias("score")).filter("score > 0")
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "name")
     return per.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

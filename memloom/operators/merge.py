@@ -17,7 +17,7 @@ def parse_extractions(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     rows = results.select("chunk_id", F.posexplode(F.split(text, r"\n|<\|COMPLETE\|>")).alias("pos", "record")).filter(F.trim("record") != "")
     rows = rows.withColumn("f", F.transform(F.split("record", r"<\|#\|>"), F.trim))
     kind, n = F.lower(F.get("f", F.lit(0))), F.size("f")
-    name = lambda i: normalize_extracted(F.get("f", F.lit(i)))
+    name = lambda i: normalize_extracted(F.get("f", F.lit(i)), inner_quotes=True)
     ents = rows.filter((kind == "entity") & (n == 4)).select("chunk_id", "pos", name(1).alias("name"), clean_type(F.get("f", F.lit(2))).alias("type"), name(3).alias("description"))
     rels = rows.filter(kind.isin("relation", "relationship") & (n == 5)).select("chunk_id", "pos", name(1).alias("src"), name(2).alias("tgt"), name(3).alias("keywords"), name(4).alias("description"))
     good_e = (F.coalesce("name", F.lit("")) != "") & F.col("type").isNotNull() & (F.coalesce("description", F.lit("")) != "")
@@ -55,32 +55,42 @@ def parse_keywords(results: DataFrame) -> DataFrame:
 
 def merge_entities(rows: DataFrame, cap: int = 300) -> DataFrame:
     """X10. One row per name: the most frequent type (ties: first seen), descriptions once each by time, then longer first,
-    sources once each in order, capped. rows: (name, type, description, source_id, ts, seq); stored rows come first by seq."""
+    sources once each in order, capped. rows: (name, type, description, source_id, ts, seq); stored rows come first by seq.
+    Equal descriptions and sources meet before a name's are listed, and sources are ranked and cut before that."""
     votes = rows.groupBy("name", "type").agg(F.count("*").alias("n"), F.min("seq").alias("s"))
     typed = votes.groupBy("name").agg(F.min_by("type", F.struct(-F.col("n"), F.col("s"))).alias("type"))
-    parts = rows.groupBy("name").agg(
-        F.array_sort(F.collect_list(F.struct("ts", (-F.length("description")).alias("l"), "seq", "description"))).alias("d"),
-        F.array_sort(F.collect_list(F.struct("seq", "source_id"))).alias("s"),
-    )
-    out = parts.select("name", F.array_distinct(F.transform("d", lambda x: x["description"])).alias("descriptions"), cap_ids(F.array_distinct(F.transform("s", lambda x: x["source_id"])), cap).alias("source_ids"))
-    return out.join(typed, "name")
+    texts = rows.groupBy("name", "description").agg(F.min(F.struct("ts", (-F.length("description")).alias("l"), "seq")).alias("o"))
+    texts = texts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("o", "description"))).alias("d"))
+    first = rows.groupBy("name", "source_id").agg(F.min("seq").alias("seq"))
+    first = first.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("seq", "source_id"))).filter(F.col("n") <= cap)
+    ids = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "source_id"))).alias("s"))
+    listed = lambda c, f: F.transform(c, lambda x: x[f]).alias
+    out = texts.join(ids, "name").join(typed, "name")
+    return out.select("name", listed("d", "description")("descriptions"), listed("s", "source_id")("source_ids"), "type")
 
 
-def merge_relations(stored: DataFrame, new: DataFrame) -> DataFrame:
+def merge_relations(stored: DataFrame, new: DataFrame, most: int = 300) -> DataFrame:
     """X11. One row per unordered pair: stored weight and the weights of new rows whose source is set and not stored yet (a
-    source counts once); keywords once each, sorted; sources in order. stored: (a, b, weight, keywords array, source_ids array);
-    new: (src, tgt, weight, keyword, source_id, seq)."""
-    rows = new.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b"), "weight", "keyword", "source_id", "seq")
-    old = stored.withColumnsRenamed({"weight": "w0", "keywords": "k0", "source_ids": "s0"})
-    met = rows.join(old.select("a", "b", "s0"), ["a", "b"], "left")
-    fresh = (F.coalesce("source_id", F.lit("")) != "") & ~F.coalesce(F.array_contains("s0", F.col("source_id")), F.lit(False))
-    once = F.row_number().over(W.partitionBy("a", "b", "source_id").orderBy("seq")) == 1
-    met = met.withColumn("w", F.when(fresh & once, F.col("weight")).otherwise(0.0))
-    per = met.groupBy("a", "b").agg(F.sum("w").alias("w"), F.collect_set("keyword").alias("k"), F.array_sort(F.collect_list(F.when(F.col("source_id") != "", F.struct("seq", "source_id")))).alias("s"))
-    out = per.join(old, ["a", "b"], "full")
+    source counts once, by its first row); keywords once each, sorted; descriptions once each, in order; sources in order,
+    at most `most`. stored: (a, b, weight, keywords array, source_ids array); new: (src, tgt, weight, keyword, source_id,
+    seq, and, if there is one, description). Rows of one source meet first, stored sources are an anti join: nothing is as
+    long as a pair's history but the one row that holds it."""
+    described = "description" in new.columns
+    rows = new.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b"), "weight", "keyword", F.coalesce("source_id", F.lit("")).alias("source_id"), "seq", *(["description"] if described else []))
+    words = F.collect_set(F.col("keyword"))
+    told = [F.min(F.struct("seq", "description")).alias("d")] if described else []
+    per_source = rows.groupBy("a", "b", "source_id").agg(F.min(F.struct("seq", "weight")).alias("first"), words.alias("k"), *told)
+    known = stored.select("a", "b", F.explode("source_ids").alias("source_id")).distinct().withColumn("_s", F.lit(True))
+    fresh = (F.col("source_id") != "") & F.col("_s").isNull()
+    met = per_source.join(known, ["a", "b", "source_id"], "left").select("a", "b", "k", *(["d"] if described else []), F.when(fresh, F.col("first.weight")).otherwise(0.0).alias("w"), F.when(fresh, F.struct(F.col("first.seq").alias("seq"), "source_id")).alias("s"))
+    heard = [F.collect_list("d").alias("d")] if described else []
+    per = met.groupBy("a", "b").agg(F.sum("w").alias("w"), F.array_distinct(F.flatten(F.collect_set("k"))).alias("k"), F.collect_list("s").alias("s"), *heard)
+    out = per.join(stored.withColumnsRenamed({"weight": "w0", "keywords": "k0", "source_ids": "s0"}), ["a", "b"], "full")
     empty = F.array().cast("array<string>")
-    ids = F.transform(F.coalesce("s", F.array().cast("array<struct<seq:bigint,source_id:string>>")), lambda x: x["source_id"])
-    return out.select("a", "b", (F.coalesce("w0", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))).alias("weight"), F.array_sort(F.array_union(F.coalesce("k0", empty), F.coalesce("k", empty))).alias("keywords"), F.array_distinct(F.concat(F.coalesce("s0", empty), ids)).alias("source_ids"))
+    ordered = lambda c, kind, field: F.transform(F.array_sort(F.coalesce(c, F.array().cast(f"array<struct<seq:bigint,{kind}:string>>"))), lambda x: x[field])
+    ids = cap_ids(F.array_distinct(F.concat(F.coalesce("s0", empty), ordered(F.col("s"), "source_id", "source_id"))), most)
+    told = [F.array_distinct(ordered(F.col("d"), "description", "description")).alias("descriptions")] if described else []
+    return out.select("a", "b", (F.coalesce("w0", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))).alias("weight"), F.array_sort(F.array_union(F.coalesce("k0", empty), F.coalesce("k", empty))).alias("keywords"), ids.alias("source_ids"), *told)
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -99,6 +109,20 @@ def plan_summaries(parts: DataFrame, fewest: int = 8, limit: int = 1200, context
     return rows.groupBy("owner", "mode", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "description"))), lambda x: x["description"]).alias("descriptions"))
 
 
-def touched(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """X17. Names that a batch touches."""
-    return entities.select("name").union(relations.select(F.explode(F.array("src", "tgt")))).distinct()
+def touched(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """X17. (names, pairs) that a batch touches; pairs are unordered."""
+    names = entities.select("name").union(relations.select(F.explode(F.array("src", "tgt")))).distinct()
+    return names, relations.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).distinct()
+
+
+def cap_sources(rows: DataFrame, most: int, newest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """X13. (owners with capped source_ids, kept fragments) of fragments (owner, source_id, seq, is_new): the oldest `most`
+    sources of an owner stay (newest: the latest); without newest, new fragments of sources that were cut go too."""
+    first = rows.groupBy("owner", "source_id").agg(F.min("seq").alias("s"))
+    order = F.desc("s") if newest else F.asc("s")
+    kept = first.withColumn("n", F.row_number().over(W.partitionBy("owner").orderBy(order, "source_id"))).filter(F.col("n") <= most)
+    owners = kept.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("s", "source_id"))).alias("x")).select("owner", F.transform("x", lambda x: x["source_id"]).alias("source_ids"))
+    if newest:
+        return owners, rows
+    old = rows.join(kept.select("owner", "source_id", F.lit(True).alias("_k")), ["owner", "source_id"], "left")
+    return owners, old.filter(F.col("_k") | ~F.col("is_new")).select(*rows.columns)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.operators.ingest import first_by
 
-#: Queries that one task compares a block of vectors with at once.
-QUERY_BLOCK = 512
+#: Queries in one block, and numbers in all queries up to which they are one matrix on every task (32 MB).
+QUERY_BLOCK, MATRIX = 512, 1 << 22
+#: Vectors from which the cells of the approximate search are learned, passes over them, most cells.
+SAMPLE, PASSES, CELLS = 8192, 8, 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,48 +28,120 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot / norm)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2) -> DataFrame:
-    """V1. (query_id, id, score, rank): the k nearest by cosine at or above threshold; ties by id. queries (query_id, qv)
-    are compared in blocks with every vector (id, v); each task keeps the best k of its block before the shuffle.
-    Vectors of another dimension, null ones and zero norms do not match."""
-    block = F.floor(F.monotonically_increasing_id() % (1 << 33) / QUERY_BLOCK).alias("block")
-    asked = queries.select(F.spark_partition_id().alias("part"), block, "query_id", "qv").groupBy("part", "block").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    # a stated query set meets all rows, block by block
-    met = corpus.select("id", "v").crossJoin(asked.select("qs"))
-    kind = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                v = np.asarray(r.v if r.v is not None else [], dtype=np.float64)
-                n = np.linalg.norm(v)
-                if not n:
-                    continue
-                for q in r.qs:
-                    u = np.asarray(q["qv"] if q["qv"] is not None else [], dtype=np.float64)
-                    m = np.linalg.norm(u)
-                    if len(u) == len(v) and m and (s := float(u @ v / (m * n))) >= threshold:
-                        out.append((q["query_id"], r.id, s))
-            yield pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    scored = met.mapInPandas(best, f"query_id {kind[0]}, id {kind[1]}, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def matrix(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit rows) of the vectors of one length that are not null and not zero; dim None: the first one's length."""
+    at = [i for i, r in enumerate(rows) if r is not None and len(r) and (dim is None or len(r) == dim)]
+    if dim is None and at:
+        return matrix(rows, len(rows[at[0]]))
+    x = np.array([rows[i] for i in at], dtype=np.float64).reshape(len(at), -1)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x)) if len(at) else np.zeros(0)
+    good = np.isfinite(norm) & (norm > 0)
+    return np.array(at, dtype=np.int64)[good], x[good] / norm[good, None]
+
 
+def nearest(x: np.ndarray, q: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of q, score) of the k best rows of x for each row of q, and whatever ties with the last of them."""
+    near = x @ q.T
+    last = np.partition(near, len(x) - k, axis=0)[len(x) - k] if len(x) > k else np.full(len(q), -np.inf)
+    i, j = np.nonzero(near >= np.maximum(last, threshold) - 1e-9)
+    score = np.einsum("ij,ij->i", x[i], q[j])  # each pair by itself: equal vectors have equal scores
+    keep = score >= threshold
+    return i[keep], j[keep], score[keep]
 
-def vector_topk_ann(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2, tables: int = 12, width: float = 1.2) -> DataFrame:
-    """V2. Approximate V1: random-projection buckets on unit vectors, then exact ranks of what meets."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    left = queries.select("query_id", array_to_vector(unit(F.col("qv"))).alias("u"))
-    right = corpus.select("id", array_to_vector(unit(F.col("v"))).alias("u"))
-    lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(right)
-    near = lsh.approxSimilarityJoin(left, right, float(np.sqrt(2 - 2 * threshold)), distCol="d")
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2) -> DataFrame:
+    """V1. (query_id, id, score, rank): the k nearest by cosine at or above threshold; ties by id. queries (query_id, qv)
+    are compared with every vector (id, v) by matrix products; each batch of vectors keeps its best k for each query
+    before the shuffle. Vectors of another dimension, null ones and zero norms do not match. Queries of up to MATRIX
+    numbers are sent to the tasks as one matrix; more are a table of blocks, each of which meets all vectors."""
+    asked = queries.select("query_id", "qv")
+    shape = T.StructType([asked.schema["query_id"], corpus.schema["id"]]).add("score", "double")
+    few = asked.limit(MATRIX // 16 + 1).toArrow()  # a bounded number of rows
+    numbers = sum(len(v) for v in few.column("qv").to_pylist() if v is not None)
+    one = few.num_rows <= MATRIX // 16 and numbers <= MATRIX
+    if one:
+        ids, qv = few.column("query_id").combine_chunks(), few.column("qv").to_pylist()
+        dims = {len(v) for v in qv if v}
+        known = [(dim, *matrix(qv, dim)) for dim in sorted(dims)]
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = b.column(1).to_pylist()
+                for dim, at, q in known:
+                    place, x = matrix(rows, dim)
+                    if len(x) and len(q):
+                        i, j, score = nearest(x, q, k, threshold)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[j])), b.column(0).take(pa.array(place[i])), pa.array(score)], shape.names)
+
+        return ranked(corpus.select("id", "v").mapInArrow(best, shape), k)
+    block = F.floor(F.monotonically_increasing_id() % (1 << 33) / QUERY_BLOCK).alias("block")
+    own = asked.filter(F.size("qv") > 0).select(F.spark_partition_id().alias("part"), block, F.size("qv").alias("dim"), "query_id", "qv")
+    blocks = own.groupBy("part", "block", "dim").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))  # QUERY_BLOCK at most
+    place = F.floor(F.monotonically_increasing_id() % (1 << 33) / 4096).alias("block")
+    vectors = corpus.filter(F.size("v") > 0).select(F.spark_partition_id().alias("part"), place, F.size("v").alias("dim"), "id", "v")
+    vectors = vectors.groupBy("part", "block", "dim").agg(F.collect_list(F.struct("id", "v")).alias("vs"))  # 4096 at most
+    met = vectors.select("dim", "vs").join(blocks.select("dim", "qs"), "dim").select("vs", "qs")
+
+    def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for vs, qs in zip(b.column(0), b.column(1), strict=True):
+                (place, x), (at, q) = matrix(vs.values.field("v").to_pylist()), matrix(qs.values.field("qv").to_pylist())
+                if len(x) and len(q):
+                    i, j, score = nearest(x, q, k, threshold)
+                    yield pa.RecordBatch.from_arrays([qs.values.field("query_id").take(pa.array(at[j])), vs.values.field("id").take(pa.array(place[i])), pa.array(score)], shape.names)
+
+    return ranked(met.mapInArrow(blockwise, shape), k)
+
+
+def cells_of(corpus: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
+    """Unit centres of cells, from a bounded sample by a hash of the id: a few passes of k-means by cosine."""
+    rows = corpus.filter(F.size("v") > 0).orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).toArrow().column("v").to_pylist()
+    _, x = matrix(rows)
+    rng = np.random.default_rng(seed)
+    centre = x[rng.choice(len(x), min(cells, len(x)), replace=False)] if len(x) else x
+    for _ in range(PASSES):
+        own = np.argmax(x @ centre.T, axis=1) if len(x) else np.zeros(0, dtype=int)
+        total = np.zeros_like(centre)
+        np.add.at(total, own, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centre = np.where(norm > 0, total / np.maximum(norm, 1e-12), centre)
+    return centre
+
+
+def vector_topk_ann(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2, cells: int = 64, probes: int = 24) -> DataFrame:
+    """V2. Approximate V1: every vector lies in the cell of its nearest centre, a query asks the nearest `probes` cells, and
+    what it meets there is ranked exactly. The centres are learned from SAMPLE vectors at most, all vectors are indexed.
+    Vectors of another length than the sample's first, null and zero ones do not match. A cell is dealt by vectors too
+    (salted), so a crowded one is no single task."""
+    centre = cells_of(corpus, min(cells, CELLS))
+    dim = centre.shape[1] if len(centre) else 0
+
+    def routed(most: int, key: str, column: str, df: DataFrame) -> DataFrame:
+        shape = T.StructType([df.schema[key]]).add("u", T.ArrayType(T.DoubleType())).add("cell", T.IntegerType())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, x = matrix(b.column(1).to_pylist(), dim)
+                if len(x):
+                    cell = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :most]
+                    row = np.repeat(np.arange(len(x)), cell.shape[1])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[row])), pa.array(list(x[row]), pa.list_(pa.float64())), pa.array(cell.ravel().astype(np.int32))], shape.names)
+
+        return df.select(key, column).mapInArrow(run, shape)
+
+    deal = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")
+    right = routed(1, "id", "v", corpus).withColumn("deal", deal)
+    left = routed(probes, "query_id", "qv", queries).withColumnRenamed("u", "q").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    add = F.aggregate(F.zip_with("q", "u", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    scored = left.join(right, ["cell", "deal"]).select("query_id", "id", add.alias("score")).filter(F.col("score") >= threshold)
+    return ranked(scored, k)
+
+
 def drop_incident(vectors: DataFrame, names: DataFrame) -> DataFrame:
     """V3. Relation vectors (src, tgt, ...) that touch none of the names."""
     out = vectors.join(names.select(F.col("name").alias("src")), "src", "left_anti")
