@@ -81,7 +81,7 @@ def normalize_extracted(text: Column, inner_quotes: bool = False) -> Column:
 
 def clean_type(text: Column) -> Column:
     """The first non-empty part of a comma list, lower case without spaces; null if it holds forbidden characters."""
-    first = F.get(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), F.lit(0))
+    first = F.get(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
     return F.when(first.rlike(r"""['"()<>|/\\]"""), None).otherwise(F.lower(F.regexp_replace(first, r"\s+", "")))
 
 

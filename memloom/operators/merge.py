@@ -15,7 +15,7 @@ def parse_extractions(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     """X1, X3. (entities, relations, errors) from (chunk_id, result): one record a line, fields split at the separator."""
     text = repair_delimiters(sanitize(F.col("result")))
     rows = results.select("chunk_id", F.posexplode(F.split(text, r"\n|<\|COMPLETE\|>")).alias("pos", "record")).filter(F.trim("record") != "")
-    rows = rows.withColumn("f", F.transform(F.split("record", r"<\|#\|>"), F.trim))
+    rows = rows.withColumn("f", F.transform(F.split("record", r"<\|#\|>"), lambda x: F.trim(x)))
     kind, n = F.lower(F.get("f", F.lit(0))), F.size("f")
     name = lambda i: normalize_extracted(F.get("f", F.lit(i)), inner_quotes=True)
     ents = rows.filter((kind == "entity") & (n == 4)).select("chunk_id", "pos", name(1).alias("name"), clean_type(F.get("f", F.lit(2))).alias("type"), name(3).alias("description"))
@@ -28,14 +28,16 @@ def parse_extractions(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return ents.filter(good_e), rels.filter(good_r), errors
 
 
-def parse_extractions_json(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """X2. As X1 from JSON, fenced or inside prose (outermost braces); what does not parse is an error."""
+def parse_extractions_json(results: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """X2. As X1 from JSON, fenced or inside prose (outermost braces); of JSON that was cut off the whole records before the
+    cut; at most `most` records of each kind; what does not parse is an error."""
     shape = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,keywords:string,description:string>>"
     body = F.regexp_extract("result", r"(?s)(\{.*\})", 1)
-    rows = results.select("chunk_id", F.from_json(body, shape).alias("j"))
+    whole = lambda c: F.when(F.json_object_keys(c).isNotNull(), F.from_json(c, shape))
+    rows = results.select("chunk_id", F.coalesce(whole(body), whole(F.concat(body, F.lit("]}")))).alias("j"))
     bad = F.col("j").isNull() | (F.col("j.entities").isNull() & F.col("j.relations").isNull())
-    ents = rows.select("chunk_id", F.posexplode("j.entities").alias("pos", "e")).select("chunk_id", "pos", "e.*").filter(F.trim("name") != "")
-    rels = rows.select("chunk_id", F.posexplode("j.relations").alias("pos", "r")).select("chunk_id", "pos", F.col("r.source").alias("src"), F.col("r.target").alias("tgt"), "r.keywords", "r.description").filter("src <> tgt")
+    ents = rows.select("chunk_id", F.posexplode(F.slice("j.entities", 1, most)).alias("pos", "e")).select("chunk_id", "pos", "e.*").filter(F.trim("name") != "")
+    rels = rows.select("chunk_id", F.posexplode(F.slice("j.relations", 1, most)).alias("pos", "r")).select("chunk_id", "pos", F.col("r.source").alias("src"), F.col("r.target").alias("tgt"), "r.keywords", "r.description").filter("src <> tgt")
     return ents, rels, rows.filter(bad).select("chunk_id", F.lit(0).alias("pos"), F.lit("json").alias("reason"))
 
 
@@ -49,7 +51,7 @@ def merge_passes(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFr
 def parse_keywords(results: DataFrame) -> DataFrame:
     """X9. (query_id, high, low) from (query_id, result)."""
     j = F.from_json(F.regexp_extract("result", r"(?s)(\{.*\})", 1), "high_level_keywords array<string>, low_level_keywords array<string>")
-    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     return results.select("query_id", j.alias("j")).select("query_id", tidy(F.col("j.high_level_keywords")).alias("high"), tidy(F.col("j.low_level_keywords")).alias("low"))
 
 
