@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import normalize_name, pair_id
 from memloom.operators.community import connected
 from memloom.operators.ingest import first_by, upsert
+from memloom.operators.vector import vector_topk
 
 
 def coalesce_aliases(mentions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,16 +30,23 @@ def candidates_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.withColumn("normalized_alias", normalize_name(F.col("name"))).join(aliases, "normalized_alias").select("name", "entity_id", F.lit(1.0).alias("score"), "normalized_alias").distinct()
 
 
-def candidates_lexical(names: DataFrame, aliases: DataFrame, gram: int = 3) -> DataFrame:
-    """R3. One contains the other, score 0.8: blocked by the shorter one's first characters as grams of the longer, then verified."""
-    n = names.select("name", normalize_name(F.col("name")).alias("q")).filter(F.length("q") >= gram)
-    a = aliases.select("entity_id", F.col("normalized_alias").alias("al")).filter(F.length("al") >= gram)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substring(c, i, F.lit(gram))))
+def candidates_lexical(names: DataFrame, aliases: DataFrame, gram: int = 3, most: int | None = None) -> DataFrame:
+    """R3. One contains the other, score 0.8, equal ones 1.0: blocked by the shorter one's first characters (as many as it has,
+    gram at most) as runs of the longer, then verified. With `most`, a name keeps that many rows: equal ones first, then
+    shorter aliases."""
+    n = names.select("name", normalize_name(F.col("name")).alias("q")).filter("q <> ''")
+    a = aliases.select("entity_id", F.col("normalized_alias").alias("al")).filter("al <> ''")
+    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    grams = lambda c: F.explode(F.array_distinct(F.concat(*(runs(c, k) for k in range(1, gram + 1)))))
     head = lambda c: F.substring(c, 1, gram)
-    one = n.withColumn("g", F.explode(grams(F.col("q")))).join(a.withColumn("g", head("al")), "g").filter(F.contains("q", F.col("al")))
-    two = a.withColumn("g", F.explode(grams(F.col("al")))).join(n.withColumn("g", head("q")), "g").filter(F.contains("al", F.col("q")))
+    one = n.withColumn("g", grams(F.col("q"))).join(a.withColumn("g", head("al")), "g").filter(F.contains("q", F.col("al")))
+    two = a.withColumn("g", grams(F.col("al"))).join(n.withColumn("g", head("q")), "g").filter(F.contains("al", F.col("q")))
     both = one.select("name", "entity_id", "q", "al").union(two.select("name", "entity_id", "q", "al")).distinct()
-    return both.select("name", "entity_id", F.when(F.col("q") == F.col("al"), 1.0).otherwise(0.8).alias("score"), F.col("al").alias("normalized_alias"))
+    out = both.select("name", "entity_id", F.when(F.col("q") == F.col("al"), 1.0).otherwise(0.8).alias("score"), F.col("al").alias("normalized_alias"))
+    if most is None:
+        return out
+    w = W.partitionBy("name").orderBy(F.desc("score"), F.length("normalized_alias"), "normalized_alias", "entity_id")
+    return out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 
 def candidates_fulltext(names: DataFrame, aliases: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -56,6 +64,16 @@ def candidates_fulltext(names: DataFrame, aliases: DataFrame, k1: float = 1.2, b
     return per.filter("n = need").select("name", "entity_id", F.lit(0.7).alias("score"), "normalized_alias", "bm25")
 
 
+def candidates_vector(names: DataFrame, embeddings: DataFrame, k: int = 8, threshold: float = 0.72) -> DataFrame:
+    """R5. (name, entity_id, score, rank): each entity's best row by cosine at or above threshold, the k best entities of a
+    name. names: (name, qv); embeddings: (entity_id, v), several rows an entity."""
+    rows = embeddings.select(F.struct("entity_id", F.monotonically_increasing_id().alias("row")).alias("id"), "v")
+    near = vector_topk(names.select(F.col("name").alias("query_id"), "qv"), rows, 1 << 30, threshold)
+    best = near.groupBy(F.col("query_id").alias("name"), F.col("id.entity_id").alias("entity_id")).agg(F.max("score").alias("score"))
+    w = W.partitionBy("name").orderBy(F.desc("score"), "entity_id")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def candidate_union(parts: list[DataFrame], most: int = 8) -> DataFrame:
     """R6. (name, entity_id, score, rank): each entity's best score, top `most`."""
     union = parts[0].select("name", "entity_id", "score")
@@ -65,12 +83,36 @@ def candidate_union(parts: list[DataFrame], most: int = 8) -> DataFrame:
     return union.groupBy("name", "entity_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def apply_entity_decisions(requests: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """R7. (name, entity_id, is_new): a decision outside the candidates, or none, makes a new entity, its id from the name's hash."""
-    ok = candidates.select("name", "entity_id").distinct().withColumn("_ok", F.lit(True))
+def describe_candidates(candidates: DataFrame, entities: DataFrame, atoms: DataFrame, last: int = 8) -> DataFrame:
+    """R6. candidates with canonical_name and text: the name and the contents of the entity's last atoms, a line each.
+    entities: (entity_id, canonical_name); atoms: (owner_id, content, seq)."""
+    mine = atoms.join(candidates.select(F.col("entity_id").alias("owner_id")).distinct(), "owner_id", "left_semi")
+    ranked = mine.withColumn("_n", F.row_number().over(W.partitionBy("owner_id").orderBy(F.desc("seq")))).filter(F.col("_n") <= last)
+    per = ranked.groupBy(F.col("owner_id").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("c"))
+    out = candidates.join(entities.select("entity_id", "canonical_name"), "entity_id").join(per, "entity_id", "left")
+    text = F.concat_ws("\n", "canonical_name", F.array_join(F.transform("c", lambda x: x["content"]), "\n"))
+    return out.withColumn("text", text).drop("c")
+
+
+def apply_entity_decisions(requests: DataFrame, decisions: DataFrame, candidates: DataFrame, aliases: DataFrame) -> DataFrame:
+    """R7. (name, entity_id, is_new, canonical_name, new_aliases). A decision outside the candidates, or none, makes a new
+    entity, its id from the name's hash; a new name that equals a candidate's gets its type and a hash behind it. Known
+    entities get the request's aliases that they lack. requests: (name, entity_type, aliases); decisions: (name,
+    entity_id); candidates: (name, entity_id, canonical_name); aliases: (entity_id, normalized_alias)."""
+    ok = candidates.select("name", "entity_id", F.col("canonical_name").alias("_known")).distinct()
     met = requests.join(decisions.select("name", "entity_id"), "name", "left").join(ok, ["name", "entity_id"], "left")
-    fresh = F.concat(F.lit("entity-"), F.substring(F.sha2(normalize_name(F.col("name")), 256), 1, 32))
-    return met.select("name", F.when(F.col("_ok"), F.col("entity_id")).otherwise(fresh).alias("entity_id"), F.col("_ok").isNull().alias("is_new"))
+    taken = candidates.groupBy("name").agg(F.collect_set(normalize_name(F.col("canonical_name"))).alias("_taken"))  # a name's few candidates
+    met = met.join(taken, "name", "left").withColumn("is_new", F.col("_known").isNull())
+    digest = F.sha2(normalize_name(F.col("name")), 256)
+    clash = F.coalesce(F.array_contains("_taken", normalize_name(F.col("name"))), F.lit(False))
+    named = F.when(clash, F.concat("name", F.lit(" ("), F.coalesce("entity_type", F.lit("entity")), F.lit(":"), F.substring(digest, 1, 8), F.lit(")"))).otherwise(F.col("name"))
+    met = met.withColumn("entity_id", F.when(F.col("is_new"), F.concat(F.lit("entity-"), F.substring(digest, 1, 32))).otherwise(F.col("entity_id")))
+    met = met.withColumn("canonical_name", F.when(F.col("is_new"), named).otherwise(F.col("_known")))
+    each = met.select("name", "entity_id", F.posexplode("aliases").alias("pos", "alias")).withColumn("normalized_alias", normalize_name(F.col("alias")))
+    fresh = each.join(aliases.select("entity_id", "normalized_alias").distinct(), ["entity_id", "normalized_alias"], "left_anti")
+    fresh = fresh.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "alias"))).alias("x"))
+    out = met.join(fresh, "name", "left")
+    return out.select("name", "entity_id", "is_new", "canonical_name", F.coalesce(F.transform("x", lambda x: x["alias"]), F.array().cast("array<string>")).alias("new_aliases"))
 
 
 def resolve_relations(edges: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -99,18 +141,45 @@ def ambiguous_aliases(aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     return many, per
 
 
-def resolve_alias(aliases: DataFrame, winners: DataFrame) -> DataFrame:
-    """R11. aliases (entity_id, normalized_alias) without rivals' claims on aliases that have a winner (normalized_alias, winner)."""
+def resolve_alias(aliases: DataFrame, winners: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R11. (aliases, merged): aliases (entity_id, normalized_alias) without rivals' claims on those that have a winner
+    (normalized_alias, winner); rivals whose own name is the alias are duplicates of the winner: merged (duplicate, winner)
+    goes to `merge_duplicate_entities`. entities: (entity_id, canonical_name)."""
     met = aliases.join(winners, "normalized_alias", "left")
-    return met.filter(F.col("winner").isNull() | (F.col("winner") == F.col("entity_id"))).select(*aliases.columns)
-
-
-def merge_duplicate_entities(atoms: DataFrame, relations: DataFrame, aliases: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """R12. Atoms, relations and aliases moved to winners (duplicate, winner); relations are regrouped, loops go."""
-    move = lambda df, c: df.join(merged.withColumnsRenamed({"duplicate": c, "winner": "_w"}), c, "left").withColumn(c, F.coalesce("_w", c)).drop("_w").select(*df.columns)
-    rel = move(move(relations, "a"), "b").filter("a <> b").withColumn("x", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).withColumn("a", F.col("x")).drop("x")
-    rel = rel.groupBy("a", "b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keywords"))
-    return move(atoms, "owner_id"), rel, move(aliases, "entity_id").distinct()
+    kept = met.filter(F.col("winner").isNull() | (F.col("winner") == F.col("entity_id"))).select(*aliases.columns)
+    lost = met.filter("winner <> entity_id").join(entities.select("entity_id", normalize_name(F.col("canonical_name")).alias("_own")), "entity_id")
+    return kept, lost.filter("_own = normalized_alias").groupBy(F.col("entity_id").alias("duplicate")).agg(F.min("winner").alias("winner"))
+
+
+def moved(df: DataFrame, merged: DataFrame, *columns: str) -> DataFrame:
+    """df with duplicates' ids in these columns replaced by their winners'."""
+    for c in columns:
+        df = df.join(merged.select(F.col("duplicate").alias(c), F.col("winner").alias("_w")), c, "left").withColumn(c, F.coalesce("_w", c)).drop("_w").select(*df.columns)
+    return df
+
+
+def merge_duplicate_entities(tables: dict[str, DataFrame], merged: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
+    """R12. Tables after duplicates went to their winners, merged (duplicate, winner): atoms (owner_id, and subject_entity_id and
+    object_entity_id if there are), embeddings (owner_id), memberships and aliases (entity_id, each row once), relations
+    (a, b, keywords) regrouped without loops; checkpoints (owner_id) of duplicates go; entities (entity_id, expired_at)
+    of duplicates expire. Tables that are not given are left out."""
+    out = dict(tables)
+    if "atoms" in out:
+        out["atoms"] = moved(out["atoms"], merged, *(c for c in ("owner_id", "subject_entity_id", "object_entity_id") if c in out["atoms"].columns))
+    if "relations" in out:
+        rel = moved(out["relations"], merged, "a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.explode_outer("keywords").alias("k"))
+        out["relations"] = rel.groupBy("a", "b").agg(F.array_sort(F.collect_set("k")).alias("keywords"))
+    for name, column in (("embeddings", "owner_id"), ("memberships", "entity_id"), ("aliases", "entity_id")):
+        if name in out:
+            rows = moved(out[name], merged, column)
+            out[name] = rows if name == "embeddings" else rows.distinct()
+    if "checkpoints" in out:
+        out["checkpoints"] = out["checkpoints"].join(merged.select(F.col("duplicate").alias("owner_id")), "owner_id", "left_anti")
+    if "entities" in out:
+        e = out["entities"]
+        gone = merged.select(F.col("duplicate").alias("entity_id"), F.lit(True).alias("_d"))
+        out["entities"] = e.join(gone, "entity_id", "left").withColumn("expired_at", F.coalesce("expired_at", F.when(F.col("_d"), F.current_timestamp() if now is None else now))).select(*e.columns)
+    return out
 
 
 def merge_graph_entities(nodes: DataFrame, edges: DataFrame, merged: DataFrame, strategies: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -128,20 +197,29 @@ def merge_graph_entities(nodes: DataFrame, edges: DataFrame, merged: DataFrame,
         "max": lambda c: F.max(c),
     }
     out = rows.groupBy("node").agg(*(how[s](c).alias(c) for c, s in strategies.items()))
-    move = lambda df, c: df.join(merged.withColumnsRenamed({"duplicate": c, "winner": "_w"}), c, "left").withColumn(c, F.coalesce("_w", c)).drop("_w")
-    e = move(move(edges, "a"), "b").filter("a <> b")
+    e = moved(edges, merged, "a", "b").filter("a <> b")
     return out, e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-def apply_graph_edits(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """R14. edits (node, action, new_name, description): delete cascades to edges, rename rewrites them, update and create set the
-    description; the last edit of a node (seq) counts."""
+def apply_graph_edits(nodes: DataFrame, edges: DataFrame, edits: DataFrame, edge_edits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """R14. edits (node, action, new_name, description, seq): delete cascades to edges, rename rewrites them, update and create
+    set the description; the last edit of a node counts. edge_edits (src, tgt, action, weight, seq), by the names that hold after
+    the renames: delete, update and create of unordered pairs; created ones need both nodes."""
     last = first_by(edits, ["node"], ["seq"], desc=True)
     met = nodes.join(last.select("node", "action", "new_name", F.col("description").alias("_d")), "node", "full")
     out = met.filter(F.coalesce("action", F.lit("")) != "delete").select(F.coalesce("new_name", "node").alias("node"), F.coalesce("_d", "description").alias("description"))
     gone = last.filter("action = 'delete'").select("node")
-    names = last.filter("new_name is not null").select("node", "new_name")
+    names = last.filter("new_name is not null").select(F.col("node").alias("duplicate"), F.col("new_name").alias("winner"))
     e = edges
     for c in ("a", "b"):
-        e = e.join(gone.withColumnRenamed("node", c), c, "left_anti").join(names.withColumnsRenamed({"node": c, "new_name": "_n"}), c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
-    return out, e.select(*edges.columns)
+        e = e.join(gone.withColumnRenamed("node", c), c, "left_anti")
+    e = moved(e, names, "a", "b").select(*edges.columns)
+    if edge_edits is None:
+        return out, e
+    pair = edge_edits.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b"), "action", F.col("weight").alias("_weight"), "seq")
+    pair = first_by(pair, ["a", "b"], ["seq"], desc=True).drop("seq")
+    for c in ("a", "b"):
+        pair = pair.join(out.select(F.col("node").alias(c)), c, "left_semi")
+    e = e.withColumn("x", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).withColumn("a", F.col("x")).drop("x")
+    met = e.withColumn("_old", F.lit(True)).join(pair, ["a", "b"], "full").filter("coalesce(action, '') <> 'delete' and (_old or action = 'create')")
+    return out, met.withColumn("weight", F.coalesce("_weight", "weight")).select(*edges.columns)

@@ -44,7 +44,9 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()) -> Call
             order: list[str] = []
             for u in uses:
                 order += [x for x in (*NEEDS.get(u, ()), u) if x not in order]
-            ORACLE_SQL[name] = ("WITH " + ", ".join(f"{x} AS ({SQL_VIEWS[x]})" for x in order) + " " if order else "") + sql
+            views, body = ", ".join(f"{x} AS ({SQL_VIEWS[x]})" for x in order), sql.strip()
+            own = body.startswith("WITH ")  # a query's own tables follow the views
+            ORACLE_SQL[name] = f"WITH {views}{', ' + body[5:] if own else ' ' + body}" if order else body
         return f
 
     return put
