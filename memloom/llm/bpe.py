@@ -256,18 +256,18 @@ def escaped(text: str) -> str:
 
 
 class Memo(dict):
-    """Values by text, bounded: what is not asked for while UNIT_LIMIT others come is forgotten."""
+    """Values by text, bounded: what is not asked for while `most` others come is forgotten."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.most = make, {}, most
 
     def __missing__(self, key: str):  # noqa: ANN204
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= LONG:
-            if len(self) >= UNIT_LIMIT:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -278,10 +278,10 @@ class Words:
     """What a text's units add up to: `value` of each unit, added by `join` (numbers, or bytes). Words between single
     spaces are looked up whole, since most come again; a word that is not known is cut into its units."""
 
-    def __init__(self, m: PieceModel, value: Callable, join: Callable[[Iterable], object]):
-        self.model, self.join, self.units = m, join, Memo(value)
-        self.words = Memo(lambda word: self.of_units(SPACE + word))
-        self.starts = Memo(self.of_units)
+    def __init__(self, m: PieceModel, value: Callable, join: Callable[[Iterable], object], most: int = UNIT_LIMIT):
+        self.model, self.join, self.units = m, join, Memo(value, most)
+        self.words = Memo(lambda word: self.of_units(SPACE + word), most)
+        self.starts = Memo(self.of_units, most)
 
     def of_units(self, normal: str):  # noqa: ANN201
         """The value of a text in normal form that starts and ends at borders."""

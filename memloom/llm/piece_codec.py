@@ -37,10 +37,10 @@ Matrix = dict[State, dict[State, int]]
 
 
 @functools.lru_cache(maxsize=2)
-def words(path: str) -> bpe.Words:
+def words(path: str, most: int) -> bpe.Words:
     """The ids of whole texts, as bytes."""
     m = bpe.model(path)
-    return bpe.Words(m, lambda unit: np.array(m.segmented(unit), dtype=np.int32).tobytes(), b"".join)
+    return bpe.Words(m, lambda unit: np.array(m.segmented(unit), dtype=np.int32).tobytes(), b"".join, most)
 
 
 def walk(m: bpe.PieceModel, text: str, before: int, skip: int) -> tuple[list[int | None], list[int]]:
@@ -201,29 +201,34 @@ def matrices_of(pdf: pd.DataFrame) -> tuple[list[int], list[Matrix]]:
     return list(order), list(order.values())
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, columns of keep, ids array<int>) of each row's whole text: what the library gives, without special ids.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), verify: bool = False, memo: int = bpe.UNIT_LIMIT) -> DataFrame:
+    """(id, columns of keep, ids array<int>) of each row's whole text: what the library gives, without special ids; with
+    verify also round_trip, whether decoding the ids gives the text back. memo bounds what a worker remembers (words and units).
 
     Null and empty texts have no ids (an empty array); repeated rows and null ids give a row each; an empty table gives
-    an empty result. Columns that are not named are ignored, whatever their names; keep must not name `ids`.
+    an empty result. Columns that are not named are ignored, whatever their names; keep must not name `ids` or `round_trip`.
     Texts below GIANT_CHARS are encoded where they are read; chunks of longer ones are dealt over the cluster, and their
     matrices are combined in blocks, then over blocks.
     """
     rows = docs.select(F.struct(F.col(id_col).alias(id_col), *keep).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shape = T.StructType([rows.schema["own"]]).add("ids", T.ArrayType(T.IntegerType()))
+    if verify:
+        shape = shape.add("round_trip", "boolean")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = words(model_path)
+        known = words(model_path, memo)
         for b in batches:
-            parts = [memo.of(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            parts = [known.of(t) for t in texts]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["own", "ids"])
+            same = [pa.array([known.model.decode(np.frombuffer(p, dtype=np.int32).tolist()) == t for p, t in zip(parts, texts, strict=True)], pa.bool_())] if verify else []
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, *same], shape.names)
 
     small = rows.filter(F.length("text") < GIANT_CHARS).mapInArrow(plain, shape)
 
     # in normal form a giant text has one more character, the dummy prefix, so chunk borders are those of the normal form
-    normal = rows.filter(F.length("text") >= GIANT_CHARS).select(F.monotonically_increasing_id().alias("row"), "own", F.translate(F.concat(F.lit(" "), "text"), " ", bpe.SPACE).alias("text"))
+    normal = rows.filter(F.length("text") >= GIANT_CHARS).select(F.monotonically_increasing_id().alias("row"), F.struct("own", F.xxhash64("text").alias("was")).alias("own"), F.translate(F.concat(F.lit(" "), "text"), " ", bpe.SPACE).alias("text"))
     offset = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(CHUNK_CHARS))).alias("at")
     cuts = normal.select("row", "own", "text", offset)
     columns = ["row", "at", F.floor(F.col("at") / (CHUNK_CHARS * BLOCK_CHUNKS)).alias("block"), F.when(F.col("at") == 0, F.col("own")).alias("own")]
@@ -267,8 +272,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     parts = chunks.join(states, ["row", "at"]).select("row", "at", "context", "chunk", "p", "d", "q", "e").mapInPandas(traced, "row long, at int, part array<int>")
     wholes = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))
-    large = chunks.filter("at = 0").select("row", "own").join(wholes, "row").select("own", "ids")
-    return small.unionByName(large).select("own.*", "ids")
+    large = chunks.filter("at = 0").select("row", "own").join(wholes, "row").select("own.own", "own.was", "ids")
+    if verify:
+        large = decode(large, model_path).select("own", "ids", (F.xxhash64("decoded") == F.col("was")).alias("round_trip"))
+    return small.unionByName(large.select(*shape.names)).select("own.*", *shape.names[1:])
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -290,6 +297,5 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was"))
-    out = decode(encode(docs, tokenizer_file(), keep=("was",)), tokenizer_file())
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("was")).alias("round_trip"))
+    out = encode(table(spark, sf_dir, "documents"), tokenizer_file(), verify=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
