@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from memloom.llm import mixing, piece_codec, quality, secrets, simhash
 from memloom.llm.common import cut, keyed, ordinal, small_batches, table, tokenizer_file
 
+#: Words, and units, that a worker remembers for the pieces: fewer than by default, since workers serve the other stages too.
+MEMO = 100_000
+
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:
     """(own, columns by `names`): own holds all columns of a row."""
@@ -67,9 +70,9 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no ids; repeated rows, as the mix has them, give a row each."""
     small_batches(spark)
-    rows = docs.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was"), ordinal(docs).alias("position"))
-    out = piece_codec.decode(piece_codec.encode(rows, tokenizer_file(), keep=("source", "was", "position")), tokenizer_file())
-    return out.select("doc_id", "source", "position", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("was")).alias("round_trip"))
+    rows = docs.select("doc_id", "source", "text", ordinal(docs).alias("position"))
+    out = piece_codec.encode(rows, tokenizer_file(), keep=("source", "position"), verify=True, memo=MEMO)
+    return out.select("doc_id", "source", "position", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [
