@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.sources.tables import read, write_through
+
 #: A word: a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a
-    local session (one machine) may fall back to a temporary folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        path = "file://" + tempfile.mkdtemp(prefix="memloom-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(path)
-        return path
-    raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+    return read(spark, sf_dir, name)
 
 
 def cut(df: DataFrame, label: str, *by: str) -> DataFrame:
-    """Write df as a table in the shared folder (in partitions by columns) and read it again: the lineage
-    ends there, and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder (in partitions by columns): the lineage ends there, and a lost executor costs no
+    recomputation of what came before."""
+    return write_through(df, label, *by)
 
 
 def places(docs: DataFrame) -> tuple[Column, Column, Column] | None:
