@@ -25,36 +25,66 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def communities(edges: DataFrame, gamma: float = 1.0, rounds: int = 12, seed: int = 19) -> DataFrame:
-    """D1. (node, community) by parallel modularity moves in Leiden's manner: each round a seeded half of the nodes
-    moves to the neighbouring community of most gain; then each community is refined to its connected parts, so
-    every community is connected. Undirected, unweighted, parallel edges and loops left out."""
-    pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ways = write_through(both_ways(pairs), "ways")
-    degree = write_through(ways.groupBy("node").agg(F.count("*").alias("k")), "degree")
-    m2 = max(degree.agg(F.sum("k")).first()[0] or 0, 1)
-    part = degree.select("node", F.col("node").alias("community"))
-    for r in range(rounds):
-        sized = degree.join(part, "node")
-        totals = sized.groupBy("community").agg(F.sum("k").alias("total"))
-        inner = ways.join(part.withColumnsRenamed({"node": "other", "community": "target"}), "other").groupBy("node", "target").agg(F.count("*").alias("k_in"))
-        met = inner.join(sized, "node").join(totals.withColumnRenamed("community", "target"), "target")
-        others = F.col("total") - F.when(F.col("target") == F.col("community"), F.col("k")).otherwise(0)
-        met = met.withColumn("gain", F.col("k_in") - gamma * F.col("k") * others / m2)
-        stay = met.filter("target = community").select("node", F.col("gain").alias("stay"))
-        home = sized.join(totals, "community").select("node", (-gamma * F.col("k") * (F.col("total") - F.col("k")) / m2).alias("alone"))
-        best = met.groupBy("node").agg(F.max(F.struct("gain", "target")).alias("best")).join(stay, "node", "left").join(home, "node")
-        turn = F.pmod(F.xxhash64("node", F.lit(seed + r)), F.lit(2)) == 0
-        move = turn & (F.col("best.gain") > F.coalesce("stay", "alone") + 1e-9)
-        new = part.join(best, "node").select("node", F.when(move, F.col("best.target")).otherwise(F.col("community")).alias("community"), move.alias("moved"))
+def _moved(ways: DataFrame, part: DataFrame, m2: float, gamma: float, seed: int, inside: str | None = None) -> DataFrame:
+    """(node, community) after local moves until no node gains. ways: (node, other, weight), from both ends; part: (node, community, k,
+    and, if inside is named, that column): nodes then only move within one value of it. Each round a seeded share may move, half
+    at first and fewer later on, so that neighbours do not go on swapping; a node leaves only for more modularity, so the
+    rounds end: when no node of any share would move."""
+    bound = [inside] if inside else []
+    r = 0
+    while True:
+        shares = 2 + r // 8
+        sized = part.join(part.groupBy("community").agg(F.sum("k").alias("total")), "community")
+        to = sized.select(F.col("node").alias("other"), F.col("community").alias("target"), F.col("total").alias("of_target"), *(F.col(c).alias(f"_{c}") for c in bound))
+        inner = ways.filter("node <> other").join(to, "other").groupBy("node", "target", "of_target", *(f"_{c}" for c in bound)).agg(F.sum("weight").alias("k_in"))
+        met = sized.join(inner, "node", "left")
+        if inside:
+            met = met.filter(F.col("target").isNull() | (F.col(inside) == F.col(f"_{inside}")) | (F.col("target") == F.col("community")))
+        mine = F.col("target") == F.col("community")
+        others = F.col("of_target") - F.when(mine, F.col("k")).otherwise(0.0)
+        gain = F.col("k_in") - gamma * F.col("k") * others / m2
+        alone = -gamma * F.col("k") * (F.col("total") - F.col("k")) / m2
+        best = met.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), "target")).alias("best"), F.max(F.when(mine, gain)).alias("stay"), F.first(alone).alias("alone"))
+        turn = F.pmod(F.xxhash64("node", F.lit(seed + shares)) + r, F.lit(shares)) == 0
+        would = F.coalesce(F.col("best.gain") > F.coalesce("stay", "alone") + 1e-9, F.lit(False))
+        new = part.join(best, "node", "left")
+        new = new.select("node", F.when(would & turn, F.col("best.target")).otherwise(F.col("community")).alias("community"), "k", *bound, would.alias("would"))
         new = write_through(new, "partition")
-        done = not new.filter("moved").limit(1).count()
-        part = new.select("node", "community")
-        if done and r % 2:
+        if not new.filter("would").limit(1).count():
+            return part
+        part, r = new.drop("would"), r + 1
+
+
+def communities(edges: DataFrame, gamma: float = 1.0, levels: int = 10, least_gain: float = 1e-3, seed: int = 19) -> DataFrame:
+    """D1. (node, community) by modularity in Leiden's manner: local moves until no node gains; refinement, where every node starts
+    alone again and moves within its community; the refined groups become the nodes of the next level's graph and start in
+    the communities found; up to `levels` times, or until modularity gains less than least_gain. Last, each community is split into
+    its connected parts. Undirected, unweighted, parallel edges and loops left out; the name of a community is one of its nodes."""
+    pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ways = write_through(both_ways(pairs).select("node", "other", F.lit(1.0).alias("weight")), "ways")
+    degree = write_through(ways.groupBy("node").agg(F.sum("weight").alias("k")), "degree")
+    m2 = max(degree.agg(F.sum("k")).first()[0] or 0.0, 1.0)
+    of = degree.select("node", F.col("node").alias("at"))  # the node of the present level that each first one is in
+    part = degree.select("node", F.col("node").alias("community"), "k")
+    was, done = -1.0, None
+    for level in range(levels):
+        part = _moved(ways, part, m2, gamma, seed + 100 * level)
+        done = write_through(of.join(part.select(F.col("node").alias("at"), "community"), "at").select("node", "community"), "communities")
+        now = modularity(pairs, done).first()[0] or 0.0
+        if now - was < least_gain:
             break
-    inside = pairs.join(part.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(part.withColumnsRenamed({"node": "b", "community": "cb"}), "b").filter("ca = cb")
+        was = now
+        alone = part.select("node", F.col("node").alias("community"), "k", F.col("community").alias("home"))
+        fine = _moved(ways, alone, m2, gamma, seed + 100 * level + 50, "home")
+        name = write_through(fine.select("node", F.col("community").alias("group"), "home", "k"), "refined")
+        of = write_through(of.join(name.select(F.col("node").alias("at"), "group"), "at").select("node", F.col("group").alias("at")), "of-level")
+        here = name.select("node", F.col("group").alias("x"))
+        ways = write_through(ways.join(here, "node").join(here.withColumnsRenamed({"node": "other", "x": "y"}), "other").groupBy(F.col("x").alias("node"), F.col("y").alias("other")).agg(F.sum("weight").alias("weight")), "ways")
+        home = name.groupBy("home").agg(F.min("group").alias("community"))
+        part = write_through(name.groupBy(F.col("group").alias("node"), "home").agg(F.sum("k").alias("k")).join(home, "home").select("node", "community", "k"), "partition")
+    inside = pairs.join(done.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(done.withColumnsRenamed({"node": "b", "community": "cb"}), "b").filter("ca = cb")
     whole = connected(inside.select("a", "b"))
-    return part.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
+    return done.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
 def modularity(edges: DataFrame, part: DataFrame) -> DataFrame:
@@ -102,6 +132,22 @@ def report_usage(reports: DataFrame) -> DataFrame:
     return reports.groupBy("run_id").agg(F.sum("tokens").alias("tokens"), F.when(F.count_distinct("source") == 1, F.min("source")).otherwise("mixed").alias("source"))
 
 
+#: States of a run, in the order in which they may follow each other. Fixed values.
+RUN_STATES = ("running", "staged", "published", "failed")
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """D6. (run_id, workspace, state, snapshot_id) of each run, from its events (run_id, workspace, state, snapshot_id, seq): the last
+    one counts, and nothing follows published or failed. Of several runs of a workspace that are neither, the first one is active
+    and the others are refused."""
+    final = F.col("state").isin("published", "failed")
+    own = W.partitionBy("run_id").orderBy("seq")
+    rows = events.withColumn("_done", F.max(final.cast("int")).over(own.rowsBetween(W.unboundedPreceding, -1))).filter(F.coalesce("_done", F.lit(0)) == 0)
+    last = rows.groupBy("run_id").agg(F.max_by("workspace", "seq").alias("workspace"), F.max_by("state", "seq").alias("state"), F.max_by("snapshot_id", "seq").alias("snapshot_id"), F.min("seq").alias("began"))
+    live = F.when(~F.col("state").isin("published", "failed"), F.row_number().over(W.partitionBy("workspace", F.col("state").isin("published", "failed")).orderBy("began")))
+    return last.withColumn("_n", live).withColumn("state", F.when(F.col("_n") > 1, "refused").otherwise(F.col("state"))).drop("_n", "began")
+
+
 def stage_snapshot(members: DataFrame, path: str, snapshot_id: str) -> None:
     """D6. A snapshot's partition; readers do not see it before it is published."""
     members.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite").parquet(f"{path}/staged/snapshot_id={snapshot_id}")

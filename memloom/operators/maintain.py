@@ -104,22 +104,77 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.groupBy(F.split_part("key", F.lit(":"), F.lit(1)).alias("mode"), F.split_part("key", F.lit(":"), F.lit(2)).alias("cache_type")).agg(F.count("*").alias("n"))
 
 
+def rebuild_order(plan: DataFrame, edges: DataFrame) -> DataFrame:
+    """M2. (step, owner) of a purge: relations of vanishing entities go first, then the entities, then rebuilds. plan: (owner,
+    action); edges: (owner, a, b), relations by their own id."""
+    gone = plan.filter("action = 'delete'").select("owner")
+    ends = edges.select("owner", F.explode(F.array("a", "b")).alias("end")).join(gone.withColumnRenamed("owner", "end"), "end", "left_semi").select("owner")
+    own = edges.select("owner").join(gone, "owner", "left_semi")
+    first = ends.union(own).distinct().select(F.lit(1).alias("step"), "owner")
+    second = gone.join(edges.select("owner"), "owner", "left_anti").select(F.lit(2).alias("step"), "owner")
+    third = plan.filter("action = 'rebuild'").join(first.select("owner"), "owner", "left_anti").select(F.lit(3).alias("step"), "owner")
+    return first.unionByName(second).unionByName(third)
+
+
+def restored(atoms: DataFrame, evidence: DataFrame, backup_atoms: DataFrame, backup_evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M4. (atoms, evidence) after what a deletion took came back; support is counted again from all evidence."""
+    ev = restore_rows(evidence, backup_evidence, "evidence_id")
+    count = ev.groupBy("atom_id").agg(F.count_distinct("episode_id").alias("support_count"))
+    all_atoms = restore_rows(atoms, backup_atoms, "atom_id").drop("support_count")
+    return all_atoms.join(count, "atom_id", "left").na.fill(0, ["support_count"]), ev
+
+
+def clean_cache(cache: DataFrame, modes: list[str] | None = None, cache_types: list[str] | None = None) -> DataFrame:
+    """M13. The cache without keys mode:type:hash of these modes (None: of any) and types (None: of any)."""
+    mode, kind = F.split_part("key", F.lit(":"), F.lit(1)), F.split_part("key", F.lit(":"), F.lit(2))
+    hit = (mode.isin(*modes) if modes is not None else F.lit(True)) & (kind.isin(*cache_types) if cache_types is not None else F.lit(True))
+    return cache.filter(~hit)
+
+
+def workspace_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """W1. (name, n): rows of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def list_atoms(atoms: DataFrame, owners: DataFrame, counts: DataFrame, status: str | None = None, search: str = "", owner_kind: str | None = None) -> DataFrame:
+    """W4. Atoms with status, their owner's name and kind, and their counts, by owner, then seq: of one status, of one
+    kind of owner, or with a text (whatever its case) in content or name. owners: (owner_id, owner_name, owner_kind)."""
+    rows = atoms.join(owners, "owner_id").join(counts, "atom_id", "left")
+    if status is not None:
+        rows = rows.filter(F.col("status") == status)
+    if owner_kind is not None:
+        rows = rows.filter(F.col("owner_kind") == owner_kind)
+    if search:
+        rows = rows.filter(F.contains(F.lower("content"), F.lit(search.lower())) | F.contains(F.lower("owner_name"), F.lit(search.lower())))
+    return rows.orderBy("owner_id", "seq")
+
+
 def overview(atoms: DataFrame) -> DataFrame:
     """W1. (status, n, first, last) of atoms with status, and all of them."""
     return atoms.rollup("status").agg(F.count("*").alias("n"), F.min("valid_at").alias("first_valid"), F.max("created_at").alias("last_created")).withColumn("status", F.coalesce("status", F.lit("all")))
 
 
-def list_episodes(episodes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """W2. Episodes with distinct atoms and evidence rows."""
+def list_episodes(episodes: DataFrame, evidence: DataFrame, kind: str | None = None, search: str = "") -> DataFrame:
+    """W2. Episodes with distinct atoms and evidence rows; of one kind, or with a text (whatever its case) in their content."""
+    if kind is not None:
+        episodes = episodes.filter(F.col("kind") == kind)
+    if search:
+        episodes = episodes.filter(F.contains(F.lower("content"), F.lit(search.lower())))
     per = evidence.groupBy("episode_id").agg(F.count_distinct("atom_id").alias("n_atoms"), F.count("*").alias("n_evidence"))
     return episodes.join(per, "episode_id", "left").na.fill(0, ["n_atoms", "n_evidence"])
 
 
-def list_owners(owners: DataFrame, atoms: DataFrame, ambiguous: DataFrame) -> DataFrame:
-    """W3. Owners with atoms and ambiguous aliases; ambiguous first by `place`."""
+def list_owners(owners: DataFrame, atoms: DataFrame, aliases: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """W3. Owners (owner_id, name) with n_aliases, n_atoms and n_ambiguous and their place: ambiguous ones first, then by atoms,
+    then by name. aliases: (owner_id, alias); ambiguous: (entity_id, n_ambiguous)."""
     n = atoms.groupBy("owner_id").agg(F.count("*").alias("n_atoms"))
-    out = owners.join(n, "owner_id", "left").join(ambiguous.withColumnRenamed("entity_id", "owner_id"), "owner_id", "left").na.fill(0, ["n_atoms", "n_ambiguous"])
-    return out
+    known = aliases.groupBy("owner_id").agg(F.count_distinct("alias").alias("n_aliases"))
+    out = owners.join(n, "owner_id", "left").join(known, "owner_id", "left").join(ambiguous.withColumnRenamed("entity_id", "owner_id"), "owner_id", "left")
+    return out.na.fill(0, ["n_atoms", "n_aliases", "n_ambiguous"]).orderBy(F.desc(F.col("n_ambiguous") > 0), F.desc("n_atoms"), "name", "owner_id")
 
 
 def nested_view(parents: DataFrame, children: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -128,12 +183,30 @@ def nested_view(parents: DataFrame, children: DataFrame, key: str, order: str, n
     return parents.join(rows, key, "left")
 
 
+#: Columns that a page of documents can be sorted by.
+SORTS = ("created_at", "updated_at", "doc_id", "file_path")
+
+
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """W6, W7. Page `number` (from 1) of clamped size."""
+    """W6. Page `number` (from 1) of clamped size."""
     size = min(max(size, 10), 200)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_total(df: DataFrame, size: int) -> DataFrame:
+    """W6. One row (total, pages)."""
+    size = min(max(size, 10), 200)
+    return df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+
+
+def document_page(df: DataFrame, number: int, size: int, sort: str = "updated_at", descending: bool = True, status: str | None = None) -> DataFrame:
+    """W7. A page of documents by one of SORTS, ties by id, of one status if given."""
+    if sort not in SORTS:
+        raise ValueError(f"sort must be one of {SORTS}")
+    rows = df.filter(F.col("status") == status) if status is not None else df
+    return page(rows, [F.desc_nulls_last(sort) if descending else F.asc_nulls_first(sort), F.col("doc_id")], number, size)
+
+
 def keyset_page(df: DataFrame, statuses: list[str], after: tuple | None, n: int) -> DataFrame:
     """W8. The next n rows by (created_at, nulls first, doc_id) after a row's key."""
     rows = df.filter(F.col("status").isin(*statuses)) if statuses else df
@@ -193,10 +266,10 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int = 10) -> DataF
 
 
 def score_summary(scores: DataFrame, cols: list[str]) -> DataFrame:
-    """E5. (metric, n, mean, low, high), NaN left out."""
+    """E5. (metric, n, success_rate, mean, low, high): NaN and null left out of all but the rate, the share of rows that have a score."""
     long = scores.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")).select("x.*")
     good = F.when(F.col("v").isNotNull() & ~F.isnan("v"), F.col("v"))
-    return long.groupBy("metric").agg(F.count(good).alias("n"), F.avg(good).alias("mean"), F.min(good).alias("low"), F.max(good).alias("high"))
+    return long.groupBy("metric").agg(F.count(good).alias("n"), F.avg(good).alias("mean"), F.min(good).alias("low"), F.max(good).alias("high"), (F.count(good) / F.count("*")).alias("success_rate"))
 
 
 def purge_sources(ids: Column, gone: Column) -> Column:

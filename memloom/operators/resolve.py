@@ -80,7 +80,7 @@ def candidate_union(parts: list[DataFrame], most: int = 8) -> DataFrame:
     for p in parts[1:]:
         union = union.unionByName(p.select("name", "entity_id", "score"))
     w = W.partitionBy("name").orderBy(F.desc("score"), "entity_id")
-    return union.groupBy("name", "entity_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return union.repartition("name", "entity_id").groupBy("name", "entity_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
 def describe_candidates(candidates: DataFrame, entities: DataFrame, atoms: DataFrame, last: int = 8) -> DataFrame:

@@ -53,7 +53,7 @@ def interleave(lists: list[DataFrame], key: str) -> DataFrame:
     for i, one in enumerate(lists):
         part = one.select("query_id", key, "pos", F.lit(i).alias("list"))
         union = part if union is None else union.unionByName(part)
-    first = union.groupBy("query_id", key).agg(F.min(F.struct("pos", "list")).alias("at"))
+    first = union.repartition("query_id", key).groupBy("query_id", key).agg(F.min(F.struct("pos", "list")).alias("at"))
     return first.withColumn("pos", F.row_number().over(by_query().orderBy("at", key))).select("query_id", key, "pos")
 
 
@@ -108,15 +108,32 @@ def reference_list(chunks: DataFrame) -> DataFrame:
     return files.withColumn("reference", F.row_number().over(by_query().orderBy(F.desc("n"), "first", "file_path"))).select("query_id", "file_path", "n", "reference")
 
 
-def structured(entities: DataFrame, relations: DataFrame, chunks: DataFrame, references: DataFrame) -> DataFrame:
-    """Q14. One row per query with its ranked parts."""
+def structured(entities: DataFrame, relations: DataFrame, chunks: DataFrame, references: DataFrame, found: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Q14. One row per query with its ranked parts, n_<part> of what is in them, and, with `found` (the parts before
+    anything was cut off), n_<part>_found."""
     pack = lambda df, name, order: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in df.columns if c not in ("query_id", order))))).alias(name))
     out = pack(entities, "entities", "pos")
-    for df, name, order in ((relations, "relations", "pos"), (chunks, "chunks", "rank"), (references, "references", "reference")):
+    parts = (("entities", entities, "pos"), ("relations", relations, "pos"), ("chunks", chunks, "rank"), ("references", references, "reference"))
+    for name, df, order in parts[1:]:
         out = out.join(pack(df, name, order), "query_id", "full")
+    for name, _, _ in parts:
+        out = out.withColumn(f"n_{name}", F.coalesce(F.when(F.col(name).isNotNull(), F.size(name)), F.lit(0)).cast("long"))
+    for name, df in (found or {}).items():
+        out = out.join(df.groupBy("query_id").agg(F.count("*").alias(f"n_{name}_found")), "query_id", "left").na.fill(0, [f"n_{name}_found"])
     return out
 
 
+def chunk_sources(direct: DataFrame, of_entities: DataFrame, of_relations: DataFrame) -> DataFrame:
+    """Q15. (query_id, chunk_id, source, pos): each chunk once, by where it first came from: C (the query's own hits), E (its
+    entities) or R (its relations), in turn; inputs (query_id, chunk_id, pos)."""
+    rows = None
+    for place, (source, df) in enumerate((("C", direct), ("E", of_entities), ("R", of_relations))):
+        part = df.select("query_id", "chunk_id", F.lit(source).alias("source"), F.struct("pos", F.lit(place).alias("place")).alias("at"))
+        rows = part if rows is None else rows.unionByName(part)
+    first = rows.repartition("query_id", "chunk_id").groupBy("query_id", "chunk_id").agg(F.min_by("source", "at").alias("source"), F.min("at").alias("at"))
+    return first.withColumn("pos", F.row_number().over(by_query().orderBy("at", "chunk_id"))).select("query_id", "chunk_id", "source", "pos")
+
+
 def attach_headings(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     """Q16."""
     return chunks.join(paths.select("chunk_id", "path"), "chunk_id", "left")

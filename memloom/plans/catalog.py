@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from memloom.functions import ids, text
 from memloom.operators import atoms, chunk, community, graph, ingest, maintain, merge, resolve, retrieve, vector
-from memloom.plans import extraction, resolution
+from memloom.plans import extraction, resolution, retrieval, upkeep
 from memloom.plans import views as v
 from memloom.plans.registry import ORACLE_SQL, QUERIES, at, query
 from memloom.sources.tables import read
 
-__all__ = ["ORACLE_SQL", "QUERIES", "extraction", "resolution"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extraction", "resolution", "retrieval", "upkeep"]
 
 @query("q01_naive", "SELECT h.query_id, h.id, round(h.score, 6) AS score, h.rank, v.file_path, r.reference FROM hits h JOIN vectors v USING (id) JOIN (SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank), file_path) AS reference FROM (SELECT * FROM hits WHERE rank <= 10) JOIN vectors USING (id) GROUP BY 1, 2) r ON r.query_id = h.query_id AND r.file_path = v.file_path WHERE h.rank <= 10", ("hits",))
 def q01(spark: SparkSession, sf: str) -> DataFrame:
