@@ -62,7 +62,8 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
-    """(known, n_docs) of lines above the limit. Equal texts count as one document. Two levels of
+    """(known, n_docs) of lines above the limit. Equal texts count as one document: copies of one text (which deduplication
+    removes) say nothing about its lines, and would else condemn each other. Two levels of
     grouping: a line in a third of all rows is counted by many tasks."""
     each = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"], x["chars"])))).alias("l"))
     each = each.select("host", "text_hash", F.xxhash64("host", "l.line", "l.chars").alias("known"))
@@ -76,7 +77,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """One row per document: its figures, base_failed, n_removed_words, removed_lines (hashes) and kept.
 
     A null text is empty and fails (no words). A null host is a host of its own. Repeated rows
-    and ids give a row each. Lines without a word count for nothing. An empty table gives an empty result.
+    and ids give a row each, null ids too. Lines without a word count for nothing. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     rows = measured(docs, id_col, text_col, host_col)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", F.col("l.line").alias("line"), F.col("l.words").alias("words"), F.xxhash64("host", "l.line", "l.chars").alias("line_key"))
@@ -100,4 +102,5 @@ def clean(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of all documents, and whether the rules keep them."""
     return judge(table(spark, sf_dir, "documents")).drop("removed_lines")

@@ -5,7 +5,7 @@ takes documents in the order of a hash that DuckDB does not have. tests/llm hold
 """
 
 from memloom.llm.line_rules import DOC_SHARE, LEAST_DOCS, MAX_REPEAT_PERCENT, MIN_LEFT, MIN_WORDS
-from memloom.llm.secrets import ASSIGN, MAX_OWNERS, MAX_REPOS
+from memloom.llm.secrets import ALPHABET, ASSIGN, ENOUGH_DIGITS, LEAST_ENTROPY, LEAST_RUNS, MAX_OWNERS, MOST_WORDY
 
 LINE_RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -58,7 +58,12 @@ def _matches(no: int, pattern: str, group: int, good: str) -> str:
       FROM d WHERE regexp_matches(text, '{pattern}')))"""
 
 
-_LIVE = "length(v) >= 24 AND regexp_matches(v, '^[A-Za-z+/_-]{0,23}[0-9]') AND regexp_matches(v, '[0-9].*[0-9].*[0-9].*[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')"
+#: A run that looks random, as `secrets.looks_random` says it.
+_PLAIN = "regexp_replace(v, '[^A-Za-z0-9]', '', 'g')"
+_VARIED = rf"""len(regexp_extract_all({_PLAIN}, '[a-z]+|[A-Z]+|[0-9]+')) >= {LEAST_RUNS} * length({_PLAIN})
+  AND length(v) - length(regexp_replace(v, '[A-Z]?[a-z]{{3,}}|[A-Z]{{4,}}|[0-9]{{4,}}', '', 'g')) <= {MOST_WORDY} * length({_PLAIN})
+  AND list_aggregate(string_split(v, ''), 'entropy') >= {LEAST_ENTROPY} * log2(least(length(v), {len(ALPHABET)}))"""
+_LIVE = f"length(v) >= 24 AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND (len(regexp_extract_all(v, '[0-9]')) >= {ENOUGH_DIGITS} OR ({_VARIED}))"
 
 SECRETS = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -69,7 +74,7 @@ m AS ({_matches(0, _ASSIGN, 2, "length(v) >= 8")}
 p AS (SELECT *, (sum(gap + width) OVER (PARTITION BY rid, kind ORDER BY i))::BIGINT AS e FROM m),
 s AS (SELECT rid, doc_id, source, kind, v, e - width AS s, e FROM p WHERE good),
 owned AS (
-  SELECT v, count(DISTINCT coalesce('s' || source, 'null')) <= {MAX_OWNERS} AND count(DISTINCT struct_pack(a := source, b := doc_id)) <= {MAX_REPOS} AS specific
+  SELECT v, count(DISTINCT coalesce('s' || source, 'null')) <= {MAX_OWNERS} AS specific
   FROM s GROUP BY v),
 kept AS (
   SELECT s.*, owned.specific FROM s JOIN owned USING (v)

@@ -192,6 +192,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], id_col: str
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from labels that are not held out."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     out = score(docs, learn(docs, table(spark, sf_dir, "labels")))

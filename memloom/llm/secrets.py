@@ -93,16 +93,22 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = M
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """(id, all_spans, n_copied, n_specific) of each row. all_spans: array of (start, kind_no, end, kind, specific)
     by start, then kind; base kinds all, "live" only where owner-specific and clear of base spans. Positions are code
-    points, end exclusive. A null or empty text has none; repeated rows and ids give a row each."""
+    points, end exclusive. A null or empty text has none; repeated rows and ids give a row each, null ids too; an empty table
+    gives an empty result; other columns are ignored, whatever their names."""
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
     judged = salted_join(found, ownership(found), "hash", "known", F.col("row"))
+    base = F.col("good") & (F.col("kind") < 3)
+    own = W.partitionBy("row").orderBy("start", "kind")
+    # a run is clear of base spans if all that begin before it end before it, and the next one begins behind it
+    ended = F.max(F.when(base, F.col("end"))).over(own.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.min(F.when(base, F.col("start"))).over(own.rowsBetween(1, W.unboundedFollowing))
+    judged = judged.withColumn("ended", ended).withColumn("begins", begins)
+    clear = (F.coalesce("ended", F.lit(-1)) <= F.col("start")) & (F.col("begins").isNull() | (F.col("begins") >= F.col("end")))
+    keep = F.col("good") & ((F.col("kind") < 3) | (F.coalesce("specific", F.lit(False)) & clear))
     name = F.element_at(F.array(*(F.lit(k[0]) for k in KINDS)), F.col("kind") + 1)
     span = F.struct("start", F.col("kind").alias("kind_no"), "end", name.alias("kind"), F.coalesce("specific", F.lit(False)).alias("specific"))
-    per = judged.groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.when(F.col("good"), span))).alias("s"))
-    base = F.filter("s", lambda x: x["kind_no"] < 3)
-    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    keep = F.filter("s", lambda x: (x["kind_no"] < 3) | (x["specific"] & clear(x)))
-    out = per.select(F.col("key").alias(id_col), keep.alias("all_spans"))
+    per = judged.groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.when(keep, span))).alias("all_spans"))
+    out = per.select(F.col("key").alias(id_col), "all_spans")
     return out.withColumns({"n_specific": F.size(F.filter("all_spans", lambda x: x["specific"])).cast("long"), "n_copied": F.size(F.filter("all_spans", lambda x: ~x["specific"])).cast("long")})
 
 
@@ -125,6 +131,7 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of all documents, and how many of them are held by their owners only."""
     out = scan(table(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda no: F.size(F.filter("all_spans", lambda x: x["kind_no"] == no)).cast("long")

@@ -316,6 +316,7 @@ def one_of_similar(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_c
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at two differing bits."""
     small_batches(spark)
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -127,6 +127,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and whether there are more than 4096."""
     small_batches(spark)
     counts = count_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)

@@ -18,8 +18,6 @@ from memloom.llm.common import cut, salted_join, table
 LISTED = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Pruning of mined rules: share of labelled URLs with the tokens and the label; share of the label among those with the tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-#: A URL gives at most this many tokens (one per slot), so at most 2^11 / MIN_SUPPORT itemsets are frequent.
-SLOTS = 10
 LOW, GOOD = "label=low", "label=good"
 
 
@@ -46,26 +44,24 @@ def listed_rule(host: Column, path: Column, listed: tuple = LISTED) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """A URL's tokens, one per slot at most: scheme, last label, registered domain, first label,
-    host, first path segment, file ending, closing slash, names in the query, fragment. Digits read 0."""
+    """All tokens of a URL: scheme, host, registered domain, each label of the host (the last one as `top`), each segment of the
+    path, file ending, closing slash, each name and each value of the query, fragment. Digits of all but hosts read 0."""
     labels = F.split(host, r"\.")
     named = lambda name, value: F.when(value != "", F.concat(F.lit(name + "="), value))
     digits = lambda c: F.regexp_replace(c, r"[0-9]+", "0")
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    slots = (
+    query = F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&")
+    each = lambda name, values: F.transform(values, lambda x: named(name, x))
+    single = F.array(
         named("scheme", F.regexp_extract(url, r"(?s)^(.*?)://", 1)),
         named("top", F.element_at(labels, -1)),
         named("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")),
-        named("first", F.when(F.size(labels) > 2, labels[0]).otherwise("")),
         named("host", host),
-        named("dir", digits(F.regexp_extract(path, r"^/([^/]*)/", 1))),
         named("ending", F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)),
         named("slash", F.when(path.endswith("/"), "1").otherwise("")),
-        named("query", digits(F.regexp_replace(query, r"=[^&]*", ""))),
         named("fragment", digits(F.regexp_extract(url, r"#(.*)$", 1))),
     )
-    assert len(slots) == SLOTS
-    return F.coalesce(F.array_distinct(F.array_compact(F.array(*slots))), F.array().cast("array<string>"))
+    many = (each("label", F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))), each("dir", F.transform(F.split(path, "/"), digits)), each("name", F.transform(query, lambda x: digits(F.substring_index(x, "=", 1)))), each("value", F.transform(query, lambda x: digits(F.regexp_extract(x, "=(.*)$", 1)))))
+    return F.coalesce(F.array_distinct(F.array_compact(F.concat(single, *many))), F.array().cast("array<string>"))
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -76,13 +72,23 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> D
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (key, rule_id, rule_tokens, confidence, support) for low pages, from (tokens, low) rows; key is
-    the rule's rarest token. low null is no label and teaches nothing; no labels give no rules."""
-    items = labelled.filter(F.col("low").isNotNull()).select(F.array_append("tokens", F.when(F.col("low"), LOW).otherwise(GOOD)).alias("items"))
+    the rule's rarest token. low null is no label and teaches nothing; no labels give no rules.
+
+    Before mining, two things that lose no rule: tokens below the support go, and of tokens that stand in the very same
+    labelled URLs (equal counts and equal sums of the URLs' hashes) the first one speaks for all, since rules with any of them
+    have the same support and confidence. That keeps the itemsets of long URLs from multiplying."""
+    rows = labelled.filter(F.col("low").isNotNull()).withColumn("url_id", F.xxhash64("tokens", "low", F.lit("url")))
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    each = rows.select("url_id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"), F.sum(F.xxhash64("url_id").cast("decimal(38,0)")).alias("where"))
+    often = each.crossJoin(F.broadcast(n)).filter(F.col("freq") >= min_support * F.col("n"))
+    speaks = cut(often.groupBy("freq", "where").agg(F.min("token").alias("token")).select("token", "freq"), "url-tokens")
+    kept = rows.withColumn("i", F.monotonically_increasing_id()).select("i", "low", F.explode_outer("tokens").alias("token")).join(speaks.select("token", F.lit(True).alias("often")), "token", "left")
+    items = kept.groupBy("i").agg(F.first("low").alias("low"), F.collect_list(F.when(F.col("often"), F.col("token"))).alias("tokens"))
+    items = cut(items.select(F.array_append("tokens", F.when(F.col("low"), LOW).otherwise(GOOD)).alias("items")), "url-items")
     fitted = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = fitted.associationRules.filter(F.col("consequent")[0] == LOW).filter(~F.array_contains("antecedent", GOOD))
-    single = fitted.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
-    spread = rules.select("rule_id", F.explode("rule_tokens").alias("token")).join(single, "token")
+    spread = rules.select("rule_id", F.explode("rule_tokens").alias("token")).join(speaks, "token")
     rarest = spread.groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
     return rules.join(rarest, "rule_id")
 
@@ -93,17 +99,19 @@ def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_co
     A listed rule decides alone. Else the most confident mined rule that fits (then the
     higher support, then the smaller id) blocks; none: allow. A null url, or one without
     "://", has empty host and path, no tokens and is allowed. Each row in gives one row out,
-    repeated and null ids included. labelled: (url, low boolean; null teaches nothing).
+    repeated and null ids included; an empty table gives an empty result; other columns are ignored, whatever their names.
+    labelled: (url, low boolean; null teaches nothing).
 
-    Equal token sets are judged once. Rules are broadcast: SLOTS and MIN_SUPPORT bound their
-    number (at most 2^SLOTS / MIN_SUPPORT), whatever the number of pages.
+    Equal token sets are judged once. A set meets the rules under the tokens that are the rarest of some rule (the inverted
+    index), by a join that is dealt by set for frequent tokens.
     """
     url = F.col("url")
     learn = labelled.select(tokens(url, host(url), path(url)).alias("tokens"), "low")
     rules = cut(mine(learn), "url-rules")
     rows = parsed(pages, id_col, url_col).withColumn("set", F.xxhash64(F.array_sort("tokens")))
     sets = rows.groupBy("set").agg(F.first("tokens").alias("tokens"))
-    met = sets.withColumn("key", F.explode("tokens")).join(F.broadcast(rules), "key")
+    index = rules.groupBy("key").agg(F.collect_list(F.struct("rule_id", "rule_tokens", "confidence", "support")).alias("rules")).withColumnRenamed("key", "of")
+    met = salted_join(sets.withColumn("key", F.explode("tokens")), index, "key", "of", F.col("set"), "inner").withColumn("r", F.explode("rules")).select("set", "tokens", "r.*")
     fits = met.filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     best = fits.groupBy("set").agg(F.max(F.struct("confidence", "support", (-F.col("rule_id")).alias("neg"), "rule_tokens")).alias("best")).withColumnRenamed("set", "known")
     out = salted_join(rows, best, "set", "known", F.struct("page_id", "url"))
@@ -121,5 +129,6 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls, by the listed rules and by those mined from the labels of documents."""
     pages = table(spark, sf_dir, "pages")
     return judge(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
