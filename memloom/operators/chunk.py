@@ -46,7 +46,10 @@ def chunk_by_delimiter(docs: DataFrame, delimiter: str, size: int = 1200, overla
 
 
 def chunk_recursive(docs: DataFrame, size: int = 1000, overlap: int = 100, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> DataFrame:
-    """C3. Split at the first separator that a text holds, go on inside what is too long, and pack neighbours up to size characters."""
+    """C3. Split at the first separator that a text holds, go on inside what is too long, and pack neighbours up to size
+    characters; what has no separator is cut every size - overlap. Null and blank texts have no chunks."""
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than size")
 
     def split(text: str, seps: tuple[str, ...]) -> list[str]:
         if len(text) <= size:
@@ -79,14 +82,38 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("pos", "sentence"))
 
 
-def chunk_semantic(rows: DataFrame, distance: str = "distance", percentile: float = 0.95) -> DataFrame:
-    """C4. Groups of sentences, broken where the distance to the next one exceeds the document's percentile.
-    rows: (doc_id, pos, sentence, distance to the next sentence)."""
-    limit = rows.groupBy("doc_id").agg(F.percentile(distance, percentile).alias("limit"))
+def chunk_semantic(rows: DataFrame, distance: str = "distance", kind: str = "percentile", amount: float = 0.95, least: int = 0) -> DataFrame:
+    """C4. Groups of sentences, broken where the distance to the next one is above the document's limit, unless the group would
+    have fewer than `least` characters. kind: percentile (amount: the share below the limit), standard_deviation and
+    interquartile (mean, plus amount times the deviation, or the range between the quartiles), gradient (percentile of the
+    distances' gradients). rows: (doc_id, pos, sentence, distance to the next sentence). A group beyond a size is for `chunk_recursive`."""
     own = W.partitionBy("doc_id").orderBy("pos")
-    met = rows.join(limit, "doc_id").withColumn("b", F.coalesce(F.lag(F.col(distance) > F.col("limit")).over(own), F.lit(False)).cast("int"))
-    met = met.withColumn("chunk_order_index", F.sum("b").over(own))
-    return met.groupBy("doc_id", "chunk_order_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("content"))
+    value = F.col(distance)
+    if kind == "gradient":  # central differences, one-sided at both ends
+        after, before = F.lead(value).over(own), F.lag(value).over(own)
+        rows = rows.withColumn("_v", F.when(value.isNotNull(), F.coalesce((after - before) / 2, after - value, value - before)))
+    elif kind in ("percentile", "standard_deviation", "interquartile"):
+        rows = rows.withColumn("_v", value)
+    else:
+        raise ValueError("kind must be percentile, standard_deviation, interquartile or gradient")
+    limit = {
+        "percentile": lambda: F.percentile("_v", amount),
+        "gradient": lambda: F.percentile("_v", amount),
+        "standard_deviation": lambda: F.avg("_v") + amount * F.stddev_pop("_v"),
+        "interquartile": lambda: F.avg("_v") + amount * (F.percentile("_v", 0.75) - F.percentile("_v", 0.25)),
+    }[kind]()
+    met = rows.join(rows.groupBy("doc_id").agg(limit.alias("limit")), "doc_id").select("doc_id", "pos", "sentence", F.coalesce(F.col("_v") > F.col("limit"), F.lit(False)).alias("b"))
+    # a fold over the document's sentences: a break counts only where the group is long enough
+    step = lambda acc, x: F.struct(
+        F.when(x["b"] & (acc["n"] + F.length(x["sentence"]) >= least), 0).otherwise(acc["n"] + F.length(x["sentence"]) + 1).alias("n"),
+        F.when(x["b"] & (acc["n"] + F.length(x["sentence"]) >= least), acc["g"] + 1).otherwise(acc["g"]).alias("g"),
+        F.array_append(acc["at"], acc["g"]).alias("at"),
+    )
+    per = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "b"))).alias("s"))
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("at"))
+    placed = per.select("doc_id", "s", F.aggregate("s", state, step, lambda a: a["at"]).alias("at"))
+    each = placed.select("doc_id", F.posexplode(F.arrays_zip(F.col("s.sentence").alias("sentence"), F.col("at").alias("g"))).alias("i", "x")).select("doc_id", "i", "x.sentence", F.col("x.g").alias("chunk_order_index"))
+    return each.groupBy("doc_id", "chunk_order_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("content"))
 
 
 def to_blocks(docs: DataFrame) -> DataFrame:
@@ -96,7 +123,7 @@ def to_blocks(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("level", level).withColumn("block", F.sum((level > 0).cast("int")).over(W.partitionBy("doc_id").orderBy("line")))
     body = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("line", "l"))))
     out = lines.groupBy("doc_id", "block").agg(F.max("level").alias("level"), F.max(F.when(F.col("level") > 0, F.trim(F.regexp_replace("l", r"^#+\s+", "")))).alias("heading"), body.alias("b"))
-    return out.select("doc_id", "block", "level", F.coalesce("heading", F.lit("")).alias("heading"), F.trim(F.array_join(F.transform("b", lambda x: x["l"]), "\n")).alias("content"))
+    return out.select("doc_id", "block", "level", F.coalesce("heading", F.lit("")).alias("heading"), F.regexp_replace(F.array_join(F.transform("b", lambda x: x["l"]), "\n"), r"^\s+|\s+$", "").alias("content"))
 
 
 def heading_paths(blocks: DataFrame, chars: int = 80) -> DataFrame:
@@ -135,3 +162,113 @@ def attribute_blocks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     spans = blocks.withColumn("b0", F.coalesce(F.sum(F.length("content") + 1).over(own), F.lit(0))).withColumn("b1", F.col("b0") + F.length("content"))
     met = chunks.join(spans.select("doc_id", "block", "b0", "b1"), "doc_id").filter("start < b1 and b0 < end")
     return met.groupBy("doc_id", "chunk_id").agg(F.min("block").alias("block_id"), F.array_sort(F.collect_set("block")).alias("refs"))
+
+
+#: Headings that begin a list of references. Fixed values.
+REFERENCES = ("references", "bibliography", "参考文献")
+#: Shares of the largest size: wanted, and below which a chunk is small.
+IDEAL, SMALL = 0.75, 0.125
+
+
+def split_tables(blocks: DataFrame, most: int) -> DataFrame:
+    """C6. blocks (doc_id, block, ..., content) with tables of more than `most` tokens split between rows: (…, part, content). The
+    slices have nearly equal numbers of rows, each with the table's header row; text around a table is a part of its own."""
+    piece = F.filter(F.split(F.regexp_replace("content", r"(?is)(<table\b.*?</table>)", "\u0000$1\u0000"), "\u0000"), lambda x: F.trim(x) != "")
+
+    def slices(t: Column) -> Column:
+        rows = F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
+        head = F.filter(rows, lambda r: F.contains(F.lower(r), F.lit("<th")))
+        body = F.filter(rows, lambda r: ~F.contains(F.lower(r), F.lit("<th")))
+        need = F.greatest(F.ceil(F.size(_tokens(t)) / most), F.lit(1)).cast("int")
+        per = F.greatest(F.ceil(F.size(body) / need), F.lit(1)).cast("int")
+        starts = F.sequence(F.lit(0), F.greatest(F.size(body) - 1, F.lit(0)), per)
+        made = F.transform(starts, lambda i: F.concat(F.lit("<table>"), F.array_join(head, ""), F.array_join(F.slice(body, i + 1, per), ""), F.lit("</table>")))
+        return F.when(t.rlike("(?i)^<table") & (F.size(_tokens(t)) > most) & (F.size(body) > 1), made).otherwise(F.array(t))
+
+    rest = [c for c in blocks.columns if c != "content"]
+    return blocks.select(*rest, F.posexplode(F.flatten(F.transform(piece, slices))).alias("part", "content"))
+
+
+def drop_reference_blocks(blocks: DataFrame, last: int = 0) -> DataFrame:
+    """C5. blocks without those headed as references, among the last `last` ones of a document (0: all); a document that
+    would have no content left keeps them."""
+    own = W.partitionBy("doc_id")
+    place = F.row_number().over(own.orderBy(F.desc("block")))
+    hit = F.lower(F.trim("heading")).rlike("^(" + "|".join(REFERENCES) + ")") & ((place <= last) if last else F.lit(True))
+    rows = blocks.withColumn("_r", F.coalesce(hit, F.lit(False)))
+    rows = rows.withColumn("_left", F.max(~F.col("_r") & (F.trim("content") != "")).over(own))
+    return rows.filter(~F.col("_r") | ~F.col("_left")).drop("_r", "_left")
+
+
+def chunk_blocks(blocks: DataFrame, size: int = 2000, drop_references: bool = False) -> DataFrame:
+    """C5. (doc_id, chunk_order_index, heading, level, content, tokens, blocks) from heading blocks (doc_id, block, level, heading,
+    content). Tables beyond half of `size` are split by rows (C6); a block above `size` tokens is cut between its lines, packed up
+    to IDEAL of it (a longer line by C7's windows), and its parts are named [part n]; a heading without text goes before what
+    follows; then small neighbours under one heading merge, deepest level first, as long as they stay within IDEAL. Documents are
+    independent; one document's blocks are one group."""
+    rows = drop_reference_blocks(blocks) if drop_references else blocks
+    rows = split_tables(rows.select("doc_id", "block", "level", "heading", "content").withColumn("content", F.when(F.trim("content") == "", " \u2060").otherwise(F.col("content"))), max(size // 2, 1))
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    ideal, small = max(int(size * IDEAL), 1), max(int(size * SMALL), 1)
+
+    def packed(text: str) -> list[str]:
+        """Lines packed up to the ideal size; longer lines in windows."""
+        out, held, n = [], [], 0
+        for line in text.split("\n"):
+            words = line.split()
+            for part in [" ".join(words[i : i + size]) for i in range(0, len(words), size)] if len(words) > size else [line]:
+                m = len(part.split())
+                if held and n + m > ideal:
+                    out.append("\n".join(held))
+                    held, n = [], 0
+                held.append(part)
+                n += m
+        return [*out, "\n".join(held)] if held else out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, waiting = [], []
+        for block, group in pdf.sort_values(["block", "part"]).groupby("block", sort=True):
+            level, heading = int(group["level"].iloc[0]), group["heading"].iloc[0] or ""
+            texts = [t.replace("\u2060", "").strip() for t in group["content"]]
+            parts = [p for t in texts if t for p in ([t] if t.lower().startswith("<table") or len(t.split()) <= size else packed(t))]
+            if not parts:  # a heading alone: it goes before the next block
+                waiting.append((level, heading))
+                continue
+            before = [h for lv, h in waiting if lv < level and h]
+            waiting = []
+            for i, p in enumerate(parts, 1):
+                name = f"{heading} [part {i}]" if len(parts) > 1 else heading
+                found.append({"level": level, "heading": " → ".join([*before, name]), "content": p, "n": len(p.split()), "blocks": [int(block)], "whole": len(parts) == 1})
+        for _, heading in waiting:
+            if heading:
+                found.append({"level": 1, "heading": heading, "content": heading, "n": len(heading.split()), "blocks": [], "whole": True})
+        for level in sorted({x["level"] for x in found}, reverse=True):
+            merged = []
+            for x in found:
+                last = merged[-1] if merged else None
+                if last and x["whole"] and last["whole"] and x["level"] == level and last["level"] >= level - 1 and min(x["n"], last["n"]) <= max(small, ideal // 2) and last["n"] + x["n"] <= ideal:
+                    last["content"] += "\n" + x["content"]
+                    last["n"] += x["n"]
+                    last["blocks"] = [*last["blocks"], *x["blocks"]]
+                    last["level"] = min(last["level"], x["level"])
+                else:
+                    merged.append(dict(x))
+            found = merged
+        return pd.DataFrame([(pdf["doc_id"].iloc[0], i, x["heading"], x["level"], x["content"], x["n"], x["blocks"]) for i, x in enumerate(found)], columns=["doc_id", "chunk_order_index", "heading", "level", "content", "tokens", "blocks"])
+
+    return rows.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, chunk_order_index int, heading string, level int, content string, tokens long, blocks array<int>")
+
+
+def surrounding(items: DataFrame, blocks: DataFrame, leading: int, trailing: int) -> DataFrame:
+    """C11. (doc_id, item_id, leading, trailing): the nearest tokens before and after an item's mark in its block, at most so many;
+    empty if the block does not hold the mark. Other tags are left out of the text; rows of a table stand as their cells.
+    items: (doc_id, block, item_id, mark); blocks: (doc_id, block, content)."""
+    met = items.join(blocks.select("doc_id", "block", "content"), ["doc_id", "block"], "left").withColumn("_at", F.coalesce(F.expr("locate(mark, content)"), F.lit(0)))
+    plain = lambda c: _tokens(F.regexp_replace(c, r"<[^>]*>", " "))
+    before = plain(F.expr("substring(content, 1, greatest(_at - 1, 0))"))
+    after = plain(F.expr("substring(content, _at + length(mark))"))
+    last = lambda a, n: F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n))
+    inside = F.col("_at") > 0
+    lead = F.when(inside, F.array_join(last(before, leading), " ")).otherwise("")
+    trail = F.when(inside, F.array_join(F.slice(after, 1, trailing), " ")).otherwise("")
+    return met.select("doc_id", "item_id", lead.alias("leading"), trail.alias("trailing"))

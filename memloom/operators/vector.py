@@ -33,8 +33,10 @@ def matrix(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     at = [i for i, r in enumerate(rows) if r is not None and len(r) and (dim is None or len(r) == dim)]
     if dim is None and at:
         return matrix(rows, len(rows[at[0]]))
-    x = np.array([rows[i] for i in at], dtype=np.float64).reshape(len(at), -1)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x)) if len(at) else np.zeros(0)
+    if not at:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, dim or 0))
+    x = np.array([rows[i] for i in at], dtype=np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     good = np.isfinite(norm) & (norm > 0)
     return np.array(at, dtype=np.int64)[good], x[good] / norm[good, None]
 

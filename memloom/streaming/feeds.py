@@ -17,8 +17,10 @@ def stream_admit(stream: DataFrame, horizon: str | None = None, time_col: str =
 
 
 def stream_outbox(changes: DataFrame) -> DataFrame:
-    """T2. (owner_id, target_revision, last_seq), growing with each change; update or complete mode. Equals the batch form."""
-    return changes.groupBy("owner_id").agg(F.count("*").alias("target_revision"), F.max("seq").alias("last_seq"))
+    """T2. (owner_id, target_revision, last_seq, owner_snapshot), growing with each change; update or complete mode. Equals the
+    batch form: the latest richest snapshot counts."""
+    rich = F.struct(F.col("owner_snapshot").isNotNull(), "seq")
+    return changes.groupBy("owner_id").agg(F.count("*").alias("target_revision"), F.max("seq").alias("last_seq"), F.max_by("owner_snapshot", rich).alias("owner_snapshot"))
 
 
 def append_events(batch: DataFrame, log: DataFrame | None, batch_id: int) -> DataFrame:
@@ -38,17 +40,23 @@ def events_after(log: DataFrame, cursor: DataFrame) -> DataFrame:
     return log.join(cursor, "exploration_id").filter("seq > after").drop("after")
 
 
-def stream_events(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """T3. A writer of the ordered log at path. Replayed batches overwrite their own partition."""
+LOG = "exploration_id string, event_id string, ts timestamp, seq long, batch_id long"
+
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        log = spark.read.parquet(path).filter(F.col("batch_id") < batch_id) if known else None
-        append_events(batch, log, batch_id).drop("batch_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    """T3, T5. One batch's part of the ordered log at path. Only the explorations of the batch are looked up in earlier parts;
+    a batch that is replayed overwrites its own part."""
+    spark = batch.sparkSession
+    batch.limit(0).select("exploration_id", "event_id", "ts", F.lit(0).cast("long").alias("seq")).write.mode("append").parquet(f"{path}/batch_id=-1")  # the log exists from here on
+    log = spark.read.schema(LOG).parquet(path).filter(F.col("batch_id") < batch_id)
+    mine = log.join(batch.select("exploration_id").distinct(), "exploration_id", "left_semi")
+    rows = append_events(batch, mine, batch_id).select("exploration_id", "event_id", "ts", F.col("seq").cast("long").alias("seq"))
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def stream_events(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """T3. A writer of the ordered log at path: events (exploration_id, event_id, ts)."""
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: append_batch(batch, path, batch_id)).option("checkpointLocation", checkpoint)
 
 
 def stream_batches(stream: DataFrame, step, checkpoint: str) -> DataStreamWriter:  # noqa: ANN001
