@@ -231,7 +231,16 @@ def v02(spark: SparkSession, sf: str) -> DataFrame:
     return vector.vector_topk_ann(v.queries(spark, sf), v.vectors(spark, sf), 15)
 
 
-@query("v06_pick_by_weight")
+@query(
+    "v06_pick_by_weight",
+    """
+WITH o AS (SELECT *, max(place) OVER (PARTITION BY query_id) + 1 AS owners, count(*) OVER (PARTITION BY query_id, owner) AS size FROM pools),
+q AS (SELECT *, CASE WHEN owners = 1 THEN 5 ELSE round_even(5.0 - place / greatest(owners - 1, 1) * 4, 0)::INT END AS quota FROM o),
+r AS (SELECT *, pos < quota AS first, CASE WHEN pos = 0 THEN greatest(quota - size, 0) ELSE 0 END AS short FROM q),
+e AS (SELECT *, sum(short) OVER (PARTITION BY query_id) AS spare, sum((NOT first)::INT) OVER (PARTITION BY query_id ORDER BY place, pos ROWS UNBOUNDED PRECEDING) AS extra FROM r)
+SELECT query_id, owner, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, place, pos)::INTEGER AS turn FROM e WHERE first OR extra <= spare""",
+    ("pools",),
+)
 def v06(spark: SparkSession, sf: str) -> DataFrame:
     return vector.pick_by_weight(v.pools(spark, sf), 5)
 
@@ -324,7 +333,7 @@ def d04(spark: SparkSession, sf: str) -> DataFrame:
     return community.community_context(members, e).select("community_id", "n_members", "n_relations")
 
 
-@query("d07_provisional")
+@query("d07_provisional", "SELECT 's' || s_suppkey AS node, n_regionkey::VARCHAR AS community_id, 1 AS distance, 1::BIGINT AS paths FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def d07(spark: SparkSession, sf: str) -> DataFrame:
     s = read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("b"))
     n = read(spark, sf, "nation")

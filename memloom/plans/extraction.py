@@ -228,3 +228,36 @@ def c10(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").filter(~F.contains(F.substring("text", 1, 20), F.lit("<")))
     raw = F.concat(F.lit('<drawing id="d1"/>see <cite refid="c2">'), F.substring("text", 1, 20), F.lit("</cite> end"))
     return d.select("doc_id", text.strip_markup(raw).alias("clean"))
+
+
+@query("c05_chunk_blocks")
+def c05(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as heading blocks, split, glued and merged; tests/core/test_brute.py has the cases."""
+    marks = F.regexp_replace(F.regexp_replace("html", r"(?i)<h([1-6])[^>]*>", "\n## "), r"(?i)<(?!/?(table|tr|th|td)\b)[^>]+>", "\n")
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), marks.alias("text"))
+    return chunk.chunk_blocks(chunk.to_blocks(pages), 120, drop_references=True)
+
+
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+
+
+@query("c06_split_tables", "SELECT l_orderkey AS doc_id, sum(n)::BIGINT AS n_rows, max(parts) AS parts FROM (SELECT l_orderkey, count(*) AS n, ceil(count(*) / ceil(count(*) / greatest(ceil((1 + count(*) * 4) / 9.0), 1)))::BIGINT AS parts FROM lineitem GROUP BY 1) GROUP BY 1")
+def c06(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of one header and a row for each line of an order, four words each, split above nine words."""
+    cell = F.concat(F.lit("<tr><td>"), F.concat_ws(" ", "l_partkey", "l_suppkey", "l_returnflag"), F.lit(" x</td></tr>"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", cell.alias("c")))), lambda x: x["c"])
+    made = F.concat(F.lit("<table><tr><th>order</th></tr> "), F.array_join(rows, " "), F.lit("</table>"))
+    blocks = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(made.alias("content"))
+    out = chunk.split_tables(blocks, 9).withColumn("n", F.size(F.regexp_extract_all("content", F.lit("<td>"), F.lit(0))))
+    return out.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_rows"), F.count("*").alias("parts"))
+
+
+@query("c11_surrounding", f"SELECT doc_id, doc_id AS item_id, array_to_string(t[greatest(len(t) // 2 - 9, 1):len(t) // 2], ' ') AS leading, array_to_string(t[len(t) // 2 + 1:len(t) // 2 + 5], ' ') AS trailing FROM (SELECT doc_id, {_WORDS} AS t FROM documents WHERE NOT contains(text, '<') AND NOT contains(text, '>')) WHERE len(t) >= 2")
+def c11(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    d = read(spark, sf, "documents").filter(~F.contains("text", F.lit("<")) & ~F.contains("text", F.lit(">"))).select("doc_id", words.alias("w")).filter(F.size("w") >= 2)
+    half = F.floor(F.size("w") / 2).cast("int")
+    content = F.concat(F.array_join(F.slice("w", F.lit(1), half), " "), F.lit(" <item/> "), F.array_join(F.slice("w", half + 1, F.size("w")), " "))
+    blocks = d.select("doc_id", F.lit(0).alias("block"), content.alias("content"))
+    items = d.select("doc_id", F.lit(0).alias("block"), F.col("doc_id").alias("item_id"), F.lit("<item/>").alias("mark"))
+    return chunk.surrounding(items, blocks, 10, 5)
