@@ -43,9 +43,9 @@ def s03(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.find_existing_by_hash(d, d.withColumn("created_at", F.lit(0)).withColumn("original_id", F.when(F.col("doc_id") % 5 == 0, F.floor(F.col("doc_id") / 5))))
 
 
-@query("s04_missing_keys", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("s04_missing_keys", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
 def s04(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.missing_keys(read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")), read(spark, sf, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    return ingest.missing_keys(read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")), read(spark, sf, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("custkey")), "custkey")
 
 
 @query("s05_upsert", "SELECT owner_id, episode_id, max(seq) AS seq, max_by(content, seq) AS content FROM atoms GROUP BY 1, 2", ("atoms",))
@@ -99,11 +99,28 @@ def c07(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.enforce_token_limit(d, 120)
 
 
-@query("c09_heading_paths")
+_MARKED = "html"
+for _n in range(1, 7):
+    _MARKED = f"regexp_replace({_MARKED}, '(?i)<h{_n}[^>]*>', chr(10) || '{'#' * _n} ', 'g')"
+_ABOVE = ", ".join(f"last_value(CASE WHEN level BETWEEN 1 AND {n} THEN {{'v': level, 'h': heading}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block) AS h{n}" for n in range(1, 7))
+_PATH = ", ".join(f"CASE WHEN {n} <= level AND h{n}.v = {n} THEN left(h{n}.h, 80) END" for n in range(1, 7))
+
+
+@query(
+    "c09_heading_paths",
+    rf"""
+WITH l AS (SELECT page_id AS doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT page_id, string_split(regexp_replace({_MARKED}, '<[^>]+>', chr(10), 'g'), chr(10)) AS ls FROM pages)),
+g AS (SELECT *, length(regexp_extract(l, '^(#{{1,6}})\s', 1)) AS level FROM l),
+b AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM g),
+o AS (SELECT doc_id, block, max(level) AS level, coalesce(max(trim(regexp_replace(l, '^#+\s+', ''))) FILTER (level > 0), '') AS heading, regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS content FROM b GROUP BY 1, 2)
+SELECT doc_id, block, level, heading, md5(content) AS content_hash, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ' → ') AS path FROM (SELECT *, {_ABOVE} FROM o)""",
+)
 def c09(spark: SparkSession, sf: str) -> DataFrame:
-    marks = F.regexp_replace(F.regexp_replace("html", r"(?i)<h([1-6])[^>]*>", "\n######$1 "), r"<[^>]+>", "\n")
-    d = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(marks, r"\n######([1-6]) ", "\n## ").alias("text"))
-    return chunk.heading_paths(chunk.to_blocks(d))
+    marks = F.col("html")
+    for n in range(1, 7):
+        marks = F.regexp_replace(marks, f"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ")
+    d = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(marks, r"<[^>]+>", "\n").alias("text"))
+    return chunk.heading_paths(chunk.to_blocks(d)).select("doc_id", "block", "level", "heading", F.md5("content").alias("content_hash"), "path")
 
 
 @query("g01_degrees", "SELECT node, degree FROM deg", ("deg",))
@@ -192,11 +209,10 @@ def a04(spark: SparkSession, sf: str) -> DataFrame:
     return atoms.fold_exact(a)[1]
 
 
-@query("a06_history_match", "SELECT n.atom_id, min(s.atom_id) AS duplicate_of FROM (SELECT atom_id, owner_id, content FROM atoms WHERE atom_id % 3 = 0) n JOIN (SELECT * FROM status WHERE status = 'active' AND invalid_at IS NULL) s ON s.owner_id = n.owner_id AND s.content = n.content GROUP BY 1", ("status",))
+@query("a06_history_match", "SELECT n.atom_id, min(s.atom_id) AS duplicate_of FROM (SELECT * FROM atoms WHERE atom_id % 3 = 0) n JOIN (SELECT * FROM status WHERE status = 'active') s ON s.owner_id = n.owner_id AND s.content = n.content AND s.invalid_at IS NOT DISTINCT FROM n.invalid_at GROUP BY 1", ("status",))
 def a06(spark: SparkSession, sf: str) -> DataFrame:
     a = v.atoms(spark, sf)
-    new = a.filter("atom_id % 3 = 0").withColumn("invalid_at", F.lit(None).cast("timestamp"))
-    return atoms.match_history_exact(new, a, at())
+    return atoms.match_history_exact(a.filter("atom_id % 3 = 0"), a, at())
 
 
 @query("a10_evolution", "SELECT a.atom_id, a.expired_at IS NOT NULL OR e.target_atom_id IS NOT NULL AS expired FROM atoms a LEFT JOIN (SELECT DISTINCT target_atom_id FROM evolution WHERE relation_type = 'REFINEMENT') e ON e.target_atom_id = a.atom_id", ("atoms", "evolution"))
