@@ -7,6 +7,7 @@ import pytest
 from memloom.functions import text
 from memloom.operators import chunk, community, graph, merge, vector
 from memloom.operators import retrieve as r
+from memloom.sources import tables
 from pyspark.sql import functions as F
 
 
@@ -176,3 +177,27 @@ def test_empty_tables_and_nulls(spark):
     assert [(x.a, x.weight) for x in merge.merge_relations(stored, new.limit(0)).collect()] == [("a", 2.0)]
     one = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, id string, pos int")
     assert [(x.id, x.pos) for x in r.interleave([one, one.filter("id = 'y'").withColumn("pos", F.lit(1))], "id").orderBy("pos").collect()] == [("x", 1), ("y", 2)]
+
+
+def test_snapshots_are_published_and_rolled_back(spark, tmp_path):
+    """Readers see the snapshot whose publication has the highest seq, staged ones not at all."""
+    path = str(tmp_path)
+    members = lambda c: spark.createDataFrame([("n1", c), ("n2", c)], "node string, community_id string")
+    community.stage_snapshot(members("c1"), path, "s1")
+    community.publish_snapshot(members("c1"), path, "s1", 1)
+    community.stage_snapshot(members("c2"), path, "s2")
+    seen = lambda: {x.community_id for x in community.published(spark, path).collect()}
+    assert seen() == {"c1"}
+    community.publish_snapshot(members("c2"), path, "s2", 2)
+    assert seen() == {"c2"}
+    community.publish_snapshot(members("c1"), path, "s1", 3)
+    assert seen() == {"c1"}
+
+
+def test_graph_export(spark, tmp_path):
+    nodes, edges = spark.createDataFrame([("a", "x, \"y\"")], "node string, description string"), spark.createDataFrame([("a", "b", 1.5)], "a string, b string, weight double")
+    for fmt in ("parquet", "json", "csv"):
+        tables.export_graph(nodes, edges, str(tmp_path / fmt), fmt)
+        back = spark.read.format(fmt).option("header", True).option("inferSchema", True).load(str(tmp_path / fmt / "edges")).collect()
+        assert [(x.a, x.b, float(x.weight)) for x in back] == [("a", "b", 1.5)]
+        assert spark.read.format(fmt).option("header", True).option("escape", "\\").load(str(tmp_path / fmt / "nodes")).count() == 1
