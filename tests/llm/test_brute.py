@@ -5,8 +5,8 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
-from memloom.llm import mixing, quality, url_rules
-from memloom.llm.common import table
+from memloom.llm import embedding_dups, katz, mixing, quality, url_rules
+from memloom.llm.common import remainder, table
 from memloom.llm.registry import QUERIES
 from pyspark.sql import functions as F
 
@@ -96,3 +96,37 @@ def test_mix_equals_plain_order(spark):
         assert got[i].taken == taken and len(got[i].positions) == len(shares)
         for t, u in zip(got[i].positions, shares, strict=True):
             assert abs(t + a * (t * t - t) - min(u, 1)) < 1e-9
+
+
+def test_katz_keeps_texts_with_their_rows(spark):
+    """Scores do not depend on the order, the partitions or the source of the rows."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    held = remainder(F.col("doc_id"), 7) != 2
+    want = {r.doc_id: (r.n_tokens, r.base_score, r.score) for r in katz.score(docs, held).collect()}
+    mixed = docs.repartition(7, F.rand(3)).groupBy("doc_id").agg(F.first("text").alias("text")).withColumns({"row": F.lit(1), "block": F.lit("x"), "held": F.lit(None)})
+    got = {r.doc_id: (r.n_tokens, r.base_score, r.score) for r in katz.score(mixed, held).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and np.allclose(got[i][1:], want[i][1:], rtol=1e-9) for i in want)
+
+
+def test_katz_blocks_of_any_size(spark, monkeypatch):
+    """Small blocks and many parts give the scores of one block."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    held = remainder(F.col("doc_id"), 7) != 2
+    want = {r.doc_id: r.score for r in katz.score(docs, held).collect()}
+    monkeypatch.setattr(katz, "BLOCK", 3000)
+    monkeypatch.setattr(katz, "PART", 2000)
+    frame, model = katz.fitted(docs, held)
+    got = {r.doc_id: r.score for r in frame.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 * abs(want[i]) for i in want)
+    assert model.counts.groupBy("kind").count().count() == 2 and model.backoff.count() > 1
+
+
+def test_vectors_of_many_lengths(spark):
+    """More lengths than get trees: every pair of equal length and direction links, none across lengths."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for d in range(2, 75):
+        v = rng.standard_normal(d)
+        rows += [(10 * d, v.tolist()), (10 * d + 1, (2.5 * v + 1e-3).tolist()), (10 * d + 2, (-v).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dups.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {10 * d + k: ((1, 10 * d), (1, 10 * d), (0, 10 * d + 2))[k] for d in range(2, 75) for k in range(3)}
