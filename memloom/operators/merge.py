@@ -55,6 +55,15 @@ def parse_keywords(results: DataFrame) -> DataFrame:
     return results.select("query_id", j.alias("j")).select("query_id", tidy(F.col("j.high_level_keywords")).alias("high"), tidy(F.col("j.low_level_keywords")).alias("low"))
 
 
+def top_ranked(rows: DataFrame, key: str, order: list, most: int, spread: str, parts: int = 32) -> DataFrame:
+    """The first `most` rows of each key, with their rank n: ranked inside parts of a key by a hash of `spread` first, so that no
+    task orders more than parts * most rows of a frequent key."""
+    part = F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")
+    rows = rows.withColumn("_part", part)
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy(key, "_part").orderBy(*order))).filter(F.col("n") <= most)
+    return rows.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("n") <= most).drop("_part")
+
+
 def merge_entities(rows: DataFrame, cap: int = 300) -> DataFrame:
     """X10. One row per name: the most frequent type (ties: first seen), descriptions once each by time, then longer first,
     sources once each in order, capped. rows: (name, type, description, source_id, ts, seq); stored rows come first by seq.
@@ -63,8 +72,7 @@ def merge_entities(rows: DataFrame, cap: int = 300) -> DataFrame:
     typed = votes.groupBy("name").agg(F.min_by("type", F.struct(-F.col("n"), F.col("s"))).alias("type"))
     texts = rows.groupBy("name", "description").agg(F.min(F.struct("ts", (-F.length("description")).alias("l"), "seq")).alias("o"))
     texts = texts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("o", "description"))).alias("d"))
-    first = rows.groupBy("name", "source_id").agg(F.min("seq").alias("seq"))
-    first = first.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("seq", "source_id"))).filter(F.col("n") <= cap)
+    first = top_ranked(rows.groupBy("name", "source_id").agg(F.min("seq").alias("seq")), "name", [F.col("seq"), F.col("source_id")], cap, "source_id")
     ids = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "source_id"))).alias("s"))
     listed = lambda c, f: F.transform(c, lambda x: x[f]).alias
     out = texts.join(ids, "name").join(typed, "name")
@@ -101,7 +109,8 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def plan_summaries(parts: DataFrame, fewest: int = 8, limit: int = 1200, context: int = 4000) -> DataFrame:
-    """X16. (owner, mode, group, descriptions): join when few and small, else groups that fit the context. parts: (owner, pos, description)."""
+    """X16. (owner, mode, group, descriptions): join when few and small, else groups that fit the context. parts: (owner, pos, description).
+    The running sum goes over an owner's parts in order: one owner is one task."""
     tokens = token_count(F.col("description"))
     own = W.partitionBy("owner")
     rows = parts.withColumn("t", tokens).withColumn("n", F.count("*").over(own)).withColumn("all", F.sum("t").over(own))
@@ -122,7 +131,7 @@ def cap_sources(rows: DataFrame, most: int, newest: bool = False) -> tuple[DataF
     sources of an owner stay (newest: the latest); without newest, new fragments of sources that were cut go too."""
     first = rows.groupBy("owner", "source_id").agg(F.min("seq").alias("s"))
     order = F.desc("s") if newest else F.asc("s")
-    kept = first.withColumn("n", F.row_number().over(W.partitionBy("owner").orderBy(order, "source_id"))).filter(F.col("n") <= most)
+    kept = top_ranked(first, "owner", [order, F.col("source_id")], most, "source_id")
     owners = kept.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("s", "source_id"))).alias("x")).select("owner", F.transform("x", lambda x: x["source_id"]).alias("source_ids"))
     if newest:
         return owners, rows
