@@ -127,7 +127,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     chosen = F.broadcast(training_ids(docs, labels))  # TRAIN_DOCS rows at most
     rows = docs.select(F.col(id_col).alias("its"), F.col(text_col).alias("text"))
-    texts = rows.join(chosen, F.col("its") == F.col("id")).select("text", F.col("quality").cast("double").alias("quality"))
+    met = rows.join(chosen, F.col("its") == F.col("id")).select("its", "text", F.col("quality").cast("double").alias("quality"))
+    # of rows with one id the one of least hash: TRAIN_DOCS rows at most
+    texts = met.groupBy("its", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "quality")
     index = index_vectors()
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,14 @@ def test_classifier_equals_plain_loops(spark):
     assert all(abs(again[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_classifier_learns_from_one_row_of_an_id(spark):
+    """Repeated rows and ids do not multiply what is learned from."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    one, net = quality.learn(docs, labels)
+    many, again = quality.learn(docs.unionByName(docs).unionByName(docs), labels)
+    assert np.array_equal(one, many) and all(np.array_equal(p, q) for p, q in zip(net.p, again.p, strict=True))
+
+
 def test_mined_verdicts_equal_all_itemsets(spark):
     """Every set of a page's tokens is tried as a rule."""
     pages, labels = table(spark, SF, "pages"), table(spark, SF, "labels")
