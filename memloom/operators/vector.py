@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from memloom.operators.ingest import first_by
 
-#: Queries in one block, and numbers in all queries up to which they are one matrix on every task (32 MB).
-QUERY_BLOCK, MATRIX = 512, 1 << 22
+#: Queries, and vectors, in one block; queries, and numbers in all of them, up to which they are one matrix on every task (32 MB).
+QUERY_BLOCK, VECTOR_BLOCK, QUERIES, MATRIX = 512, 4096, 4096, 1 << 22
 #: Vectors from which the cells of the approximate search are learned, passes over them, most cells.
 SAMPLE, PASSES, CELLS = 8192, 8, 4096
 
@@ -59,14 +59,12 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2) -> DataFrame:
     """V1. (query_id, id, score, rank): the k nearest by cosine at or above threshold; ties by id. queries (query_id, qv)
     are compared with every vector (id, v) by matrix products; each batch of vectors keeps its best k for each query
-    before the shuffle. Vectors of another dimension, null ones and zero norms do not match. Queries of up to MATRIX
-    numbers are sent to the tasks as one matrix; more are a table of blocks, each of which meets all vectors."""
+    before the shuffle. Vectors of another dimension, null ones and zero norms do not match. Up to QUERIES queries of MATRIX
+    numbers are sent to the tasks as one matrix; more are a table of blocks, which goes to every share of the vectors' blocks."""
     asked = queries.select("query_id", "qv")
     shape = T.StructType([asked.schema["query_id"], corpus.schema["id"]]).add("score", "double")
-    few = asked.limit(MATRIX // 16 + 1).toArrow()  # a bounded number of rows
-    numbers = sum(len(v) for v in few.column("qv").to_pylist() if v is not None)
-    one = few.num_rows <= MATRIX // 16 and numbers <= MATRIX
-    if one:
+    few = asked.limit(QUERIES + 1).toArrow()
+    if few.num_rows <= QUERIES and sum(len(v) for v in few.column("qv").to_pylist() if v is not None) <= MATRIX:
         ids, qv = few.column("query_id").combine_chunks(), few.column("qv").to_pylist()
         dims = {len(v) for v in qv if v}
         known = [(dim, *matrix(qv, dim)) for dim in sorted(dims)]
@@ -84,10 +82,13 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
     block = F.floor(F.monotonically_increasing_id() % (1 << 33) / QUERY_BLOCK).alias("block")
     own = asked.filter(F.size("qv") > 0).select(F.spark_partition_id().alias("part"), block, F.size("qv").alias("dim"), "query_id", "qv")
     blocks = own.groupBy("part", "block", "dim").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))  # QUERY_BLOCK at most
-    place = F.floor(F.monotonically_increasing_id() % (1 << 33) / 4096).alias("block")
+    place = F.floor(F.monotonically_increasing_id() % (1 << 33) / VECTOR_BLOCK).alias("block")
     vectors = corpus.filter(F.size("v") > 0).select(F.spark_partition_id().alias("part"), place, F.size("v").alias("dim"), "id", "v")
-    vectors = vectors.groupBy("part", "block", "dim").agg(F.collect_list(F.struct("id", "v")).alias("vs"))  # 4096 at most
-    met = vectors.select("dim", "vs").join(blocks.select("dim", "qs"), "dim").select("vs", "qs")
+    vectors = vectors.groupBy("part", "block", "dim").agg(F.collect_list(F.struct("id", "v")).alias("vs"))  # VECTOR_BLOCK at most
+    shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = vectors.withColumn("share", F.pmod(F.xxhash64("part", "block"), F.lit(shares)).cast("int"))
+    blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    met = vectors.select("dim", "share", "vs").join(blocks.select("dim", "share", "qs"), ["dim", "share"]).select("vs", "qs")
 
     def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
