@@ -123,7 +123,8 @@ def training_ids(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Network | None]:
-    """Word vectors and the network. Without labels of both kinds there is no network."""
+    """Word vectors and the network. Without labels of both kinds, as in empty tables, there is no network. Null texts teach as
+    empty ones, null ids and null labels nothing; of labels of one id the highest counts, of its rows one."""
     spark = docs.sparkSession
     chosen = F.broadcast(training_ids(docs, labels))  # TRAIN_DOCS rows at most
     rows = docs.select(F.col(id_col).alias("its"), F.col(text_col).alias("text"))
@@ -179,7 +180,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score, columns of keep) of each row's whole text. Null and empty texts pool to zeros and are
-    scored as such; without a network every score is 0.5. Repeated rows and null ids give a row each."""
+    scored as such; without a network every score is 0.5. Repeated rows and null ids give a row each; an empty table gives an
+    empty result; columns that are not named are ignored, keep must not name `score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(F.col(id_col), *(F.col(f"`{c}`") for c in keep)).alias("own"), F.col(text_col).alias("text"))
 

@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links of at most two bits reach.
 
     Null and wordless texts have fingerprint 0 and link like any other; repeated rows and ids give
-    a row each; a component of null ids only has a null component_id. Other columns are ignored.
+    a row each; a component of null ids only has a null component_id; an empty table gives an empty result. Other columns
+    are ignored, whatever their names.
     """
     rows = fingerprints(docs, id_col, text_col, shingle)
     prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct-prints")

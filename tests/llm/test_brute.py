@@ -5,8 +5,8 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
-from memloom.llm import embedding_dups, katz, mixing, quality, url_rules
-from memloom.llm.common import remainder, table
+from memloom.llm import embedding_dups, katz, line_rules, mixing, piece_codec, quality, secrets, simhash, token_count, url_rules
+from memloom.llm.common import remainder, table, tokenizer_file
 from memloom.llm.registry import QUERIES
 from pyspark.sql import functions as F
 
@@ -138,3 +138,19 @@ def test_vectors_of_many_lengths(spark):
         rows += [(10 * d, v.tolist()), (10 * d + 1, (2.5 * v + 1e-3).tolist()), (10 * d + 2, (-v).tolist())]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dups.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {10 * d + k: ((1, 10 * d), (1, 10 * d), (0, 10 * d + 2))[k] for d in range(2, 75) for k in range(3)}
+
+
+def test_empty_tables(spark):
+    """Every operator gives an empty result of its columns, also beside columns of any name."""
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, score double, ids int, own int, row int, n_tokens int, block int, node int, fp int, page_id long, url string, key int")
+    none = spark.createDataFrame([], "url string, low boolean")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, node int, twin int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = {
+        "ids": piece_codec.encode(docs, tokenizer_file(), verify=True), "n_tokens": token_count.count_tokens(docs, tokenizer_file()),
+        "score": quality.score(docs, quality.learn(docs, labels)), "kept": line_rules.judge(docs), "base_score": katz.score(docs, F.lit(True)),
+        "fp": simhash.near_duplicates(docs), "n_links": embedding_dups.near_duplicates(vectors), "verdict": url_rules.judge(docs, none),
+        "taken": mixing.mix(docs), "all_spans": secrets.scan(docs),
+    }
+    for column, df in out.items():
+        assert column in df.columns and df.count() == 0
