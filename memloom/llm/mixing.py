@@ -64,13 +64,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A document is taken whole, `passes` times: the source's whole passes, and once more
     if the partial pass reaches its middle, so a source's taken words are within half a
     document of its target. taken <= 2 * size. A null source is a source of its own, the
-    last; a null or wordless text has size 0 and takes nothing; equal ids are ordered by
-    a hash of the text and share their rank only if they are equal rows. An empty table
-    gives an empty result. Other columns are ignored. Reruns agree. With row_col, a key of
+    last; a null or wordless text has size 0 and takes nothing. The order is that of a hash of id
+    and text (and row_col); only equal rows share a place, and which of them is taken is then open. An empty table
+    gives an empty result. Other columns are ignored, whatever their names. Reruns agree. With row_col, a key of
     each row, the result has it too, and it orders rows of equal id and text.
     """
     row = F.col(row_col) if row_col else F.lit(0)
-    h = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit("order"))).otherwise(F.xxhash64(F.col(id_col), F.lit("order")))
+    h = F.xxhash64(F.col(id_col), F.col(text_col), *([row] if row_col else []), F.lit("order"))  # an id with many rows falls into many buckets
     rows = docs.select(F.col(id_col).alias("key"), row.alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("tie"))
     rows = cut(rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - (BUCKETS.bit_length() - 1)).cast("int")), "mix-sizes")
     targets = source_targets(rows)

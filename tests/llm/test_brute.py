@@ -90,9 +90,13 @@ def test_mix_equals_plain_order(spark):
         sizes[d.source] += words[d.doc_id]
     target = brute.mix_targets(sizes)
     tilt = {s: mixing.TILTS[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
-    place = lambda i: xxhash.xxh64_intdigest(b"order", xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+    def place(d):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", d.doc_id), 42)
+        h = h if d.text is None else xxhash.xxh64_intdigest(d.text.encode(), h)
+        return xxhash.xxh64_intdigest(b"order", h)
+
     start, want = defaultdict(int), {}
-    for d in sorted(docs, key=lambda d: (place(d.doc_id), d.doc_id)):
+    for d in sorted(docs, key=lambda d: (place(d), d.doc_id)):
         s, n, c = d.source, words[d.doc_id], start[d.source]
         start[s] += n
         whole = int(target[s] // sizes[s])
