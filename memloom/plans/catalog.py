@@ -111,7 +111,7 @@ _PATH = ", ".join(f"CASE WHEN {n} <= level AND h{n}.v = {n} THEN left(h{n}.h, 80
     rf"""
 WITH l AS (SELECT page_id AS doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT page_id, string_split(regexp_replace({_MARKED}, '<[^>]+>', chr(10), 'g'), chr(10)) AS ls FROM pages)),
 g AS (SELECT *, length(regexp_extract(l, '^(#{{1,6}})\s', 1)) AS level FROM l),
-b AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM g),
+b AS (SELECT *, (sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS block FROM g),
 o AS (SELECT doc_id, block, max(level) AS level, coalesce(max(trim(regexp_replace(l, '^#+\s+', ''))) FILTER (level > 0), '') AS heading, regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS content FROM b GROUP BY 1, 2)
 SELECT doc_id, block, level, heading, md5(content) AS content_hash, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ' → ') AS path FROM (SELECT *, {_ABOVE} FROM o)""",
 )

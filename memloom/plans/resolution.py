@@ -252,14 +252,14 @@ def a06(spark: SparkSession, sf: str) -> DataFrame:
 _LABELS = ("DUPLICATE", "REFINEMENT", "TEMPORAL_SUCCESSOR", "CONTRADICTION", "INDEPENDENT", "MAYBE")
 
 
-@query("a08_validate", f"SELECT event_id AS atom_id, d AS decision, CASE WHEN d <> 'INDEPENDENT' THEN event_id - 1 END AS target_id, CASE WHEN d IN ('TEMPORAL_SUCCESSOR', 'CONTRADICTION') THEN ts END AS target_invalid_at, d = 'CONTRADICTION' AS supersedes FROM (SELECT *, CASE WHEN event_id % 2 = 0 AND event_id % 6 < 4 THEN {list(_LABELS)}[event_id % 6 + 1] WHEN event_id % 6 = 1 THEN 'REFINEMENT' ELSE 'INDEPENDENT' END AS d FROM events)")
+@query("a08_validate", f"SELECT event_id AS atom_id, d AS decision, CASE WHEN d <> 'INDEPENDENT' THEN (event_id - 1)::VARCHAR END AS target_id, CASE WHEN d IN ('TEMPORAL_SUCCESSOR', 'CONTRADICTION') THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS target_invalid_at, d = 'CONTRADICTION' AS supersedes FROM (SELECT *, CASE WHEN event_id % 2 = 0 AND event_id % 6 < 4 THEN {list(_LABELS)}[event_id % 6 + 1] WHEN event_id % 6 = 1 THEN 'REFINEMENT' ELSE 'INDEPENDENT' END AS d FROM events)")
 def a08(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
     k = F.col("event_id")
     label = F.element_at(F.array(*map(F.lit, _LABELS)), (k % 6 + 1).cast("int"))
     decisions = e.select(k.alias("atom_id"), label.alias("decision"), (k - 1).alias("target_id"), F.col("ts").alias("target_invalid_at"), F.lit(True).alias("supersedes"))
     allowed = e.filter("event_id % 2 = 0 or event_id % 6 = 1").select(k.alias("atom_id"), (k - 1).alias("candidate_id"))
-    return atoms.validate_decisions(decisions, allowed)
+    return atoms.validate_decisions(decisions, allowed).withColumns({"target_id": _text("target_id"), "target_invalid_at": F.date_format("target_invalid_at", "yyyy-MM-dd HH:mm:ss")})
 
 
 @query(
@@ -267,7 +267,7 @@ def a08(spark: SparkSession, sf: str) -> DataFrame:
     """
 WITH d AS (SELECT event_id AS s, event_id - 1 AS t, (event_id // 11) % 4 AS k, ts FROM events WHERE event_id % 11 = 0 AND event_id > 0)
 SELECT a.atom_id, a.expired_at IS NOT NULL OR k < 3 IS TRUE AS expired,
-  CASE WHEN k = 1 AND x.valid_at >= a.valid_at THEN x.valid_at WHEN k = 2 AND ts - INTERVAL 3 DAY >= a.valid_at THEN ts - INTERVAL 3 DAY ELSE a.invalid_at END AS invalid_at
+  strftime(CASE WHEN k = 1 AND x.valid_at >= a.valid_at THEN x.valid_at WHEN k = 2 AND ts - INTERVAL 3 DAY >= a.valid_at THEN ts - INTERVAL 3 DAY ELSE a.invalid_at END, '%Y-%m-%d %H:%M:%S') AS invalid_at
 FROM atoms a LEFT JOIN d ON d.t = a.atom_id LEFT JOIN atoms x ON x.atom_id = d.s""",
     ("atoms",),
 )
@@ -277,7 +277,7 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(k == 0, "REFINEMENT").when(k == 1, "TEMPORAL_SUCCESSOR").otherwise("CONTRADICTION")
     d = e.select(F.col("event_id").alias("atom_id"), label.alias("decision"), (F.col("event_id") - 1).alias("target_id"), F.when(k == 2, F.expr("ts - interval 3 days")).alias("target_invalid_at"), (k == 2).alias("supersedes"))
     out = atoms.apply_evolution(v.atoms(spark, sf), d, late())[0]
-    return out.select("atom_id", F.col("expired_at").isNotNull().alias("expired"), "invalid_at")
+    return out.select("atom_id", F.col("expired_at").isNotNull().alias("expired"), F.date_format("invalid_at", "yyyy-MM-dd HH:mm:ss").alias("invalid_at"))
 
 
 @query(

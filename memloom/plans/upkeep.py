@@ -115,13 +115,13 @@ def m10(spark: SparkSession, sf: str) -> DataFrame:
     return maintain.vector_rows(s, "node", ["name", "text"])
 
 
-@query("m12_repair", "WITH c AS (SELECT file_path, count(*) AS n, min(doc_id) AS first FROM docs WHERE doc_id % 6 <> 0 GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, doc_id % 6 = 0 OR (first IS NOT NULL AND n % 2 = 0 AND doc_id <> first) AS is_duplicate, CASE WHEN n % 2 = 0 AND doc_id <> first THEN first END AS original_doc_id FROM docs LEFT JOIN c USING (file_path)", ("docs",))
+@query("m12_repair", "WITH c AS (SELECT file_path, count(*) AS n, min(doc_id) AS first FROM docs WHERE doc_id % 6 <> 0 GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, doc_id % 6 = 0 OR (first IS NOT NULL AND n % 2 = 0 AND doc_id <> first) AS is_duplicate, CASE WHEN n % 2 = 0 AND doc_id <> first THEN first::VARCHAR END AS original_doc_id FROM docs LEFT JOIN c USING (file_path)", ("docs",))
 def m12(spark: SparkSession, sf: str) -> DataFrame:
     """Conflicts of an even number of documents are repaired; the other choices carry a stale fingerprint."""
     d = v.docs(spark, sf).select("doc_id", "file_path", (F.col("doc_id") % 6 == 0).alias("is_duplicate"))
     found = maintain.source_conflicts(d)
     choices = found.select("file_path", F.col("sample").alias("primary_id"), "n", F.when(F.col("n") % 2 == 0, F.col("fingerprint")).otherwise("stale").alias("fingerprint"))
-    return maintain.repair_conflicts(d, choices).select("doc_id", "is_duplicate", "original_doc_id")
+    return maintain.repair_conflicts(d, choices).select("doc_id", "is_duplicate", F.col("original_doc_id").cast("string").alias("original_doc_id"))
 
 
 @query("m13_clean_cache", "SELECT event_id AS id FROM events WHERE NOT (event_type IN ('click', 'view') AND user_id % 3 IN (0, 1))")
