@@ -75,7 +75,7 @@ def subgraph(edges: DataFrame, starts: DataFrame, depth: int = 3, n: int = 1000)
     a level that reaches beyond n nodes is cut there, and that query goes no further."""
     edges = write_through(edges, "subgraph-edges")
     ways = both_ways(edges.select("a", "b"))
-    deg = degrees(edges)
+    deg = write_through(degrees(edges), "subgraph-degrees")
     of = W.partitionBy("query_id")
     seen = starts.select("query_id", "node").distinct().withColumn("level", F.lit(0)).join(deg, "node", "left").na.fill(0, ["degree"])
     seen = write_through(seen.withColumn("rank", F.row_number().over(of.orderBy(F.desc("degree"), "node"))).filter(F.col("rank") <= n + 1).select("query_id", "node", "level", "rank"), "subgraph-seen")

@@ -15,8 +15,8 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    li = read(spark, sf, "lineitem")
-    return li.groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).agg(F.count("*").cast("double").alias("weight"))
+    per = read(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").cast("double").alias("weight"))
+    return per.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"), "weight")
 
 
 def extractions(spark: SparkSession, sf: str) -> DataFrame:
