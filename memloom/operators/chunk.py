@@ -126,15 +126,36 @@ def to_blocks(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "block", "level", F.coalesce("heading", F.lit("")).alias("heading"), F.regexp_replace(F.array_join(F.transform("b", lambda x: x["l"]), "\n"), r"^\s+|\s+$", "").alias("content"))
 
 
-def heading_paths(blocks: DataFrame, chars: int = 80) -> DataFrame:
-    """C9. blocks with path: headings of the levels above, joined by arrows, each cut to `chars`."""
+ARROW, MORE = " → ", "…"
+
+
+def clean_heading(text: Column, chars: int) -> Column:
+    """A heading on one line: no arrows and invisible characters, white space runs as one space; beyond `chars` cut, with a mark."""
+    out = F.regexp_replace(F.replace(text, F.lit("→"), F.lit(" ")), r"(?U)[\p{Cc}\p{Cf}&&[^\s]]", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), "^ | $", "")
+    return F.when(F.length(out) > chars, F.concat(F.rtrim(F.substring(out, 1, chars - 1)), F.lit(MORE))).otherwise(out)
+
+
+def within_budget(levels: Column, budget: int) -> Column:
+    """Levels joined by arrows; beyond `budget` tokens the first and last one only, and beyond that the first tokens, with a mark."""
+    whole = F.array_join(levels, ARROW)
+    short = F.when(F.size(levels) >= 3, F.concat_ws(ARROW, levels[0], F.lit(MORE), F.element_at(levels, -1))).otherwise(whole)
+    n = lambda c: F.size(_tokens(c))
+    first = F.concat(F.array_join(F.slice(_tokens(short), 1, max(budget - 1, 0)), " "), F.lit(MORE))
+    return F.when(n(whole) <= budget, whole).when(n(short) <= budget, short).otherwise(first)
+
+
+def heading_paths(blocks: DataFrame, chars: int = 80, budget: int | None = None) -> DataFrame:
+    """C9. blocks with path: cleaned headings of the levels above and their own, joined by arrows, each of at most `chars`
+    characters, all of at most `budget` tokens."""
     own = W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, 0)
     out = blocks
     for n in range(1, 7):  # a heading stands until one of its level or above
         above = F.last(F.when(F.col("level").between(1, n), F.struct("level", "heading")), ignorenulls=True).over(own)
-        out = out.withColumn(f"_h{n}", F.when(above["level"] == n, F.substring(above["heading"], 1, chars)))
-    keep = F.array_compact(F.array(*(F.when(F.lit(n) <= F.col("level"), F.col(f"_h{n}")) for n in range(1, 7))))
-    return out.withColumn("path", F.array_join(keep, " → ")).drop(*(f"_h{n}" for n in range(1, 7)))
+        out = out.withColumn(f"_h{n}", F.when(above["level"] == n, clean_heading(above["heading"], chars)))
+    keep = F.filter(F.array(*(F.when(F.lit(n) <= F.col("level"), F.col(f"_h{n}")) for n in range(1, 7))), lambda x: x.isNotNull() & (x != ""))
+    path = F.array_join(keep, ARROW) if budget is None else within_budget(keep, budget)
+    return out.withColumn("path", path).drop(*(f"_h{n}" for n in range(1, 7)))
 
 
 def enforce_token_limit(chunks: DataFrame, most: int) -> DataFrame:

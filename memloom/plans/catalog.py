@@ -103,7 +103,7 @@ _MARKED = "html"
 for _n in range(1, 7):
     _MARKED = f"regexp_replace({_MARKED}, '(?i)<h{_n}[^>]*>', chr(10) || '{'#' * _n} ', 'g')"
 _ABOVE = ", ".join(f"last_value(CASE WHEN level BETWEEN 1 AND {n} THEN {{'v': level, 'h': heading}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block) AS h{n}" for n in range(1, 7))
-_PATH = ", ".join(f"CASE WHEN {n} <= level AND h{n}.v = {n} THEN left(h{n}.h, 80) END" for n in range(1, 7))
+_PATH = ", ".join(f"CASE WHEN {n} <= level AND h{n}.v = {n} THEN CASE WHEN length(h{n}.h) > 80 THEN rtrim(left(h{n}.h, 79)) || '…' ELSE h{n}.h END END" for n in range(1, 7))
 
 
 @query(
@@ -113,7 +113,7 @@ WITH l AS (SELECT page_id AS doc_id, unnest(ls) AS l, generate_subscripts(ls, 1)
 g AS (SELECT *, length(regexp_extract(l, '^(#{{1,6}})\s', 1)) AS level FROM l),
 b AS (SELECT *, (sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS block FROM g),
 o AS (SELECT doc_id, block, max(level) AS level, coalesce(max(trim(regexp_replace(l, '^#+\s+', ''))) FILTER (level > 0), '') AS heading, regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS content FROM b GROUP BY 1, 2)
-SELECT doc_id, block, level, heading, md5(content) AS content_hash, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ' → ') AS path FROM (SELECT *, {_ABOVE} FROM o)""",
+SELECT doc_id, block, level, heading, md5(content) AS content_hash, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL AND x <> ''), ' → ') AS path FROM (SELECT *, {_ABOVE} FROM o)""",
 )
 def c09(spark: SparkSession, sf: str) -> DataFrame:
     marks = F.col("html")

@@ -123,6 +123,17 @@ def test_blocks_and_headings(spark):
     ]
 
 
+def test_heading_budget(spark):
+    """Arrows, invisible characters and long levels; the middle goes first, then the end."""
+    rows = [(1, 0, 1, "Top \u2192 one\u200b"), (1, 1, 2, "Middle part of it"), (1, 2, 3, "L" * 30)]
+    blocks = spark.createDataFrame([(*r, "") for r in rows], "doc_id long, block int, level int, heading string, content string")
+    path = lambda budget: chunk.heading_paths(blocks, 12, budget).orderBy("block").collect()[2].path
+    whole = "Top one → Middle part… → " + "L" * 11 + "…"
+    assert path(None) == path(7) == whole
+    assert path(6) == "Top one → … → " + "L" * 11 + "…"
+    assert path(3) == "Top one…" and path(1) == "…"
+
+
 def test_block_split_and_merge(spark):
     """Long blocks in parts, headings alone glued to what follows, small neighbours of one parent merged, references dropped, tables by rows."""
     long = "\n".join(f"paragraph {i} has five words" for i in range(8))
