@@ -149,13 +149,20 @@ def plan_compaction(owners: DataFrame) -> DataFrame:
     return owners.select("owner_id", mode.alias("mode"))
 
 
-def resolve_conflicts(atoms: DataFrame, evolution: DataFrame, winners: DataFrame, now: Column) -> DataFrame:
-    """A17. Atoms that lose a contradiction expire once. winners: (a, b, winner) of unordered pairs."""
-    pair = evolution.filter("relation_type = 'CONTRADICTION'").select(F.least("source_atom_id", "target_atom_id").alias("a"), F.greatest("source_atom_id", "target_atom_id").alias("b")).distinct()
-    one = winners.withColumn("x", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).withColumn("a", F.col("x"))
-    one = first_by(one.drop("x"), ["a", "b"], ["winner"])
-    lost = pair.join(one, ["a", "b"]).select(F.when(F.col("winner") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("atom_id")).distinct().withColumn("_l", F.lit(True))
-    return atoms.join(lost, "atom_id", "left").withColumn("expired_at", F.coalesce("expired_at", F.when(F.col("_l"), now))).select(*atoms.columns)
+def resolve_conflicts(atoms: DataFrame, evolution: DataFrame, winners: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """A17. (atoms, evolution): atoms that lose a contradiction expire once, and its edges, in both directions, say when it was
+    resolved and for whom. Contradictions that are resolved already are left as they are, winners outside their pair are ignored.
+    winners: (a, b, winner) of unordered pairs; evolution's metadata is JSON."""
+    open_ = (F.col("relation_type") == "CONTRADICTION") & F.get_json_object("metadata", "$.resolved_at").isNull()
+    ends = [F.least("source_atom_id", "target_atom_id").alias("a"), F.greatest("source_atom_id", "target_atom_id").alias("b")]
+    one = winners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "winner").filter("winner = a or winner = b")
+    one = first_by(one, ["a", "b"], ["winner"]).withColumnRenamed("winner", "_winner")
+    met = evolution.withColumn("_open", F.coalesce(open_, F.lit(False))).select("*", *ends).join(one, ["a", "b"], "left")
+    done = F.col("_open") & F.col("_winner").isNotNull()
+    lost = met.filter(done).select(F.when(F.col("_winner") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("atom_id")).distinct().withColumn("_l", F.lit(True))
+    out = atoms.join(lost, "atom_id", "left").withColumn("expired_at", F.coalesce("expired_at", F.when(F.col("_l"), now))).select(*atoms.columns)
+    audit = F.to_json(F.struct(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss").alias("resolved_at"), F.col("_winner").cast("string").alias("winner")))
+    return out, met.withColumn("metadata", F.when(done, audit).otherwise(F.col("metadata"))).select(*evolution.columns)
 
 
 def evolution_view(atoms: DataFrame, evolution: DataFrame, at: Column) -> DataFrame:

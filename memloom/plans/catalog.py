@@ -493,9 +493,11 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
     return v.atoms(spark, sf).select("atom_id", atoms.presentation(F.col("content"), F.col("valid_at"), F.col("invalid_at")).alias("body"))
 
 
-@query("a17_resolve_conflicts", "SELECT atom_id, expired_at IS NOT NULL OR atom_id IN (SELECT source_atom_id FROM evolution WHERE relation_type = 'CONTRADICTION') AS expired FROM atoms", ("atoms", "evolution"))
+@query("a17_resolve_conflicts", "WITH open AS (SELECT * FROM evolution WHERE relation_type = 'CONTRADICTION' AND NOT resolved) SELECT 'atom' AS kind, atom_id, (expired_at IS NOT NULL OR atom_id IN (SELECT source_atom_id FROM open))::VARCHAR AS state FROM atoms UNION ALL SELECT 'edge', source_atom_id, CASE WHEN relation_type <> 'CONTRADICTION' THEN NULL WHEN resolved THEN 'x' ELSE '2024-01-15T00:00:00 for ' || target_atom_id END FROM evolution", ("atoms", "evolution"))
 def a17(spark: SparkSession, sf: str) -> DataFrame:
     evo = v.evolution(spark, sf)
     winners = evo.select(F.col("source_atom_id").alias("a"), F.col("target_atom_id").alias("b"), F.col("target_atom_id").alias("winner"))
-    out = atoms.resolve_conflicts(v.atoms(spark, sf), evo, winners, at())
-    return out.select("atom_id", F.col("expired_at").isNotNull().alias("expired"))
+    out, edges = atoms.resolve_conflicts(v.atoms(spark, sf), evo, winners, at())
+    at_, own = F.get_json_object("metadata", "$.resolved_at"), F.get_json_object("metadata", "$.winner")
+    state = F.when(F.col("relation_type") == "CONTRADICTION", F.when(own.isNull(), at_).otherwise(F.concat(at_, F.lit(" for "), own)))
+    return out.select(F.lit("atom").alias("kind"), "atom_id", F.col("expired_at").isNotNull().cast("string").alias("state")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source_atom_id").alias("atom_id"), state.alias("state")))
