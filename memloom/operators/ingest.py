@@ -56,13 +56,13 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], version: str) -
 
 def import_custom_kg(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S6. (nodes, edges): the last declaration per entity and unordered pair; unknown sources read UNKNOWN; missing
-    endpoints become nodes. chunks: (source_id, chunk_id); entities: (name, type, description, source_id, seq);
+    endpoints become nodes, with the source of their first edge. chunks: (source_id, chunk_id); entities: (name, type, description, source_id, seq);
     relations: (src, tgt, description, weight, source_id, seq)."""
     known = lambda df: df.join(chunks, "source_id", "left").withColumn("source_id", F.coalesce("chunk_id", F.lit("UNKNOWN"))).drop("chunk_id")
     nodes = known(first_by(entities, ["name"], ["seq"], desc=True)).drop("seq")
     pairs = relations.withColumn("a", F.least("src", "tgt")).withColumn("b", F.greatest("src", "tgt"))
     edges = known(first_by(pairs, ["a", "b"], ["seq"], desc=True)).drop("seq", "src", "tgt")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("name"), "source_id", "description").dropDuplicates(["name"])
+    ends = first_by(edges.select(F.explode(F.array("a", "b")).alias("name"), "source_id", "description", "a", "b"), ["name"], ["a", "b"]).drop("a", "b")
     extra = ends.join(nodes, "name", "left_anti").select("name", F.lit("UNKNOWN").alias("type"), "description", "source_id")
     return nodes.unionByName(extra), edges
 

@@ -27,6 +27,26 @@ def _kind(n: int) -> Column:
     return F.pmod(_row(), F.lit(n))
 
 
+@query(
+    "s06_import_edges",
+    """
+WITH k AS (SELECT *, CASE WHEN source_id::BIGINT % 2 = 0 THEN 'chunk-' || source_id ELSE 'UNKNOWN' END AS source FROM extractions),
+x AS (SELECT src AS a, tgt AS b, arg_max(source, seq) AS source, arg_max(description, seq) AS description FROM k GROUP BY 1, 2)
+SELECT 'edge' AS kind, a, b, source, description FROM x
+UNION ALL SELECT 'node', src, 'part', arg_max(source, seq), arg_max(description, seq) FROM k GROUP BY src
+UNION ALL SELECT 'node', b, 'UNKNOWN', arg_min(source, a), arg_min(description, a) FROM x GROUP BY b""",
+    ("extractions",),
+)
+def s06(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of odd orders are unknown, and relations' targets are declared nowhere."""
+    x = v.extractions(spark, sf)
+    ents = x.select(F.col("src").alias("name"), F.lit("part").alias("type"), "description", "source_id", "seq")
+    chunks = x.filter(F.col("source_id").cast("long") % 2 == 0).select("source_id", F.concat(F.lit("chunk-"), "source_id").alias("chunk_id")).distinct()
+    nodes, edges = ingest.import_custom_kg(chunks, ents, x.select("src", "tgt", "description", "weight", "source_id", "seq"))
+    out = edges.select(F.lit("edge").alias("kind"), "a", "b", F.col("source_id").alias("source"), "description")
+    return out.unionByName(nodes.select(F.lit("node").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b"), F.col("source_id").alias("source"), "description"))
+
+
 @query("s07_import_chunks", "SELECT conv_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS chunk_order_index, 'chunk-' || md5(conv_id || chr(31) || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || chr(31) || text) AS chunk_id FROM conversations WHERE trim(text) <> ''")
 def s07(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "conversations").filter(F.trim("text") != "").groupBy(_text("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))
