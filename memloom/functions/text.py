@@ -79,10 +79,15 @@ def normalize_extracted(text: Column, inner_quotes: bool = False) -> Column:
     return F.when(bare, None).otherwise(out)
 
 
+#: Characters that make a type invalid wherever they stand. Fixed values.
+FORBIDDEN = r"['()<>|/\\]"
+
+
 def clean_type(text: Column) -> Column:
-    """The first non-empty part of a comma list, lower case without spaces; null if it holds forbidden characters."""
+    """The first non-empty part of a comma list, lower case without spaces; null if there is none, or if any part holds
+    forbidden characters."""
     first = F.get(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
-    return F.when(first.rlike(r"""['"()<>|/\\]"""), None).otherwise(F.lower(F.regexp_replace(first, r"\s+", "")))
+    return F.when(text.rlike(FORBIDDEN), None).otherwise(F.lower(F.replace(first, F.lit(" "), F.lit(""))))
 
 
 def truncate_identifier(text: Column, chars: int = 256, octets: int = 512) -> Column:

@@ -147,7 +147,7 @@ def x05(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x06_clean_type", f"SELECT {_ROW} AS id, CASE ({_ROW}) % 3 WHEN 0 THEN 'modelpart' WHEN 1 THEN NULL ELSE lower(l_returnflag) END AS type FROM lineitem")
 def x06(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.when(_kind(3) == 0, " , Model Part,x").when(_kind(3) == 1, "a|b, c").otherwise(F.col("l_returnflag"))
+    raw = F.when(_kind(3) == 0, " , Model Part,x").when(_kind(3) == 1, "a, b|c").otherwise(F.col("l_returnflag"))
     return read(spark, sf, "lineitem").select(_row().alias("id"), text.clean_type(raw).alias("type"))
 
 
