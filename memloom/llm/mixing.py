@@ -26,6 +26,8 @@ WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2.0
 TILTS = (-0.5, 0.0, 0.5)
 #: Hash buckets of a source's order. At 2^16 buckets a source of 10^11 documents has about 10^6 in each.
 BUCKETS = 1 << 16
+#: Shares of the rows that are equal in id, text and all else.
+PARTS = 1 << 10
 
 
 def word_count(text: Column) -> Column:
@@ -56,7 +58,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"), "tilt")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, same_col: str | None = None) -> DataFrame:
     """One row per document, in training order: id, size, source_size, target, taken, position
     (of its first word, 0 to 1; null if nothing is taken), positions (one of each copy, by pass;
     empty if nothing is taken).
@@ -65,13 +67,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if the partial pass reaches its middle, so a source's taken words are within half a
     document of its target. taken <= 2 * size. A null source is a source of its own, the
     last; a null or wordless text has size 0 and takes nothing. The order is that of a hash of id
-    and text (and row_col); only equal rows share a place, and which of them is taken is then open. An empty table
-    gives an empty result. Other columns are ignored, whatever their names. Reruns agree. With row_col, a key of
-    each row, the result has it too, and it orders rows of equal id and text.
+    and text alone, so it is the same wherever the rows are stored; rows of equal id and text stand together. With row_col, a key
+    of each row, the result has it too; same_col then says which of those rows are equal in all else (a hash of the
+    other columns): they follow it, and only which of wholly equal rows has which place is open. An empty table
+    gives an empty result. Other columns are ignored, whatever their names. Reruns agree.
     """
-    row = F.col(row_col) if row_col else F.lit(0)
-    h = F.xxhash64(F.col(id_col), F.col(text_col), *([row] if row_col else []), F.lit("order"))  # an id with many rows falls into many buckets
-    rows = docs.select(F.col(id_col).alias("key"), row.alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("tie"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("order"))
+    same = F.col(same_col).cast("long") if same_col else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("key"), row.alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("tie"), same.alias("same"))
+    # rows of equal id and text are dealt over parts, which are numbered and then counted like rows
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit("part")), F.lit(PARTS)).cast("int"))
     rows = cut(rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - (BUCKETS.bit_length() - 1)).cast("int")), "mix-sizes")
     targets = source_targets(rows)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -84,9 +90,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lows = sums.select("source", "bucket", high.alias("top"), zero(F.sum("n").over(upto(W.partitionBy("source", high).orderBy("bucket")))).alias("base2"))
     offsets = lows.join(tops, F.col("source").eqNullSafe(F.col("s1")) & (F.col("top") == F.col("t1"))).join(targets.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")))
     offsets = offsets.select(F.col("source").alias("s3"), F.col("bucket").alias("b3"), (F.col("base1") + F.col("base2")).alias("base"), "source_size", "target", "tilt")
-    inside = zero(F.sum("size").over(upto(W.partitionBy("source", "bucket").orderBy("h", "key", "tie", "row"))))
-    placed = rows.withColumn("inside", inside).join(offsets, F.col("source").eqNullSafe(F.col("s3")) & (F.col("bucket") == F.col("b3")))
-    start = F.col("base") + F.col("inside")
+    alike = F.struct("source", "bucket", "h", "key", "tie", "same", "part").alias("alike")
+    parts = rows.groupBy(alike).agg(F.sum("size").alias("n")).select("n", "alike", F.col("alike.source").alias("source"), F.col("alike.bucket").alias("bucket"))
+    parts = parts.withColumn("inside", zero(F.sum("n").over(upto(W.partitionBy("source", "bucket").orderBy(*(f"alike.{c}" for c in ("h", "key", "tie", "same", "part")))))))
+    parts = parts.join(offsets, F.col("source").eqNullSafe(F.col("s3")) & (F.col("bucket") == F.col("b3")))
+    parts = parts.select(F.col("alike").alias("its"), (F.col("base") + F.col("inside")).alias("before"), "source_size", "target", "tilt")
+    rows = rows.select("key", "row", "size", alike)
+    placed = rows.withColumn("nth", F.row_number().over(W.partitionBy("alike").orderBy("row")) - 1).join(parts, F.col("alike") == F.col("its"))
+    start = F.col("before") + F.col("nth") * F.col("size")
     whole = F.floor(F.col("target") / F.col("source_size"))
     part = F.col("target") - whole * F.col("source_size")
     passes = F.when(F.col("size") == 0, 0).otherwise(whole + (start + F.col("size") / 2 <= part).cast("long"))

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import sentencepiece
 from memloom.llm import mixing, quality, simhash
-from memloom.llm.common import cut, table, tokenizer_file
+from memloom.llm.common import cut, ordinal, table, tokenizer_file
 from pyspark.sql import functions as F
 
 from . import brute
@@ -84,6 +84,33 @@ def test_null_and_repeated_ids(spark, tmp_path):
         assert Counter(r.doc_id for r in mixed) == taken and max(Counter((r.doc_id, r.text) for r in mixed).values()) <= 4
 
 
+def test_mix_does_not_depend_on_files(spark, tmp_path):
+    """The stage run on the same rows from two folders, dealt differently: equal rows in equal order."""
+    docs = table(spark, SF, "documents").unionByName(table(spark, SF, "documents").filter("doc_id % 9 = 0").withColumn("lang", F.lit("xx")))
+    docs = docs.unionByName(docs.filter("doc_id % 5 = 0")).unionByName(docs.filter("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    found = []
+    for k, parts in enumerate((3, 7)):
+        docs.repartition(parts, F.xxhash64("text", F.lit(k))).write.parquet(str(tmp_path / str(k)))
+        out = cut(corpus_pipeline.mix_sources(spark, spark.read.parquet(str(tmp_path / str(k))), SF), "test-mix")
+        found.append([tuple(r) for r in out.select(ordinal(out).alias("o"), "*").orderBy("o").drop("o").collect()])
+    assert found[0] == found[1] and len(found[0]) > 200
+
+
+def test_hot_row_of_the_mix(spark):
+    """A third of all rows equal: each is taken as the others are, and they are dealt over parts."""
+    rows = [(k, " ".join(["w"] * (1 + k % 5)), f"s{k % 3}") for k in range(400)] + [(7, "one two three", "s0")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute.mix_targets(sizes)
+    assert len(got) == len(rows) and sorted(r["size"] for r in got) == sorted(len(t.split()) for _, t, _ in rows)
+    for r in got:
+        taken[r.target] += r.taken
+    assert all(abs(taken[t] - t) <= 5 for t in taken) and sorted(taken) == sorted(want.values())
+
+
 def test_clashing_names_and_empty_tables(spark):
     """Columns that stages use themselves, and tables without rows, pass through every stage."""
     clash = ["score", "own", "row", "key", "at", "id", "its", "all_spans", "quality", "_row", "_key", "_n", "node", "a.b", "_metadata"]
