@@ -59,9 +59,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, in training order.
 
-    Null and wordless texts take nothing and go; a null source is a source of its own; ids may be null or repeated."""
+    Null and wordless texts take nothing and go; a null source is a source of its own; ids may be null or repeated; ties between
+    rows of one id and text go by the other columns, so equal rows alone share a place. The result does not depend on the files."""
     rows = keyed(docs, "doc_id", "text", "source")
-    plan = mixing.mix(rows.select("row", "doc_id", "text", "source"), row_col="row")
+    plan = mixing.mix(rows.select("row", "doc_id", "text", "source", F.col("row.c").alias("same")), row_col="row", same_col="same")
     return mixing.repeated(rows.select("own", "row", "doc_id"), plan, row_col="row").select("own.*")
 
 
