@@ -12,7 +12,7 @@ proofs and folds them. Small trees share a group, and no group holds more than a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.common import cut, remainder, table
 
-#: Nodes of a run, and levels of a superblock (6561 leaves).
+#: Nodes of a run, and levels of a superblock (6561 leaves) unless a call says otherwise (`high`).
 ARITY, LEVELS = 3, 8
 #: Columns of a leaf, in order.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -57,18 +57,18 @@ def ranked(rows: DataFrame, tree: str, *order: Column) -> DataFrame:
     return out.withColumn("rank", F.col("pos") + F.col("shift")).drop("pos", "range", "r2", "t2", "shift")
 
 
-def grouped(nodes: DataFrame, shares: int) -> DataFrame:
+def grouped(nodes: DataFrame, shares: int, high: int) -> DataFrame:
     """nodes with block (the superblock) and share: one for each superblock of a large tree, a common one for small trees."""
-    size = F.lit(ARITY**LEVELS)
+    size = F.lit(ARITY**high)
     block = F.floor(F.col("rank") / size)
     share = F.when(F.col("total") > size, F.xxhash64("tree", block)).otherwise(F.pmod(F.xxhash64("tree"), F.lit(shares)))
     return nodes.withColumn("block", block).withColumn("share", share)
 
 
-def reduced(nodes: list[str], total: int) -> list[list[str]]:
-    """The levels of a superblock, its leaves first: LEVELS runs if its tree goes on above it, else until one node is left."""
+def reduced(nodes: list[str], total: int, high: int) -> list[list[str]]:
+    """The levels of a superblock, its leaves first: `high` runs if its tree goes on above it, else until one node is left."""
     levels = [nodes]
-    while len(levels) <= LEVELS if total > ARITY**LEVELS else len(levels[-1]) > 1:
+    while len(levels) <= high if total > ARITY**high else len(levels[-1]) > 1:
         last = levels[-1]
         levels.append([H(*last[k : k + ARITY]) for k in range(0, len(last), ARITY)])
     return levels
@@ -91,25 +91,25 @@ def parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def lifted(nodes: DataFrame, shares: int) -> DataFrame:
+def lifted(nodes: DataFrame, shares: int, high: int) -> DataFrame:
     """The next level: one node for each superblock."""
 
     def up(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for part in parts(pdf):
             total = int(part["total"].iloc[0])
-            top = reduced(part["node"].tolist(), total)[-1]
-            out.append((part["tree"].iloc[0], -(-total // ARITY**LEVELS), int(part["block"].iloc[0]), top[0]))
+            top = reduced(part["node"].tolist(), total, high)[-1]
+            out.append((part["tree"].iloc[0], -(-total // ARITY**high), int(part["block"].iloc[0]), top[0]))
         return pd.DataFrame(out, columns=["tree", "total", "rank", "node"])
 
-    return cut(grouped(nodes, shares).select("share", "block", "tree", "total", "rank", "node").groupBy("share").applyInPandas(up, NODE), "merkle-nodes")
+    return cut(grouped(nodes, shares, high).select("share", "block", "tree", "total", "rank", "node").groupBy("share").applyInPandas(up, NODE), "merkle-nodes")
 
 
-def climbed(nodes: DataFrame, shares: int) -> list[DataFrame]:
+def climbed(nodes: DataFrame, shares: int, high: int) -> list[DataFrame]:
     """nodes and all levels of superblocks above them; the last has one node a tree."""
     levels = [nodes]
     while levels[-1].filter("total > 1").limit(1).count() or len(levels) == 1:
-        levels.append(lifted(levels[-1], shares))
+        levels.append(lifted(levels[-1], shares, high))
     return levels
 
 
@@ -119,7 +119,7 @@ def outward(outer: DataFrame, shares: int) -> DataFrame:
     return outer.select(share.alias("share"), "tree", F.col("rank").alias("block"), "subroot", "root", "path")
 
 
-def lowered(nodes: DataFrame, outer: DataFrame, shares: int) -> DataFrame:
+def lowered(nodes: DataFrame, outer: DataFrame, shares: int, high: int) -> DataFrame:
     """(tree, total, rank, subroot, root, path) of each node, from those of the superblocks' tops."""
 
     def down(inner: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
@@ -128,30 +128,34 @@ def lowered(nodes: DataFrame, outer: DataFrame, shares: int) -> DataFrame:
         for part in parts(inner):
             tree, total, block = part["tree"].iloc[0], int(part["total"].iloc[0]), part["block"].iloc[0]
             top = tops[tree, block]
-            found = ways(reduced(part["node"].tolist(), total), top.path)
+            found = ways(reduced(part["node"].tolist(), total, high), top.path)
             out += [(tree, total, rank, top.subroot, top.root, [{"left": a, "right": b} for a, b in way]) for rank, way in zip(part["rank"].tolist(), found, strict=True)]
         return pd.DataFrame(out, columns=["tree", "total", "rank", "subroot", "root", "path"])
 
-    own = grouped(nodes, shares).select("share", "block", "tree", "total", "rank", "node").groupBy("share")
+    own = grouped(nodes, shares, high).select("share", "block", "tree", "total", "rank", "node").groupBy("share")
     return cut(own.cogroup(outward(outer, shares).groupBy("share")).applyInPandas(down, f"tree string, total long, rank long, subroot string, root string, {PATH}"), "merkle-ways")
 
 
-def proven(inner: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def prover(high: int) -> Callable:
     """The last exchange: leaves of some superblocks with the outer nodes that these need."""
-    tops = {(r.tree, r.block): r for r in above.itertuples(index=False)}
-    out = []
-    for part in parts(inner):
-        top = tops[part["tree"].iloc[0], part["block"].iloc[0]]
-        found = ways(reduced(part["node"].tolist(), int(part["total"].iloc[0])), top.path)
-        for key, leaf, forged, way in zip(part["key"], part["node"], part["forged"], found, strict=True):
-            node = leaf if forged is None else forged
-            for left, right in way:
-                node = H(left, node, right)
-            out.append((key, leaf, top.subroot, top.root, H(*(x for pair in way for x in pair)), node, node == top.root))
-    return pd.DataFrame(out, columns=["key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
-
-
-def manifest(docs: DataFrame, tampered: DataFrame | None = None) -> DataFrame:
+
+    def proven(inner: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        tops = {(r.tree, r.block): r for r in above.itertuples(index=False)}
+        out = []
+        for part in parts(inner):
+            top = tops[part["tree"].iloc[0], part["block"].iloc[0]]
+            found = ways(reduced(part["node"].tolist(), int(part["total"].iloc[0]), high), top.path)
+            for key, leaf, forged, way in zip(part["key"], part["node"], part["forged"], found, strict=True):
+                node = leaf if forged is None else forged
+                for left, right in way:
+                    node = H(left, node, right)
+                out.append((key, leaf, top.subroot, top.root, H(*(x for pair in way for x in pair)), node, node == top.root))
+        return pd.DataFrame(out, columns=["key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
+
+    return proven
+
+
+def manifest(docs: DataFrame, high: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of each row of docs, which has COLUMNS and perhaps others.
 
     Documents for which crc32 of doc_id is even are tampered with before they are folded: the line feeds of their texts are gone.
@@ -166,23 +170,23 @@ def manifest(docs: DataFrame, tampered: DataFrame | None = None) -> DataFrame:
     forged = F.when(hit, leaf_of(columns | {"text": F.replace(text, F.lit("\n"), F.lit(""))}))
     leaves = docs.select(part_of(F.col("source")).alias("tree"), "doc_id", leaf_of(columns).alias("node"), forged.alias("forged"), F.monotonically_increasing_id().alias("row"))
     leaves = cut(leaves, "merkle-leaves")
-    shares = -(-leaves.count() // ARITY**LEVELS) or 1
+    shares = -(-leaves.count() // ARITY**high) or 1
     leaves = cut(ranked(leaves, "tree", F.col("tree"), F.col("doc_id").asc_nulls_first(), F.col("node"), F.col("row")), "merkle-ranked")
-    levels = climbed(leaves, shares)
+    levels = climbed(leaves, shares, high)
     source = F.when(F.col("tree") != "-", F.expr("substring(tree, instr(tree, ':') + 1)"))
     subroots = levels[-1].select(F.col("tree").alias("its"), source.alias("source"), "node", F.lit("").alias("tree"))
     subroots = cut(ranked(subroots, "tree", F.col("tree"), F.col("source").asc_nulls_first()), "merkle-subroots")
-    tops = climbed(subroots, shares)
+    tops = climbed(subroots, shares, high)
     outer = tops[-1].select("tree", "total", "rank", F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"), F.array().cast(PATH.removeprefix("path ")).alias("path"))
     for nodes in reversed(tops[:-1]):
-        outer = lowered(nodes, outer, shares)
+        outer = lowered(nodes, outer, shares, high)
     outer = subroots.select("its", F.col("node").alias("subroot"), F.col("rank").alias("r")).join(outer.drop("subroot"), F.col("r") == F.col("rank"))
     outer = outer.select(F.col("its").alias("tree"), F.lit(1).cast("long").alias("total"), F.lit(0).cast("long").alias("rank"), "subroot", "root", "path")
     for nodes in reversed(levels[1:-1]):
-        outer = lowered(nodes, outer, shares)
-    own = grouped(leaves, shares).select("share", "block", "tree", "total", "rank", "node", "forged", F.col("doc_id").cast("string").alias("key")).groupBy("share")
+        outer = lowered(nodes, outer, shares, high)
+    own = grouped(leaves, shares, high).select("share", "block", "tree", "total", "rank", "node", "forged", F.col("doc_id").cast("string").alias("key")).groupBy("share")
     shape = "key string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    out = own.cogroup(outward(outer, shares).groupBy("share")).applyInPandas(proven, shape)
+    out = own.cogroup(outward(outer, shares).groupBy("share")).applyInPandas(prover(high), shape)
     return out.withColumn("key", F.col("key").cast(docs.schema["doc_id"].dataType)).withColumnRenamed("key", "doc_id")
 
 
