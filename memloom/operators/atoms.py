@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.ids import normalize_atom_text
 from memloom.operators.ingest import first_by
+from memloom.operators.merge import top_ranked
 from memloom.sources.tables import write_through
 
 #: Owners with at most ALL atoms are compared whole; else the TOP nearest and the LAST latest.
@@ -46,26 +47,35 @@ def fold_exact(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def in_batch_candidates(atoms: DataFrame, similarity: DataFrame) -> DataFrame:
-    """A5. (atom_id, candidate_id): earlier atoms of the same owner and episode; all if few, else the nearest and the last.
-    similarity: (atom_id, candidate_id, score)."""
-    old = atoms.select("episode_id", "owner_id", F.col("atom_id").alias("candidate_id"), F.col("seq").alias("old_seq"))
-    met = atoms.select("episode_id", "owner_id", "atom_id", "seq").join(old, ["episode_id", "owner_id"]).filter("old_seq < seq")
-    return _bounded(met, similarity)
+    """A5. (atom_id, candidate_id): earlier atoms of the same owner and episode; all if they are few, else the nearest and the last.
+    similarity: (atom_id, candidate_id, score). Atoms meet those that they ask for by place, never all of their owner."""
+    own = ["episode_id", "owner_id"]
+    rows = atoms.select(*own, "atom_id", F.row_number().over(W.partitionBy(*own).orderBy("seq", "atom_id")).alias("pos"))
+    first = F.when(F.col("pos") - 1 <= ALL, 1).otherwise(F.col("pos") - LAST)
+    asked = rows.filter("pos > 1").withColumn("old", F.explode(F.sequence(first, F.col("pos") - 1)))
+    met = asked.join(rows.select(*own, F.col("pos").alias("old"), F.col("atom_id").alias("candidate_id")), [*own, "old"]).select("atom_id", "candidate_id")
+    ends = rows.select(*own, F.col("atom_id").alias("candidate_id"), F.col("pos").alias("old"))
+    near = similarity.filter(F.col("score") >= NEAR).join(rows.filter(F.col("pos") - 1 > ALL), "atom_id").join(ends, [*own, "candidate_id"]).filter("old < pos")
+    return met.union(_nearest(near)).distinct()
 
 
 def history_candidates(new: DataFrame, atoms: DataFrame, similarity: DataFrame, at: Column) -> DataFrame:
-    """A7. As A5 against the atoms of the owner's history that are active at `at`."""
-    old = with_status(atoms, at).filter("status = 'active'").select("owner_id", F.col("atom_id").alias("candidate_id"), F.col("seq").alias("old_seq"))
-    return _bounded(new.select("owner_id", "atom_id").join(old, "owner_id"), similarity)
+    """A7. (atom_id, candidate_id): the owner's history if it is short, whatever the atoms' status, else its nearest atoms and the last that
+    are active at `at`. Histories are cut to that before they are joined, so an owner of many atoms sends a few rows."""
+    mine = atoms.join(new.select("owner_id").distinct(), "owner_id", "left_semi").select("owner_id", F.col("atom_id").alias("candidate_id"), "seq", status_at(at).alias("status"))
+    size = mine.groupBy("owner_id").agg(F.count("*").alias("n"))
+    short = mine.join(size.filter(F.col("n") <= ALL), "owner_id").select("owner_id", "candidate_id")
+    long = size.filter(F.col("n") > ALL).select("owner_id")
+    last = top_ranked(mine.filter("status = 'active'").join(long, "owner_id", "left_semi"), "owner_id", [F.desc("seq"), F.desc("candidate_id")], LAST, "candidate_id")
+    asked = new.select("owner_id", "atom_id")
+    met = asked.join(short.unionByName(last.select("owner_id", "candidate_id")), "owner_id").select("atom_id", "candidate_id")
+    near = similarity.filter(F.col("score") >= NEAR).join(asked, "atom_id").join(mine.select("owner_id", "candidate_id"), ["owner_id", "candidate_id"]).join(long, "owner_id", "left_semi")
+    return met.union(_nearest(near)).distinct()
 
 
-def _bounded(met: DataFrame, similarity: DataFrame) -> DataFrame:
-    met = met.join(similarity, ["atom_id", "candidate_id"], "left")
-    own = W.partitionBy("atom_id")
-    near = F.row_number().over(own.orderBy(F.desc_nulls_last("score"), "candidate_id"))
-    last = F.row_number().over(own.orderBy(F.desc("old_seq")))
-    rows = met.withColumn("_all", F.count("*").over(own) <= ALL).withColumn("_near", near).withColumn("_last", last)
-    return rows.filter(F.col("_all") | ((F.col("_near") <= TOP) & (F.col("score") >= NEAR)) | (F.col("_last") <= LAST)).select("atom_id", "candidate_id")
+def _nearest(scored: DataFrame) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("atom_id").orderBy(F.desc("score"), "candidate_id"))
+    return scored.withColumn("_n", rank).filter(F.col("_n") <= TOP).select("atom_id", "candidate_id")
 
 
 def match_history_exact(new: DataFrame, atoms: DataFrame, at: Column) -> DataFrame:
@@ -98,16 +108,21 @@ def collapse_duplicates(links: DataFrame) -> DataFrame:
 
 
 def apply_evolution(atoms: DataFrame, decisions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """A10. (atoms, evolution): refinements expire their target; successors end it at the given end, else at their own start,
-    never before its start, and expire it; contradictions do so only if they supersede. An edge new -> old is always recorded."""
-    links = decisions.filter("target_id is not null and decision <> 'DUPLICATE'")
-    source = atoms.select(F.col("atom_id").alias("_src"), F.col("valid_at").alias("_start"))
-    acts = links.join(source, links["atom_id"] == F.col("_src"), "left").filter("decision in ('REFINEMENT', 'TEMPORAL_SUCCESSOR') or supersedes")
-    acts = acts.withColumn("_end", F.when(F.col("decision") != "REFINEMENT", F.coalesce("target_invalid_at", "_start")))
-    per = acts.groupBy(F.col("target_id").alias("_t")).agg(F.min("_end").alias("_end"))
-    out = atoms.join(per, atoms["atom_id"] == F.col("_t"), "left")
-    later = F.col("_end").isNotNull() & (F.col("valid_at").isNull() | (F.col("_end") >= F.col("valid_at")))
-    out = out.withColumn("invalid_at", F.when(later, F.col("_end")).otherwise(F.col("invalid_at"))).withColumn("expired_at", F.coalesce("expired_at", F.when(F.col("_t").isNotNull(), now)))
+    """A10. (atoms, evolution): refinements expire their target; successors end it at the given end, else at their own start, and expire it;
+    contradictions that supersede end it at the given end only, and expire it. An end before the target's start is passed over, each by
+    itself; of several ends the last decision's holds, in order of `turn` if decisions have one, else of their atoms' seq. An edge
+    new -> old is always recorded."""
+    links = decisions.filter("target_id is not null and target_id <> atom_id and decision not in ('DUPLICATE', 'INDEPENDENT')")
+    source = atoms.select(F.col("atom_id").alias("_src"), F.col("valid_at").alias("_start"), F.col("seq").alias("_seq"))
+    acts = links.filter("decision in ('REFINEMENT', 'TEMPORAL_SUCCESSOR') or supersedes").join(source, links["atom_id"] == F.col("_src"), "left")
+    end = F.when(F.col("decision") == "TEMPORAL_SUCCESSOR", F.coalesce("target_invalid_at", "_start")).when(F.col("decision") == "CONTRADICTION", F.col("target_invalid_at"))
+    turn = F.struct(F.col("turn") if "turn" in decisions.columns else F.col("_seq"), F.col("_src"))
+    acts = acts.select("target_id", end.alias("_end"), turn.alias("_turn"))
+    target = atoms.select(F.col("atom_id").alias("target_id"), F.col("valid_at").alias("_since"))
+    counts = F.col("_end").isNotNull() & (F.col("_since").isNull() | (F.col("_end") >= F.col("_since")))
+    per = acts.join(target, "target_id").groupBy(F.col("target_id").alias("_t")).agg(F.max_by("_end", F.when(counts, F.col("_turn"))).alias("_end"))
+    out = atoms.join(per, atoms["atom_id"] == F.col("_t"), "left").withColumn("invalid_at", F.coalesce("_end", "invalid_at"))
+    out = out.withColumn("expired_at", F.coalesce("expired_at", F.when(F.col("_t").isNotNull(), now)))
     edges = links.select(F.col("atom_id").alias("source_atom_id"), F.col("target_id").alias("target_atom_id"), F.col("decision").alias("relation_type"), now.alias("created_at"))
     return out.select(*atoms.columns), edges
 

@@ -173,7 +173,7 @@ def enforce_token_limit(chunks: DataFrame, most: int) -> DataFrame:
     parts = F.when(n(F.col("content")) <= most, F.array("content")).otherwise(packed)
     rows = chunks.select("doc_id", "chunk_id", "chunk_order_index", F.posexplode(parts).alias("part", "content"), (n(F.col("content")) > most).alias("split"))
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_order_index", "part")) - 1
-    return rows.select("doc_id", F.when(F.col("split"), F.concat("chunk_id", F.lit("-s"), F.lpad((F.col("part") + 1).cast("string"), 2, "0"))).otherwise(F.col("chunk_id")).alias("chunk_id"), order.alias("chunk_order_index"), "content")
+    return rows.select("doc_id", F.when(F.col("split"), F.format_string("%s-s%02d", F.col("chunk_id").cast("string"), F.col("part") + 1)).otherwise(F.col("chunk_id")).alias("chunk_id"), order.alias("chunk_order_index"), "content")
 
 
 def attribute_blocks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -215,7 +215,9 @@ def drop_reference_blocks(blocks: DataFrame, last: int = 0) -> DataFrame:
     would have no content left keeps them."""
     own = W.partitionBy("doc_id")
     place = F.row_number().over(own.orderBy(F.desc("block")))
-    hit = F.lower(F.trim("heading")).rlike("^(" + "|".join(REFERENCES) + ")") & ((place <= last) if last else F.lit(True))
+    # after ASCII letters the word must end; other scripts do not mark where a word ends
+    named = "|".join(w + r"(?![\p{L}\p{N}])" if w.isascii() else w for w in REFERENCES)
+    hit = F.lower(F.trim("heading")).rlike(f"^({named})") & ((place <= last) if last else F.lit(True))
     rows = blocks.withColumn("_r", F.coalesce(hit, F.lit(False)))
     rows = rows.withColumn("_left", F.max(~F.col("_r") & (F.trim("content") != "")).over(own))
     return rows.filter(~F.col("_r") | ~F.col("_left")).drop("_r", "_left")

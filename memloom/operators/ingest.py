@@ -93,7 +93,7 @@ def build_chunk_rows(chunks: DataFrame) -> DataFrame:
     """S10. Key doc-chunk-NNN; a given id is prefixed by its document; collisions get a content hash; empty content goes.
     chunks: (doc_id, given_id, chunk_order_index, content)."""
     rows = chunks.filter(F.trim("content") != "")
-    default = F.concat(F.col("doc_id"), F.lit("-chunk-"), F.lpad(F.col("chunk_order_index").cast("string"), 3, "0"))
+    default = F.format_string("%s-chunk-%03d", F.col("doc_id").cast("string"), F.col("chunk_order_index").cast("long"))
     rows = rows.withColumn("key", F.when(F.col("given_id").isNotNull(), F.concat_ws("-", "doc_id", "given_id")).otherwise(default))
     n = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("chunk_order_index"))
     return rows.withColumn("_n", n).withColumn("chunk_id", F.when(F.col("_n") > 1, hash_id("chunk-", F.concat_ws("\x1f", "key", F.col("chunk_order_index").cast("string"), "content"))).otherwise(F.col("key"))).drop("_n", "key")

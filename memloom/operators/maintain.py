@@ -12,9 +12,9 @@ from memloom.sources.tables import write_through
 
 
 def plan_purge(owners: DataFrame, gone: DataFrame) -> DataFrame:
-    """M1. (owner, action, remaining): delete if no source remains, rebuild if some went, else untouched. owners: (owner, source_ids); gone: (source_id)."""
-    rows = owners.select("owner", F.posexplode("source_ids").alias("pos", "source_id")).join(gone.select("source_id").distinct().withColumn("_g", F.lit(True)), "source_id", "left")
-    left = F.transform(F.array_sort(F.collect_list(F.when(F.col("_g").isNull(), F.struct("pos", "source_id")))), lambda x: x["source_id"])
+    """M1. (owner, action, remaining): delete if no source remains (nor ever was), rebuild if some went, else untouched. owners: (owner, source_ids); gone: (source_id)."""
+    rows = owners.select("owner", F.posexplode_outer("source_ids").alias("pos", "source_id")).join(gone.select("source_id").distinct().withColumn("_g", F.lit(True)), "source_id", "left")
+    left = F.transform(F.array_sort(F.collect_list(F.when(F.col("_g").isNull() & F.col("pos").isNotNull(), F.struct("pos", "source_id")))), lambda x: x["source_id"])
     per = rows.groupBy("owner").agg(left.alias("remaining"), F.max(F.coalesce("_g", F.lit(False))).alias("hit"))
     return per.select("owner", F.when(F.size("remaining") == 0, "delete").when(F.col("hit"), "rebuild").otherwise("untouched").alias("action"), "remaining")
 
@@ -155,7 +155,8 @@ def list_atoms(atoms: DataFrame, owners: DataFrame, counts: DataFrame, status: s
 
 def overview(atoms: DataFrame) -> DataFrame:
     """W1. (status, n, first, last) of atoms with status, and all of them."""
-    return atoms.rollup("status").agg(F.count("*").alias("n"), F.min("valid_at").alias("first_valid"), F.max("created_at").alias("last_created")).withColumn("status", F.coalesce("status", F.lit("all")))
+    out = atoms.rollup("status").agg(F.count("*").alias("n"), F.min("valid_at").alias("first_valid"), F.max("created_at").alias("last_created"), F.grouping("status").alias("_all"))
+    return out.withColumn("status", F.when(F.col("_all") == 1, "all").otherwise(F.col("status"))).drop("_all")
 
 
 def list_episodes(episodes: DataFrame, evidence: DataFrame, kind: str | None = None, search: str = "") -> DataFrame:
@@ -219,8 +220,9 @@ def keyset_page(df: DataFrame, statuses: list[str], after: tuple | None, n: int)
 
 
 def status_counts(df: DataFrame) -> DataFrame:
-    """W9. Counts by status, and all."""
-    return df.rollup("status").agg(F.count("*").alias("n")).withColumn("status", F.coalesce("status", F.lit("all")))
+    """W9. Counts by status, and all; rows without status count under null."""
+    out = df.rollup("status").agg(F.count("*").alias("n"), F.grouping("status").alias("_all"))
+    return out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("status")).alias("status"), "n")
 
 
 def docs_by(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -80,8 +80,7 @@ def merge_entities(rows: DataFrame, cap: int = 300) -> DataFrame:
 
 
 def merge_relations(stored: DataFrame, new: DataFrame, most: int = 300) -> DataFrame:
-    """X11. One row per unordered pair: stored weight and the weights of new rows whose source is set and not stored yet (a
-    source counts once, by its first row); keywords once each, sorted; descriptions once each, in order; sources in order,
+    """X11. One row per unordered pair: stored weight and the weights of all new rows whose source is set and not stored yet; keywords once each, sorted; descriptions once each, in order; sources in order,
     at most `most`. stored: (a, b, weight, keywords array, source_ids array); new: (src, tgt, weight, keyword, source_id,
     seq, and, if there is one, description). Rows of one source meet first, stored sources are an anti join: nothing is as
     long as a pair's history but the one row that holds it."""
@@ -89,10 +88,10 @@ def merge_relations(stored: DataFrame, new: DataFrame, most: int = 300) -> DataF
     rows = new.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b"), "weight", "keyword", F.coalesce("source_id", F.lit("")).alias("source_id"), "seq", *(["description"] if described else []))
     words = F.collect_set(F.col("keyword"))
     told = [F.min(F.struct("seq", "description")).alias("d")] if described else []
-    per_source = rows.groupBy("a", "b", "source_id").agg(F.min(F.struct("seq", "weight")).alias("first"), words.alias("k"), *told)
+    per_source = rows.groupBy("a", "b", "source_id").agg(F.sum("weight").alias("weight"), F.min("seq").alias("seq"), words.alias("k"), *told)
     known = stored.select("a", "b", F.explode("source_ids").alias("source_id")).distinct().withColumn("_s", F.lit(True))
     fresh = (F.col("source_id") != "") & F.col("_s").isNull()
-    met = per_source.join(known, ["a", "b", "source_id"], "left").select("a", "b", "k", *(["d"] if described else []), F.when(fresh, F.col("first.weight")).otherwise(0.0).alias("w"), F.when(fresh, F.struct(F.col("first.seq").alias("seq"), "source_id")).alias("s"))
+    met = per_source.join(known, ["a", "b", "source_id"], "left").select("a", "b", "k", *(["d"] if described else []), F.when(fresh, F.col("weight")).otherwise(0.0).alias("w"), F.when(fresh, F.struct("seq", "source_id")).alias("s"))
     heard = [F.collect_list("d").alias("d")] if described else []
     per = met.groupBy("a", "b").agg(F.sum("w").alias("w"), F.array_distinct(F.flatten(F.collect_set("k"))).alias("k"), F.collect_list("s").alias("s"), *heard)
     out = per.join(stored.withColumnsRenamed({"weight": "w0", "keywords": "k0", "source_ids": "s0"}), ["a", "b"], "full")

@@ -96,7 +96,7 @@ def describe_candidates(candidates: DataFrame, entities: DataFrame, atoms: DataF
 
 def apply_entity_decisions(requests: DataFrame, decisions: DataFrame, candidates: DataFrame, aliases: DataFrame) -> DataFrame:
     """R7. (name, entity_id, is_new, canonical_name, new_aliases). A decision outside the candidates, or none, makes a new
-    entity, its id from the name's hash; a new name that equals a candidate's gets its type and a hash behind it. Known
+    entity, its id from the name's hash, so requests of one normal name share it, and the name of the first; a new name that equals a candidate's gets its type and a hash behind it. Known
     entities get the request's aliases that they lack. requests: (name, entity_type, aliases); decisions: (name,
     entity_id); candidates: (name, entity_id, canonical_name); aliases: (entity_id, normalized_alias)."""
     ok = candidates.select("name", "entity_id", F.col("canonical_name").alias("_known")).distinct()
@@ -108,6 +108,8 @@ def apply_entity_decisions(requests: DataFrame, decisions: DataFrame, candidates
     named = F.when(clash, F.concat("name", F.lit(" ("), F.coalesce("entity_type", F.lit("entity")), F.lit(":"), F.substring(digest, 1, 8), F.lit(")"))).otherwise(F.col("name"))
     met = met.withColumn("entity_id", F.when(F.col("is_new"), F.concat(F.lit("entity-"), F.substring(digest, 1, 32))).otherwise(F.col("entity_id")))
     met = met.withColumn("canonical_name", F.when(F.col("is_new"), named).otherwise(F.col("_known")))
+    one = F.first("canonical_name").over(W.partitionBy("entity_id").orderBy("name"))  # requests of one normal name are one new entity
+    met = met.withColumn("canonical_name", F.when(F.col("is_new"), one).otherwise(F.col("canonical_name")))
     each = met.select("name", "entity_id", F.posexplode("aliases").alias("pos", "alias")).withColumn("normalized_alias", normalize_name(F.col("alias")))
     fresh = each.join(aliases.select("entity_id", "normalized_alias").distinct(), ["entity_id", "normalized_alias"], "left_anti")
     fresh = fresh.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "alias"))).alias("x"))

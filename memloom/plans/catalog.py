@@ -174,12 +174,20 @@ def x10(spark: SparkSession, sf: str) -> DataFrame:
     return merge.merge_entities(x).select("name", "type", F.size("descriptions").cast("long").alias("descriptions"), F.size("source_ids").cast("long").alias("sources"))
 
 
-@query("x11_merge_relations", "SELECT src AS a, tgt AS b, count(DISTINCT source_id)::DOUBLE AS weight, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM extractions GROUP BY 1, 2", ("extractions",))
+@query(
+    "x11_merge_relations",
+    """WITH x AS (SELECT src, tgt, keyword, seq, (source_id::BIGINT % 50)::VARCHAR AS s FROM extractions),
+old AS (SELECT DISTINCT src, tgt, s, TRUE AS stored FROM x WHERE seq % 2 = 0)
+SELECT src AS a, tgt AS b, (count(*) FILTER (seq % 2 = 0) + count(*) FILTER (stored IS NULL))::DOUBLE AS weight, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords, count(DISTINCT s) AS n_sources
+FROM x LEFT JOIN old USING (src, tgt, s) GROUP BY 1, 2""",
+    ("extractions",),
+)
 def x11(spark: SparkSession, sf: str) -> DataFrame:
-    x = v.extractions(spark, sf)
+    """Even rows first, then all of them; a source has several rows of a pair."""
+    x = v.extractions(spark, sf).withColumn("source_id", (F.col("source_id").cast("long") % 50).cast("string"))
     empty = spark.createDataFrame([], "a string, b string, weight double, keywords array<string>, source_ids array<string>")
     first = merge.merge_relations(empty, x.filter("seq % 2 = 0"))
-    return merge.merge_relations(first, x).select("a", "b", "weight", F.array_join("keywords", ",").alias("keywords"))
+    return merge.merge_relations(first, x).select("a", "b", "weight", F.array_join("keywords", ",").alias("keywords"), F.size("source_ids").cast("long").alias("n_sources"))
 
 
 @query("x16_plan_summaries", 'SELECT owner, CASE WHEN n < 8 THEN \'join\' ELSE \'summarize\' END AS mode, count(*) AS parts FROM (SELECT tgt AS owner, count(*) OVER (PARTITION BY tgt) AS n FROM extractions) GROUP BY 1, 2', ("extractions",))
@@ -221,6 +229,31 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
     return atoms.apply_evolution(v.atoms(spark, sf), d, at())[0].select("atom_id", F.col("expired_at").isNotNull().alias("expired"))
 
 
+@query(
+    "a10_ends",
+    """WITH t AS (SELECT owner_id, min(atom_id) AS target FROM atoms GROUP BY 1),
+d AS (
+  SELECT a.atom_id, a.seq, a.valid_at AS start, t.target, CASE a.atom_id % 4 WHEN 1 THEN 'REFINEMENT' WHEN 2 THEN 'TEMPORAL_SUCCESSOR' WHEN 3 THEN 'CONTRADICTION' ELSE 'INDEPENDENT' END AS kind,
+    CASE WHEN a.atom_id % 3 > 0 THEN a.valid_at + to_days((a.atom_id % 40 - 30)::INTEGER) END AS given, a.atom_id % 8 = 3 AS supersedes
+  FROM atoms a JOIN t USING (owner_id) WHERE a.atom_id > t.target),
+e AS (
+  SELECT d.*, CASE kind WHEN 'TEMPORAL_SUCCESSOR' THEN coalesce(given, start) WHEN 'CONTRADICTION' THEN given END AS stop, o.valid_at AS since
+  FROM d JOIN atoms o ON o.atom_id = d.target WHERE kind IN ('REFINEMENT', 'TEMPORAL_SUCCESSOR') OR (kind = 'CONTRADICTION' AND supersedes)),
+p AS (SELECT target, arg_max(stop, seq) FILTER (stop >= since) AS stop FROM e GROUP BY 1)
+SELECT a.atom_id, coalesce(p.stop, a.invalid_at) AS invalid_at, a.expired_at IS NOT NULL OR p.target IS NOT NULL AS expired FROM atoms a LEFT JOIN p ON p.target = a.atom_id""",
+    ("atoms",),
+)
+def a10_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Each fact of an owner decides on the owner's first one: several ends for one target, some before its start."""
+    a = v.atoms(spark, sf)
+    first = a.groupBy("owner_id").agg(F.min("atom_id").alias("target_id"))
+    k = F.col("atom_id")
+    kind = F.when(k % 4 == 1, "REFINEMENT").when(k % 4 == 2, "TEMPORAL_SUCCESSOR").when(k % 4 == 3, "CONTRADICTION").otherwise("INDEPENDENT")
+    end = F.when(k % 3 > 0, F.col("valid_at") + F.make_dt_interval((k % 40 - 30).cast("int")))
+    d = a.join(first, "owner_id").filter("atom_id > target_id").select("atom_id", kind.alias("decision"), "target_id", end.alias("target_invalid_at"), (k % 8 == 3).alias("supersedes"))
+    return atoms.apply_evolution(a, d, at())[0].select("atom_id", "invalid_at", F.col("expired_at").isNotNull().alias("expired"))
+
+
 @query("a11_evidence", "SELECT a.atom_id, count(DISTINCT e.episode_id) AS support_count FROM atoms a LEFT JOIN evidence e USING (atom_id) GROUP BY 1", ("atoms", "evidence"))
 def a11(spark: SparkSession, sf: str) -> DataFrame:
     ev = v.evidence(spark, sf)

@@ -233,11 +233,23 @@ def a05(spark: SparkSession, sf: str) -> DataFrame:
     return atoms.in_batch_candidates(a, _similar(a.select("episode_id", "owner_id", "atom_id").join(old, ["episode_id", "owner_id"])))
 
 
-@query("a07_history_candidates", _bounded_sql(f"SELECT n.atom_id, o.atom_id AS candidate_id, {_SCORE} AS score FROM (SELECT * FROM atoms WHERE atom_id % 97 = 0) n JOIN (SELECT * FROM atoms WHERE expired_at IS NULL AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-15') AND valid_at <= TIMESTAMP '2024-01-15') o ON n.owner_id % 9 = o.owner_id % 9"), ("atoms",))
+_OWNER = "CASE WHEN owner_id % 2 = 0 THEN owner_id * 10 + atom_id % 10 ELSE owner_id % 9 END"
+
+
+@query(
+    "a07_history_candidates",
+    f"""WITH h AS (SELECT * REPLACE ({_OWNER} AS owner_id), count(*) OVER (PARTITION BY {_OWNER}) AS size,
+  expired_at IS NULL AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-15') AND valid_at <= TIMESTAMP '2024-01-15' AS live FROM atoms),
+m AS (SELECT n.atom_id, o.atom_id AS candidate_id, o.size, o.live, {_SCORE} AS score FROM (SELECT * FROM h WHERE atom_id % 97 = 0) n JOIN h o USING (owner_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY atom_id ORDER BY score DESC, candidate_id) AS near, row_number() OVER (PARTITION BY atom_id, live ORDER BY candidate_id DESC) AS last FROM m)
+SELECT atom_id, candidate_id FROM r WHERE size <= 16 OR (near <= 8 AND score >= 0.45) OR (live AND last <= 4)""",
+    ("atoms",),
+)
 def a07(spark: SparkSession, sf: str) -> DataFrame:
+    """Even users are ten owners of few atoms each, odd ones are nine owners of many."""
     from memloom.plans.registry import at
 
-    a = v.atoms(spark, sf).withColumn("owner_id", F.col("owner_id") % 9)
+    a = v.atoms(spark, sf).withColumn("owner_id", F.when(F.col("owner_id") % 2 == 0, F.col("owner_id") * 10 + F.col("atom_id") % 10).otherwise(F.col("owner_id") % 9))
     new = a.filter("atom_id % 97 = 0")
     met = new.select("owner_id", "atom_id").join(a.select("owner_id", F.col("atom_id").alias("candidate_id")), "owner_id")
     return atoms.history_candidates(new, a, _similar(met), at())
@@ -280,28 +292,56 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("atom_id", F.col("expired_at").isNotNull().alias("expired"), F.date_format("invalid_at", "yyyy-MM-dd HH:mm:ss").alias("invalid_at"))
 
 
+_FACT = "'atom-' || left(sha256(episode_id || chr(31) || owner_id || chr(31) || content || chr(31) || seq), 32)"
+
+
+def _wave_sql(no: int) -> str:
+    """Atoms and evidence after wave `no`, from those before it."""
+    return f"""
+f{no} AS (SELECT *, first_value(id) OVER (PARTITION BY episode_id, content ORDER BY seq) AS kept, first_value(id) OVER (PARTITION BY episode_id ORDER BY seq) AS head FROM told WHERE wave = {no}),
+k{no} AS (SELECT *, CASE WHEN odd AND kind = 'DUPLICATE' AND id <> head THEN head ELSE id END AS lead FROM f{no} WHERE id = kept),
+s{no} AS (SELECT k.id, arg_min(h.id, h.seq) AS same FROM k{no} k JOIN h{no - 1} h ON k.lead = k.id AND h.owner_id = k.owner_id AND h.content = k.content AND h.invalid_at IS NULL AND NOT h.expired GROUP BY 1),
+p{no} AS (SELECT k.*, s.same, coalesce(s.same, CASE WHEN NOT odd AND kind = 'DUPLICATE' THEN target END, k.id) AS stored FROM k{no} k LEFT JOIN s{no} s USING (id) WHERE lead = id),
+n{no} AS (
+  SELECT p.id, p.owner_id, p.content, p.valid_at, NULL::TIMESTAMP AS invalid_at, FALSE AS expired, coalesce(last + 1, 0) + row_number() OVER (PARTITION BY p.owner_id ORDER BY p.seq, p.id) - 1 AS seq
+  FROM p{no} p LEFT JOIN (SELECT owner_id, max(seq) AS last FROM h{no - 1} GROUP BY 1) USING (owner_id) WHERE p.stored = p.id),
+u{no} AS (SELECT * FROM h{no - 1} UNION ALL SELECT * FROM n{no}),
+a{no} AS (
+  SELECT p.stored AS source, CASE WHEN p.odd THEN t.stored ELSE p.target END AS goal, p.kind, p.given, p.supersedes, p.seq, p.odd::INTEGER AS stage
+  FROM p{no} p LEFT JOIN p{no} t ON t.id = p.head WHERE p.kind IN ('REFINEMENT', 'TEMPORAL_SUCCESSOR', 'CONTRADICTION') AND ((p.odd AND p.id <> p.head) OR (NOT p.odd AND p.same IS NULL))),
+e{no} AS (
+  SELECT a.*, CASE kind WHEN 'TEMPORAL_SUCCESSOR' THEN coalesce(given, s.valid_at) WHEN 'CONTRADICTION' THEN given END AS stop, g.valid_at AS since
+  FROM a{no} a JOIN u{no} s ON s.id = a.source JOIN u{no} g ON g.id = a.goal WHERE source <> goal AND (kind <> 'CONTRADICTION' OR supersedes)),
+x{no} AS (SELECT goal, arg_max(stop, stage * 1000000000 + seq) FILTER (stop >= since) AS stop FROM e{no} GROUP BY 1),
+h{no} AS (SELECT u.* REPLACE (coalesce(x.stop, u.invalid_at) AS invalid_at, u.expired OR x.goal IS NOT NULL AS expired) FROM u{no} u LEFT JOIN x{no} x ON x.goal = u.id),
+v{no} AS (SELECT f.episode_id, p.stored AS id FROM f{no} f JOIN k{no} k ON k.id = f.kept JOIN p{no} p ON p.id = k.lead)"""
+
+
 @query(
     "a12_commit",
-    """
-WITH h AS (SELECT * FROM atoms WHERE atom_id % 2 = 0), f AS (SELECT * FROM atoms WHERE atom_id % 2 = 1),
-one AS (SELECT atom_id, owner_id, content, valid_at, first_value(atom_id) OVER (PARTITION BY episode_id, owner_id, content ORDER BY seq) AS kept FROM f),
-dup AS (SELECT o.atom_id FROM one o WHERE o.kept = o.atom_id AND EXISTS (SELECT 1 FROM h WHERE h.owner_id = o.owner_id AND h.content = o.content AND h.expired_at IS NULL AND h.invalid_at IS NULL)),
-new AS (SELECT * FROM one WHERE kept = atom_id AND atom_id NOT IN (SELECT atom_id FROM dup))
-SELECT u.owner_id % 2 = 1 AS is_new, u.owner_id AS user_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n_atoms, coalesce(c.n, 0) AS n_evidence
-FROM (SELECT DISTINCT owner_id FROM atoms) u
-LEFT JOIN (SELECT owner_id, count(*) AS n FROM h WHERE owner_id % 2 = 0 GROUP BY 1) a USING (owner_id)
-LEFT JOIN (SELECT owner_id, count(*) AS n FROM (SELECT n.*, n.owner_id % 2 = 1 OR n.atom_id IN (SELECT atom_id FROM new) AS ok FROM one n WHERE kept = atom_id) WHERE ok GROUP BY 1) b USING (owner_id)
-LEFT JOIN (SELECT owner_id, count(*) AS n FROM one GROUP BY 1) c USING (owner_id)
-WHERE u.owner_id IN (SELECT owner_id FROM f) OR u.owner_id % 2 = 0""",
+    f"""WITH told AS (
+  SELECT *, {_FACT} AS id FROM (
+    SELECT owner_id * 2 + (seq % 4 > 1)::INTEGER AS episode_id, 1 + (seq % 4 > 1)::INTEGER AS wave, owner_id % 2 = 1 AS odd, content, valid_at, seq,
+      CASE WHEN owner_id % 2 = 0 THEN 'user-' || owner_id ELSE 'entity-' || left(sha256('user #' || lpad(owner_id::VARCHAR, 6, '0')), 32) END AS owner_id,
+      ['INDEPENDENT', 'DUPLICATE', 'REFINEMENT', 'TEMPORAL_SUCCESSOR', 'CONTRADICTION'][seq % 5 + 1] AS kind,
+      'old-' || min(seq) FILTER (seq % 4 = 0) OVER (PARTITION BY owner_id) AS target, CASE WHEN seq % 3 > 0 THEN valid_at + to_days((seq % 40 - 30)::INTEGER) END AS given, seq % 2 = 0 AS supersedes
+    FROM atoms) WHERE seq % 4 <> 0),
+h0 AS (SELECT 'old-' || atom_id AS id, 'user-' || owner_id AS owner_id, content, valid_at, NULL::TIMESTAMP AS invalid_at, FALSE AS expired, seq FROM atoms WHERE seq % 4 = 0 AND owner_id % 2 = 0),
+{_wave_sql(1)},
+{_wave_sql(2)}
+SELECT h.id AS atom_id, h.owner_id, h.content, h.invalid_at, h.expired, h.seq::BIGINT AS seq, coalesce(v.n, 0) AS support_count
+FROM h2 h LEFT JOIN (SELECT id, count(DISTINCT episode_id) AS n FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2) GROUP BY 1) v USING (id)""",
     ("atoms",),
 )
 def a12(spark: SparkSession, sf: str) -> DataFrame:
-    """Even events are the history of even users, odd ones new facts of all users; odd users are not known yet."""
+    """Every fourth event is the history of even users; the others are facts, in two episodes of each user. Facts of even users decide on
+    the user's first old atom, facts of odd users, who are new, on the first one of their episode."""
     a = v.atoms(spark, sf)
-    name = F.concat(F.lit("User #"), _text("owner_id"))
-    known = a.filter("owner_id % 2 = 0").select("owner_id").distinct()
-    entities = known.select(F.concat(F.lit("user-"), _text("owner_id")).alias("entity_id"), name.alias("canonical_name"), F.lit("user").alias("entity_type"))
-    past = a.filter("atom_id % 2 = 0 and owner_id % 2 = 0").select(F.concat(F.lit("old-"), _text("atom_id")).alias("atom_id"), F.concat(F.lit("user-"), _text("owner_id")).alias("owner_id"), "content", "valid_at", "invalid_at", "created_at", "expired_at", "seq")
+    k, even = F.col("seq"), F.col("owner_id") % 2 == 0
+    name = F.concat(F.lit("User #"), F.lpad(_text("owner_id"), 6, "0"))
+    entities = a.filter(even).select("owner_id").distinct().select(F.concat(F.lit("user-"), _text("owner_id")).alias("entity_id"), name.alias("canonical_name"), F.lit("user").alias("entity_type"))
+    none = F.lit(None).cast("timestamp")
+    past = a.filter(even & (k % 4 == 0)).select(F.concat(F.lit("old-"), _text("atom_id")).alias("atom_id"), F.concat(F.lit("user-"), _text("owner_id")).alias("owner_id"), "content", "valid_at", none.alias("invalid_at"), "created_at", none.alias("expired_at"), "seq")
     registry = {
         "entities": entities,
         "aliases": entities.select("entity_id", normalize_name(F.col("canonical_name")).alias("normalized_alias")),
@@ -310,18 +350,22 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
         "evidence": spark.createDataFrame([], "evidence_id string, atom_id string, episode_id long"),
         "evolution": spark.createDataFrame([], "source_atom_id string, target_atom_id string, relation_type string, created_at timestamp"),
     }
-    new = a.filter("atom_id % 2 = 1").withColumn("name", name)
+    new = a.filter(k % 4 != 0).withColumns({"name": name, "half": (k % 4 > 1).cast("long")}).withColumn("episode_id", F.col("owner_id") * 2 + F.col("half"))
+    episodes = new.select("episode_id", F.col("half").alias("created_at")).distinct()
     mentions = new.groupBy("episode_id", "name").agg(F.min("seq").alias("seq")).withColumns({"aliases": F.array(F.upper("name")), "entity_type": F.lit("user")})
+    facts = new.select("episode_id", "name", "seq", "content", "valid_at", none.alias("invalid_at"))
+    owner = F.when(even, F.concat(F.lit("user-"), _text("owner_id"))).otherwise(F.concat(F.lit("entity-"), F.left(F.sha2(F.lower("name"), 256), F.lit(32))))
+    ids = new.withColumn("id", commit.atom_id(F.col("episode_id"), owner, F.col("content"), k))
+    old = a.filter(k % 4 == 0).groupBy("owner_id").agg(F.concat(F.lit("old-"), F.min("seq").cast("string")).alias("old"))
+    head = ids.groupBy("episode_id").agg(F.min_by("id", "seq").alias("head"))
+    kind = F.element_at(F.array(*map(F.lit, ("INDEPENDENT", "DUPLICATE", "REFINEMENT", "TEMPORAL_SUCCESSOR", "CONTRADICTION"))), (k % 5 + 1).cast("int"))
+    end = F.when(k % 3 > 0, F.col("valid_at") + F.make_dt_interval((k % 40 - 30).cast("int")))
+    told = ids.join(old, "owner_id", "left").join(head, "episode_id").select(F.col("id").alias("atom_id"), kind.alias("decision"), F.when(even, F.col("old")).otherwise(F.col("head")).alias("target_id"), end.alias("target_invalid_at"), (k % 2 == 0).alias("supersedes")).filter("target_id <> atom_id")
+    similar = told.select("atom_id", F.col("target_id").alias("candidate_id"), F.lit(0.9).alias("score"))
     decisions = entities.select(F.col("canonical_name").alias("name"), "entity_id")
-    facts = new.select("episode_id", "name", "seq", "content", "valid_at", F.lit(None).cast("timestamp").alias("invalid_at"))
-    none = spark.createDataFrame([], "atom_id string, decision string, target_id string, target_invalid_at timestamp, supersedes boolean")
-    edges = mentions.select("episode_id", F.col("name").alias("src"), F.col("name").alias("tgt"), F.array().cast("array<string>").alias("keywords"))
-    out = commit.commit_episodes(registry, mentions, edges, facts, decisions, none, spark.createDataFrame([], "atom_id string, candidate_id string, score double"), late())
-    n = out["atoms"].groupBy("owner_id").agg(F.count("*").alias("n_atoms"), F.sum("support_count").alias("support"))
-    heard = out["evidence"].join(out["atoms"].select("atom_id", "owner_id"), "atom_id").groupBy("owner_id").agg(F.count("*").alias("n_evidence"))
-    got = out["entities"].select(F.col("entity_id").alias("owner_id"), "canonical_name").join(n, "owner_id", "left").join(heard, "owner_id", "left")
-    user = F.substring_index("canonical_name", "#", -1).cast("long")
-    return got.select((~F.startswith("owner_id", F.lit("user-"))).alias("is_new"), user.alias("user_id"), F.coalesce("n_atoms", F.lit(0)).cast("long").alias("n_atoms"), F.coalesce("n_evidence", F.lit(0)).cast("long").alias("n_evidence"))
+    edges = spark.createDataFrame([], "episode_id long, src string, tgt string, keywords array<string>")
+    out = commit.commit_episodes(registry, mentions, edges, facts, decisions, told, similar, late(), episodes)
+    return out["atoms"].select("atom_id", "owner_id", "content", "invalid_at", F.col("expired_at").isNotNull().alias("expired"), F.col("seq").cast("long").alias("seq"), "support_count")
 
 
 @query("a14_provenance", "WITH e AS (SELECT a.owner_id, x.episode_id, 'u' || x.episode_id % 7 AS uri, min(evidence_id) AS o FROM atoms a JOIN evidence x USING (atom_id) GROUP BY ALL) SELECT owner_id, string_agg(episode_id::VARCHAR, ',' ORDER BY o) AS chunk_ids, (SELECT string_agg(uri, ',' ORDER BY o) FROM (SELECT owner_id AS w, uri, min(o) AS o FROM e GROUP BY ALL) p WHERE p.w = e.owner_id) AS paths FROM e GROUP BY owner_id", ("atoms", "evidence"))
