@@ -6,10 +6,10 @@ so far. The transition emits the change in the number of ids. Its registers (the
 last pieces and counts of the latest positions) are empty again at each
 synchronising position, so what a whole word emits is memoised as one transition.
 
-Giant texts are cut into chunks at any character. A chunk's state map is
-(head, count, tail): the characters before its first synchronising position, the
-ids of the closed part and the characters after its last one, which stand for the
-state that it leaves. Maps compose associatively, in two levels.
+Giant texts are cut into chunks at any character. A chunk's state map says, for each boundary state that it
+can be entered in (last piece, characters pending after it), in which states it can be left and how many ids that
+emits: the max-plus matrix of operator 1, whose weights are minus those counts. Maps compose associatively, in
+blocks of chunks and then over blocks, whatever the text: also one without spaces is never put together.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import bpe
-from memloom.llm.common import small_batches, table, tokenizer_file
+from memloom.llm.common import cut, small_batches, table, tokenizer_file
+from memloom.llm.piece_codec import CONTEXT, matrices_of, product, rows_of, transfer
 
 #: Characters from which a text is cut, and of a chunk.
 GIANT_CHARS, CHUNK_CHARS = 65_536, 16_384
@@ -47,39 +48,13 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def _starts(m: bpe.PieceModel, text: str, left: str) -> list[int]:
-    """Positions in text at which a unit starts; left is the character before it ("": none)."""
-    found = [x.start() for x in m.units.finditer(text)]
-    return found[1:] if found and left and not m.starts_unit(left, text[0]) else found
-
-
-def chunk_map(machine: Transducer, text: str, left: str) -> tuple[str, int, str, bool]:
-    """(head, count, tail, synchronised) of a chunk in normal form."""
-    starts = _starts(machine.model, text, left)
-    if not starts:
-        return text, 0, "", False
-    return text[: starts[0]], machine.words.of_units(text[starts[0] : starts[-1]]), text[starts[-1] :], True
-
-
-def compose(machine: Transducer, maps: list[tuple[str, int, str, bool]]) -> tuple[str, int, str, bool]:
-    """The map of chunks that follow each other."""
-    head, count, tail, synced = [], 0, [], False
-    for h, n, t, s in maps:
-        (tail if synced else head).append(h)
-        if s:
-            if synced:
-                count += machine.count("".join(tail))
-            count, tail, synced = count + n, [t], True
-    return "".join(head), count, "".join(tail), synced
-
-
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of each row's whole text.
 
     One row out for each row in, repeated and null ids included; a null text counts
     as empty (0 bytes, 0 tokens); other columns are ignored. Texts below GIANT_CHARS
     are counted where they are read, without a shuffle; chunks of longer ones are
-    dealt over the cluster, and only their maps (two fragments and a number) meet.
+    dealt over the cluster, and only their state maps meet, never their texts.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -91,38 +66,35 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             counts = [machine.words.of(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model_path)
-        for b in batches:
-            out = []
-            for at, left, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                normal = text.replace(" ", bpe.SPACE)
-                out.append(chunk_map(machine, bpe.SPACE + normal if at == 0 else normal, left.replace(" ", bpe.SPACE)))
-            h, n, t, s = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(h, pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.string()), pa.array(s, pa.bool_())], ["row", "key", "n_bytes", "at", "head", "n", "tail", "synced"])
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        h, n, t, s = compose(transducer(model_path), list(zip(pdf["head"], pdf["n"], pdf["tail"], pdf["synced"], strict=True)))
-        return pdf.iloc[:1].assign(head=h, n=n, tail=t, synced=s)
+    def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = bpe.model(model_path)
+        for pdf in frames:
+            out = [x for r in pdf.itertuples() for x in rows_of((r.row, r.block, r.at), transfer(m, r.context, r.chunk, r.begins))]
+            yield pd.DataFrame(out, columns=["row", "block", "at", "p", "d", "q", "e", "w"])
 
-    small = rows.filter(F.length("text") < GIANT_CHARS).select(F.col(id_col).alias("key"), "n_bytes", "text").mapInArrow(plain, f"key {kind}, n_bytes long, n_tokens long")
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, steps = matrices_of(pdf)
+        return pd.DataFrame(rows_of((pdf["row"].iloc[0], pdf["block"].iloc[0], at[0]), functools.reduce(product, steps)), columns=pdf.columns)
 
-    giants = rows.filter(F.length("text") >= GIANT_CHARS).withColumn("row", F.monotonically_increasing_id())
-    offsets = F.sequence(F.lit(0), F.length("text") - 1, F.lit(CHUNK_CHARS))
-    chunks = giants.select("row", F.col(id_col).alias("key"), "n_bytes", F.explode(F.transform(offsets, lambda o: F.struct(o.alias("at"), F.when(o > 0, F.substring("text", o, F.lit(1))).otherwise("").alias("left"), F.substring("text", o + 1, F.lit(CHUNK_CHARS)).alias("chunk")))).alias("c")).select("row", "key", "n_bytes", "c.*")
-    shape = f"row long, key {kind}, n_bytes long, at int, head string, n long, tail string, synced boolean"
-    mapped = chunks.repartition("row", "at").mapInArrow(maps, shape)
-    blocks = mapped.groupBy("row", (F.col("at") / (CHUNK_CHARS * BLOCK_CHUNKS)).cast("long")).applyInPandas(joined, shape)
-    wholes = blocks.groupBy("row").applyInPandas(joined, shape)
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The count of a whole text: what its map emits from the text's beginning to an end with nothing pending."""
+        _, steps = matrices_of(pdf)
+        ends = functools.reduce(product, steps, {(bpe.START, 0): {(bpe.START, 0): 0}})[(bpe.START, 0)]
+        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "n_tokens": [-max(w for (_, pending), w in ends.items() if not pending)]})
 
-    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model_path)
-        for b in batches:
-            counts = [machine.count(h) + n + machine.count(t) for h, n, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
+    small = rows.filter(F.length("text") < GIANT_CHARS).select(F.col(id_col).alias("key"), "n_bytes", "text").mapInArrow(plain, f"key {kind}, n_bytes long, n_tokens long")
 
-    large = wholes.select("key", "n_bytes", "head", "n", "tail").mapInArrow(closed, f"key {kind}, n_bytes long, n_tokens long")
+    # in normal form a text has one more character, the dummy prefix
+    giants = rows.filter(F.length("text") >= GIANT_CHARS).select(F.monotonically_increasing_id().alias("row"), F.struct(F.col(id_col).alias("key"), "n_bytes").alias("own"), F.translate(F.concat(F.lit(" "), "text"), " ", bpe.SPACE).alias("text"))
+    cuts = giants.select("row", "own", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(CHUNK_CHARS))).alias("at"))
+    columns = ["row", "at", F.floor(F.col("at") / (CHUNK_CHARS * BLOCK_CHUNKS)).alias("block"), F.when(F.col("at") == 0, F.col("own")).alias("own")]
+    columns += [F.expr(f"substring(text, greatest(at - {CONTEXT}, 0) + 1, least(at, {CONTEXT}))").alias("context"), F.expr(f"substring(text, at + 1, {CHUNK_CHARS})").alias("chunk"), (F.col("at") <= CONTEXT).alias("begins")]
+    chunks = cut(cuts.select(*columns).repartition("row", "at"), "count-chunks")
+    entry = "row long, block long, at int, p int, d int, q int, e int, w long"
+    found = chunks.select("row", "block", "at", "context", "chunk", "begins").mapInPandas(maps, entry)
+    blocks = found.groupBy("row", "block").applyInPandas(composed, entry)
+    wholes = blocks.groupBy("row").applyInPandas(counted, "row long, n_tokens long")
+    large = chunks.filter("at = 0").select("row", "own").join(wholes, "row").select("own.key", "own.n_bytes", "n_tokens")
     return small.unionByName(large).withColumnRenamed("key", id_col)
 
 

@@ -46,6 +46,19 @@ def test_giant_chunks_compose(spark, monkeypatch):
     assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, tokenizer_file()).collect()} == {i: len(lib.encode(t)) for i, t in enumerate(texts)}
 
 
+def test_giants_without_spaces(spark):
+    """A megabyte of Chinese, and Thai and letters without a space: counted by state maps, with no text put together."""
+    import random
+
+    import sentencepiece
+
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file()), random.Random(8)
+    chinese = "".join(rng.choice("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长") for _ in range(350_000))
+    texts = [chinese, "".join(rng.choice("กขคงจฉชซญดตถทธนบปผพฟมยรลวสหอฮะาิีึืุูเแโใไ") for _ in range(90_000)), "".join(rng.choice("etaoinshrdlu") for _ in range(70_000)), "好" * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, tokenizer_file()).collect()} == {i: len(lib.encode(t)) for i, t in enumerate(texts)}
+
+
 def test_line_figures(spark, docs):
     got = {r.doc_id: r for r in QUERIES["op4_line_rules"](spark, SF).collect()}
     assert len(got) == len(docs)
