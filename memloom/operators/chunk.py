@@ -176,12 +176,31 @@ def enforce_token_limit(chunks: DataFrame, most: int) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("split"), F.format_string("%s-s%02d", F.col("chunk_id").cast("string"), F.col("part") + 1)).otherwise(F.col("chunk_id")).alias("chunk_id"), order.alias("chunk_order_index"), "content")
 
 
+#: Characters of a bin, by which spans meet.
+BIN = 2048
+
+
+def overlaps(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int = BIN) -> DataFrame:
+    """Rows of left and right of one key whose half-open spans overlap, each pair once; right's columns must have other names than left's,
+    but for the key. Spans are cut into bins of `width` and meet by (key, bin), so what does not lie near is never paired; a
+    pair counts in its first common bin."""
+
+    def binned(df: DataFrame, span: tuple[str, str], first: str) -> DataFrame:
+        low, high = (F.floor(F.col(c) / width) for c in (span[0], "_last"))
+        df = df.withColumn("_last", F.greatest(F.col(span[0]), F.col(span[1]) - 1)).withColumn(first, low)
+        return df.withColumn("_bin", F.explode(F.sequence(F.col(first), high))).drop("_last")
+
+    met = binned(left, left_span, "_f1").join(binned(right, right_span, "_f2"), [key, "_bin"]).filter(F.col("_bin") == F.greatest("_f1", "_f2"))
+    met = met.filter((F.col(left_span[0]) < F.col(right_span[1])) & (F.col(right_span[0]) < F.col(left_span[1])))
+    return met.drop("_bin", "_f1", "_f2")
+
+
 def attribute_blocks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """C8. (doc_id, chunk_id, block_id, refs): blocks whose span overlaps the chunk's, in order. chunks: (doc_id, chunk_id, start, end);
-    blocks: (doc_id, block, content), joined by single line feeds."""
+    blocks: (doc_id, block, content), joined by single line feeds. An interval join: spans meet by bins."""
     own = W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     spans = blocks.withColumn("b0", F.coalesce(F.sum(F.length("content") + 1).over(own), F.lit(0))).withColumn("b1", F.col("b0") + F.length("content"))
-    met = chunks.join(spans.select("doc_id", "block", "b0", "b1"), "doc_id").filter("start < b1 and b0 < end")
+    met = overlaps(chunks.select("doc_id", "chunk_id", "start", "end"), spans.select("doc_id", "block", "b0", "b1"), "doc_id", ("start", "end"), ("b0", "b1"))
     return met.groupBy("doc_id", "chunk_id").agg(F.min("block").alias("block_id"), F.array_sort(F.collect_set("block")).alias("refs"))
 
 

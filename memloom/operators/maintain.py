@@ -243,13 +243,22 @@ def idf(docs: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+#: Different tokens of all queries up to which they are sent to the documents.
+WANTED = 200_000
+
+
 def tfidf_rank(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """E1-E3. (query_id, name, score, rank): sum over the query's tokens, repeated ones too, of (1 + ln tf) idf. docs: (name, text);
     queries: (query_id, text). Texts are read once: the table of (token, name, tf) gives the frequencies too; only tokens that
     are asked for go on, and a token of most documents is dealt by document."""
-    tf = docs.select("name", F.explode(eval_tokens(F.col("text"))).alias("token")).groupBy("name", "token").agg(F.count("*").alias("tf"))
-    asked = queries.select("query_id", F.explode(eval_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    tf = write_through(tf.join(asked.select("token").distinct(), "token", "left_semi"), "term-frequencies")
+    asked = write_through(queries.select("query_id", F.explode(eval_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")), "asked-tokens")
+    wanted = asked.select("token").distinct()
+    tokens = docs.select("name", F.explode(eval_tokens(F.col("text"))).alias("token"))
+    few = wanted.count() <= WANTED
+    if few:  # tokens that are not asked for go where they are read
+        tokens = tokens.join(F.broadcast(wanted), "token", "left_semi")
+    tf = tokens.groupBy("name", "token").agg(F.count("*").alias("tf"))
+    tf = write_through(tf if few else tf.join(wanted, "token", "left_semi"), "term-frequencies")
     n = docs.agg(F.count("*").alias("n"))  # one row
     known = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     known = asked.join(known, "token").select("query_id", "token", (F.col("times") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))

@@ -212,3 +212,40 @@ def test_graph_export(spark, tmp_path):
         back = spark.read.format(fmt).option("header", True).option("inferSchema", True).load(str(tmp_path / fmt / "edges")).collect()
         assert [(x.a, x.b, float(x.weight)) for x in back] == [("a", "b", 1.5)]
         assert spark.read.format(fmt).option("header", True).option("escape", "\\").load(str(tmp_path / fmt / "nodes")).count() == 1
+
+
+def test_spans_meet_by_bins(spark):
+    """The interval join against all pairs: empty spans, spans over many bins, borders on bins; blocks of one long document."""
+    rng = np.random.default_rng(9)
+    made = lambda n, k: [(int(d), k + i, int(a), int(a + w)) for i, (d, a, w) in enumerate(zip(rng.integers(0, 3, n), rng.integers(0, 400, n), rng.choice([0, 1, 7, 16, 90], n), strict=True))]
+    left, right = made(80, 0), made(80, 1000)
+    got = chunk.overlaps(spark.createDataFrame(left, "doc_id int, x int, s int, e int"), spark.createDataFrame(right, "doc_id int, y int, b0 int, b1 int"), "doc_id", ("s", "e"), ("b0", "b1"), 16)
+    assert pairs(got, "x", "y") == sorted((i, j) for d, i, s, e in left for g, j, a, b in right if d == g and s < b and a < e)
+    blocks = [(1, k, "x" * (k % 5)) for k in range(400)]
+    starts = np.cumsum([0] + [len(c) + 1 for _, _, c in blocks]).tolist()
+    parts = [(1, f"c{k}", k * 30, k * 30 + 40) for k in range(40)]
+    found = {r.chunk_id: r.refs for r in chunk.attribute_blocks(spark.createDataFrame(parts, "doc_id int, chunk_id string, start int, end int"), spark.createDataFrame(blocks, "doc_id int, block int, content string")).collect()}
+    for _, c, s, e in parts:
+        assert found.get(c, []) == [k for k in range(400) if s < starts[k] + len(blocks[k][2]) and starts[k] < e]
+
+
+def test_numbers_beyond_their_pads(spark):
+    """Chunk 1000 beside chunk 100, part 100 beside part 10; owners without sources; rows without status."""
+    from memloom.operators import ingest, maintain
+
+    rows = [("d", None, k, "x") for k in (7, 100, 1000)]
+    got = ingest.build_chunk_rows(spark.createDataFrame(rows, "doc_id string, given_id string, chunk_order_index int, content string"))
+    assert {r.chunk_id for r in got.collect()} == {"d-chunk-007", "d-chunk-100", "d-chunk-1000"}
+    parts = chunk.enforce_token_limit(spark.createDataFrame([("d", "c", 0, " ".join("w" for _ in range(240)))], "doc_id string, chunk_id string, chunk_order_index int, content string"), 2)
+    ids = [r.chunk_id for r in parts.collect()]
+    assert len(ids) == len(set(ids)) == 120 and {"c-s09", "c-s99", "c-s100", "c-s120"} <= set(ids)
+    plan = maintain.plan_purge(spark.createDataFrame([("a", ["s1"]), ("b", []), ("c", None), ("d", ["s1", "s2"])], "owner string, source_ids array<string>"), spark.createDataFrame([("s1",)], "source_id string"))
+    assert pairs(plan, "owner", "action") == [("a", "delete"), ("b", "delete"), ("c", "delete"), ("d", "rebuild")]
+    counts = maintain.status_counts(spark.createDataFrame([("x",), (None,), (None,)], "status string"))
+    assert sorted(((r.status, r.n) for r in counts.collect()), key=str) == [("all", 3), ("x", 1), (None, 2)]
+
+
+def test_reference_headings_end_with_the_word(spark):
+    rows = [(1, k, h, "text") for k, h in enumerate(["Intro", "Referenced work", "References", "BIBLIOGRAPHY: all", "参考文献列表"])]
+    kept = chunk.drop_reference_blocks(spark.createDataFrame(rows, "doc_id int, block int, heading string, content string"))
+    assert sorted(r.heading for r in kept.collect()) == ["Intro", "Referenced work"]
