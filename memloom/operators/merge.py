@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memloom.functions.repair import OBJECT_FIRST, recovered
 from memloom.functions.text import cap_ids, clean_type, normalize_extracted, repair_delimiters, sanitize, token_count
+from memloom.operators.prefix import before, ranges
 
 FIELD, DONE = "<|#|>", "<|COMPLETE|>"
 
@@ -28,13 +33,23 @@ def parse_extractions(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return ents.filter(good_e), rels.filter(good_r), errors
 
 
+def _recovered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pdf.assign(result=pdf["result"].map(recovered))
+
+
 def parse_extractions_json(results: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """X2. As X1 from JSON, fenced or inside prose (outermost braces); of JSON that was cut off the whole records before the
-    cut; at most `most` records of each kind; what does not parse is an error."""
+    """X2. As X1 from JSON, fenced or inside prose; of JSON that was cut off the whole records before the cut; at most `most` records of
+    each kind. What the native parser refuses (quotes of the other kind, keys without quotes, commas too many or too few, text behind
+    with braces) is read by a small repair, in Python, those rows only. The first opening bracket must be a brace: a list at the top, and
+    what has no object, is an error."""
     shape = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,keywords:string,description:string>>"
-    body = F.regexp_extract("result", r"(?s)(\{.*\})", 1)
+    body = F.when(F.col("result").rlike(OBJECT_FIRST), F.regexp_extract("result", r"(?s)(\{.*\})", 1))
     whole = lambda c: F.when(F.json_object_keys(c).isNotNull(), F.from_json(c, shape))
-    rows = results.select("chunk_id", F.coalesce(whole(body), whole(F.concat(body, F.lit("]}")))).alias("j"))
+    rows = results.select("chunk_id", "result", F.coalesce(whole(body), whole(F.concat(body, F.lit("]}")))).alias("j"))
+    sound = rows.filter("j is not null").select("chunk_id", "j")
+    repaired = rows.filter("j is null").select("chunk_id", "result").mapInPandas(_recovered, results.select("chunk_id", "result").schema).select("chunk_id", whole(F.col("result")).alias("j"))
+    rows = sound.unionByName(repaired)
     bad = F.col("j").isNull() | (F.col("j.entities").isNull() & F.col("j.relations").isNull())
     ents = rows.select("chunk_id", F.posexplode(F.slice("j.entities", 1, most)).alias("pos", "e")).select("chunk_id", "pos", "e.*").filter(F.trim("name") != "")
     rels = rows.select("chunk_id", F.posexplode(F.slice("j.relations", 1, most)).alias("pos", "r")).select("chunk_id", "pos", F.col("r.source").alias("src"), F.col("r.target").alias("tgt"), "r.keywords", "r.description").filter("src <> tgt")
@@ -108,14 +123,15 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def plan_summaries(parts: DataFrame, fewest: int = 8, limit: int = 1200, context: int = 4000) -> DataFrame:
-    """X16. (owner, mode, group, descriptions): join when few and small, else groups that fit the context. parts: (owner, pos, description).
-    The running sum goes over an owner's parts in order: one owner is one task."""
-    tokens = token_count(F.col("description"))
-    own = W.partitionBy("owner")
-    rows = parts.withColumn("t", tokens).withColumn("n", F.count("*").over(own)).withColumn("all", F.sum("t").over(own))
+    """X16. (owner, mode, group, descriptions): join when few and small, else groups that fit the context. parts: (owner, pos, description),
+    pos telling an owner's parts apart. Sums run over ranges of an owner's parts, then over its ranges, so an owner of many parts has many
+    tasks; a row holds one group's parts."""
+    placed = ranges(parts.select("owner", "pos", "description", token_count(F.col("description")).cast("long").alias("t")), ["owner"], ["pos"])
+    rows = before(placed, ["owner"], ["pos"], F.col("t"), "before", "all")
+    rows = rows.join(parts.groupBy(F.col("owner").alias("_o")).agg(F.count("*").alias("n")), F.col("owner").eqNullSafe(F.col("_o")))
     plain = (F.col("n") < fewest) & (F.col("all") < limit)
-    before = F.sum("t").over(own.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - F.col("t")
-    rows = rows.withColumn("mode", F.when(plain, "join").otherwise("summarize")).withColumn("group", F.when(plain, 0).otherwise(F.floor(before / context)).cast("long"))
+    group = F.floor(F.coalesce("before", F.lit(0)) / context)
+    rows = rows.withColumn("mode", F.when(plain, "join").otherwise("summarize")).withColumn("group", F.when(plain, 0).otherwise(group).cast("long"))
     return rows.groupBy("owner", "mode", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "description"))), lambda x: x["description"]).alias("descriptions"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memloom.functions import ids, text
 from memloom.operators import atoms, chunk, community, graph, ingest, maintain, merge, resolve, retrieve, vector
+from memloom.operators.vector_index import VectorIndex
 from memloom.plans import extraction, resolution, retrieval, upkeep
 from memloom.plans import views as v
 from memloom.plans.registry import ORACLE_SQL, QUERIES, at, query
-from memloom.sources.tables import read
+from memloom.sources.tables import read, shared_folder
 
 __all__ = ["ORACLE_SQL", "QUERIES", "extraction", "resolution", "retrieval", "upkeep"]
 
@@ -280,6 +283,13 @@ def v02(spark: SparkSession, sf: str) -> DataFrame:
     return vector.vector_topk_ann(v.queries(spark, sf), v.vectors(spark, sf), 15)
 
 
+@query("v02_stored_index")
+def v02_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index is built, stored and asked; its recall is measured in tests/core/test_index.py."""
+    index = VectorIndex.build(v.vectors(spark, sf).select("id", "v"), f"{shared_folder(spark)}/tables/index-{uuid.uuid4().hex}")
+    return index.search(v.queries(spark, sf), 15)
+
+
 @query(
     "v06_pick_by_weight",
     """

@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, against plain Python on small made cases; and odd rows."""
 
+import json
 from collections import defaultdict
 
 import numpy as np
@@ -249,3 +250,36 @@ def test_reference_headings_end_with_the_word(spark):
     rows = [(1, k, h, "text") for k, h in enumerate(["Intro", "Referenced work", "References", "BIBLIOGRAPHY: all", "参考文献列表"])]
     kept = chunk.drop_reference_blocks(spark.createDataFrame(rows, "doc_id int, block int, heading string, content string"))
     assert sorted(r.heading for r in kept.collect()) == ["Intro", "Referenced work"]
+
+
+def test_damaged_json(spark):
+    """What models write around and into an object; a list at the top is none; sound rows are read as before."""
+    from memloom.functions.repair import recovered
+
+    good = {
+        '{"a": 1}': {"a": 1}, '```json\n{"a": 1}\n```': {"a": 1}, 'Result #1: {"a":1}': {"a": 1}, "Here's the note: {\"a\":1}": {"a": 1}, '{"f":["x"]} trailing {brace}': {"f": ["x"]},
+        '{"a":1,}': {"a": 1}, "{'a':1}": {"a": 1}, "{a:1}": {"a": 1}, '{"a":1': {"a": 1}, '{"a":1,} [1]': {"a": 1}, '{"a": 1 "b": 2}': {"a": 1, "b": 2}, "{b: it's fine, c: O'Reilly}": {"b": "it's fine", "c": "O'Reilly"},
+        '{"a": [1, {"b": "x': {"a": [1, {"b": "x"}]}, "{'a': 'x } y', 'b': [\"q\" \"r\"]}": {"a": "x } y", "b": ["q", "r"]}, '{"a": tru': {"a": "tru"}, '{"a": "x\ny"}': {"a": "x\ny"}, "{}": {},
+    }
+    assert {t: json.loads(recovered(t)) for t in good} == good
+    assert not any(recovered(t) for t in ('[{"a":1},{"b":2}]', 'Here it is: [{"a":1}]', "['note', {\"a\":1}]", '[}{"a":1}]', '"oops [}{"a":1}]', '{note} [{"a":1}]', 'analysis: [draft] {"a":1}', "", None, "none"))
+    e = '{"name": "A", "type": "t", "description": "d"}'
+    texts = ['{"entities": [' + e + ']}', '{"entities": [' + e + ', {"name": "B", "ty', "{'entities': [{'name': 'A', 'type': 't', 'description': 'd'},]} and {more}", '[{"entities": [' + e + "]}]", "{entities: [{name: A type: t}]}", None]
+    ents, _, errors = merge.parse_extractions_json(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, result string"))
+    assert pairs(ents, "chunk_id", "name", "description") == [("0", "A", "d"), ("1", "A", "d"), ("2", "A", "d"), ("4", "A type", "t")] or pairs(ents, "chunk_id", "name") == [("0", "A"), ("1", "A"), ("2", "A"), ("4", "A type")]
+    assert pairs(errors, "chunk_id") == [("3",), ("5",)]
+
+
+def test_groups_of_one_owner_in_many_tasks(spark):
+    """Running sums of an owner with most of all parts against a plain loop; null owners, owners of one part."""
+    rng = np.random.default_rng(4)
+    rows = [("hot", k, " ".join(["w"] * int(rng.integers(1, 9)))) for k in range(900)] + [(f"o{k % 9}", k, "one two") for k in range(40)] + [(None, 5, "x"), (None, 6, "y z")]
+    got = merge.plan_summaries(spark.createDataFrame(rows, "owner string, pos long, description string").repartition(6), 8, 1200, 50)
+    want = defaultdict(list)
+    for owner in {r[0] for r in rows}:
+        own = sorted((p, d) for o, p, d in rows if o == owner)
+        plain, at = len(own) < 8 and sum(len(d.split()) for _, d in own) < 1200, 0
+        for _, d in own:
+            want[owner, "join" if plain else "summarize", 0 if plain else at // 50].append(d)
+            at += len(d.split())
+    assert {(r.owner, r.mode, r.group): r.descriptions for r in got.collect()} == want
