@@ -66,12 +66,11 @@ def candidates_fulltext(names: DataFrame, aliases: DataFrame, k1: float = 1.2, b
 
 def candidates_vector(names: DataFrame, embeddings: DataFrame, k: int = 8, threshold: float = 0.72) -> DataFrame:
     """R5. (name, entity_id, score, rank): each entity's best row by cosine at or above threshold, the k best entities of a
-    name. names: (name, qv); embeddings: (entity_id, v), several rows an entity."""
-    rows = embeddings.select(F.struct("entity_id", F.monotonically_increasing_id().alias("row")).alias("id"), "v")
-    near = vector_topk(names.select(F.col("name").alias("query_id"), "qv"), rows, 1 << 30, threshold)
-    best = near.groupBy(F.col("query_id").alias("name"), F.col("id.entity_id").alias("entity_id")).agg(F.max("score").alias("score"))
-    w = W.partitionBy("name").orderBy(F.desc("score"), "entity_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    name. names: (name, qv); embeddings: (entity_id, v), several rows an entity. Each batch of vectors sends an entity's best row, and its
+    k best entities, for each name; not every row above the threshold."""
+    rows = embeddings.select(F.col("entity_id").alias("id"), "v")
+    best = vector_topk(names.select(F.col("name").alias("query_id"), "qv"), rows, k, threshold, each_once=True)
+    return best.select(F.col("query_id").alias("name"), F.col("id").alias("entity_id"), "score", "rank")
 
 
 def candidate_union(parts: list[DataFrame], most: int = 8) -> DataFrame:

@@ -41,10 +41,20 @@ def matrix(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, dtype=np.int64)[good], x[good] / norm[good, None]
 
 
-def nearest(x: np.ndarray, q: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of q, score) of the k best rows of x for each row of q, and whatever ties with the last of them."""
+def nearest(x: np.ndarray, q: np.ndarray, k: int, threshold: float, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of q, score) of the k best rows of x for each row of q, and whatever ties with the last of them. owner: numbers of
+    what rows of x belong to; then only an owner's best row counts."""
     near = x @ q.T
-    last = np.partition(near, len(x) - k, axis=0)[len(x) - k] if len(x) > k else np.full(len(q), -np.inf)
+    if owner is not None:  # rows that are not the best of their owner lie below all others
+        order = np.argsort(owner, kind="stable")
+        first = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])
+        top = np.maximum.reduceat(near[order], first)
+        best = np.empty_like(near)
+        best[order] = np.repeat(top, np.diff(np.r_[first, len(order)]), axis=0)
+        near = np.where(near >= best - 1e-9, near, -np.inf)
+        last = np.partition(top, len(top) - k, axis=0)[len(top) - k] if len(top) > k else np.full(len(q), -np.inf)
+    else:
+        last = np.partition(near, len(x) - k, axis=0)[len(x) - k] if len(x) > k else np.full(len(q), -np.inf)
     i, j = np.nonzero(near >= np.maximum(last, threshold) - 1e-9)
     score = np.einsum("ij,ij->i", x[i], q[j])  # each pair by itself: equal vectors have equal scores
     keep = score >= threshold
@@ -56,29 +66,43 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2) -> DataFrame:
+def numbered(ids: list) -> np.ndarray:
+    """A number for each different id."""
+    known: dict = {}
+    return np.array([known.setdefault(i, len(known)) for i in ids], dtype=np.int64)
+
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2, each_once: bool = False) -> DataFrame:
     """V1. (query_id, id, score, rank): the k nearest by cosine at or above threshold; ties by id. queries (query_id, qv)
     are compared with every vector (id, v) by matrix products; each batch of vectors keeps its best k for each query
-    before the shuffle. Vectors of another dimension, null ones and zero norms do not match. Up to QUERIES queries of MATRIX
-    numbers are sent to the tasks as one matrix; more are a table of blocks, which goes to every share of the vectors' blocks."""
+    before the shuffle. Vectors of another dimension, null ones and zero norms do not match. each_once: ids have several vectors, and an
+    id's best one counts. Up to QUERIES queries of MATRIX numbers are broadcast to the tasks as one matrix, once their number and
+    lengths are known; more are a table of blocks, which goes to every share of the vectors' blocks."""
     asked = queries.select("query_id", "qv")
     shape = T.StructType([asked.schema["query_id"], corpus.schema["id"]]).add("score", "double")
-    few = asked.limit(QUERIES + 1).toArrow()
-    if few.num_rows <= QUERIES and sum(len(v) for v in few.column("qv").to_pylist() if v is not None) <= MATRIX:
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("qv")), F.lit(0)).alias("numbers")).first()
+
+    def once(scored: DataFrame) -> DataFrame:
+        if each_once:
+            scored = scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return ranked(scored, k)
+
+    if size.n <= QUERIES and size.numbers <= MATRIX:
+        few = asked.toArrow()
         ids, qv = few.column("query_id").combine_chunks(), few.column("qv").to_pylist()
-        dims = {len(v) for v in qv if v}
-        known = [(dim, *matrix(qv, dim)) for dim in sorted(dims)]
+        known = queries.sparkSession.sparkContext.broadcast([(dim, *matrix(qv, dim)) for dim in sorted({len(v) for v in qv if v})])
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = b.column(1).to_pylist()
-                for dim, at, q in known:
+                owner = numbered(b.column(0).to_pylist()) if each_once else None
+                for dim, at, q in known.value:
                     place, x = matrix(rows, dim)
                     if len(x) and len(q):
-                        i, j, score = nearest(x, q, k, threshold)
+                        i, j, score = nearest(x, q, k, threshold, owner[place] if each_once else None)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[j])), b.column(0).take(pa.array(place[i])), pa.array(score)], shape.names)
 
-        return ranked(corpus.select("id", "v").mapInArrow(best, shape), k)
+        return once(corpus.select("id", "v").mapInArrow(best, shape))
     block = F.floor(F.monotonically_increasing_id() % (1 << 33) / QUERY_BLOCK).alias("block")
     own = asked.filter(F.size("qv") > 0).select(F.spark_partition_id().alias("part"), block, F.size("qv").alias("dim"), "query_id", "qv")
     blocks = own.groupBy("part", "block", "dim").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))  # QUERY_BLOCK at most
@@ -95,10 +119,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
             for vs, qs in zip(b.column(0), b.column(1), strict=True):
                 (place, x), (at, q) = matrix(vs.values.field("v").to_pylist()), matrix(qs.values.field("qv").to_pylist())
                 if len(x) and len(q):
-                    i, j, score = nearest(x, q, k, threshold)
+                    owner = numbered(vs.values.field("id").to_pylist())[place] if each_once else None
+                    i, j, score = nearest(x, q, k, threshold, owner)
                     yield pa.RecordBatch.from_arrays([qs.values.field("query_id").take(pa.array(at[j])), vs.values.field("id").take(pa.array(place[i])), pa.array(score)], shape.names)
 
-    return ranked(met.mapInArrow(blockwise, shape), k)
+    return once(met.mapInArrow(blockwise, shape))
 
 
 def cells_of(corpus: DataFrame, cells: int, seed: int = 7) -> np.ndarray:

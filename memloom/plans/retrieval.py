@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memloom.operators import graph, retrieve, vector
+from memloom.operators import explore, graph, retrieve, vector
 from memloom.plans import views as v
-from memloom.plans.registry import query
+from memloom.plans.registry import at, query
 from memloom.sources.tables import read
 
 
@@ -203,6 +203,87 @@ def g12(spark: SparkSession, sf: str) -> DataFrame:
     return graph.owner_evidence(a.filter("owner_id % 3 = 0").select("owner_id"), a, v.evidence(spark, sf), 5)
 
 
+_FRONT = """n AS (SELECT DISTINCT a AS node FROM edges UNION SELECT DISTINCT b FROM edges),
+k AS (SELECT lower(node) AS key, min(node) AS node FROM (SELECT node FROM n UNION ALL SELECT node FROM (SELECT s_name, 's' || s_suppkey AS node FROM supplier)) GROUP BY 1
+  UNION ALL SELECT lower(s_name), 's' || s_suppkey FROM supplier),
+q AS (SELECT s_nationkey AS query_id, s_name AS name FROM supplier UNION ALL SELECT DISTINCT s_nationkey, 'Nobody ' || s_nationkey FROM supplier WHERE s_nationkey % 4 = 0),
+f AS (SELECT query_id, name, k.node FROM q LEFT JOIN k ON k.key = lower(name)),
+c AS (SELECT f.*, w.other, row_number() OVER (PARTITION BY query_id, name ORDER BY w.other) AS r FROM f JOIN ways w USING (node) WHERE substr(w.other, 2)::BIGINT % 2 = 1 OR query_id % 3 = 0)"""
+
+
+def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Suppliers by their names, which are aliases of nodes, and a name that nobody has, in every fourth nation; even parts were visited,
+    and in two of three nations their relations too."""
+    s = read(spark, sf, "supplier").withColumn("query_id", F.col("s_nationkey").cast("long"))
+    front = s.select("query_id", F.col("s_name").alias("name"))
+    front = front.unionByName(s.filter("query_id % 4 = 0").select("query_id", F.concat(F.lit("Nobody "), F.col("query_id").cast("string")).alias("name")).distinct())
+    edges = v.edges(spark, sf).select("a", "b", F.lit("sells").alias("keywords"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("entity_type", F.when(F.startswith("node", F.lit("p")), "part").otherwise("supplier"))
+    nodes = nodes.unionByName(s.select(_named("s", F.col("s_suppkey")).alias("node"), F.lit("supplier").alias("entity_type"))).distinct()
+    aliases = s.select(_named("s", F.col("s_suppkey")).alias("node"), F.col("s_name").alias("alias"))
+    even = edges.filter(F.substring("a", 2, 20).cast("long") % 2 == 0)
+    seen = even.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("query_id"), "a", "b")
+    return front, nodes, edges, seen.select("query_id", F.col("a").alias("name")).distinct(), seen.filter("query_id % 3 > 0").select("query_id", F.col("a").alias("src"), F.upper("b").alias("tgt")), aliases
+
+
+@query("g10_names", f"WITH {_FRONT} SELECT query_id, CASE WHEN missing > 0 THEN 'partial' WHEN truncated THEN 'truncated' ELSE 'complete' END AS status, missing = 0 AND NOT truncated AND available = 0 AS exhausted, missing, available::BIGINT AS available_count, returned::BIGINT AS returned_count FROM (SELECT query_id, count(*) FILTER (node IS NULL) AS missing, max(coalesce(n, 0)) > 20 AS truncated, sum(coalesce(n, 0)) AS available, sum(least(coalesce(n, 0), 20)) AS returned FROM f LEFT JOIN (SELECT query_id, name, count(*) AS n FROM c GROUP BY 1, 2) USING (query_id, name) GROUP BY 1)", ("edges", "ways"))
+def g10_names(spark: SparkSession, sf: str) -> DataFrame:
+    front, nodes, edges, seen, told, aliases = _asked(spark, sf)
+    return explore.expand_names(front, nodes, edges, seen, told, 20, aliases)[2].select("query_id", "status", "exhausted", F.size("missing").cast("long").alias("missing"), "available_count", "returned_count")
+
+
+@query("g10_candidates", f"WITH {_FRONT} SELECT query_id, name, r AS rank, other AS neighbour, 'part' AS entity_type FROM c WHERE r <= 20", ("edges", "ways"))
+def g10_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    front, nodes, edges, seen, told, aliases = _asked(spark, sf)
+    return explore.expand_names(front, nodes, edges, seen, told, 20, aliases)[1].select("query_id", "name", "rank", "neighbour", "entity_type")
+
+
+def _owners(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each customer asks for its nation as an entity, unknown if its key is a multiple of 7, and for a relation of its nation with
+    the next number, which is there from even to odd ones."""
+    c = read(spark, sf, "customer")
+    name = lambda k: F.concat(F.lit("nation "), k.cast("string"))
+    far = F.when(F.col("c_custkey") % 7 == 0, F.lit("nowhere")).otherwise(F.upper(name(F.col("c_nationkey"))))
+    entities = c.select(F.col("c_custkey").alias("query_id"), far.alias("name"))
+    relations = c.select(F.col("c_custkey").alias("query_id"), name(F.col("c_nationkey") + 1).alias("src"), name(F.col("c_nationkey")).alias("tgt"))
+    nation = read(spark, sf, "nation")
+    nodes = nation.select(name(F.col("n_nationkey")).alias("node"), F.lit("nation").alias("entity_type"), F.col("n_name").alias("description"))
+    edges = nation.filter("n_nationkey % 2 = 0 and n_nationkey < 24").select(name(F.col("n_nationkey")).alias("a"), name(F.col("n_nationkey") + 1).alias("b"), F.lit("next").alias("keywords"), F.lit("beside").alias("description"))
+    return explore.asked_owners(entities, relations, nodes, edges), nodes, edges
+
+
+@query("g11_names", "SELECT c_custkey AS query_id, 'entity' AS kind, CASE WHEN c_custkey % 7 > 0 THEN 'nation ' || c_nationkey END AS a, CASE WHEN c_custkey % 7 > 0 THEN n_name END AS description, CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' END AS missing FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT c_custkey, 'relation', CASE WHEN c_nationkey % 2 = 0 AND c_nationkey < 24 THEN least('nation ' || c_nationkey, 'nation ' || c_nationkey + 1) END, CASE WHEN c_nationkey % 2 = 0 AND c_nationkey < 24 THEN 'next beside' END, CASE WHEN NOT (c_nationkey % 2 = 0 AND c_nationkey < 24) THEN least('nation ' || c_nationkey, 'nation ' || c_nationkey + 1) || ' | ' || greatest('nation ' || c_nationkey, 'nation ' || c_nationkey + 1) END FROM customer")
+def g11_names(spark: SparkSession, sf: str) -> DataFrame:
+    found, missing = explore.describe_names(*_owners(spark, sf))
+    none = F.lit(None).cast("string")
+    found = found.select("query_id", "kind", "a", F.concat_ws(" ", "keywords", "description").alias("description"), none.alias("missing"))
+    return found.unionByName(missing.select("query_id", "kind", none.alias("a"), none.alias("description"), F.col("asked").alias("missing")))
+
+
+@query(
+    "g12_names",
+    """WITH e AS (
+  SELECT source_atom_id AS atom_id, relation_type || ':outgoing:' || target_atom_id AS x, target_atom_id AS other FROM evolution
+  UNION ALL SELECT target_atom_id, relation_type || ':incoming:' || source_atom_id, source_atom_id FROM evolution)
+SELECT a.owner_id % 50 AS query_id, a.owner_id, a.atom_id, a.status, (SELECT string_agg(evidence_id::VARCHAR, ',' ORDER BY evidence_id) FROM evidence v WHERE v.atom_id = a.atom_id) AS evidence,
+  (SELECT string_agg(x || ':' || s.status, ',' ORDER BY x) FROM e JOIN status s ON s.atom_id = e.other WHERE e.atom_id = a.atom_id) AS evolutions
+FROM status a""",
+    ("evidence", "evolution", "status"),
+)
+def g12_names(spark: SparkSession, sf: str) -> DataFrame:
+    a = v.atoms(spark, sf)
+    node = _named("user ", F.col("owner_id"))
+    nodes = a.select(node.alias("node"), F.lit("user").alias("entity_type")).distinct()
+    asked = a.select((F.col("owner_id") % 50).alias("query_id"), F.upper(node).alias("name")).distinct()
+    none = spark.createDataFrame([], "query_id long, src string, tgt string")
+    owners = explore.asked_owners(asked, none, nodes, spark.createDataFrame([], "a string, b string"))
+    ids = a.select(node.alias("a"), F.lit(None).cast("string").alias("b"), "owner_id").distinct()
+    out = explore.evidence_of_names(owners, ids, a, v.evidence(spark, sf), v.evolution(spark, sf), at())[0]
+    named = lambda x: F.concat_ws(":", x["relation_type"], x["direction"], x["related_id"].cast("string"), x["related_status"])
+    # as text the ids sort as text does
+    return out.select("query_id", "owner_id", "atom_id", "status", F.array_join(F.transform("evidence", lambda x: x["evidence_id"].cast("string")), ",").alias("evidence"), F.array_join(F.array_sort(F.transform("evolutions", named)), ",").alias("evolutions"))
+
+
 @query("g13_findings", "SELECT 'name' AS kind, query_id, nm AS item, min(o) AS o FROM (SELECT l_suppkey AS query_id, 'part ' || l_partkey % 9 AS nm, (l_linenumber * 100000000 + l_orderkey)::BIGINT AS o FROM lineitem) GROUP BY ALL UNION ALL SELECT 'pair', query_id, least(x, y) || '-' || greatest(x, y), min(o) FROM (SELECT l_suppkey AS query_id, 'n' || l_partkey % 4 AS x, 'n' || l_orderkey % 4 AS y, (l_linenumber * 100000000 + l_orderkey)::BIGINT AS o FROM lineitem) WHERE x <> y GROUP BY ALL")
 def g13(spark: SparkSession, sf: str) -> DataFrame:
     li = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_linenumber").alias("explorer"), F.col("l_orderkey").alias("seq"), "l_partkey", "l_orderkey")

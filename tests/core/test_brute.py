@@ -283,3 +283,27 @@ def test_groups_of_one_owner_in_many_tasks(spark):
             want[owner, "join" if plain else "summarize", 0 if plain else at // 50].append(d)
             at += len(d.split())
     assert {(r.owner, r.mode, r.group): r.descriptions for r in got.collect()} == want
+
+
+def test_entities_by_their_best_row(spark):
+    """R5 against all pairs: entities of one row and of many, equal rows; as one matrix and as blocks."""
+    from memloom.operators import resolve
+
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((20, 8))
+    rows = [(f"e{i % 20}", (centres[i % 20] + 0.3 * rng.standard_normal(8)).tolist()) for i in range(300)] + [("e3", centres[5].tolist())] * 3
+    names = [(f"n{i}", (centres[i] + 0.1 * rng.standard_normal(8)).tolist()) for i in range(12)]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = set()
+    for n, q in names:
+        best = defaultdict(lambda: -1.0)
+        for e, v in rows:
+            best[e] = max(best[e], float(unit(v) @ unit(q)))
+        want |= {(n, e, k + 1) for k, (_, e) in enumerate(sorted((-s, e) for e, s in best.items() if s >= 0.3)[:4])}
+    df, asked = spark.createDataFrame(rows, "entity_id string, v array<double>").repartition(3), spark.createDataFrame(names, "name string, qv array<double>")
+    assert set(pairs(resolve.candidates_vector(asked, df, 4, 0.3), "name", "entity_id", "rank")) == want
+    kept, vector.MATRIX = vector.MATRIX, 8
+    try:
+        assert set(pairs(resolve.candidates_vector(asked, df, 4, 0.3), "name", "entity_id", "rank")) == want
+    finally:
+        vector.MATRIX = kept
