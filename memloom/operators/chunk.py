@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memloom.functions import tables
+
 WORDS = r"\s+"
 
 
@@ -212,7 +214,8 @@ IDEAL, SMALL = 0.75, 0.125
 
 def split_tables(blocks: DataFrame, most: int) -> DataFrame:
     """C6. blocks (doc_id, block, ..., content) with tables of more than `most` tokens split between rows: (…, part, content). The
-    slices have nearly equal numbers of rows, each with the table's header row; text around a table is a part of its own."""
+    slices have nearly equal numbers of rows, each with the table's header rows; text around a table is a part of its own. Inner tables
+    stay inside their row, JSON lists of rows are split like rows."""
     piece = F.filter(F.split(F.regexp_replace("content", r"(?is)(<table\b.*?</table>)", "\u0000$1\u0000"), "\u0000"), lambda x: F.trim(x) != "")
 
     def slices(t: Column) -> Column:
@@ -226,7 +229,21 @@ def split_tables(blocks: DataFrame, most: int) -> DataFrame:
         return F.when(t.rlike("(?i)^<table") & (F.size(_tokens(t)) > most) & (F.size(body) > 1), made).otherwise(F.array(t))
 
     rest = [c for c in blocks.columns if c != "content"]
-    return blocks.select(*rest, F.posexplode(F.flatten(F.transform(piece, slices))).alias("part", "content"))
+    # tables in tables, unequal numbers of row tags and JSON bodies are for a scanner of tags; all other blocks stay in the JVM
+    text = F.lower("content")
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    odd = (count(r"<table\b") != count(r"(?s)<table\b.*?</table")) | text.rlike(r"<table\b[^>]*>\s*\[") | (count(r"<tr\b") != count(r"</tr\b"))
+    odd = F.coalesce(odd, F.lit(False))
+    plain = blocks.filter(~odd).select(*rest, F.posexplode(F.flatten(F.transform(piece, slices))).alias("part", "content"))
+
+    def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"own": pdf["own"], "parts": [tables.split(t, most) for t in pdf["content"]]})
+
+    own = F.to_json(F.struct(*(F.col(c) for c in rest)), {"ignoreNullFields": "false"}).alias("own")
+    shape = blocks.select(*rest).schema
+    found = blocks.filter(odd).select(own, "content").mapInPandas(scanned, "own string, parts array<string>")
+    return plain.unionByName(found.select(F.from_json("own", shape).alias("own"), F.posexplode("parts").alias("part", "content")).select("own.*", "part", "content"))
 
 
 def drop_reference_blocks(blocks: DataFrame, last: int = 0) -> DataFrame:

@@ -307,3 +307,26 @@ def test_entities_by_their_best_row(spark):
         assert set(pairs(resolve.candidates_vector(asked, df, 4, 0.3), "name", "entity_id", "rank")) == want
     finally:
         vector.MATRIX = kept
+
+
+def test_nested_and_json_tables(spark):
+    """A table in a cell stays in its row, rows without an end, wrappers come again, JSON rows; plain tables as before."""
+    inner = "<table><tr><td>in a</td></tr><tr><td>in b</td></tr></table>"
+    body = "".join(f"<tr><td>row {k} {inner if k == 1 else 'x y z'}</td></tr>" for k in range(6))
+    nested = f"before <table class='t'><thead><tr><td>head of it</td></tr></thead><tbody>{body}</tbody></table> after"
+    listed = '<table id="j" format="json">' + json.dumps([[f"cell {k} one", f"two {k} é"] for k in range(7)], ensure_ascii=False) + "</table>"
+    loose = "<table><tr><th>a b c<tr><td>1 2 3 4<tr><td>5 6 7 8<tr><td>9 10 11 12</table>"
+    plain = "<table>" + "".join(f"<tr><td>p {k} q r</td></tr>" for k in range(4)) + "</table>"
+    rows = [(1, k, None, t) for k, t in enumerate([nested, listed, loose, plain, "no table", "<table>[broken</table>", "open <table><tr><td>a b c d e f g h i</td></tr><tr><td>j</td></tr>"])]
+    parts = defaultdict(list)
+    for r in sorted(chunk.split_tables(spark.createDataFrame(rows, "doc_id int, block int, heading string, content string"), 8).collect(), key=lambda r: (r.block, r.part)):
+        assert r.doc_id == 1 and r.heading is None
+        parts[r.block].append(r.content)
+    first, *tables_, last = parts[0]
+    assert (first.strip(), last.strip()) == ("before", "after") and len(tables_) > 2
+    assert all(t.startswith("<table class='t'><thead><tr><td>head of it</td></tr></thead><tbody><tr>") and t.endswith("</tbody></table>") for t in tables_)
+    assert sum(inner in t for t in tables_) == 1 and "".join(t.split("<tbody>")[1].removesuffix("</tbody></table>") for t in tables_) == body
+    got = [json.loads(t.removeprefix('<table id="j" format="json">').removesuffix("</table>")) for t in parts[1]]
+    assert len(got) > 1 and sum(got, []) == [[f"cell {k} one", f"two {k} é"] for k in range(7)]
+    assert len(parts[2]) > 1 and all(t.startswith("<table><tr><th>a b c</tr><tr><td>") for t in parts[2]) and len(parts[3]) > 1
+    assert parts[4] == ["no table"] and parts[5] == ["<table>[broken</table>"] and len(parts[6]) == 3
