@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,23 +27,33 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda s: F.slice(tokens, s + 1, F.lit(size)))
 
 
-def chunk_fixed(docs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
+class Tokenizer(NamedTuple):
+    """How texts are cut into tokens, and what stands between tokens that are put together again."""
+
+    split: Callable[[Column], Column] = _tokens
+    glue: str = " "
+
+
+PLAIN = Tokenizer()
+
+
+def chunk_fixed(docs: DataFrame, size: int = 1200, overlap: int = 100, tokenizer: Tokenizer = PLAIN) -> DataFrame:
     """C1. (doc_id, chunk_order_index, content, tokens)."""
-    rows = docs.select("doc_id", _tokens(F.col("text")).alias("t"))
+    rows = docs.select("doc_id", tokenizer.split(F.col("text")).alias("t"))
     rows = rows.select("doc_id", F.posexplode(windows(F.col("t"), size, overlap)).alias("chunk_order_index", "w"))
-    return rows.select("doc_id", "chunk_order_index", F.array_join("w", " ").alias("content"), F.size("w").cast("long").alias("tokens"))
+    return rows.select("doc_id", "chunk_order_index", F.array_join("w", tokenizer.glue).alias("content"), F.size("w").cast("long").alias("tokens"))
 
 
-def chunk_by_delimiter(docs: DataFrame, delimiter: str, size: int = 1200, overlap: int = 100, only: bool = False) -> tuple[DataFrame, DataFrame]:
+def chunk_by_delimiter(docs: DataFrame, delimiter: str, size: int = 1200, overlap: int = 100, only: bool = False, tokenizer: Tokenizer = PLAIN) -> tuple[DataFrame, DataFrame]:
     """C2. (chunks, errors): pieces between delimiters; a piece above size is windowed, or, if only, an error."""
     escaped = "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in delimiter)
-    rows = docs.select("doc_id", F.posexplode(F.split("text", escaped)).alias("piece", "p")).filter(F.trim("p") != "").withColumn("t", _tokens(F.col("p")))
+    rows = docs.select("doc_id", F.posexplode(F.split("text", escaped)).alias("piece", "p")).filter(F.trim("p") != "").withColumn("t", tokenizer.split(F.col("p")))
     if only:
         good = rows.filter(F.size("t") <= size).select("doc_id", "piece", F.lit(0).alias("part"), F.col("t").alias("w"))
     else:
         good = rows.select("doc_id", "piece", F.posexplode(windows(F.col("t"), size, overlap)).alias("part", "w"))
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("piece", "part")) - 1
-    out = good.select("doc_id", order.alias("chunk_order_index"), F.array_join("w", " ").alias("content"), F.size("w").cast("long").alias("tokens"))
+    out = good.select("doc_id", order.alias("chunk_order_index"), F.array_join("w", tokenizer.glue).alias("content"), F.size("w").cast("long").alias("tokens"))
     errors = rows.filter(F.size("t") > size).select("doc_id", "piece", F.size("t").cast("long").alias("tokens"))
     return out, errors if only else errors.limit(0)
 
@@ -160,10 +171,11 @@ def heading_paths(blocks: DataFrame, chars: int = 80, budget: int | None = None)
     return out.withColumn("path", path).drop(*(f"_h{n}" for n in range(1, 7)))
 
 
-def enforce_token_limit(chunks: DataFrame, most: int) -> DataFrame:
-    """C7. Chunks above most tokens as parts: whole sentences packed greedily, longer sentences windowed; ids get -sNN."""
-    n = lambda c: F.size(_tokens(c))
-    pieces = F.flatten(F.transform(F.split("content", r"(?<=[.!?])\s+"), lambda s: F.transform(windows(_tokens(s), most, 0), lambda w: F.array_join(w, " "))))
+def enforce_token_limit(chunks: DataFrame, most: int, tokenizer: Tokenizer = PLAIN) -> DataFrame:
+    """C7. Chunks above most tokens as parts: whole sentences packed greedily, longer sentences windowed; ids get -sNN.
+    tokenizer says what a token is; sentences stand apart by a space."""
+    n = lambda c: F.size(tokenizer.split(c))
+    pieces = F.flatten(F.transform(F.split("content", r"(?<=[.!?])\s+"), lambda s: F.transform(windows(tokenizer.split(s), most, 0), lambda w: F.array_join(w, tokenizer.glue))))
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -6,6 +6,8 @@ Episodes that may see each other's entities are committed one after the other, i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,7 +141,7 @@ def commit_wave(registry: dict[str, DataFrame], mentions: DataFrame, edges: Data
 TABLES = ("entities", "aliases", "relations", "atoms", "evidence", "evolution")
 
 
-def commit_episodes(registry: dict[str, DataFrame], mentions: DataFrame, edges: DataFrame, new_facts: DataFrame, entity_decisions: DataFrame, atom_decisions: DataFrame, similarity: DataFrame, now: Column, episodes: DataFrame | None = None, edge_facts: DataFrame | None = None, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
+def commit_episodes(registry: dict[str, DataFrame], mentions: DataFrame, edges: DataFrame, new_facts: DataFrame, entity_decisions: DataFrame, atom_decisions: DataFrame, similarity: DataFrame, now: Column, episodes: DataFrame | None = None, edge_facts: DataFrame | None = None, candidates: DataFrame | None = None, stage: Callable[..., dict[str, DataFrame]] = commit_wave) -> dict[str, DataFrame]:
     """A12. The registry's tables after a batch of episodes, and the outbox of what changed.
 
     registry: entities (entity_id, canonical_name, entity_type), aliases (entity_id, normalized_alias), relations (a, b,
@@ -156,7 +158,8 @@ def commit_episodes(registry: dict[str, DataFrame], mentions: DataFrame, edges:
     names are resolved (R1-R7) and written (R9), relations follow (R8), facts of one episode fold (A4), are compared with those
     before them (A5), those that the history holds give evidence (A6), the others are compared with it (A7); decisions are validated (A8)
     and applied (A10); evidence of duplicates goes to their roots (A9, A11). New atoms' seq goes on from their owner's last.
-    Facts of unknown names and edges without both ends are left out. The outbox counts a revision for each wave that touched an owner.
+    Facts of unknown names and edges without both ends are left out. stage commits one wave; a caller may give another that returns
+    the same tables. The outbox counts a revision for each wave that touched an owner.
     """
     if episodes is None:
         episodes = mentions.select("episode_id").distinct().withColumn("created_at", F.lit(0))
@@ -167,7 +170,7 @@ def commit_episodes(registry: dict[str, DataFrame], mentions: DataFrame, edges:
     state = {name: registry[name] for name in TABLES}
     for wave in range(1, (waves.agg(F.max("wave")).first()[0] or 0) + 1):
         part = {name: df.filter(F.col("wave") == wave).drop("wave") for name, df in given.items()}
-        out = commit_wave(state, part["mentions"], part["edges"], part["new_facts"], part.get("edge_facts"), entity_decisions, atom_decisions, similarity, now, candidates)
+        out = stage(state, part["mentions"], part["edges"], part["new_facts"], part.get("edge_facts"), entity_decisions, atom_decisions, similarity, now, candidates)
         state = {name: write_through(out[name], f"commit-{name}") for name in TABLES}
         changes.append(out["changes"].select("owner_id", F.lit(wave).cast("long").alias("seq"), F.lit(None).cast("string").alias("owner_snapshot")))
         resolved.append(out["resolved"])
