@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -220,8 +221,8 @@ def attribute_blocks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
 
 #: Headings that begin a list of references. Fixed values.
 REFERENCES = ("references", "bibliography", "参考文献")
-#: Shares of the largest size: wanted, and below which a chunk is small.
-IDEAL, SMALL = 0.75, 0.125
+#: Shares of the largest size: wanted, and below which a chunk is small; characters of a line that may begin a part. Fixed values.
+IDEAL, SMALL, ANCHOR = 0.75, 0.125, 100
 
 
 def split_tables(blocks: DataFrame, most: int) -> DataFrame:
@@ -273,8 +274,10 @@ def drop_reference_blocks(blocks: DataFrame, last: int = 0) -> DataFrame:
 
 def chunk_blocks(blocks: DataFrame, size: int = 2000, drop_references: bool = False) -> DataFrame:
     """C5. (doc_id, chunk_order_index, heading, level, content, tokens, blocks) from heading blocks (doc_id, block, level, heading,
-    content). Tables beyond half of `size` are split by rows (C6); a block above `size` tokens is cut between its lines, packed up
-    to IDEAL of it (a longer line by C7's windows), and its parts are named [part n]; a heading without text goes before what
+    content). Tables beyond half of `size` are split by rows (C6); a block above `size` tokens is cut at its short lines (anchors), those nearest
+    to where equal parts of IDEAL of it would end, and again as long as a part is above size; a part is headed by the line that
+    begins it, under the block's heading. Without short lines it is cut between its lines, packed up to IDEAL (a longer line by C7's
+    windows). Its parts are named [part n]; a heading without text goes before what
     follows; then small neighbours under one heading merge, deepest level first, as long as they stay within IDEAL. Documents are
     independent; one document's blocks are one group."""
     rows = drop_reference_blocks(blocks) if drop_references else blocks
@@ -296,19 +299,42 @@ def chunk_blocks(blocks: DataFrame, size: int = 2000, drop_references: bool = Fa
                 n += m
         return [*out, "\n".join(held)] if held else out
 
+    def anchored(text: str, begins: str = "") -> list[tuple[str, str]]:
+        """(anchor, part) of a text above the size; the anchor is the line that begins the part, nothing for the first one."""
+        lines, at, anchors = text.split("\n"), 0, []
+        for i, line in enumerate(lines):
+            if i and 0 < len(line) <= ANCHOR:
+                anchors.append((at, i))
+            at += len(line.split())
+        if not anchors:
+            return [(begins, p) for p in packed(text)]
+        n, chosen = max(math.ceil(at / ideal), math.ceil(at / size)), []
+        for k in range(1, n):
+            if anchors:
+                best = min(anchors, key=lambda a: abs(a[0] - k * at / n))  # noqa: B023
+                anchors.remove(best)
+                chosen.append(best[1])
+        cuts = [0, *sorted(chosen), len(lines)]
+        out = []
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            part, name = "\n".join(lines[i:j]), lines[i].strip() if k else begins
+            out += [(name, part)] if len(part.split()) <= size else anchored(part, name)
+        return out
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found, waiting = [], []
         for block, group in pdf.sort_values(["block", "part"]).groupby("block", sort=True):
             level, heading = int(group["level"].iloc[0]), group["heading"].iloc[0] or ""
             texts = [t.replace("\u2060", "").strip() for t in group["content"]]
-            parts = [p for t in texts if t for p in ([t] if t.lower().startswith("<table") or len(t.split()) <= size else packed(t))]
+            parts = [p for t in texts if t for p in ([("", t)] if t.lower().startswith("<table") or len(t.split()) <= size else anchored(t))]
             if not parts:  # a heading alone: it goes before the next block
                 waiting.append((level, heading))
                 continue
             before = [h for lv, h in waiting if lv < level and h]
             waiting = []
-            for i, p in enumerate(parts, 1):
-                name = f"{heading} [part {i}]" if len(parts) > 1 else heading
+            for i, (anchor, p) in enumerate(parts, 1):
+                name = " → ".join(x for x in (heading, anchor) if x)
+                name = f"{name} [part {i}]" if len(parts) > 1 else name
                 found.append({"level": level, "heading": " → ".join([*before, name]), "content": p, "n": len(p.split()), "blocks": [int(block)], "whole": len(parts) == 1})
         for _, heading in waiting:
             if heading:

@@ -55,9 +55,40 @@ def _moved(ways: DataFrame, part: DataFrame, m2: float, gamma: float, seed: int,
         part, r = new.drop("would"), r + 1
 
 
-def communities(edges: DataFrame, gamma: float = 1.0, levels: int = 10, least_gain: float = 1e-3, seed: int = 19) -> DataFrame:
+#: Rounds of the random refinement: in each about half of the nodes that are still alone may join a group.
+REFINE_ROUNDS = 8
+
+
+def _refined(ways: DataFrame, alone: DataFrame, m2: float, gamma: float, theta: float, seed: int) -> DataFrame:
+    """(node, community, k, home) after Leiden's random refinement. alone: (node, community, k, home), every node a community of its own. A
+    node that is alone and well connected to its home joins a well-connected group of it with a probability that grows with
+    exp(gain / theta), among those that gain (drawn by hashes, so reruns agree); groups of several nodes stay. In a round, nodes whose turn
+    it is move, and only to groups that do not."""
+    part = alone
+    for r in range(REFINE_ROUNDS):
+        turn = F.pmod(F.xxhash64("node", F.lit(seed + r)), F.lit(2)) == 0
+        sized = part.join(part.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("n")), "community").withColumn("moves", turn & (F.col("n") == 1))
+        near = sized.select(F.col("node").alias("other"), F.col("community").alias("target"), F.col("home").alias("_home"), F.col("total").alias("of_target"), F.col("moves").alias("_moves"))
+        met = ways.filter("node <> other").join(sized, "node").join(near, "other").filter("home = _home and community <> target")
+        whole = part.groupBy("home").agg(F.sum("k").alias("all"))
+        out = met.groupBy("community", "home", "total").agg(F.sum("weight").alias("e")).join(whole, "home")
+        well = write_through(out.filter(F.col("e") >= gamma * F.col("total") * (F.col("all") - F.col("total")) / m2).select("community"), "well-connected")
+        asked = met.filter("moves and not _moves").join(well, "community", "left_semi").join(well.select(F.col("community").alias("target")), "target", "left_semi")
+        gains = asked.groupBy("node", "k", "target", "of_target").agg(F.sum("weight").alias("k_in"))
+        gains = gains.withColumn("gain", F.col("k_in") - gamma * F.col("k") * F.col("of_target") / m2).filter("gain > 0")
+        u = (F.shiftrightunsigned(F.xxhash64("node", "target", F.lit(seed + r)), 11) + 0.5) / float(1 << 53)
+        drawn = F.col("gain") / theta - F.log(-F.log(u))  # the largest of these is a draw by exp(gain / theta)
+        best = gains.groupBy("node").agg(F.max_by("target", F.struct(drawn, "target")).alias("to"))
+        new = write_through(part.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", "home", F.col("to").isNotNull().alias("moved")), "refined-round")
+        part = new.drop("moved")
+        if not new.filter("moved").limit(1).count() and r % 2:  # both halves have had their turn
+            break
+    return part
+
+
+def communities(edges: DataFrame, gamma: float = 1.0, levels: int = 10, least_gain: float = 1e-3, seed: int = 19, theta: float | None = None) -> DataFrame:
     """D1. (node, community) by modularity in Leiden's manner: local moves until no node gains; refinement, where every node starts
-    alone again and moves within its community; the refined groups become the nodes of the next level's graph and start in
+    alone again and moves within its community (with theta: at random, see `_refined`); the refined groups become the nodes of the next level's graph and start in
     the communities found; up to `levels` times, or until modularity gains less than least_gain. Last, each community is split into
     its connected parts. Undirected, unweighted, parallel edges and loops left out; the name of a community is one of its nodes."""
     pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -75,7 +106,10 @@ def communities(edges: DataFrame, gamma: float = 1.0, levels: int = 10, least_ga
             break
         was = now
         alone = part.select("node", F.col("node").alias("community"), "k", F.col("community").alias("home"))
-        fine = _moved(ways, alone, m2, gamma, seed + 100 * level + 50, "home")
+        if theta is None:
+            fine = _moved(ways, alone, m2, gamma, seed + 100 * level + 50, "home")
+        else:
+            fine = _refined(ways, alone, m2, gamma, theta, seed + 100 * level + 50)
         name = write_through(fine.select("node", F.col("community").alias("group"), "home", "k"), "refined")
         of = write_through(of.join(name.select(F.col("node").alias("at"), "group"), "at").select("node", F.col("group").alias("at")), "of-level")
         here = name.select("node", F.col("group").alias("x"))

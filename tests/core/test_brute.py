@@ -330,3 +330,44 @@ def test_nested_and_json_tables(spark):
     assert len(got) > 1 and sum(got, []) == [[f"cell {k} one", f"two {k} é"] for k in range(7)]
     assert len(parts[2]) > 1 and all(t.startswith("<table><tr><th>a b c</tr><tr><td>") for t in parts[2]) and len(parts[3]) > 1
     assert parts[4] == ["no table"] and parts[5] == ["<table>[broken</table>"] and len(parts[6]) == 3
+
+
+def test_random_refinement(spark):
+    """Leiden with theta on planted groups: not below plain moving, communities connected, the same on a rerun."""
+    rng = np.random.default_rng(12)
+    group = {i: i // 10 for i in range(50)}
+    edges = [(i, j) for i in range(50) for j in range(i + 1, 50) if rng.random() < (0.6 if group[i] == group[j] else 0.03)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    part = community.communities(df, theta=0.01)
+    q = community.modularity(df, part).first()[0]
+    assert q >= community.modularity(df, community.communities(df)).first()[0] - 0.005
+    found = {x.node: x.community for x in part.collect()}
+    assert found == {x.node: x.community for x in community.communities(df, theta=0.01).collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        if found[a] == found[b]:
+            near[a].add(b)
+            near[b].add(a)
+    for c in set(found.values()):
+        members = {n for n in found if found[n] == c}
+        seen, todo = set(), [min(members)]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += near[n]
+        assert seen == members
+
+
+def test_long_blocks_are_cut_at_short_lines(spark):
+    """Parts of nearly equal size that begin with a short line and are headed by it; a part without one is packed."""
+    body = lambda n: " ".join(f"word{n}x{i}" for i in range(30))
+    lines = ["start of it", body(0), body(1), "Method", body(2), body(3), "Results", body(4), body(5), "Outlook", body(6)]
+    dense = "\n".join(body(k) for k in range(10, 16))
+    rows = [(1, 0, 2, "Long", "\n".join(lines)), (1, 1, 2, "Dense", dense), (1, 2, 2, "", "A\n" + " ".join(["w"] * 300))]
+    got = chunk.chunk_blocks(spark.createDataFrame(rows, "doc_id long, block int, level int, heading string, content string"), 100).orderBy("chunk_order_index").collect()
+    one = [x for x in got if x.blocks == [0]]
+    assert [x.heading for x in one] == ["Long [part 1]", "Long → Method [part 2]", "Long → Results [part 3]"] and [x.content.split("\n")[0] for x in one] == ["start of it", "Method", "Results"]
+    assert "\n".join(x.content for x in one) == "\n".join(lines)
+    assert all(x.tokens <= 100 for x in got) and "\n".join(x.content for x in got if x.blocks == [1]) == dense
+    assert sum(x.tokens for x in got if x.blocks == [2]) == 301
