@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,6 +155,50 @@ def list_atoms(atoms: DataFrame, owners: DataFrame, counts: DataFrame, status: s
     return rows.orderBy("owner_id", "seq")
 
 
+def _within(columns: tuple[str, ...], start: Column | None, end: Column | None) -> Column:
+    """Whether one of the instants lies in the range; open ends where none is given."""
+    hits = [F.col(c).isNotNull() & (F.col(c) >= start if start is not None else F.lit(True)) & (F.col(c) <= end if end is not None else F.lit(True)) for c in columns]
+    return F.coalesce(reduce(lambda x, y: x | y, hits), F.lit(False))
+
+
+def _holds(search: str, *columns: str) -> Column:
+    """Whether one of the columns holds the text, whatever its case."""
+    hits = [F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(search.lower())), F.lit(False)) for c in columns]
+    return reduce(lambda x, y: x | y, hits)
+
+
+def filter_atoms(atoms: DataFrame, evidence: DataFrame, evolution: DataFrame, owner_kind: str | None = None, status: str | None = None, search: str = "", episode_id: object = None, evolution_type: str | None = None, valid: tuple = (None, None), system: tuple = (None, None)) -> DataFrame:
+    """W4. Atoms with status that pass all filters that are given: kind of owner (the start of its id), status, a text in id, content or
+    owner, evidence of an episode, an evolution of a type at either end (`any`: of some type), an end of the validity in a range, an end of
+    the record in a range (Columns, None: open)."""
+    rows = atoms.filter(F.startswith("owner_id", F.lit(f"{owner_kind}-"))) if owner_kind else atoms
+    if status:
+        rows = rows.filter(F.col("status") == status)
+    if search:
+        rows = rows.filter(_holds(search, "atom_id", "content", "owner_id"))
+    if valid != (None, None):
+        rows = rows.filter(_within(("valid_at", "invalid_at"), *valid))
+    if system != (None, None):
+        rows = rows.filter(_within(("created_at", "expired_at"), *system))
+    if episode_id is not None:
+        rows = rows.join(evidence.filter(F.col("episode_id") == F.lit(episode_id)).select("atom_id"), "atom_id", "left_semi")
+    if evolution_type:
+        links = evolution if evolution_type == "any" else evolution.filter(F.col("relation_type") == evolution_type)
+        rows = rows.join(links.select(F.explode(F.array("source_atom_id", "target_atom_id")).alias("atom_id")), "atom_id", "left_semi")
+    return rows
+
+
+def filter_episodes(episodes: DataFrame, status: str | None = None, kind: str | None = None, search: str = "", reference: tuple = (None, None)) -> DataFrame:
+    """W2. Episodes (episode_id, status, kind, content, source_uri, reference_at) that pass all filters that are given: status, kind, a text
+    in id, content or source, the reference time in a range."""
+    rows = episodes.filter(F.col("status") == status) if status else episodes
+    if kind:
+        rows = rows.filter(F.col("kind") == kind)
+    if search:
+        rows = rows.filter(_holds(search, "episode_id", "content", "source_uri"))
+    return rows.filter(_within(("reference_at",), *reference)) if reference != (None, None) else rows
+
+
 def overview(atoms: DataFrame) -> DataFrame:
     """W1. (status, n, first, last) of atoms with status, and all of them."""
     out = atoms.rollup("status").agg(F.count("*").alias("n"), F.min("valid_at").alias("first_valid"), F.max("created_at").alias("last_created"), F.grouping("status").alias("_all"))

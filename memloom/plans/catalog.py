@@ -14,7 +14,7 @@ from memloom.operators.vector_index import VectorIndex
 from memloom.plans import extraction, resolution, retrieval, upkeep
 from memloom.plans import views as v
 from memloom.plans.registry import ORACLE_SQL, QUERIES, at, query
-from memloom.sources.tables import read, shared_folder
+from memloom.sources.tables import read, shared_folder, write_through
 
 __all__ = ["ORACLE_SQL", "QUERIES", "extraction", "resolution", "retrieval", "upkeep"]
 
@@ -307,7 +307,7 @@ def v06(spark: SparkSession, sf: str) -> DataFrame:
 @query("q03_related_edges", "SELECT query_id, a, b, rank, weight, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, weight DESC, a, b) AS pos FROM (SELECT DISTINCT h.query_id, e.a, e.b, x.degree + y.degree AS rank, e.weight FROM (SELECT query_id, 's' || (id % 100) AS node FROM hits WHERE rank <= 3) h JOIN edges e ON e.b = h.node JOIN deg x ON x.node = e.a JOIN deg y ON y.node = e.b)", ("hits", "deg"))
 def q03(spark: SparkSession, sf: str) -> DataFrame:
     hits = vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 3).select("query_id", F.concat(F.lit("s"), (F.col("id") % 100).cast("string")).alias("node"))
-    return retrieve.related_edges(hits, v.edges(spark, sf))
+    return retrieve.related_edges(hits, write_through(v.edges(spark, sf), "edges"))  # read for both directions and for the degrees
 
 
 @query("q05_related_entities", "SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY r, side, node) AS pos FROM (SELECT query_id, node, min(r) AS r, arg_min(side, r * 2 + side) AS side FROM (SELECT l_orderkey AS query_id, l_linenumber AS r, 0 AS side, 'p' || l_partkey AS node FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 1, 's' || l_suppkey FROM lineitem) GROUP BY 1, 2)")

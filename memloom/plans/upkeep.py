@@ -139,6 +139,34 @@ def w01(spark: SparkSession, sf: str) -> DataFrame:
     return maintain.workspace_counts(tables)
 
 
+@query(
+    "w04_all_filters",
+    """WITH s AS (SELECT * REPLACE (CASE WHEN owner_id % 2 = 0 THEN 'entity-' ELSE 'relation-' END || owner_id AS owner_id) FROM status)
+SELECT 1 AS filter, atom_id FROM s WHERE owner_id LIKE 'entity-%' AND status = 'active' AND (contains(atom_id::VARCHAR, 'click') OR contains(content, 'click') OR contains(owner_id, 'click'))
+UNION ALL SELECT 2, atom_id FROM s WHERE atom_id IN (SELECT source_atom_id FROM evolution WHERE relation_type = 'CONTRADICTION' UNION SELECT target_atom_id FROM evolution WHERE relation_type = 'CONTRADICTION') AND (valid_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' OR invalid_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20')
+UNION ALL SELECT 3, atom_id FROM s WHERE atom_id IN (SELECT atom_id FROM evidence WHERE episode_id = 7) AND (created_at >= TIMESTAMP '2024-01-10' OR expired_at >= TIMESTAMP '2024-01-10')
+UNION ALL SELECT 4, atom_id FROM s WHERE owner_id LIKE 'relation-%' AND atom_id IN (SELECT source_atom_id FROM evolution UNION SELECT target_atom_id FROM evolution)""",
+    ("status", "evidence", "evolution"),
+)
+def w04_all(spark: SparkSession, sf: str) -> DataFrame:
+    owner = F.concat(F.when(F.col("owner_id") % 2 == 0, "entity-").otherwise("relation-"), F.col("owner_id").cast("string"))
+    a = atoms.with_status(v.atoms(spark, sf), at()).withColumn("owner_id", owner)
+    day = lambda d: F.to_timestamp_ntz(F.lit(f"2024-01-{d:02d} 00:00:00")).cast("timestamp")
+    told, evo = v.evidence(spark, sf), v.evolution(spark, sf)
+    asked = [{"owner_kind": "entity", "status": "active", "search": "CLICK"}, {"evolution_type": "CONTRADICTION", "valid": (day(5), day(20))}, {"episode_id": 7, "system": (day(10), None)}, {"owner_kind": "relation", "evolution_type": "any"}]
+    parts = [maintain.filter_atoms(a, told, evo, **x).select(F.lit(k).alias("filter"), "atom_id") for k, x in enumerate(asked, 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("w02_all_filters", "SELECT o_orderkey AS episode_id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND (contains(o_orderkey::VARCHAR, '9') OR contains(lower(o_orderpriority), '9') OR contains('u' || o_custkey, '9')) AND o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1996-12-31'")
+def w02_all(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders")
+    source = F.concat(F.lit("u"), F.col("o_custkey").cast("string"))
+    rows = o.select(F.col("o_orderkey").alias("episode_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"), F.col("o_orderpriority").alias("content"), source.alias("source_uri"), F.col("o_orderdate").alias("reference_at"))
+    day = lambda d: F.to_timestamp_ntz(F.lit(f"{d} 00:00:00")).cast(o.schema["o_orderdate"].dataType)
+    return maintain.filter_episodes(rows, "F", "1-URGENT", "9", (day("1993-01-01"), day("1996-12-31"))).select("episode_id")
+
+
 @query("w02_filtered", "SELECT conv_id || '-' || turn AS episode_id, CASE WHEN n IS NULL THEN 0 ELSE n END AS n_evidence FROM conversations LEFT JOIN (SELECT episode_id, count(*) AS n FROM evidence GROUP BY 1) e ON e.episode_id || '-0' = conv_id || '-' || turn WHERE role = 'user' AND contains(lower(text), 'e')", ("evidence",))
 def w02(spark: SparkSession, sf: str) -> DataFrame:
     key = F.concat_ws("-", "conv_id", "turn")
