@@ -185,7 +185,7 @@ def test_empty_tables_and_nulls(spark):
     stored = spark.createDataFrame([("a", "b", 2.0, ["k"], ["s1"])], "a string, b string, weight double, keywords array<string>, source_ids array<string>")
     new = spark.createDataFrame([("b", "a", 1.0, "j", "s1", 1), ("a", "b", 1.0, None, None, 2), ("a", "b", 3.0, "k", "s2", 3), ("a", "b", 9.0, "k", "s2", 4), ("c", "a", 1.0, None, "", 5)], "src string, tgt string, weight double, keyword string, source_id string, seq long")
     got = {(x.a, x.b): (x.weight, x.keywords, x.source_ids) for x in merge.merge_relations(stored, new).collect()}
-    assert got == {("a", "b"): (5.0, ["j", "k"], ["s1", "s2"]), ("a", "c"): (0.0, [], [])}
+    assert got == {("a", "b"): (14.0, ["j", "k"], ["s1", "s2"]), ("a", "c"): (0.0, [], [])}
     assert [(x.a, x.weight) for x in merge.merge_relations(stored, new.limit(0)).collect()] == [("a", 2.0)]
     one = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, id string, pos int")
     assert [(x.id, x.pos) for x in r.interleave([one, one.filter("id = 'y'").withColumn("pos", F.lit(1))], "id").orderBy("pos").collect()] == [("x", 1), ("y", 2)]
