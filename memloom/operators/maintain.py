@@ -176,9 +176,9 @@ def filter_atoms(atoms: DataFrame, evidence: DataFrame, evolution: DataFrame, ow
         rows = rows.filter(F.col("status") == status)
     if search:
         rows = rows.filter(_holds(search, "atom_id", "content", "owner_id"))
-    if valid != (None, None):
+    if any(x is not None for x in valid):
         rows = rows.filter(_within(("valid_at", "invalid_at"), *valid))
-    if system != (None, None):
+    if any(x is not None for x in system):
         rows = rows.filter(_within(("created_at", "expired_at"), *system))
     if episode_id is not None:
         rows = rows.join(evidence.filter(F.col("episode_id") == F.lit(episode_id)).select("atom_id"), "atom_id", "left_semi")
@@ -196,7 +196,7 @@ def filter_episodes(episodes: DataFrame, status: str | None = None, kind: str |
         rows = rows.filter(F.col("kind") == kind)
     if search:
         rows = rows.filter(_holds(search, "episode_id", "content", "source_uri"))
-    return rows.filter(_within(("reference_at",), *reference)) if reference != (None, None) else rows
+    return rows.filter(_within(("reference_at",), *reference)) if any(x is not None for x in reference) else rows
 
 
 def overview(atoms: DataFrame) -> DataFrame:
