@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from memloom.functions.ids import normalize_name, pair_id
 from memloom.operators.community import connected
 from memloom.operators.ingest import first_by, upsert
+from memloom.operators.merge import top_ranked
 from memloom.operators.vector import vector_topk
+from memloom.sources.tables import write_through
+
+#: Longest run of characters that places one text in another.
+HEAD = 16
 
 
 def coalesce_aliases(mentions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,23 +35,39 @@ def candidates_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.withColumn("normalized_alias", normalize_name(F.col("name"))).join(aliases, "normalized_alias").select("name", "entity_id", F.lit(1.0).alias("score"), "normalized_alias").distinct()
 
 
-def candidates_lexical(names: DataFrame, aliases: DataFrame, gram: int = 3, most: int | None = None) -> DataFrame:
-    """R3. One contains the other, score 0.8, equal ones 1.0: blocked by the shorter one's first characters (as many as it has,
-    gram at most) as runs of the longer, then verified. With `most`, a name keeps that many rows: equal ones first, then
-    shorter aliases."""
-    n = names.select("name", normalize_name(F.col("name")).alias("q")).filter("q <> ''")
-    a = aliases.select("entity_id", F.col("normalized_alias").alias("al")).filter("al <> ''")
-    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
-    grams = lambda c: F.explode(F.array_distinct(F.concat(*(runs(c, k) for k in range(1, gram + 1)))))
-    head = lambda c: F.substring(c, 1, gram)
-    one = n.withColumn("g", grams(F.col("q"))).join(a.withColumn("g", head("al")), "g").filter(F.contains("q", F.col("al")))
-    two = a.withColumn("g", grams(F.col("al"))).join(n.withColumn("g", head("q")), "g").filter(F.contains("al", F.col("q")))
-    both = one.select("name", "entity_id", "q", "al").union(two.select("name", "entity_id", "q", "al")).distinct()
-    out = both.select("name", "entity_id", F.when(F.col("q") == F.col("al"), 1.0).otherwise(0.8).alias("score"), F.col("al").alias("normalized_alias"))
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, t): texts t of `long` that contain the text s of `short`, from distinct (s) and (t) that are not empty. Runs of 1, 2, 4, 8 or HEAD
+    characters of t look up which lengths of s begin so, and t's part of that place and length is then joined with s whole: rows
+    follow the texts and what is found, not the pairs that begin alike. Texts are no small tables whatever their files weigh,
+    so none of these joins is a broadcast."""
+    sizes = [1 << i for i in range(HEAD.bit_length())]
+    head = F.coalesce(*(F.when(F.length("s") >= k, F.substring("s", 1, k)) for k in reversed(sizes)))
+    heads = short.select(head.alias("g"), F.length("s").alias("n")).distinct().groupBy("g").agg(F.collect_list("n").alias("ns"))  # lengths
+    placed = long.select("t", F.explode(F.array(*map(F.lit, sizes))).alias("k")).filter(F.col("k") <= F.length("t"))
+    placed = placed.select("t", "k", F.explode(F.sequence(F.lit(1), F.length("t") - F.col("k") + 1)).alias("i")).select("t", "i", F.substring(F.col("t"), F.col("i"), F.col("k")).alias("g"))
+    met = placed.join(heads.hint("merge"), "g").select("t", "i", F.explode("ns").alias("n")).filter(F.col("i") + F.col("n") - 1 <= F.length("t"))
+    return met.select("t", F.substring(F.col("t"), F.col("i"), F.col("n")).alias("s")).distinct().join(short.hint("merge"), "s").select("s", "t")
+
+
+def candidates_lexical(names: DataFrame, aliases: DataFrame, most: int | None = None) -> DataFrame:
+    """R3. One contains the other, score 0.8, equal ones 1.0. Distinct names meet distinct aliases (`contained`), then those who bear
+    them. With `most`, a name keeps that many rows: equal ones first, then shorter aliases; no alias then brings more of its entities."""
+    n = names.select("name", normalize_name(F.col("name")).alias("q")).filter("q <> ''").distinct()
+    a = aliases.select("entity_id", F.col("normalized_alias").alias("al")).filter("al <> ''").distinct()
+    qs, als = n.select("q").distinct(), a.select("al").distinct()
+    one = contained(als.withColumnRenamed("al", "s"), qs.withColumnRenamed("q", "t")).select(F.col("t").alias("q"), F.col("s").alias("al"))
+    two = contained(qs.withColumnRenamed("q", "s"), als.withColumnRenamed("al", "t")).select(F.col("s").alias("q"), F.col("t").alias("al"))
+    both = one.union(two).distinct().withColumn("score", F.when(F.col("q") == F.col("al"), 1.0).otherwise(0.8))
     if most is None:
-        return out
-    w = W.partitionBy("name").orderBy(F.desc("score"), F.length("normalized_alias"), "normalized_alias", "entity_id")
-    return out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+        met = both.join(a.hint("merge"), "al")
+    else:
+        best = [F.desc("score"), F.length("al"), "al"]
+        both = write_through(top_ranked(both, "q", best, most, "al").select("q", "al", "score"), "lexical-pairs")
+        borne = a.join(both.select("al").distinct().hint("merge"), "al", "left_semi")
+        few = top_ranked(borne, "al", ["entity_id"], most, "entity_id").select("entity_id", "al")
+        met = top_ranked(both.join(few.hint("merge"), "al"), "q", [*best, "entity_id"], most, "entity_id")
+    out = met.join(n.hint("merge"), "q")
+    return out.select("name", "entity_id", "score", F.col("al").alias("normalized_alias"))
 
 
 def candidates_fulltext(names: DataFrame, aliases: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
