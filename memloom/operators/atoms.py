@@ -56,7 +56,7 @@ def in_batch_candidates(atoms: DataFrame, similarity: DataFrame) -> DataFrame:
     met = asked.join(rows.select(*own, F.col("pos").alias("old"), F.col("atom_id").alias("candidate_id")), [*own, "old"]).select("atom_id", "candidate_id")
     ends = rows.select(*own, F.col("atom_id").alias("candidate_id"), F.col("pos").alias("old"))
     near = similarity.filter(F.col("score") >= NEAR).join(rows.filter(F.col("pos") - 1 > ALL), "atom_id").join(ends, [*own, "candidate_id"]).filter("old < pos")
-    return met.union(_nearest(near)).distinct()
+    return met.union(nearest(near, "atom_id")).distinct()
 
 
 def history_candidates(new: DataFrame, atoms: DataFrame, similarity: DataFrame, at: Column) -> DataFrame:
@@ -70,12 +70,13 @@ def history_candidates(new: DataFrame, atoms: DataFrame, similarity: DataFrame,
     asked = new.select("owner_id", "atom_id")
     met = asked.join(short.unionByName(last.select("owner_id", "candidate_id")), "owner_id").select("atom_id", "candidate_id")
     near = similarity.filter(F.col("score") >= NEAR).join(asked, "atom_id").join(mine.select("owner_id", "candidate_id"), ["owner_id", "candidate_id"]).join(long, "owner_id", "left_semi")
-    return met.union(_nearest(near)).distinct()
+    return met.union(nearest(near, "atom_id")).distinct()
 
 
-def _nearest(scored: DataFrame) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("atom_id").orderBy(F.desc("score"), "candidate_id"))
-    return scored.withColumn("_n", rank).filter(F.col("_n") <= TOP).select("atom_id", "candidate_id")
+def nearest(scored: DataFrame, *key: str) -> DataFrame:
+    """(key, candidate_id): the TOP nearest by score, ties by id; the key is an atom, or a group of atoms with equal scores."""
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "candidate_id"))
+    return scored.withColumn("_n", rank).filter(F.col("_n") <= TOP).select(*key, "candidate_id")
 
 
 def match_history_exact(new: DataFrame, atoms: DataFrame, at: Column) -> DataFrame:

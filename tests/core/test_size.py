@@ -34,3 +34,16 @@ def test_lexical_candidates_of_texts_that_begin_alike(spark):
     first = {r for n in q for r in sorted((w for w in want if w[0] == n), key=lambda w: (-w[2], len(w[3]), w[3].encode(), w[1] is not None, w[1] or ""))[:3]}
     rows = [tuple(r) for r in got.select("name", "entity_id", "score", "normalized_alias").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == first
+
+
+def test_history_candidates_meet_few_scores(spark, monkeypatch):
+    """A07's query scores a few atoms of an owner for each new one, not every pair of them."""
+    from memloom.operators import atoms
+    from memloom.plans import catalog
+
+    seen = []
+    plain = atoms.history_candidates
+    monkeypatch.setattr(atoms, "history_candidates", lambda new, old, score, at: seen.append((new.count(), score.count())) or plain(new, old, score, at))
+    catalog.QUERIES["a07_history_candidates"](spark, "/root/testdata/sf0.01")
+    new, scores = seen[0]
+    assert new > 50 and scores <= atoms.TOP * new
