@@ -15,6 +15,8 @@ from memloom.operators.ingest import first_by
 
 #: Queries, and vectors, in one block; queries, and numbers in all of them, up to which they are one matrix on every task (32 MB).
 QUERY_BLOCK, VECTOR_BLOCK, QUERIES, MATRIX = 512, 4096, 4096, 1 << 22
+#: Shares of the vectors' blocks when queries are a table: so many copies of that table are shuffled, however many partitions the session has.
+SHARES = 64
 #: Vectors from which the cells of the approximate search are learned, passes over them, most cells.
 SAMPLE, PASSES, CELLS = 8192, 8, 4096
 
@@ -98,9 +100,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
                 owner = numbered(b.column(0).to_pylist()) if each_once else None
                 for dim, at, q in known.value:
                     place, x = matrix(rows, dim)
-                    if len(x) and len(q):
-                        i, j, score = nearest(x, q, k, threshold, owner[place] if each_once else None)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[j])), b.column(0).take(pa.array(place[i])), pa.array(score)], shape.names)
+                    for s in range(0, len(q) if len(x) else 0, QUERY_BLOCK):  # scores of a part of the queries at a time
+                        i, j, score = nearest(x, q[s : s + QUERY_BLOCK], k, threshold, owner[place] if each_once else None)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[s + j])), b.column(0).take(pa.array(place[i])), pa.array(score)], shape.names)
 
         return once(corpus.select("id", "v").mapInArrow(best, shape))
     block = F.floor(F.monotonically_increasing_id() % (1 << 33) / QUERY_BLOCK).alias("block")
@@ -109,10 +111,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
     place = F.floor(F.monotonically_increasing_id() % (1 << 33) / VECTOR_BLOCK).alias("block")
     vectors = corpus.filter(F.size("v") > 0).select(F.spark_partition_id().alias("part"), place, F.size("v").alias("dim"), "id", "v")
     vectors = vectors.groupBy("part", "block", "dim").agg(F.collect_list(F.struct("id", "v")).alias("vs"))  # VECTOR_BLOCK at most
-    shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vectors = vectors.withColumn("share", F.pmod(F.xxhash64("part", "block"), F.lit(shares)).cast("int"))
-    blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    met = vectors.select("dim", "share", "vs").join(blocks.select("dim", "share", "qs"), ["dim", "share"]).select("vs", "qs")
+    vectors = vectors.withColumn("share", F.pmod(F.xxhash64("part", "block"), F.lit(SHARES)).cast("int"))
+    blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).select("dim", "share", "qs")
+    met = vectors.select("dim", "share", "vs").join(blocks.hint("merge"), ["dim", "share"]).select("vs", "qs")  # all copies are no broadcast
 
     def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

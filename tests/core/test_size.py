@@ -11,10 +11,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_lexical_candidates_broadcast_no_texts(spark):
+def test_lexical_candidates_broadcast_no_texts(spark, tmp_path):
     """Tables that weigh little as files may hold many texts: their parts are not sent to the driver."""
     texts = [(f"e{i}", f"supplier #{i:04}") for i in range(40)]
-    aliases = spark.createDataFrame(texts, "entity_id string, normalized_alias string")
+    spark.createDataFrame(texts, "entity_id string, normalized_alias string").write.parquet(f"{tmp_path}/a")
+    aliases = spark.read.parquet(f"{tmp_path}/a")
     names = aliases.select(F.col("normalized_alias").alias("name"))
     assert "Broadcast" not in plan(resolve.candidates_lexical(names, aliases))
     assert "Broadcast" not in plan(resolve.candidates_lexical(names, aliases, most=2))
@@ -47,3 +48,19 @@ def test_history_candidates_meet_few_scores(spark, monkeypatch):
     catalog.QUERIES["a07_history_candidates"](spark, "/root/testdata/sf0.01")
     new, scores = seen[0]
     assert new > 50 and scores <= atoms.TOP * new
+
+
+def test_copies_of_query_blocks_are_no_broadcast(spark, monkeypatch):
+    """Queries that are a table of blocks go to every share of the vectors by a shuffle; results are those of one matrix."""
+    from memloom.operators import vector
+    from memloom.plans import views as v
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted((r.query_id, r.id, r.rank, round(r.score, 9)) for r in df.collect())
+    whole = rows(vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 5))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    assert rows(vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 5)) == whole
+    monkeypatch.setattr(vector, "QUERIES", 0)
+    got = vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 5)
+    assert "Broadcast" not in plan(got)
+    assert rows(got) == whole
