@@ -145,8 +145,8 @@ def cells_of(corpus: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
 def vector_topk_ann(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.2, cells: int = 64, probes: int = 24) -> DataFrame:
     """V2. Approximate V1: every vector lies in the cell of its nearest centre, a query asks the nearest `probes` cells, and
     what it meets there is ranked exactly. The centres are learned from SAMPLE vectors at most, all vectors are indexed.
-    Vectors of another length than the sample's first, null and zero ones do not match. A cell is dealt by vectors too
-    (salted), so a crowded one is no single task."""
+    Vectors of another length than the sample's first, null and zero ones do not match. A cell's vectors and queries meet as
+    blocks by matrix products, each block with its best k only; blocks are dealt (salted), so a crowded cell is no single task."""
     centre = cells_of(corpus, min(cells, CELLS))
     dim = centre.shape[1] if len(centre) else 0
 
@@ -163,12 +163,23 @@ def vector_topk_ann(queries: DataFrame, corpus: DataFrame, k: int, threshold: fl
 
         return df.select(key, column).mapInArrow(run, shape)
 
-    deal = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")
-    right = routed(1, "id", "v", corpus).withColumn("deal", deal)
-    left = routed(probes, "query_id", "qv", queries).withColumnRenamed("u", "q").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    add = F.aggregate(F.zip_with("q", "u", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    scored = left.join(right, ["cell", "deal"]).select("query_id", "id", add.alias("score")).filter(F.col("score") >= threshold)
-    return ranked(scored, k)
+    def blocks(df: DataFrame, size: int, key: str, name: str) -> DataFrame:
+        block = F.floor(F.monotonically_increasing_id() % (1 << 33) / size).alias("block")
+        return df.select(F.spark_partition_id().alias("part"), block, "cell", key, "u").groupBy("part", "block", "cell").agg(F.collect_list(F.struct(key, "u")).alias(name))
+
+    right = blocks(routed(1, "id", "v", corpus), 8 * VECTOR_BLOCK, "id", "vs").withColumn("deal", F.pmod(F.xxhash64("part", "block"), F.lit(8)).cast("int"))
+    left = blocks(routed(probes, "query_id", "qv", queries), 8 * QUERY_BLOCK, "query_id", "qs").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    shape = T.StructType([queries.schema["query_id"], corpus.schema["id"]]).add("score", "double")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for vs, qs in zip(b.column(0), b.column(1), strict=True):
+                x, q = (r.values.field("u").flatten().to_numpy().reshape(-1, dim) for r in (vs, qs))
+                i, j, score = nearest(x, q, k, threshold)
+                yield pa.RecordBatch.from_arrays([qs.values.field("query_id").take(pa.array(j)), vs.values.field("id").take(pa.array(i)), pa.array(score)], shape.names)
+
+    pairs = right.select("cell", "deal", "vs").join(left.select("cell", "deal", "qs").hint("merge"), ["cell", "deal"]).select("vs", "qs")
+    return ranked(pairs.mapInArrow(met, shape), k)
 
 
 def drop_incident(vectors: DataFrame, names: DataFrame) -> DataFrame:

@@ -64,3 +64,15 @@ def test_copies_of_query_blocks_are_no_broadcast(spark, monkeypatch):
     got = vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 5)
     assert "Broadcast" not in plan(got)
     assert rows(got) == whole
+
+
+def test_approximate_search_multiplies_blocks(spark):
+    """Vectors of a cell and the queries that ask it meet as blocks, not as a row for each pair."""
+    from memloom.operators import vector
+    from memloom.plans import views as v
+
+    sf = "/root/testdata/sf0.001"
+    got = vector.vector_topk_ann(v.queries(spark, sf), v.vectors(spark, sf), 5, cells=4, probes=4)
+    assert "vs" in plan(got) and "qs" in plan(got) and "zip_with" not in plan(got)
+    rows = lambda df: sorted((r.query_id, r.id, r.rank, round(r.score, 9)) for r in df.collect())
+    assert rows(got) == rows(vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 5))  # all cells are asked
