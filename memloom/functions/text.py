@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ DAMAGED = (
     r"<\|#\|>\|",
     r"\|\|#\|\|",
 )
+#: What a text must hold for some of them to match: others need not be searched.
+HELD = {r"<\|\\#\|>": "\\#|>", r"<\|#:(?!>)": "<|#:", r"<\|+#>": "|#>", r"(?<=\S)<\|\|(?!>)": "<||", r"<\|#\|>\|": "<|#|>|", r"\|\|#\|\|": "||#||"}
 #: Characters that names are written with in full width or typographic form, and what they become. Fixed values.
 WIDE, NARROW = "－＋／＊（）—　", "-+/*()- "
 #: Tags that go, spaces that go beside Chinese characters, quotes that go around them. Fixed values.
@@ -36,6 +39,11 @@ HAN, LATIN = "[\\u4e00-\\u9fa5]", r"[a-zA-Z0-9()\[\]@#$%!&*\-=+_]"
 OUTER_QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("《", "》"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_count(text: Column) -> Column:
     """White-space-separated tokens: the default count; any Column function can stand in its place."""
     return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
@@ -65,18 +73,32 @@ def normalize_extracted(text: Column, inner_quotes: bool = False) -> Column:
     """Names and descriptions: half width, without paragraph tags, spaces beside Chinese characters, and outer quotes that no
     inner one matches; with inner_quotes without the typographic ones inside, too. Bare numbers of fewer than three
     digits, and runs of digits and dots shorter than six, become null."""
-    out = half_width(F.regexp_replace(text, TAGS, ""))
-    for left, right in ((HAN, HAN), (HAN, LATIN), (LATIN, HAN)):
-        out = F.regexp_replace(out, rf"(?<={left})\s+(?={right})", "")
-    for a, b in OUTER_QUOTES:
-        out = F.regexp_replace(out, rf"(?s)^{a}([^{a}{b}]*){b}$", "$1")
-    if inner_quotes:
-        out = F.regexp_replace(F.translate(out, "\u00a0", " "), "[“”‘’]", "")
-        out = F.regexp_replace(out, rf"['\"]+(?={HAN})|(?<={HAN})['\"]+", "")
-        out = F.regexp_replace(out, "(?<=[^0-9])\u202f", " ")
-    out = stripped(out)
-    bare = out.rlike("^[0-9]{1,2}$") | (out.rlike("^[0-9.]{1,5}$") & F.contains(out, F.lit(".")))
-    return F.when(bare, None).otherwise(out)
+
+    def wide(out: Column) -> Column:
+        out = half_width(out)
+        for left, right in ((HAN, HAN), (HAN, LATIN), (LATIN, HAN)):
+            out = F.regexp_replace(out, rf"(?<={left})\s+(?={right})", "")
+        out = unquoted(out, OUTER_QUOTES)
+        if inner_quotes:
+            out = F.regexp_replace(F.translate(out, "\u00a0", " "), "[“”‘’]", "")
+            out = F.regexp_replace(out, rf"['\"]+(?={HAN})|(?<={HAN})['\"]+", "")
+            out = F.regexp_replace(out, "(?<=[^0-9])\u202f", " ")
+        return stripped(out)
+
+    def ascii_only(out: Column) -> Column:
+        """The same where no other character stands, at a fraction of the work."""
+        out = F.when(F.substring(out, 1, 1).isin('"', "'"), unquoted(out, OUTER_QUOTES[:2])).otherwise(out)
+        return F.btrim(out, F.lit(" \t\n\x0b\f\r"))
+
+    def unquoted(out: Column, quotes: tuple) -> Column:
+        for a, b in quotes:
+            out = F.regexp_replace(out, rf"(?s)^{a}([^{a}{b}]*){b}$", "$1")
+        return out
+
+    bare = lambda x: (F.length(x) <= 5) & (x.rlike("^[0-9]{1,2}$") | (x.rlike("^[0-9.]{1,5}$") & F.contains(x, F.lit("."))))
+    out = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, TAGS, "")).otherwise(text)
+    out = let(out, lambda x: F.when(F.octet_length(x) == F.length(x), ascii_only(x)).otherwise(wide(x)))
+    return let(out, lambda x: F.when(bare(x), None).otherwise(x))
 
 
 #: Characters that make a type invalid wherever they stand. Fixed values.
@@ -100,7 +122,9 @@ def truncate_identifier(text: Column, chars: int = 256, octets: int = 512) -> Co
 def repair_delimiters(text: Column, core: str = "#") -> Column:
     """Damaged field separators as whole ones; what stands between spaces in prose stays."""
     for damaged in DAMAGED:
-        text = F.regexp_replace(text, damaged.replace("#", f"\\Q{core}\\E"), f"<|{core}|>")
+        mend = lambda x: F.regexp_replace(x, damaged.replace("#", f"\\Q{core}\\E"), f"<|{core}|>")  # noqa: B023, E731
+        held = HELD.get(damaged)
+        text = mend(text) if held is None else let(text, lambda x: F.when(F.contains(x, F.lit(held.replace("#", core))), mend(x)).otherwise(x))  # noqa: B023
     return text
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.functions.repair import OBJECT_FIRST, recovered
 from memloom.functions.text import cap_ids, clean_type, normalize_extracted, repair_delimiters, sanitize, token_count
@@ -16,44 +15,77 @@ from memloom.operators.prefix import before, ranges
 FIELD, DONE = "<|#|>", "<|COMPLETE|>"
 
 
-def parse_extractions(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """X1, X3. (entities, relations, errors) from (chunk_id, result): one record a line, fields split at the separator."""
+def once(**made: Column) -> Column:
+    """A generator of one row: what is made there is computed once, however often filters and columns above ask for it."""
+    return F.inline(F.array(F.struct(*(c.alias(name) for name, c in made.items()))))
+
+
+def extraction_records(results: DataFrame) -> DataFrame:
+    """X1, X3. (chunk_id, pos, kind, a, b, type, keywords, description, reason) from (chunk_id, result): one record a line, fields split
+    at the separator. kind is entity, relation or error: an entity has its name in a and a type, a relation its ends in a and b, an
+    error the reason."""
     text = repair_delimiters(sanitize(F.col("result")))
     rows = results.select("chunk_id", F.posexplode(F.split(text, r"\n|<\|COMPLETE\|>")).alias("pos", "record")).filter(F.trim("record") != "")
-    rows = rows.withColumn("f", F.transform(F.split("record", r"<\|#\|>"), lambda x: F.trim(x)))
+    rows = rows.select("chunk_id", "pos", once(f=F.transform(F.split("record", r"<\|#\|>"), lambda x: F.trim(x))))
     kind, n = F.lower(F.get("f", F.lit(0))), F.size("f")
-    name = lambda i: normalize_extracted(F.get("f", F.lit(i)), inner_quotes=True)
-    ents = rows.filter((kind == "entity") & (n == 4)).select("chunk_id", "pos", name(1).alias("name"), clean_type(F.get("f", F.lit(2))).alias("type"), name(3).alias("description"))
-    rels = rows.filter(kind.isin("relation", "relationship") & (n == 5)).select("chunk_id", "pos", name(1).alias("src"), name(2).alias("tgt"), name(3).alias("keywords"), name(4).alias("description"))
-    good_e = (F.coalesce("name", F.lit("")) != "") & F.col("type").isNotNull() & (F.coalesce("description", F.lit("")) != "")
-    good_r = (F.coalesce("src", F.lit("")) != "") & (F.coalesce("tgt", F.lit("")) != "") & (F.col("src") != F.col("tgt"))
-    shape = ~((kind == "entity") & (n == 4)) & ~(kind.isin("relation", "relationship") & (n == 5))
-    errors = rows.filter(F.coalesce(shape, F.lit(True))).select("chunk_id", "pos", F.lit("fields").alias("reason"))
-    errors = errors.unionByName(ents.filter(~good_e).select("chunk_id", "pos", F.lit("entity").alias("reason"))).unionByName(rels.filter(~F.coalesce(good_r, F.lit(False))).select("chunk_id", "pos", F.lit("relation").alias("reason")))
-    return ents.filter(good_e), rels.filter(good_r), errors
+    ent, rel = (kind == "entity") & (n == 4), kind.isin("relation", "relationship") & (n == 5)
+    rows = rows.select("chunk_id", "pos", once(f=F.col("f"), kind=F.when(ent, "entity").when(rel, "relation"), x=F.when(ent | rel, F.transform(F.slice("f", 2, 4), lambda x: normalize_extracted(x, inner_quotes=True)))))
+    ent, field = F.col("kind") == "entity", lambda i: F.get("x", F.lit(i - 1))
+    kind_of = F.when(ent, clean_type(F.get("f", F.lit(2))))
+    rows = rows.select("chunk_id", "pos", "kind", once(a=field(1), b=F.when(~ent, field(2)), type=kind_of, keywords=F.when(~ent, field(3)), description=F.when(ent, field(3)).otherwise(field(4))))
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    good = F.when(ent, given("a") & F.col("type").isNotNull() & given("description")).otherwise(given("a") & given("b") & (F.col("a") != F.col("b")))
+    reason = F.when(F.col("kind").isNull(), "fields").when(~F.coalesce(good, F.lit(False)), F.col("kind"))
+    rows = rows.withColumn("reason", reason)
+    return rows.withColumn("kind", F.when(F.col("reason").isNull(), F.col("kind")).otherwise("error"))
 
 
-def _recovered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        yield pdf.assign(result=pdf["result"].map(recovered))
+def parse_extractions(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """X1, X3. (entities, relations, errors) of `extraction_records`; who wants all of them in one pass takes those."""
+    rows = extraction_records(results)
+    ents = rows.filter("kind = 'entity'").select("chunk_id", "pos", F.col("a").alias("name"), "type", "description")
+    rels = rows.filter("kind = 'relation'").select("chunk_id", "pos", F.col("a").alias("src"), F.col("b").alias("tgt"), "keywords", "description")
+    return ents, rels, rows.filter("kind = 'error'").select("chunk_id", "pos", "reason")
 
 
-def parse_extractions_json(results: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """X2. As X1 from JSON, fenced or inside prose; of JSON that was cut off the whole records before the cut; at most `most` records of
-    each kind. What the native parser refuses (quotes of the other kind, keys without quotes, commas too many or too few, text behind
-    with braces) is read by a small repair, in Python, those rows only. The first opening bracket must be a brace: a list at the top, and
-    what has no object, is an error."""
+@F.pandas_udf(T.StringType())
+def _recovered(texts: pd.Series) -> pd.Series:
+    return texts.map(recovered, na_action="ignore")
+
+
+def json_records(results: DataFrame, most: int = 1000) -> DataFrame:
+    """X2. As `extraction_records` from JSON, fenced or inside prose; of JSON that was cut off the whole records before the cut; at most `most`
+    records of each kind. What the native parser refuses (quotes of the other kind, keys without quotes, commas too many or too few, text
+    behind with braces) is read by a small repair, in Python, those rows only. The first opening bracket must be a brace: a list at the
+    top, and what has no object, is an error."""
     shape = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,keywords:string,description:string>>"
-    body = F.when(F.col("result").rlike(OBJECT_FIRST), F.regexp_extract("result", r"(?s)(\{.*\})", 1))
     whole = lambda c: F.when(F.json_object_keys(c).isNotNull(), F.from_json(c, shape))
-    rows = results.select("chunk_id", "result", F.coalesce(whole(body), whole(F.concat(body, F.lit("]}")))).alias("j"))
-    sound = rows.filter("j is not null").select("chunk_id", "j")
-    repaired = rows.filter("j is null").select("chunk_id", "result").mapInPandas(_recovered, results.select("chunk_id", "result").schema).select("chunk_id", whole(F.col("result")).alias("j"))
-    rows = sound.unionByName(repaired)
+    rows = results.select("chunk_id", "result", once(opens=F.coalesce(F.col("result").rlike(OBJECT_FIRST), F.lit(False))))
+    rows = rows.select("chunk_id", "result", "opens", once(body=F.when(F.col("opens"), F.regexp_extract("result", r"(?s)(\{.*\})", 1))))
+    rows = rows.select("chunk_id", "result", "opens", once(j=F.coalesce(whole(F.col("body")), whole(F.concat("body", F.lit("]}"))))))
+    # rows that are sound, and those without an object, send a null
+    mended = _recovered(F.when(F.col("opens") & F.col("j").isNull(), F.col("result")))
+    rows = rows.select("chunk_id", "j", mended.alias("mended")).select("chunk_id", once(j=F.coalesce("j", whole(F.col("mended")))))
     bad = F.col("j").isNull() | (F.col("j.entities").isNull() & F.col("j.relations").isNull())
-    ents = rows.select("chunk_id", F.posexplode(F.slice("j.entities", 1, most)).alias("pos", "e")).select("chunk_id", "pos", "e.*").filter(F.trim("name") != "")
-    rels = rows.select("chunk_id", F.posexplode(F.slice("j.relations", 1, most)).alias("pos", "r")).select("chunk_id", "pos", F.col("r.source").alias("src"), F.col("r.target").alias("tgt"), "r.keywords", "r.description").filter("src <> tgt")
-    return ents, rels, rows.filter(bad).select("chunk_id", F.lit(0).alias("pos"), F.lit("json").alias("reason"))
+    none = F.lit(None).cast("string")
+
+    def record(kind: str, pos: Column, a: Column = none, b: Column = none, type: Column = none, keywords: Column = none, description: Column = none, reason: Column = none) -> Column:
+        values = {"pos": pos, "kind": F.lit(kind), "a": a, "b": b, "type": type, "keywords": keywords, "description": description, "reason": reason}
+        return F.struct(*(c.alias(name) for name, c in values.items()))
+
+    ents = F.transform(F.slice("j.entities", 1, most), lambda x, i: record("entity", i, x["name"], type=x["type"], description=x["description"]))
+    rels = F.transform(F.slice("j.relations", 1, most), lambda x, i: record("relation", i, x["source"], x["target"], keywords=x["keywords"], description=x["description"]))
+    made = F.when(bad, F.array(record("error", F.lit(0), reason=F.lit("json")))).otherwise(F.flatten(F.filter(F.array(ents, rels), lambda x: x.isNotNull())))
+    kept = (F.col("kind") == "error") | ((F.col("kind") == "entity") & (F.trim("a") != "")) | ((F.col("kind") == "relation") & (F.col("a") != F.col("b")))
+    return rows.select("chunk_id", F.inline(made)).filter(kept)
+
+
+def parse_extractions_json(results: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """X2. (entities, relations, errors) of `json_records`; who wants all of them in one pass takes those."""
+    rows = json_records(results, most)
+    ents = rows.filter("kind = 'entity'").select("chunk_id", "pos", F.col("a").alias("name"), "type", "description")
+    rels = rows.filter("kind = 'relation'").select("chunk_id", "pos", F.col("a").alias("src"), F.col("b").alias("tgt"), "keywords", "description")
+    return ents, rels, rows.filter("kind = 'error'").select("chunk_id", "pos", "reason")
 
 
 def merge_passes(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

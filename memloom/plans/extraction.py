@@ -97,11 +97,10 @@ def x01(spark: SparkSession, sf: str) -> DataFrame:
         line = F.when(m == k, made) if line is None else line.when(m == k, made)
     join = lambda *c: F.concat_ws("<|#|>", *c)
     line = line.when(m == 4, join(F.lit("relation"), part, sup, F.lit("trade"), sold)).when(m == 5, join(F.lit("entity"), part)).when(m == 6, join(F.lit("entity"), part, F.lit("pa/rt"), about)).otherwise(join(F.lit("relation"), part, part, F.lit("self"), sold))
-    ents, rels, errors = merge.parse_extractions(li.select(_row().alias("chunk_id"), F.concat(line, F.lit("<|COMPLETE|>")).alias("result")))
-    none = F.lit(None).cast("string")
-    out = ents.select("chunk_id", F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b"), F.col("description").alias("c"))
-    out = out.unionByName(rels.select("chunk_id", F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("tgt").alias("b"), F.col("description").alias("c")))
-    return out.unionByName(errors.select("chunk_id", F.lit("error").alias("kind"), F.col("reason").alias("a"), none.alias("b"), none.alias("c")))
+    out = merge.extraction_records(li.select(_row().alias("chunk_id"), F.concat(line, F.lit("<|COMPLETE|>")).alias("result")))
+    b = F.when(F.col("kind") == "entity", F.col("type")).when(F.col("kind") == "relation", F.col("b"))
+    good = F.col("kind") != "error"
+    return out.select("chunk_id", "kind", F.when(good, F.col("a")).otherwise(F.col("reason")).alias("a"), b.alias("b"), F.when(good, F.col("description")).alias("c"))
 
 
 @query(
@@ -118,10 +117,9 @@ def x02(spark: SparkSession, sf: str) -> DataFrame:
     m, whole = _kind(5), F.concat(ent, rel)
     # plain, fenced, inside prose, cut off in the middle of its relations, and no JSON at all
     result = F.when(m == 0, whole).when(m == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(m == 2, F.concat(F.lit("Here it is: "), whole, F.lit(" as asked."))).when(m == 3, F.concat(ent, F.lit(', "relations": [{"source": "Pa'))).otherwise("none found")
-    ents, rels, errors = merge.parse_extractions_json(li.select(_row().alias("chunk_id"), result.alias("result")))
-    out = ents.select("chunk_id", F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("description").alias("b"))
-    out = out.unionByName(rels.select("chunk_id", F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("tgt").alias("b")))
-    return out.unionByName(errors.select("chunk_id", F.lit("error").alias("kind"), F.col("reason").alias("a"), F.lit(None).cast("string").alias("b")))
+    out = merge.json_records(li.select(_row().alias("chunk_id"), result.alias("result")))
+    b = F.when(F.col("kind") == "entity", F.col("description")).when(F.col("kind") == "relation", F.col("b"))
+    return out.select("chunk_id", "kind", F.when(F.col("kind") == "error", F.col("reason")).otherwise(F.col("a")).alias("a"), b.alias("b"))
 
 
 @query("x03_repair_delimiters", f"SELECT {_ROW} AS id, CASE WHEN ({_ROW}) % 17 < 13 THEN 'entity<|#|>Part ' || l_partkey ELSE 'a <|> b' || l_partkey END AS fixed FROM lineitem")

@@ -76,3 +76,27 @@ def test_approximate_search_multiplies_blocks(spark):
     assert "vs" in plan(got) and "qs" in plan(got) and "zip_with" not in plan(got)
     rows = lambda df: sorted((r.query_id, r.id, r.rank, round(r.score, 9)) for r in df.collect())
     assert rows(got) == rows(vector.vector_topk(v.queries(spark, sf), v.vectors(spark, sf), 5))  # all cells are asked
+
+
+def test_parsed_records_are_made_once(spark):
+    """X1 and X2 read and parse their input once, not once for each kind of record."""
+    from memloom.plans import catalog
+
+    for name in ("x01_parse_extractions", "x02_parse_json"):
+        assert plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).count("FileScan parquet") == 1, name
+
+
+def test_quick_ways_of_names_and_separators_equal_the_patterns(spark):
+    """Texts without marks, of ASCII only, or without damage take a short way with the same results."""
+    import functools
+
+    from memloom.functions import text
+
+    rng = random.Random(3)
+    made = ["".join(rng.choice(("<|#|>", "<", ">", "|", "#", "\\", "a", " ", "<|COMPLETE|>", "<X|#|>")) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    df = spark.createDataFrame([(x,) for x in made], "x string")
+    plain = functools.reduce(lambda c, d: F.regexp_replace(c, d.replace("#", "\\Q#\\E"), "<|#|>"), text.DAMAGED, F.col("x"))
+    assert not df.select(text.repair_delimiters(F.col("x")).alias("got"), plain.alias("want"), "x").filter("got <> want").collect()
+    names = {'"a b"': "a b", "'x'\n": "x", '"\'y\'"': "y", ' "z" ': '"z"', "12": None, "1.5": None, "1.5000": "1.5000", "<p>ab</p> ": "ab", "\u3000中 文": "中文", "\x1cq": "\x1cq", "": ""}
+    got = spark.createDataFrame([(x,) for x in names], "x string").select("x", text.normalize_extracted(F.col("x"), inner_quotes=True).alias("n"))
+    assert {r.x: r.n for r in got.collect()} == names
