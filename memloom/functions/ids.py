@@ -13,7 +13,10 @@ FIELD_MARK = "\x1f"
 def normalize_name(name: Column) -> Column:
     """Case folded, trimmed, white space runs as one space."""
     folded = F.lower(F.regexp_replace(F.translate(name, "ſς", "sσ"), "[ßẞ]", "ss"))
-    return F.trim(F.regexp_replace(F.translate(folded, "ς", "σ"), r"\s+", " "))
+    whole = F.trim(F.regexp_replace(F.translate(folded, "ς", "σ"), r"\s+", " "))
+    # ASCII without white space needs no patterns
+    plain = (F.octet_length(name) == F.length(name)) & (F.translate(name, " \t\n\x0b\f\r", "") == name)
+    return F.when(plain, F.lower(name)).otherwise(whole)
 
 
 def normalize_atom_text(text: Column) -> Column:

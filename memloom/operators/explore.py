@@ -9,6 +9,7 @@ from memloom.functions.ids import normalize_name
 from memloom.operators.atoms import evolution_view, with_status
 from memloom.operators.graph import both_ways
 from memloom.operators.merge import top_ranked
+from memloom.sources.tables import write_through
 
 
 def known_names(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -34,7 +35,7 @@ def expand_names(frontier: DataFrame, nodes: DataFrame, edges: DataFrame, seen_n
     most; one is hidden only if both it (seen_nodes: query_id, name) and the relation (seen_edges: query_id, src, tgt) were visited;
     queries: (query_id, status, exhausted, truncated, missing, available_count, returned_count), status complete, truncated or partial (names
     are missing). nodes: (node, entity_type); edges: (a, b, keywords)."""
-    names = known_names(nodes, aliases)
+    names = write_through(known_names(nodes, aliases), "known-names")  # read four times
     front = frontier.select("query_id", "name").withColumn("_key", normalize_name(F.col("name"))).groupBy("query_id", "_key").agg(F.min("name").alias("name"))
     front = resolved(front.drop("_key"), names)
     ways = both_ways(edges.withColumn("_k", F.col("keywords")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from memloom.operators import explore, graph, retrieve, vector
 from memloom.plans import views as v
 from memloom.plans.registry import at, query
-from memloom.sources.tables import read
+from memloom.sources.tables import read, write_through
 
 
 def _text(c: str) -> Column:
@@ -182,9 +182,10 @@ SELECT query_id, node, CASE WHEN fresh > 0 THEN other END AS other, CASE WHEN n
 def g10(spark: SparkSession, sf: str) -> DataFrame:
     s = read(spark, sf, "supplier").filter("s_nationkey < 5").select(F.col("s_nationkey").cast("long").alias("query_id"), _named("s", F.col("s_suppkey")).alias("node"))
     front = s.unionByName(spark.createDataFrame([(99, "nobody")], "query_id long, node string"))
-    edges = v.edges(spark, sf)
+    edges = write_through(v.edges(spark, sf), "edges")
     nodes = s.select("query_id").distinct().join(edges.filter("substring(a, 2) % 2 = 0").select(F.col("a").alias("node")).distinct())
-    pairs = s.select("query_id").distinct().join(edges.select("a", "b"))
+    # each nation has visited the relations of its own suppliers
+    pairs = s.join(edges.select("a", F.col("b").alias("node")), "node").select("query_id", "a", F.col("node").alias("b"))
     return graph.expand(front, edges, nodes, pairs, 7)
 
 
@@ -213,17 +214,19 @@ c AS (SELECT f.*, w.other, row_number() OVER (PARTITION BY query_id, name ORDER
 
 def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
     """Suppliers by their names, which are aliases of nodes, and a name that nobody has, in every fourth nation; even parts were visited,
-    and in two of three nations their relations too."""
+    and in two of three nations their relations with the nation's own suppliers too."""
     s = read(spark, sf, "supplier").withColumn("query_id", F.col("s_nationkey").cast("long"))
     front = s.select("query_id", F.col("s_name").alias("name"))
     front = front.unionByName(s.filter("query_id % 4 = 0").select("query_id", F.concat(F.lit("Nobody "), F.col("query_id").cast("string")).alias("name")).distinct())
-    edges = v.edges(spark, sf).select("a", "b", F.lit("sells").alias("keywords"))
+    edges = write_through(v.edges(spark, sf).select("a", "b"), "edges").withColumn("keywords", F.lit("sells"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("entity_type", F.when(F.startswith("node", F.lit("p")), "part").otherwise("supplier"))
-    nodes = nodes.unionByName(s.select(_named("s", F.col("s_suppkey")).alias("node"), F.lit("supplier").alias("entity_type"))).distinct()
+    own = s.select(_named("s", F.col("s_suppkey")).alias("node"), "query_id")
+    nodes = nodes.unionByName(own.select("node", F.lit("supplier").alias("entity_type"))).distinct()
     aliases = s.select(_named("s", F.col("s_suppkey")).alias("node"), F.col("s_name").alias("alias"))
     even = edges.filter(F.substring("a", 2, 20).cast("long") % 2 == 0)
-    seen = even.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("query_id"), "a", "b")
-    return front, nodes, edges, seen.select("query_id", F.col("a").alias("name")).distinct(), seen.filter("query_id % 3 > 0").select("query_id", F.col("a").alias("src"), F.upper("b").alias("tgt")), aliases
+    seen = even.select("a").distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("query_id"), F.col("a").alias("name"))
+    told = even.join(own.filter("query_id % 3 > 0").withColumnRenamed("node", "b"), "b").select("query_id", F.col("a").alias("src"), F.upper("b").alias("tgt"))
+    return front, nodes, edges, seen, told, aliases
 
 
 @query("g10_names", f"WITH {_FRONT} SELECT query_id, CASE WHEN missing > 0 THEN 'partial' WHEN truncated THEN 'truncated' ELSE 'complete' END AS status, missing = 0 AND NOT truncated AND available = 0 AS exhausted, missing, available::BIGINT AS available_count, returned::BIGINT AS returned_count FROM (SELECT query_id, count(*) FILTER (node IS NULL) AS missing, max(coalesce(n, 0)) > 20 AS truncated, sum(coalesce(n, 0)) AS available, sum(least(coalesce(n, 0), 20)) AS returned FROM f LEFT JOIN (SELECT query_id, name, count(*) AS n FROM c GROUP BY 1, 2) USING (query_id, name) GROUP BY 1)", ("edges", "ways"))

@@ -100,3 +100,17 @@ def test_quick_ways_of_names_and_separators_equal_the_patterns(spark):
     names = {'"a b"': "a b", "'x'\n": "x", '"\'y\'"': "y", ' "z" ': '"z"', "12": None, "1.5": None, "1.5000": "1.5000", "<p>ab</p> ": "ab", "\u3000中 文": "中文", "\x1cq": "\x1cq", "": ""}
     got = spark.createDataFrame([(x,) for x in names], "x string").select("x", text.normalize_extracted(F.col("x"), inner_quotes=True).alias("n"))
     assert {r.x: r.n for r in got.collect()} == names
+
+
+def test_visited_relations_are_those_of_the_edges(spark, monkeypatch):
+    """G10's queries tell each nation of its own suppliers' relations: as many rows as edges at most, not nations times edges."""
+    from memloom.operators import explore, graph
+    from memloom.plans import catalog
+
+    seen = []
+    names, expand = explore.expand_names, graph.expand
+    monkeypatch.setattr(explore, "expand_names", lambda f, n, edges, sn, told, *more: seen.append((told.count(), edges.count())) or names(f, n, edges, sn, told, *more))
+    monkeypatch.setattr(graph, "expand", lambda f, edges, sn, told, cap: seen.append((told.count(), edges.count())) or expand(f, edges, sn, told, cap))
+    for name in ("g10_names", "g10_candidates", "g10_expand"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and all(0 < told <= edges for told, edges in seen)
