@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom.operators import atoms, community, maintain
 from memloom.plans import views as v
 from memloom.plans.registry import at, query
-from memloom.sources.tables import read
+from memloom.sources.tables import read, write_through
 
 
 def _named(mark: str, c: Column) -> Column:
@@ -72,7 +72,7 @@ def m02(spark: SparkSession, sf: str) -> DataFrame:
 def m02b(spark: SparkSession, sf: str) -> DataFrame:
     s = read(spark, sf, "supplier").select(_named("s", F.col("s_suppkey")).alias("owner"), F.when(F.col("s_suppkey") % 10 == 0, "delete").when(F.col("s_suppkey") % 10 == 1, "rebuild").otherwise("untouched").alias("action"))
     p, q = F.col("l_partkey"), F.col("l_suppkey")
-    own = read(spark, sf, "lineitem").select(p, q).distinct()
+    own = write_through(read(spark, sf, "lineitem").select(p, q).distinct(), "pairs")  # read four times
     edges = own.select(F.concat(_named("p", p), F.lit("-"), _named("s", q)).alias("owner"), _named("p", p).alias("a"), _named("s", q).alias("b"))
     lost = own.filter("(l_partkey + l_suppkey) % 13 = 0").select(F.concat(_named("p", p), F.lit("-"), _named("s", q)).alias("owner"), F.lit("delete").alias("action"))
     return maintain.rebuild_order(s.unionByName(lost), edges)

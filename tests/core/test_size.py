@@ -114,3 +114,10 @@ def test_visited_relations_are_those_of_the_edges(spark, monkeypatch):
     for name in ("g10_names", "g10_candidates", "g10_expand"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(seen) == 3 and all(0 < told <= edges for told, edges in seen)
+
+
+def test_rebuild_order_shuffles_its_relations_once(spark):
+    """M2's query makes its distinct relations once, not once for each step that reads them."""
+    from memloom.plans import catalog
+
+    assert plan(catalog.QUERIES["m02_rebuild_order"](spark, "/root/testdata/sf0.001")).count("lineitem.parquet") == 0
