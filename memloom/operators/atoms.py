@@ -46,31 +46,42 @@ def fold_exact(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("atom_id = kept_id").drop("kept_id"), rows.select("atom_id", "kept_id")
 
 
-def in_batch_candidates(atoms: DataFrame, similarity: DataFrame) -> DataFrame:
+def in_batch_candidates(atoms: DataFrame, similarity: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """A5. (atom_id, candidate_id): earlier atoms of the same owner and episode; all if they are few, else the nearest and the last.
-    similarity: (atom_id, candidate_id, score). Atoms meet those that they ask for by place, never all of their owner."""
+    similarity: (atom_id, candidate_id, score). Atoms meet those that they ask for by place, never all of their owner. wanted: distinct
+    (atom_id, candidate_id); then only those of them that are candidates, and no other pairs are made."""
     own = ["episode_id", "owner_id"]
     rows = atoms.select(*own, "atom_id", F.row_number().over(W.partitionBy(*own).orderBy("seq", "atom_id")).alias("pos"))
     first = F.when(F.col("pos") - 1 <= ALL, 1).otherwise(F.col("pos") - LAST)
-    asked = rows.filter("pos > 1").withColumn("old", F.explode(F.sequence(first, F.col("pos") - 1)))
-    met = asked.join(rows.select(*own, F.col("pos").alias("old"), F.col("atom_id").alias("candidate_id")), [*own, "old"]).select("atom_id", "candidate_id")
     ends = rows.select(*own, F.col("atom_id").alias("candidate_id"), F.col("pos").alias("old"))
+    if wanted is None:
+        asked = rows.filter("pos > 1").withColumn("old", F.explode(F.sequence(first, F.col("pos") - 1)))
+        met = asked.join(ends, [*own, "old"]).select("atom_id", "candidate_id")
+    else:
+        met = rows.join(wanted, "atom_id").join(ends, [*own, "candidate_id"]).filter(F.col("old").between(first, F.col("pos") - 1)).select("atom_id", "candidate_id")
     near = similarity.filter(F.col("score") >= NEAR).join(rows.filter(F.col("pos") - 1 > ALL), "atom_id").join(ends, [*own, "candidate_id"]).filter("old < pos")
-    return met.union(nearest(near, "atom_id")).distinct()
+    return among(met.union(nearest(near, "atom_id")).distinct(), wanted)
 
 
-def history_candidates(new: DataFrame, atoms: DataFrame, similarity: DataFrame, at: Column) -> DataFrame:
+def among(pairs: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Those of the pairs (atom_id, candidate_id) that are wanted; all, if nothing is said."""
+    return pairs if wanted is None else pairs.join(wanted, ["atom_id", "candidate_id"], "left_semi")
+
+
+def history_candidates(new: DataFrame, atoms: DataFrame, similarity: DataFrame, at: Column, wanted: DataFrame | None = None) -> DataFrame:
     """A7. (atom_id, candidate_id): the owner's history if it is short, whatever the atoms' status, else its nearest atoms and the last that
-    are active at `at`. Histories are cut to that before they are joined, so an owner of many atoms sends a few rows."""
+    are active at `at`. Histories are cut to that before they are joined, so an owner of many atoms sends a few rows. wanted: as in
+    `in_batch_candidates`."""
     mine = atoms.join(new.select("owner_id").distinct(), "owner_id", "left_semi").select("owner_id", F.col("atom_id").alias("candidate_id"), "seq", status_at(at).alias("status"))
     size = mine.groupBy("owner_id").agg(F.count("*").alias("n"))
     short = mine.join(size.filter(F.col("n") <= ALL), "owner_id").select("owner_id", "candidate_id")
     long = size.filter(F.col("n") > ALL).select("owner_id")
     last = top_ranked(mine.filter("status = 'active'").join(long, "owner_id", "left_semi"), "owner_id", [F.desc("seq"), F.desc("candidate_id")], LAST, "candidate_id")
     asked = new.select("owner_id", "atom_id")
-    met = asked.join(short.unionByName(last.select("owner_id", "candidate_id")), "owner_id").select("atom_id", "candidate_id")
+    few = short.unionByName(last.select("owner_id", "candidate_id"))
+    met = (asked.join(few, "owner_id") if wanted is None else asked.join(wanted, "atom_id").join(few, ["owner_id", "candidate_id"])).select("atom_id", "candidate_id")
     near = similarity.filter(F.col("score") >= NEAR).join(asked, "atom_id").join(mine.select("owner_id", "candidate_id"), ["owner_id", "candidate_id"]).join(long, "owner_id", "left_semi")
-    return met.union(nearest(near, "atom_id")).distinct()
+    return among(met.union(nearest(near, "atom_id")).distinct(), wanted)
 
 
 def nearest(scored: DataFrame, *key: str) -> DataFrame:

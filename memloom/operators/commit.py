@@ -73,6 +73,7 @@ def resolve_names(registry: dict[str, DataFrame], mentions: DataFrame, edges: Da
 def commit_wave(registry: dict[str, DataFrame], mentions: DataFrame, edges: DataFrame, new_facts: DataFrame, edge_facts: DataFrame | None, entity_decisions: DataFrame, atom_decisions: DataFrame, similarity: DataFrame, now: Column, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
     """One wave of `commit_episodes`: episodes that do not see each other. The registry's tables after it, with `changes` (owner_id)."""
     named, links, resolved = resolve_names(registry, mentions, edges.select("episode_id", "src", "tgt"), entity_decisions, candidates)
+    named = write_through(named, "commit-named")
     own = named.select("episode_id", "name", "entity_id").distinct()
     fresh = resolved.filter("is_new").select("entity_id", "canonical_name").distinct().join(named.groupBy("entity_id").agg(F.min_by("entity_type", "seq").alias("entity_type")), "entity_id")
     entities = registry["entities"].unionByName(fresh.join(registry["entities"].select("entity_id"), "entity_id", "left_anti"))
@@ -96,20 +97,23 @@ def commit_wave(registry: dict[str, DataFrame], mentions: DataFrame, edges: Data
         rows = rows.unionByName(ended(edge_facts).withColumnsRenamed({"relation_id": "owner_id", "x": "subject_entity_id", "y": "object_entity_id"}).select(*told))
     rows = write_through(rows.withColumn("atom_id", atom_id(F.col("episode_id"), F.col("owner_id"), F.col("content"), F.col("seq"))), "commit-facts")
     kept, folded = facts.fold_exact(rows)
-    asked = atom_decisions.join(kept.select("atom_id"), "atom_id", "left_semi")
+    kept = write_through(kept, "commit-kept")
+    asked = write_through(atom_decisions.join(kept.select("atom_id"), "atom_id", "left_semi"), "commit-asked")
+    wanted = asked.filter("target_id is not null").select("atom_id", F.col("target_id").alias("candidate_id")).distinct()  # no other pair is decided on
 
     def decided(pairs: DataFrame) -> DataFrame:
         """The decisions on these candidates, one an atom."""
+        pairs = write_through(pairs, "commit-pairs")
         ok = asked.join(pairs.select("atom_id", F.col("candidate_id").alias("target_id")), ["atom_id", "target_id"], "left_semi")
         return write_through(facts.validate_decisions(first_by(ok, ["atom_id"], ["target_id"]), pairs), "commit-decisions")
 
     # within the episode first: what is a duplicate there is asked no more
-    inside = decided(facts.in_batch_candidates(kept, similarity))
+    inside = decided(facts.in_batch_candidates(kept, similarity, wanted))
     doubles = facts.collapse_duplicates(inside.filter("decision = 'DUPLICATE'").select("atom_id", F.col("target_id").alias("duplicate_of")))
     leaders = write_through(kept.join(doubles.select("atom_id"), "atom_id", "left_anti"), "commit-leaders")
-    same = facts.match_history_exact(leaders, registry["atoms"], now)
-    rest = leaders.join(same.select("atom_id"), "atom_id", "left_anti")
-    history = decided(facts.history_candidates(rest, registry["atoms"], similarity, now))
+    same = write_through(facts.match_history_exact(leaders, registry["atoms"], now), "commit-same")
+    rest = write_through(leaders.join(same.select("atom_id"), "atom_id", "left_anti"), "commit-rest")
+    history = decided(facts.history_candidates(rest, registry["atoms"], similarity, now, wanted))
     known = same.select("atom_id", F.col("duplicate_of").alias("stored_id")).unionByName(history.filter("decision = 'DUPLICATE'").select("atom_id", F.col("target_id").alias("stored_id")))
     # where each of the wave's facts is stored: through its episode's double to the history's atom
     place = kept.select("atom_id").join(doubles, "atom_id", "left").select("atom_id", F.coalesce("root_id", "atom_id").alias("lead"))
@@ -121,6 +125,7 @@ def commit_wave(registry: dict[str, DataFrame], mentions: DataFrame, edges: Data
     turn = F.row_number().over(W.partitionBy("owner_id").orderBy("seq", "atom_id"))
     stamped = added.withColumn("seq", F.coalesce(F.col("_last") + 1, F.lit(0)) + turn - 1).withColumns({"created_at": now, "expired_at": F.lit(None).cast("timestamp")})
     atoms = registry["atoms"].unionByName(stamped.select(*(c for c in registry["atoms"].columns if c in stamped.columns)), allowMissingColumns=True)
+    atoms = write_through(atoms, "commit-added")
     # decisions on the history act first, then those within the episode, both in order of the facts
     order = rows.select("atom_id", F.col("seq").alias("_seq"))
     stored = place.select(F.col("atom_id").alias("target_id"), F.col("stored_id").alias("_to"))
@@ -163,11 +168,14 @@ def commit_episodes(registry: dict[str, DataFrame], mentions: DataFrame, edges:
     """
     if episodes is None:
         episodes = mentions.select("episode_id").distinct().withColumn("created_at", F.lit(0))
+    episodes, mentions = write_through(episodes, "commit-episodes"), write_through(mentions, "commit-asking")
     waves = write_through(conflict_waves(episodes, conflict_keys(mentions, entity_decisions)), "commit-waves")
     given = {"mentions": mentions, "edges": edges, "new_facts": new_facts} | ({"edge_facts": edge_facts} if edge_facts is not None else {})
     given = {name: write_through(df.join(waves, "episode_id"), f"commit-{name}") for name, df in given.items()}
     changes, resolved, links = [], [], []
-    state = {name: registry[name] for name in TABLES}
+    # a wave reads these several times
+    state = {name: write_through(registry[name], f"commit-{name}") for name in TABLES}
+    atom_decisions, similarity, entity_decisions = (write_through(df, "commit-told") for df in (atom_decisions, similarity, entity_decisions))
     for wave in range(1, (waves.agg(F.max("wave")).first()[0] or 0) + 1):
         part = {name: df.filter(F.col("wave") == wave).drop("wave") for name, df in given.items()}
         out = stage(state, part["mentions"], part["edges"], part["new_facts"], part.get("edge_facts"), entity_decisions, atom_decisions, similarity, now, candidates)

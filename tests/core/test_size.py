@@ -121,3 +121,22 @@ def test_rebuild_order_shuffles_its_relations_once(spark):
     from memloom.plans import catalog
 
     assert plan(catalog.QUERIES["m02_rebuild_order"](spark, "/root/testdata/sf0.001")).count("lineitem.parquet") == 0
+
+
+def test_wanted_candidates_are_those_of_all(spark):
+    """A5 and A7 asked for some pairs give those of them that are candidates, and make no other pairs."""
+    from memloom.operators import atoms
+
+    rng = random.Random(7)
+    rows = [(f"a{i}", i % 3, "o" if i < 45 else f"o{i % 5}", i, "c", None, None, None) for i in range(70)]
+    shape = "atom_id string, episode_id long, owner_id string, seq long, content string, valid_at timestamp, invalid_at timestamp, expired_at timestamp"
+    df = spark.createDataFrame(rows, shape)
+    ids = [r[0] for r in rows]
+    pairs = lambda n: spark.createDataFrame(sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(n)}), "atom_id string, candidate_id string")
+    similar, wanted = pairs(900).withColumn("score", F.lit(0.9)), pairs(1500)
+    asked = {tuple(r) for r in wanted.collect()}
+    new, old = df.filter("seq % 2 = 0"), df.filter("seq % 2 = 1")
+    for run in (lambda w: atoms.in_batch_candidates(df, similar, w), lambda w: atoms.history_candidates(new, old, similar, F.lit("2024-01-01").cast("timestamp"), w)):
+        some = [tuple(r) for r in run(wanted).collect()]
+        assert len(some) == len(set(some)) and set(some) == {tuple(r) for r in run(None).collect()} & asked and some
+    assert "explode" not in plan(atoms.in_batch_candidates(df, similar, wanted))
