@@ -97,10 +97,10 @@ def q07(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth query in each mode: local, global, hybrid, mix and naive."""
     modes = F.element_at(F.array(*map(F.lit, ("local", "global", "hybrid", "mix", "naive"))), (F.floor(F.col("query_id") / 20) % 5 + 1).cast("int"))
     asked = v.queries(spark, sf).select("query_id", modes.alias("mode"))
-    hits = _hits(spark, sf, 6)
+    hits = write_through(_hits(spark, sf, 6), "hits")  # the search runs once
     own = hits.filter("rank <= 3").select("query_id", _named("s", F.col("id") % 100).alias("node"), "rank")
     wide = hits.select("query_id", _named("p", F.col("id") % 50).alias("a"), _named("s", F.col("rank") * 7 % 100).alias("b"), "rank")
-    ents, rels, chunks = retrieve.retrieve(asked, own, wide, hits.filter("rank <= 4"), _nodes(spark, sf), v.edges(spark, sf))
+    ents, rels, chunks = retrieve.retrieve(asked, own, wide, hits.filter("rank <= 4"), _nodes(spark, sf), write_through(v.edges(spark, sf), "edges"))
     row = lambda df, part, item, pos: df.select(F.lit(part).alias("part"), "query_id", F.col(item).cast("string").alias("item"), F.col(pos).cast("long").alias("pos"))
     return row(ents, "entity", "node", "pos").unionByName(row(rels, "relation", "pair", "pos")).unionByName(row(chunks, "chunk", "id", "rank"))
 

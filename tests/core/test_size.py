@@ -140,3 +140,11 @@ def test_wanted_candidates_are_those_of_all(spark):
         some = [tuple(r) for r in run(wanted).collect()]
         assert len(some) == len(set(some)) and set(some) == {tuple(r) for r in run(None).collect()} & asked and some
     assert "explode" not in plan(atoms.in_batch_candidates(df, similar, wanted))
+
+
+def test_searches_run_once_for_all_that_read_them(spark):
+    """Q6, Q7 and Q14 read their hits several times: the search is not repeated for each."""
+    from memloom.plans import catalog
+
+    for name in ("q06_interleave", "q07_modes", "q14_structured"):
+        assert "MapInArrow" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
