@@ -133,7 +133,7 @@ def q12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q14_structured", "SELECT query_id, count(*) FILTER (rank <= 3) AS n_entities, count(*) FILTER (rank <= 2) AS n_relations, count(*) FILTER (rank <= 4) AS n_chunks, count(DISTINCT id % 7) FILTER (rank <= 4) AS n_references, count(*) FILTER (rank <= 8) AS n_entities_found, max(id) FILTER (rank = 1) AS first_entity FROM hits GROUP BY 1", ("hits",))
 def q14(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _hits(spark, sf, 8).withColumn("pos", F.col("rank")).withColumn("file_path", (F.col("id") % 7).cast("string"))
+    hits = write_through(_hits(spark, sf, 8), "hits").withColumn("pos", F.col("rank")).withColumn("file_path", (F.col("id") % 7).cast("string"))
     ents = hits.filter("rank <= 3").select("query_id", "pos", "id")
     chunks = hits.filter("rank <= 4").select("query_id", "rank", "id", "file_path")
     out = retrieve.structured(ents, hits.filter("rank <= 2").select("query_id", "pos", "id"), chunks, retrieve.reference_list(chunks), {"entities": hits})
