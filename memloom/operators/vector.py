@@ -43,10 +43,12 @@ def matrix(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, dtype=np.int64)[good], x[good] / norm[good, None]
 
 
-def nearest(x: np.ndarray, q: np.ndarray, k: int, threshold: float, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, q: np.ndarray, k: int, threshold: float, owner: np.ndarray | None = None, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of q, score) of the k best rows of x for each row of q, and whatever ties with the last of them. owner: numbers of
-    what rows of x belong to; then only an owner's best row counts."""
+    what rows of x belong to; then only an owner's best row counts. allowed: of which rows of x and q the pairs count."""
     near = x @ q.T
+    if allowed is not None:
+        near = np.where(allowed, near, -np.inf)
     if owner is not None:  # rows that are not the best of their owner lie below all others
         order = np.argsort(owner, kind="stable")
         first = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.operators.merge import top_ranked
-from memloom.operators.vector import matrix, ranked, vector_topk
+from memloom.operators.vector import QUERY_BLOCK, matrix, nearest, ranked, vector_topk
 from memloom.sources.tables import write_through
 
 #: Vectors that a cell should hold; most top cells of a length, and lengths with cells (the commonest; a rarer length is one cell).
@@ -128,13 +128,17 @@ class VectorIndex:
 
         return rows.select(key, "dim", "u").mapInPandas(run, shape)
 
-    def _cells(self, placed: DataFrame, key: str, all_cells: bool) -> DataFrame:
+    def _cells(self, placed: DataFrame, key: str, all_cells: bool, packed: bool = False) -> DataFrame:
         """placed (key, dim, u, top, near) with the nearest cell of its top cell (or all of them, a row each) and the cosine to it. Rows meet
-        the centres of their top cell in groups of GROUP at most, however many there are."""
+        the centres of their top cell in groups of GROUP at most, however many there are. packed: (key, dim, top, cosines), the cosines to all
+        cells of the top cell in one row, without the vector."""
         flat = [d for d, (_, inner) in self.plan.items() if inner == 1]
         one = placed.filter((F.col("top") == -1) | F.col("dim").isin(flat)).withColumn("cell", F.lit(0))
         rest = placed.filter((F.col("top") != -1) & ~F.col("dim").isin(flat))
         shape = T.StructType(list(placed.schema)).add("cell", "integer")
+        if packed:
+            one = one.select(key, "dim", "top", F.array("near").alias("cosines"))
+            shape = T.StructType([placed.schema[key], placed.schema["dim"], placed.schema["top"]]).add("cosines", T.ArrayType(T.DoubleType()))
         if not any(inner > 1 for _, inner in self.plan.values()):
             return one.select(*shape.names)
         size = rest.groupBy("dim", "top").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("deals"))
@@ -148,6 +152,8 @@ class VectorIndex:
             right = right.sort_values("cell")
             near = np.stack(left["u"]) @ np.stack(right["centre"]).T
             cells = right["cell"].to_numpy()
+            if packed:
+                return pd.DataFrame({key: left[key].to_numpy(), "dim": left["dim"].to_numpy(), "top": left["top"].to_numpy(), "cosines": list(near)})
             if not all_cells:
                 best = np.argmax(near, axis=1)
                 return left.assign(cell=cells[best], near=near[np.arange(len(left)), best])[shape.names]
@@ -183,28 +189,85 @@ class VectorIndex:
             return rows
         return rows.join(gone, "id", "left").filter(F.col("_gone").isNull() | (F.col("batch") > F.col("_gone"))).drop("_gone")
 
+    def _considered(self, rows: DataFrame, probes: dict[int, int]) -> DataFrame:
+        """Queries (query_id, dim, u) with the top cells that are considered for them, a row each."""
+        most = max([1, *(min(t, math.ceil(4 * probes.get(d, t * i) / i)) for d, (t, i) in self.plan.items())])
+        return self._tops(rows, "query_id", most)
+
     def asked(self, queries: DataFrame, probes: dict[int, int]) -> DataFrame:
         """(query_id, u, dim, top, cell, rank): the cells that each query (query_id, qv) asks, nearest first. Of a length with cells in
         cells, those of the nearest top cells are considered, four times as many as the probes fill."""
-        rows = units(queries, "query_id", "qv")
-        most = max([1, *(min(t, math.ceil(4 * probes.get(d, t * i) / i)) for d, (t, i) in self.plan.items())])
-        near = self._cells(self._tops(rows, "query_id", most), "query_id", all_cells=True)
+        near = self._cells(self._considered(units(queries, "query_id", "qv"), probes), "query_id", all_cells=True)
         found = top_ranked(near.withColumn("of", F.struct("query_id", "dim")), "of", [F.desc("near"), F.col("top"), F.col("cell")], 1 << 30, "cell")
         limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for d, p in probes.items() for x in (d, p))), F.col("dim")), F.lit(1 << 30)) if probes else F.lit(1 << 30)
         return found.filter(F.col("n") <= limit).select("query_id", "u", "dim", "top", "cell", F.col("n").alias("rank"))
 
-    def _met(self, asked: DataFrame) -> DataFrame:
-        lists = self.lists().withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).withColumnRenamed("u", "v")
-        return asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(7)))).join(lists, ["dim", "top", "cell", "deal"])
+    def _chosen(self, rows: DataFrame) -> DataFrame:
+        """(query_id, dim, top, cells): the cells that queries (query_id, dim, u) ask, in the order of `asked`, a row for each top cell of a
+        query: what is shuffled are packed numbers, not a row with its vector for each cell."""
+        near = self._cells(self._considered(rows, self.probes), "query_id", all_cells=True, packed=True)
+        shape = T.StructType([rows.schema["query_id"], rows.schema["dim"]]).add("top", "integer").add("cells", T.ArrayType(T.IntegerType()))
+        probes = self.probes
+
+        def choose(frame: pd.DataFrame) -> pd.DataFrame:
+            tops, cosines = frame["top"].to_numpy(), frame["cosines"].tolist()
+            size = [len(c) for c in cosines]
+            top, cell, cosine = np.repeat(tops, size), np.concatenate([np.arange(n) for n in size]), np.concatenate(cosines)
+            first = np.lexsort((cell, top, -cosine))[: probes.get(int(frame["dim"].iloc[0]), 1 << 30)]
+            top, cell = top[first], cell[first]
+            each = np.unique(top)
+            return pd.DataFrame({"query_id": [frame["query_id"].iloc[0]] * len(each), "dim": frame["dim"].iloc[0], "top": each, "cells": [cell[top == t].astype(np.int32) for t in each]})
+
+        return near.groupBy("query_id", "dim").applyInPandas(choose, shape)
+
+    def _met(self, queries: DataFrame, work: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], Iterator[dict]], shape: T.StructType) -> DataFrame:
+        """What `work` makes of the vectors of a top cell, the queries that ask it as a matrix, and which of the pairs lie in cells that
+        are asked. Vectors and queries meet in groups of GROUP at most, of which QUERY_BLOCK queries are a matrix."""
+        rows = write_through(units(queries, "query_id", "qv"), "index-queries")
+        lists = self.lists()
+        size = lists.groupBy("dim", "top").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("deals"))
+        turns = max(1, math.ceil(rows.count() / GROUP))
+        lists = lists.join(size, ["dim", "top"]).withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int"))
+        lists = lists.select("id", "u", "dim", "top", "cell", "deal", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+        asked = self._chosen(rows).join(rows.hint("merge"), ["query_id", "dim"]).join(size, ["dim", "top"])
+        asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int")).select("query_id", "u", "cells", "dim", "top", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "turn")
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(left) and len(right):
+                cell = left["cell"].to_numpy()
+                x = np.stack(left["u"])
+                for s in range(0, len(right), QUERY_BLOCK):
+                    part = right.iloc[s : s + QUERY_BLOCK]
+                    asks = np.zeros((int(cell.max()) + 1, len(part)), dtype=bool)
+                    for j, cells in enumerate(part["cells"]):
+                        cells = np.asarray(cells)
+                        asks[cells[cells < len(asks)], j] = True
+                    out += [pd.DataFrame(r) for r in work(left, x, part, asks[cell])]
+            return pd.concat(out) if out else pd.DataFrame({n: [] for n in shape.names})
+
+        key = ["dim", "top", "deal", "turn"]
+        return lists.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, shape)
 
     def search(self, queries: DataFrame, k: int, threshold: float = 0.2) -> DataFrame:
-        """(query_id, id, score, rank): the k best by cosine among what a query's cells hold; ties by id."""
-        add = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        return ranked(self._met(self.asked(queries, self.probes)).select("query_id", "id", add.alias("score")).filter(F.col("score") >= threshold), k)
+        """(query_id, id, score, rank): the k best by cosine among what a query's cells hold; ties by id. Each group of vectors sends
+        its k best of a query."""
+
+        def best(left: pd.DataFrame, x: np.ndarray, part: pd.DataFrame, allowed: np.ndarray) -> Iterator[dict]:
+            i, j, score = nearest(x, np.stack(part["u"]), k, threshold, allowed=allowed)
+            yield {"query_id": part["query_id"].to_numpy()[j], "id": left["id"].to_numpy()[i], "score": score}
+
+        lists = self.spark.read.parquet(f"{self.path}/lists").schema
+        return ranked(self._met(queries, best, T.StructType([queries.schema["query_id"], lists["id"]]).add("score", "double")), k)
 
     def rows_met(self, queries: DataFrame) -> DataFrame:
         """(query_id, n): the vectors that each query is compared with."""
-        return self._met(self.asked(queries, self.probes)).groupBy("query_id").agg(F.count("*").alias("n"))
+
+        def count(left: pd.DataFrame, x: np.ndarray, part: pd.DataFrame, allowed: np.ndarray) -> Iterator[dict]:
+            yield {"query_id": part["query_id"].to_numpy(), "n": allowed.sum(axis=0)}
+
+        met = self._met(queries, count, T.StructType([queries.schema["query_id"]]).add("n", "long"))
+        return met.groupBy("query_id").agg(F.sum("n").alias("n")).filter("n > 0")
 
     def _calibrate(self, rows: DataFrame, k: int, recall: float) -> None:
         """The number of nearest cells that hold this share of the k nearest of ASKED vectors of each length, found by exact search."""

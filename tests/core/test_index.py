@@ -48,3 +48,22 @@ def test_lists_over_time(spark, tmp_path):
     assert sorted(r.id for r in index.lists().select("id").collect()) == sorted(i for i, v in now.items() if v and np.isfinite(v).all() and np.any(v))
     want = exact(list(now.items()))
     assert len(found(index, queries) & want) >= 0.9 * len(want)
+
+
+def test_search_meets_blocks_of_the_cells_that_are_asked(spark, tmp_path):
+    """Vectors and queries meet as matrices, no row for each pair or cell; what is met are the cells that `asked` names."""
+    sf = "/root/testdata/sf0.01"
+    corpus, queries = views.vectors(spark, sf).select("id", "v"), views.queries(spark, sf)
+    index = VectorIndex.build(corpus, f"file://{tmp_path}/index", cell_rows=2)
+    assert "zip_with" not in index.search(queries, 5)._jdf.queryExecution().executedPlan().toString()
+    pairs = index.asked(queries, index.probes).select("query_id", "dim", "top", "cell").join(index.lists().select("id", "dim", "top", "cell"), ["dim", "top", "cell"])
+    met = {(r.query_id, r.id) for r in pairs.select("query_id", "id").collect()}
+    exact = vector.vector_topk(queries, corpus, 1000).collect()
+    want = {}
+    for r in sorted((r for r in exact if (r.query_id, r.id) in met), key=lambda r: (-round(r.score, 9), r.id)):
+        want.setdefault(r.query_id, []).append(r.id)
+    got = {}
+    for r in sorted(index.search(queries, 5).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: ids[:5] for q, ids in want.items()}
+    assert {r.query_id: r.n for r in index.rows_met(queries).collect()} == {q: sum(p[0] == q for p in met) for q in {p[0] for p in met}}
