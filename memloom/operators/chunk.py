@@ -12,12 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memloom.functions import tables
+from memloom.operators.merge import once
 
 WORDS = r"\s+"
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, WORDS), lambda x: x != "")
+    return F.array_remove(F.split(text, WORDS), "")
 
 
 def windows(tokens: Column, size: int, overlap: int) -> Column:
@@ -174,19 +175,25 @@ def heading_paths(blocks: DataFrame, chars: int = 80, budget: int | None = None)
 
 def enforce_token_limit(chunks: DataFrame, most: int, tokenizer: Tokenizer = PLAIN) -> DataFrame:
     """C7. Chunks above most tokens as parts: whole sentences packed greedily, longer sentences windowed; ids get -sNN.
-    tokenizer says what a token is; sentences stand apart by a space."""
+    tokenizer says what a token is; sentences stand apart by a space. Texts and sentences are cut into tokens once; where tokens are
+    words (PLAIN), those of joined pieces add up."""
     n = lambda c: F.size(tokenizer.split(c))
-    pieces = F.flatten(F.transform(F.split("content", r"(?<=[.!?])\s+"), lambda s: F.transform(windows(tokenizer.split(s), most, 0), lambda w: F.array_join(w, tokenizer.glue))))
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fits = n(acc["cur"]) + n(s) <= most
-        joined = F.trim(F.concat(acc["cur"], F.lit(" "), s))
-        return F.struct(F.when(fits, acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])).alias("out"), F.when(fits, joined).otherwise(s).alias("cur"))
+    rows = chunks.select("doc_id", "chunk_id", "chunk_order_index", "content", once(n=n(F.col("content"))))
+    long = F.when(F.col("n") > most, F.split("content", r"(?<=[.!?])\s+"))
+    cut = F.transform(F.transform(long, lambda s: tokenizer.split(s)), lambda t: windows(t, most, 0))
+    pieces = F.flatten(F.transform(cut, lambda ws: F.transform(ws, lambda w: F.struct(F.array_join(w, tokenizer.glue).alias("s"), F.size(w).alias("n")))))
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    size = (lambda text, counted: counted) if tokenizer is PLAIN else (lambda text, counted: n(text))
+
+    def step(acc: Column, x: Column) -> Column:
+        own, held = size(x["s"], x["n"]), size(acc["cur"], acc["n"])
+        fits = held + own <= most
+        joined = F.trim(F.concat(acc["cur"], F.lit(" "), x["s"]))
+        return F.struct(F.when(fits, acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])).alias("out"), F.when(fits, joined).otherwise(x["s"]).alias("cur"), F.when(fits, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"))
 
     packed = F.aggregate(pieces, state, step, lambda a: F.array_append(a["out"], a["cur"]))
-    parts = F.when(n(F.col("content")) <= most, F.array("content")).otherwise(packed)
-    rows = chunks.select("doc_id", "chunk_id", "chunk_order_index", F.posexplode(parts).alias("part", "content"), (n(F.col("content")) > most).alias("split"))
+    parts = F.when(F.col("n") <= most, F.array("content")).otherwise(packed)
+    rows = rows.select("doc_id", "chunk_id", "chunk_order_index", F.posexplode(parts).alias("part", "content"), F.coalesce(F.col("n") > most, F.lit(False)).alias("split"))
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_order_index", "part")) - 1
     return rows.select("doc_id", F.when(F.col("split"), F.format_string("%s-s%02d", F.col("chunk_id").cast("string"), F.col("part") + 1)).otherwise(F.col("chunk_id")).alias("chunk_id"), order.alias("chunk_order_index"), "content")
 
