@@ -32,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into all of the session's shuffle partitions. Adaptive execution merges those of a plain group-by, window or join into
+    as few as there are cores, however many rows a task then sorts or holds; it leaves these alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def write_through(df: DataFrame, label: str, *by: str) -> DataFrame:
     """df as a table in the shared folder (in partitions by columns): lineage ends there, for iterations and for lost executors."""
     path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"

@@ -162,3 +162,25 @@ def test_texts_are_cut_into_words_once(spark):
     assert [r.content for r in chunk.enforce_token_limit(c, 5).orderBy("chunk_order_index").collect()] == ["a b c d e.", "f g"]
     assert plan(chunk.enforce_token_limit(c, 5)).count("split(") < 5
     assert not chunk.enforce_token_limit(c.withColumn("content", F.lit(None).cast("string")), 5).count()
+
+
+def test_owner_chunks_sort_rows_once_a_shuffle(spark):
+    """Q8's query deals and sorts the rows by chunk and by owner only, in partitions that adaptive execution does not merge; chunks
+    that stand twice, and two owners of one chunk, are as in arrays of sources."""
+    from memloom.operators import retrieve
+    from memloom.plans import catalog
+
+    text = plan(catalog.QUERIES["q08_owner_chunks"](spark, "/root/testdata/sf0.001"))
+    assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == 2 and text.count("Sort [") == 2
+    rng = random.Random(3)
+    sources = {(q, o): [rng.randrange(9) for _ in range(rng.randrange(1, 12))] for q in range(3) for o in range(4)}
+    got = retrieve.owner_chunks(spark.createDataFrame([(q, o, o, s) for (q, o), s in sources.items()], "query_id long, owner long, place long, source_ids array<long>"))
+    want = set()
+    for q in range(3):
+        rows = [(o, i, c) for o in range(4) for i, c in enumerate(sources[q, o])]
+        n = {c: sum(x == c for _, _, x in rows) for _, _, c in rows}
+        first = {c: min((o, i) for o, i, x in rows if x == c) for c in n}
+        for o in range(4):
+            own = sorted((-n[c], i, c) for c, (at, i) in first.items() if at == o)
+            want |= {(q, o, c, -f, p) for p, (f, _, c) in enumerate(own)}
+    assert {(r.query_id, r.owner, r.chunk_id, r.frequency, r.pos) for r in got.collect()} == want
