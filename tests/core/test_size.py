@@ -184,3 +184,11 @@ def test_owner_chunks_sort_rows_once_a_shuffle(spark):
             own = sorted((-n[c], i, c) for c, (at, i) in first.items() if at == o)
             want |= {(q, o, c, -f, p) for p, (f, _, c) in enumerate(own)}
     assert {(r.query_id, r.owner, r.chunk_id, r.frequency, r.pos) for r in got.collect()} == want
+
+
+def test_metrics_keep_their_partitions(spark):
+    """E4's query deals its pairs into all shuffle partitions: no task gets more because of how many cores there are."""
+    from memloom.plans import catalog
+
+    text = plan(catalog.QUERIES["e04_metrics"](spark, "/root/testdata/sf0.001"))
+    assert text.count("REPARTITION_BY_NUM") == 2
