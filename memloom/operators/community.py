@@ -11,15 +11,21 @@ from memloom.operators.graph import both_ways
 from memloom.sources.tables import write_through
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the right side of a join that is dealt by its keys: a table of nodes weighs little as a file and much in the driver, which would
+    send it out anew in every round."""
+    return df.hint("merge")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) by falling labels, cut each round; component is the smallest node reachable."""
     ways = write_through(both_ways(edges.select("a", "b").filter("a <> b")).distinct(), "ways")
     labels = ways.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
     while True:
-        near = ways.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = ways.join(shuffled(labels.withColumnRenamed("node", "other")), "other").groupBy("node").agg(F.min("label").alias("near"))
+        lower = labels.join(shuffled(near), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = write_through(lower.join(jump, "label").select("node", "was", F.least("label", "jump").alias("label")), "labels")
+        new = write_through(lower.join(shuffled(jump), "label").select("node", "was", F.least("label", "jump").alias("label")), "labels")
         labels = new.select("node", "label")
         if not new.filter("label <> was").limit(1).count():
             return labels.withColumnRenamed("label", "component")
@@ -34,10 +40,10 @@ def _moved(ways: DataFrame, part: DataFrame, m2: float, gamma: float, seed: int,
     r = 0
     while True:
         shares = 2 + r // 8
-        sized = part.join(part.groupBy("community").agg(F.sum("k").alias("total")), "community")
+        sized = part.join(shuffled(part.groupBy("community").agg(F.sum("k").alias("total"))), "community")
         to = sized.select(F.col("node").alias("other"), F.col("community").alias("target"), F.col("total").alias("of_target"), *(F.col(c).alias(f"_{c}") for c in bound))
-        inner = ways.filter("node <> other").join(to, "other").groupBy("node", "target", "of_target", *(f"_{c}" for c in bound)).agg(F.sum("weight").alias("k_in"))
-        met = sized.join(inner, "node", "left")
+        inner = ways.filter("node <> other").join(shuffled(to), "other").groupBy("node", "target", "of_target", *(f"_{c}" for c in bound)).agg(F.sum("weight").alias("k_in"))
+        met = sized.join(shuffled(inner), "node", "left")
         if inside:
             met = met.filter(F.col("target").isNull() | (F.col(inside) == F.col(f"_{inside}")) | (F.col("target") == F.col("community")))
         mine = F.col("target") == F.col("community")
@@ -47,7 +53,7 @@ def _moved(ways: DataFrame, part: DataFrame, m2: float, gamma: float, seed: int,
         best = met.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), "target")).alias("best"), F.max(F.when(mine, gain)).alias("stay"), F.first(alone).alias("alone"))
         turn = F.pmod(F.xxhash64("node", F.lit(seed + shares)) + r, F.lit(shares)) == 0
         would = F.coalesce(F.col("best.gain") > F.coalesce("stay", "alone") + 1e-9, F.lit(False))
-        new = part.join(best, "node", "left")
+        new = part.join(shuffled(best), "node", "left")
         new = new.select("node", F.when(would & turn, F.col("best.target")).otherwise(F.col("community")).alias("community"), "k", *bound, would.alias("would"))
         new = write_through(new, "partition")
         if not new.filter("would").limit(1).count():
@@ -67,19 +73,19 @@ def _refined(ways: DataFrame, alone: DataFrame, m2: float, gamma: float, theta:
     part = alone
     for r in range(REFINE_ROUNDS):
         turn = F.pmod(F.xxhash64("node", F.lit(seed + r)), F.lit(2)) == 0
-        sized = part.join(part.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("n")), "community").withColumn("moves", turn & (F.col("n") == 1))
+        sized = part.join(shuffled(part.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("n"))), "community").withColumn("moves", turn & (F.col("n") == 1))
         near = sized.select(F.col("node").alias("other"), F.col("community").alias("target"), F.col("home").alias("_home"), F.col("total").alias("of_target"), F.col("moves").alias("_moves"))
-        met = ways.filter("node <> other").join(sized, "node").join(near, "other").filter("home = _home and community <> target")
+        met = ways.filter("node <> other").join(shuffled(sized), "node").join(shuffled(near), "other").filter("home = _home and community <> target")
         whole = part.groupBy("home").agg(F.sum("k").alias("all"))
-        out = met.groupBy("community", "home", "total").agg(F.sum("weight").alias("e")).join(whole, "home")
+        out = met.groupBy("community", "home", "total").agg(F.sum("weight").alias("e")).join(shuffled(whole), "home")
         well = write_through(out.filter(F.col("e") >= gamma * F.col("total") * (F.col("all") - F.col("total")) / m2).select("community"), "well-connected")
-        asked = met.filter("moves and not _moves").join(well, "community", "left_semi").join(well.select(F.col("community").alias("target")), "target", "left_semi")
+        asked = met.filter("moves and not _moves").join(shuffled(well), "community", "left_semi").join(shuffled(well.select(F.col("community").alias("target"))), "target", "left_semi")
         gains = asked.groupBy("node", "k", "target", "of_target").agg(F.sum("weight").alias("k_in"))
         gains = gains.withColumn("gain", F.col("k_in") - gamma * F.col("k") * F.col("of_target") / m2).filter("gain > 0")
         u = (F.shiftrightunsigned(F.xxhash64("node", "target", F.lit(seed + r)), 11) + 0.5) / float(1 << 53)
         drawn = F.col("gain") / theta - F.log(-F.log(u))  # the largest of these is a draw by exp(gain / theta)
         best = gains.groupBy("node").agg(F.max_by("target", F.struct(drawn, "target")).alias("to"))
-        new = write_through(part.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", "home", F.col("to").isNotNull().alias("moved")), "refined-round")
+        new = write_through(part.join(shuffled(best), "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", "home", F.col("to").isNotNull().alias("moved")), "refined-round")
         part = new.drop("moved")
         if not new.filter("moved").limit(1).count() and r % 2:  # both halves have had their turn
             break
@@ -100,7 +106,7 @@ def communities(edges: DataFrame, gamma: float = 1.0, levels: int = 10, least_ga
     was, done = -1.0, None
     for level in range(levels):
         part = _moved(ways, part, m2, gamma, seed + 100 * level)
-        done = write_through(of.join(part.select(F.col("node").alias("at"), "community"), "at").select("node", "community"), "communities")
+        done = write_through(of.join(shuffled(part.select(F.col("node").alias("at"), "community")), "at").select("node", "community"), "communities")
         now = modularity(pairs, done).first()[0] or 0.0
         if now - was < least_gain:
             break
@@ -111,24 +117,24 @@ def communities(edges: DataFrame, gamma: float = 1.0, levels: int = 10, least_ga
         else:
             fine = _refined(ways, alone, m2, gamma, theta, seed + 100 * level + 50)
         name = write_through(fine.select("node", F.col("community").alias("group"), "home", "k"), "refined")
-        of = write_through(of.join(name.select(F.col("node").alias("at"), "group"), "at").select("node", F.col("group").alias("at")), "of-level")
+        of = write_through(of.join(shuffled(name.select(F.col("node").alias("at"), "group")), "at").select("node", F.col("group").alias("at")), "of-level")
         here = name.select("node", F.col("group").alias("x"))
-        ways = write_through(ways.join(here, "node").join(here.withColumnsRenamed({"node": "other", "x": "y"}), "other").groupBy(F.col("x").alias("node"), F.col("y").alias("other")).agg(F.sum("weight").alias("weight")), "ways")
+        ways = write_through(ways.join(shuffled(here), "node").join(shuffled(here.withColumnsRenamed({"node": "other", "x": "y"})), "other").groupBy(F.col("x").alias("node"), F.col("y").alias("other")).agg(F.sum("weight").alias("weight")), "ways")
         home = name.groupBy("home").agg(F.min("group").alias("community"))
-        part = write_through(name.groupBy(F.col("group").alias("node"), "home").agg(F.sum("k").alias("k")).join(home, "home").select("node", "community", "k"), "partition")
-    inside = pairs.join(done.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(done.withColumnsRenamed({"node": "b", "community": "cb"}), "b").filter("ca = cb")
+        part = write_through(name.groupBy(F.col("group").alias("node"), "home").agg(F.sum("k").alias("k")).join(shuffled(home), "home").select("node", "community", "k"), "partition")
+    inside = pairs.join(shuffled(done.withColumnsRenamed({"node": "a", "community": "ca"})), "a").join(shuffled(done.withColumnsRenamed({"node": "b", "community": "cb"})), "b").filter("ca = cb")
     whole = connected(inside.select("a", "b"))
-    return done.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
+    return done.join(shuffled(whole), "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
 def modularity(edges: DataFrame, part: DataFrame) -> DataFrame:
     """One row: modularity of a partition."""
     pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = pairs.join(part.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(part.withColumnsRenamed({"node": "b", "community": "cb"}), "b")
+    met = pairs.join(shuffled(part.withColumnsRenamed({"node": "a", "community": "ca"})), "a").join(shuffled(part.withColumnsRenamed({"node": "b", "community": "cb"})), "b")
     ends = met.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("k"))
     inner = met.filter("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.count("*").alias("e"))
     m = met.agg(F.count("*").alias("m"))
-    per = ends.join(inner, "c", "left").na.fill(0).crossJoin(F.broadcast(m))  # m is one row
+    per = ends.join(shuffled(inner), "c", "left").na.fill(0).crossJoin(F.broadcast(m))  # m is one row
     return per.agg(F.sum(F.col("e") / F.col("m") - F.pow(F.col("k") / (2 * F.col("m")), 2)).alias("modularity"))
 
 

@@ -192,3 +192,15 @@ def test_metrics_keep_their_partitions(spark):
 
     text = plan(catalog.QUERIES["e04_metrics"](spark, "/root/testdata/sf0.001"))
     assert text.count("REPARTITION_BY_NUM") == 2
+
+
+def test_communities_broadcast_no_nodes(spark, monkeypatch):
+    """D1's rounds send no table of nodes through the driver, however little it weighs as a file."""
+    from memloom.operators import community
+
+    seen, plain = [], community.write_through
+    monkeypatch.setattr(community, "write_through", lambda df, label, *by: seen.append(plan(df)) or plain(df, label, *by))
+    edges = spark.createDataFrame([(g * 10 + i, g * 10 + j) for g in range(2) for i in range(4) for j in range(i)] + [(0, 10)], "a long, b long")
+    out = community.communities(edges, levels=1)
+    assert len({r.community for r in out.collect() if r.node < 10}) == len({r.community for r in out.collect() if r.node >= 10}) == 1
+    assert sum("Join" in p for p in seen) >= 3 and not any("Broadcast" in p for p in [*seen, plan(out)])
