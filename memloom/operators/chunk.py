@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -232,38 +234,46 @@ REFERENCES = ("references", "bibliography", "参考文献")
 IDEAL, SMALL, ANCHOR = 0.75, 0.125, 100
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value): inside a function of arrays, value is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_tables(blocks: DataFrame, most: int) -> DataFrame:
     """C6. blocks (doc_id, block, ..., content) with tables of more than `most` tokens split between rows: (…, part, content). The
     slices have nearly equal numbers of rows, each with the table's header rows; text around a table is a part of its own. Inner tables
     stay inside their row, JSON lists of rows are split like rows."""
     piece = F.filter(F.split(F.regexp_replace("content", r"(?is)(<table\b.*?</table>)", "\u0000$1\u0000"), "\u0000"), lambda x: F.trim(x) != "")
 
+    header = lambda r: r.rlike("(?i)<th")
+
     def slices(t: Column) -> Column:
-        rows = F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
-        head = F.filter(rows, lambda r: F.contains(F.lower(r), F.lit("<th")))
-        body = F.filter(rows, lambda r: ~F.contains(F.lower(r), F.lit("<th")))
-        need = F.greatest(F.ceil(F.size(_tokens(t)) / most), F.lit(1)).cast("int")
-        per = F.greatest(F.ceil(F.size(body) / need), F.lit(1)).cast("int")
-        starts = F.sequence(F.lit(0), F.greatest(F.size(body) - 1, F.lit(0)), per)
-        made = F.transform(starts, lambda i: F.concat(F.lit("<table>"), F.array_join(head, ""), F.array_join(F.slice(body, i + 1, per), ""), F.lit("</table>")))
-        return F.when(t.rlike("(?i)^<table") & (F.size(_tokens(t)) > most) & (F.size(body) > 1), made).otherwise(F.array(t))
+        def made(n: Column) -> Column:
+            rows = F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
+            parts = held(rows, lambda r: F.struct(F.array_join(F.filter(r, header), "").alias("head"), F.filter(r, lambda x: ~header(x)).alias("body")))
+            need = F.greatest(F.ceil(n / most), F.lit(1)).cast("int")
+            return held(parts, lambda x: F.when(F.size(x["body"]) > 1, cut(x, F.greatest(F.ceil(F.size(x["body"]) / need), F.lit(1)).cast("int"))).otherwise(F.array(t)))
+
+        def cut(x: Column, per: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.size(x["body"]) - 1, per)
+            return held(per, lambda p: F.transform(starts, lambda i: F.concat(F.lit("<table>"), x["head"], F.array_join(F.slice(x["body"], i + 1, p), ""), F.lit("</table>"))))
+
+        return F.when(t.rlike("(?i)^<table"), held(F.size(_tokens(t)), lambda n: F.when(n > most, made(n)).otherwise(F.array(t)))).otherwise(F.array(t))
 
     rest = [c for c in blocks.columns if c != "content"]
     # tables in tables, unequal numbers of row tags and JSON bodies are for a scanner of tags; all other blocks stay in the JVM
-    text = F.lower("content")
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    odd = (count(r"<table\b") != count(r"(?s)<table\b.*?</table")) | text.rlike(r"<table\b[^>]*>\s*\[") | (count(r"<tr\b") != count(r"</tr\b"))
+    count = lambda p: F.regexp_count("content", F.lit(p))
+    odd = (count(r"(?i)<table\b") != count(r"(?is)<table\b.*?</table")) | F.col("content").rlike(r"(?i)<table\b[^>]*>\s*\[") | (count(r"(?i)<tr\b") != count(r"(?i)</tr\b"))
     odd = F.coalesce(odd, F.lit(False))
-    plain = blocks.filter(~odd).select(*rest, F.posexplode(F.flatten(F.transform(piece, slices))).alias("part", "content"))
 
-    def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"own": pdf["own"], "parts": [tables.split(t, most) for t in pdf["content"]]})
+    @F.pandas_udf("array<string>")
+    def scanned(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else tables.split(t, most))
 
-    own = F.to_json(F.struct(*(F.col(c) for c in rest)), {"ignoreNullFields": "false"}).alias("own")
-    shape = blocks.select(*rest).schema
-    found = blocks.filter(odd).select(own, "content").mapInPandas(scanned, "own string, parts array<string>")
-    return plain.unionByName(found.select(F.from_json("own", shape).alias("own"), F.posexplode("parts").alias("part", "content")).select("own.*", "part", "content"))
+    # in one pass: the scanner gets nothing of the other blocks
+    rows = blocks.select(*rest, "content", once(_odd=odd)).withColumn("_scanned", scanned(F.when(F.col("_odd"), F.col("content"))))
+    parts = F.when(F.col("_odd"), F.col("_scanned")).otherwise(F.flatten(F.transform(piece, slices)))
+    return rows.select(*rest, F.posexplode(parts).alias("part", "content"))
 
 
 def drop_reference_blocks(blocks: DataFrame, last: int = 0) -> DataFrame:
@@ -328,11 +338,13 @@ def chunk_blocks(blocks: DataFrame, size: int = 2000, drop_references: bool = Fa
             out += [(name, part)] if len(part.split()) <= size else anchored(part, name)
         return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chunks_of(parts: list[dict]) -> list[dict]:
+        """The chunks of a document's parts, in order."""
         found, waiting = [], []
-        for block, group in pdf.sort_values(["block", "part"]).groupby("block", sort=True):
-            level, heading = int(group["level"].iloc[0]), group["heading"].iloc[0] or ""
-            texts = [t.replace("\u2060", "").strip() for t in group["content"]]
+        for block, same in groupby(parts, key=lambda x: x["block"]):
+            group = list(same)
+            level, heading = int(group[0]["level"]), group[0]["heading"] or ""
+            texts = [x["content"].replace("\u2060", "").strip() for x in group]
             parts = [p for t in texts if t for p in ([("", t)] if t.lower().startswith("<table") or len(t.split()) <= size else anchored(t))]
             if not parts:  # a heading alone: it goes before the next block
                 waiting.append((level, heading))
@@ -358,9 +370,20 @@ def chunk_blocks(blocks: DataFrame, size: int = 2000, drop_references: bool = Fa
                 else:
                     merged.append(dict(x))
             found = merged
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], i, x["heading"], x["level"], x["content"], x["n"], x["blocks"]) for i, x in enumerate(found)], columns=["doc_id", "chunk_order_index", "heading", "level", "content", "tokens", "blocks"])
-
-    return rows.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, chunk_order_index int, heading string, level int, content string, tokens long, blocks array<int>")
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, parts in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                found = chunks_of(parts)
+                if found:
+                    columns = [[x[c] for x in found] for c in ("heading", "level", "content", "n", "blocks")]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(found), doc.type), pa.array(range(len(found)), pa.int32()), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)
+
+    types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()))
+    names = ["doc_id", "chunk_order_index", "heading", "level", "content", "tokens", "blocks"]
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "part", "level", "heading", "content"))).alias("parts"))
+    return per.mapInArrow(run, f"doc_id {kind}, chunk_order_index int, heading string, level int, content string, tokens long, blocks array<int>")
 
 
 def surrounding(items: DataFrame, blocks: DataFrame, leading: int, trailing: int) -> DataFrame:

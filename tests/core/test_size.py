@@ -204,3 +204,29 @@ def test_communities_broadcast_no_nodes(spark, monkeypatch):
     out = community.communities(edges, levels=1)
     assert len({r.community for r in out.collect() if r.node < 10}) == len({r.community for r in out.collect() if r.node >= 10}) == 1
     assert sum("Join" in p for p in seen) >= 3 and not any("Broadcast" in p for p in [*seen, plan(out)])
+
+
+def test_chunks_of_blocks_make_no_frame_for_each_document(spark):
+    """C5 takes batches of documents; one data frame for each of them costs more than its chunks."""
+    from memloom.operators import chunk
+
+    blocks = spark.createDataFrame([(d, 0, 1, f"h{d}", f"text {d}") for d in range(5)] + [(1, 1, 2, "sub", "more")], "doc_id long, block int, level int, heading string, content string")
+    out = chunk.chunk_blocks(blocks, 50)
+    assert "FlatMapGroups" not in plan(out) and "MapInArrow" in plan(out)
+    assert [(r.doc_id, r.content, r.blocks) for r in sorted(out.collect())][:2] == [(0, "text 0", [0]), (1, "text 1\nmore", [0, 1])]
+
+
+def test_tables_are_split_in_one_pass(spark):
+    """C6 makes its blocks once, for the patterns and for the scanner of tags; both kinds of block keep their parts in order."""
+    from memloom.operators import chunk
+
+    row = lambda i: f"<TR><td>a{i} b c d</td></tr>"
+    plain = f"before <table><tr><TH>h</th></tr>{''.join(map(row, range(4)))}</table> after"
+    docs = [(1, 0, plain), (2, 0, plain.replace("</tr>", "")), (3, 0, None), (4, 0, "no table"), (5, 0, "")]
+    out = chunk.split_tables(spark.createDataFrame(docs, "doc_id long, block int, content string").repartition(2), 9)
+    text = plan(out)
+    assert "Union" not in text and text.count("ArrowEvalPython") == 1
+    got = {d: [r.content for r in sorted(out.filter(F.col("doc_id") == d).collect(), key=lambda r: r.part)] for d in range(1, 6)}
+    head = "<table><tr><TH>h</th></tr>"
+    assert got[1] == ["before ", f"{head}{row(0)}{row(1)}</table>", f"{head}{row(2)}{row(3)}</table>", " after"]
+    assert len(got[2]) == 4 and got[2][0] == "before " and got[2][3] == " after" and got[3] == got[5] == [] and got[4] == ["no table"]
